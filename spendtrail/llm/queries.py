@@ -2,24 +2,68 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from spendtrail.llm.bpe import bpe_encode
 from spendtrail.llm.common import table
 from spendtrail.llm.exact_dedup import exact_dedup
+from spendtrail.llm.line_dedup import line_dedup
+from spendtrail.llm.packing import best_fit_packing
 from spendtrail.llm.simhash import near_dedup
 
 
+def op1_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return line_dedup(docs.select("doc_id", "text"))
+
+
 def op4_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_best_fit_packing(spark, sf_dir):
+    return best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_byte_bpe(spark, sf_dir):
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    rows = bpe_encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, decode=True)
+    return rows.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op9_simhash(spark, sf_dir):
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_exact_dedup, op5_best_fit_packing, op6_byte_bpe, op9_simhash)}
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL = {
+    "op1_line_dedup": """
+        WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS all_lines FROM documents),
+             raw AS (SELECT doc_id, unnest(all_lines) AS line, unnest(range(len(all_lines))) AS pos FROM docs),
+             units AS (SELECT doc_id, pos, trim(line) AS line, length(trim(line)) - length(replace(trim(line), ' ', '')) + 1 AS words,
+                              row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM raw WHERE trim(line) <> ''),
+             reach AS (SELECT a.doc_id, a.i, b.i AS j, a.pos, b.pos AS until,
+                              sum(b.words) OVER (PARTITION BY a.doc_id, a.i ORDER BY b.i) AS words,
+                              string_agg(b.line, chr(10)) OVER (PARTITION BY a.doc_id, a.i ORDER BY b.i) AS content
+                       FROM units a JOIN units b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 7),
+             windows AS (SELECT doc_id, pos, min(until) AS until, arg_min(content, j) AS content
+                         FROM reach WHERE words >= 50 OR j = i + 7 GROUP BY doc_id, pos),
+             later AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, pos) AS nth FROM windows),
+             gone AS (SELECT DISTINCT r.doc_id, r.pos FROM raw r JOIN later l ON l.nth > 1 AND r.doc_id = l.doc_id AND r.pos BETWEEN l.pos AND l.until),
+             left_over AS (SELECT r.doc_id, string_agg(r.line, chr(10) ORDER BY r.pos) AS text, count(*) AS n
+                           FROM raw r ANTI JOIN gone g ON r.doc_id = g.doc_id AND r.pos = g.pos GROUP BY 1)
+        SELECT d.doc_id, coalesce(l.text, CASE WHEN d.text IS NOT NULL THEN '' END) AS text,
+               coalesce(len(all_lines), 0)::INT AS n_lines, (coalesce(len(all_lines), 0) - coalesce(l.n, 0))::INT AS n_deleted
+        FROM docs d LEFT JOIN left_over l ON d.doc_id = l.doc_id""",
     "op4_exact_dedup": f"""
         WITH t AS (SELECT doc_id, sha256({FOLDED}) AS text_sha256 FROM documents),
              g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY 1)
