@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from spendtrail.llm.bpe import bpe_encode
 from spendtrail.llm.common import table
 from spendtrail.llm.exact_dedup import exact_dedup
+from spendtrail.llm.langid import fit_language, language_scores
 from spendtrail.llm.line_dedup import line_dedup
 from spendtrail.llm.packing import best_fit_packing
+from spendtrail.llm.quality import fit_quality, quality_scores
 from spendtrail.llm.simhash import near_dedup
 
 
@@ -18,6 +20,17 @@ def op1_line_dedup(spark, sf_dir):
     return line_dedup(docs.select("doc_id", "text"))
 
 
+def held_out(mod, rest):
+    """Rows with this remainder are never learnt from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % mod == rest, F.lit(False))
+
+
+def op3_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = fit_quality(docs, table(spark, sf_dir, "labels"), ~held_out(3, 1))
+    return quality_scores(docs, field).select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -41,7 +54,13 @@ def op9_simhash(spark, sf_dir):
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_exact_dedup, op5_best_fit_packing, op6_byte_bpe, op9_simhash)}
+def op10_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit_language(docs, ~held_out(4, 2))
+    return language_scores(docs, model).select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_quality, op4_exact_dedup, op5_best_fit_packing, op6_byte_bpe, op9_simhash, op10_language)}
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
