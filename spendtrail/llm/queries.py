@@ -10,6 +10,7 @@ from spendtrail.llm.common import table
 from spendtrail.llm.exact_dedup import exact_dedup
 from spendtrail.llm.langid import fit_language, language_scores
 from spendtrail.llm.line_dedup import line_dedup
+from spendtrail.llm.lm import lm_scores
 from spendtrail.llm.packing import best_fit_packing
 from spendtrail.llm.quality import fit_quality, quality_scores
 from spendtrail.llm.simhash import near_dedup
@@ -50,6 +51,12 @@ def op6_byte_bpe(spark, sf_dir):
     )
 
 
+def op7_lm_scores(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scores = lm_scores(docs, ~held_out(7, 2))
+    return scores.withColumn("held_out", held_out(7, 2))
+
+
 def op9_simhash(spark, sf_dir):
     return near_dedup(table(spark, sf_dir, "documents"))
 
@@ -60,7 +67,7 @@ def op10_language(spark, sf_dir):
     return language_scores(docs, model).select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_quality, op4_exact_dedup, op5_best_fit_packing, op6_byte_bpe, op9_simhash, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_quality, op4_exact_dedup, op5_best_fit_packing, op6_byte_bpe, op7_lm_scores, op9_simhash, op10_language)}
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
