@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spendtrail.llm.bpe import bpe_encode
 from spendtrail.llm.common import table
 from spendtrail.llm.exact_dedup import exact_dedup
+from spendtrail.llm.hnsw import nearest
 from spendtrail.llm.langid import fit_language, language_scores
 from spendtrail.llm.line_dedup import line_dedup
 from spendtrail.llm.lm import lm_scores
@@ -57,6 +58,10 @@ def op7_lm_scores(spark, sf_dir):
     return scores.withColumn("held_out", held_out(7, 2))
 
 
+def op8_hnsw(spark, sf_dir):
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_simhash(spark, sf_dir):
     return near_dedup(table(spark, sf_dir, "documents"))
 
@@ -67,7 +72,7 @@ def op10_language(spark, sf_dir):
     return language_scores(docs, model).select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_quality, op4_exact_dedup, op5_best_fit_packing, op6_byte_bpe, op7_lm_scores, op9_simhash, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_quality, op4_exact_dedup, op5_best_fit_packing, op6_byte_bpe, op7_lm_scores, op8_hnsw, op9_simhash, op10_language)}
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
