@@ -15,6 +15,7 @@ from spendtrail.llm.lm import lm_scores
 from spendtrail.llm.packing import best_fit_packing
 from spendtrail.llm.quality import fit_quality, quality_scores
 from spendtrail.llm.simhash import near_dedup
+from spendtrail.llm.url_filter import Rule, url_verdicts
 
 
 def op1_line_dedup(spark, sf_dir):
@@ -22,6 +23,13 @@ def op1_line_dedup(spark, sf_dir):
     return line_dedup(docs.select("doc_id", "text"))
 
 
+URL_RULES = [Rule("org/", "allow"), Rule("example.org/es/", "block"), Rule("example.org/en/1", "block"), Rule("com/fr/", "allow"), Rule("com/de/", "block")]
+
+
+def op2_url_filter(spark, sf_dir):
+    return url_verdicts(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def held_out(mod, rest):
     """Rows with this remainder are never learnt from."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % mod == rest, F.lit(False))
@@ -72,7 +80,7 @@ def op10_language(spark, sf_dir):
     return language_scores(docs, model).select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_quality, op4_exact_dedup, op5_best_fit_packing, op6_byte_bpe, op7_lm_scores, op8_hnsw, op9_simhash, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_quality, op4_exact_dedup, op5_best_fit_packing, op6_byte_bpe, op7_lm_scores, op8_hnsw, op9_simhash, op10_language)}
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
