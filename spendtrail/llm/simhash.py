@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spendtrail.llm.common import attach_groups, cut
+from spendtrail.llm.common import attach_groups, cut, written
 from spendtrail.llm.components import connected_components
 
 SEED = 42
@@ -110,3 +110,89 @@ def near_dedup(docs: DataFrame, words: int = 3, distance: int = 2, id_col: str =
     total = rows.count()
     out = attach_groups(rows, named, "fp", "copies", total)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+WIDE = 4  # 64-bit words of a wide fingerprint
+SLICES = 16  # at most, per document and level
+SLICE_SHINGLES = 2  # a slice has from so many shingles to twice as many, on average
+HUBS = 4
+_MIXES = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+
+
+def _mixed(h: np.ndarray, mix: np.uint64) -> np.ndarray:
+    x = (h ^ (h >> np.uint64(31))) * mix
+    return x ^ (x >> np.uint64(29))
+
+
+def wide_fingerprint(shingles: np.ndarray) -> list[int]:
+    """WIDE signed 64-bit words of majority votes of distinct shingle hashes."""
+    return [_signed(majority(_mixed(shingles, mix))) for mix in _MIXES]
+
+
+def slice_keys(shingles: np.ndarray, similarity: float) -> list[int]:
+    """Blocks of a sliced SimHash: block j takes the votes of those shingles alone whose hash falls into slice j.
+
+    A changed shingle can change only its own slice's block, so near copies share the blocks of all slices without a change.
+    The number of slices follows the number of shingles, in powers of two; a document also has the blocks of the next level
+    if a document as similar as ``similarity`` may be on it.
+    """
+    n = len(shingles)
+    if not n:
+        return [0]
+    levels = {max(0, int(np.log2(m / SLICE_SHINGLES))) for m in (n, max(n, n / similarity))}
+    slot = _mixed(shingles, _MIXES[3])
+    out = []
+    for level in levels:
+        place = slot >> np.uint64(64 - level) if level else np.zeros(n, np.uint64)
+        for j in range(min(SLICES, 1 << level)):
+            if len(own := shingles[place == j]):
+                out.append(_signed(xxhash.xxh64_intdigest(np.array([level, j, majority(_mixed(own, _MIXES[1]))], np.uint64).tobytes(), SEED)))
+    return out
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) for every row: groups of documents linked by wide fingerprints that are near each other.
+
+    Documents link where their 256-bit SimHash fingerprints over distinct ``words``-word shingles differ in no more bits than
+    two standard deviations above what sets of Jaccard similarity ``similarity`` differ in on average (50 of 256 at 0.8).
+    At that many bits plain blocks of a fingerprint would hold few bits each and select nothing; so blocks here are those
+    of a sliced SimHash (see ``slice_keys``): close pairs share a block, blocks are joined, Hamming distance is verified.
+    Equal fingerprints collapse first. Buckets of up to SMALL_BUCKET classes are joined with themselves; in larger ones every
+    class meets HUBS hubs of the bucket, and as a document is in many buckets, groups of near copies connect over them.
+    Null and blank texts are one group. Rows that repeat an id share a component. No rows: no rows.
+    """
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    bits = 64 * WIDE
+    most = int(bits * share + 2 * np.sqrt(bits * share * (1 - share)))
+
+    def run(batches):
+        for batch in batches:
+            made = []
+            for text in batch.column(1):
+                s = np.unique(shingle_hashes(text.as_py() or b"", words))
+                made.append((wide_fingerprint(s), slice_keys(s, similarity)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in made], pa.list_(pa.int64())), pa.array([b for _, b in made], pa.list_(pa.int64()))], ["doc_id", "fp", "keys"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    rows = written(rows.mapInArrow(run, "doc_id long, fp array<long>, keys array<long>"))
+    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.min("keys").alias("keys")))
+    keyed = classes.select("node", F.explode("keys").alias("key"))
+    hubs = [F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"hub{i}") for i in range(HUBS)]
+    buckets = written(keyed.groupBy("key").agg(F.count("*").alias("size"), *hubs).where("size > 1"))
+    small = keyed.join(buckets.where(F.col("size") <= SMALL_BUCKET).select("key"), "key")
+    pairs = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
+    stars = attach_groups(keyed, buckets.where(F.col("size") > SMALL_BUCKET), "key", "size", SMALL_BUCKET * 1000)
+    stars = stars.select(F.col("node").alias("a"), F.explode(F.array(*[f"hub{i}" for i in range(HUBS)])).alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    met = written(pairs.union(stars).distinct())
+    side = classes.select("node", "fp")
+    far = F.aggregate(F.zip_with("fp", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    links = met.join(side.withColumnRenamed("node", "a"), "a").join(side.select(F.col("node").alias("b"), F.col("fp").alias("fp_b")), "b").where(far <= most).select("a", "b")
+    parts = connected_components(links)
+    named = written(classes.join(parts, "node", "left").select("fp", "copies", F.coalesce("component", "node").alias("component_id")))
+    return attach_groups(rows.select("doc_id", "fp"), named, "fp", "copies", rows.count()).select("doc_id", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the documents of which a group's document of smallest id stays; rows that repeat an id stay together."""
+    gone = similar_groups(docs, words, similarity, id_col, text_col).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone.withColumnRenamed("doc_id", id_col), id_col, "left_anti")
