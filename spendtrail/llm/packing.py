@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+import re
+import sys
 import zlib
+from array import array
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -16,7 +19,10 @@ from tokenizers import Tokenizer
 
 from spendtrail.llm.common import written
 
-WORDS_KEPT = 400_000  # encoded words that a worker remembers
+if sys.byteorder != "little" or array("I").itemsize != 4:
+    raise ImportError("ids are written as little-endian 32-bit integers")
+
+WORDS_KEPT = 800_000  # encoded words that a worker remembers
 LONG_WORD = 64  # characters; longer ones aren't remembered
 PIECE_FIELDS = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -38,36 +44,50 @@ class Capacity:
         return limits
 
 
+#: Words whose pieces the model gives directly: one run of letters that normalisation keeps, and ASCII marks but the apostrophe.
+PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+#: Byte-level models name bytes by characters: printable ones of Latin-1 by themselves, others from U+0100 on, in order.
+_UNSEEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 255) or b == 173]
+BYTE_NAMES = {b: 256 + i for i, b in enumerate(_UNSEEN)}
+
+
 class Words(dict):
     """Ids of the texts between spaces and newlines, as bytes. No token of the tokenizer reaches over white space."""
 
     def __init__(self, file: str):
-        self.encode = Tokenizer.from_file(file).encode
+        whole = Tokenizer.from_file(file)
+        self.encode, self.model = whole.encode, whole.model
+        self.marks = {"": b""}
 
     def ids(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
+        words = text.encode().lower().decode().replace("\n", " ").split(" ")  # A-Z, as the tokenizer would
         if new := {w for w in words if w not in self}:
             if len(self) + len(new) > WORDS_KEPT:
                 self.clear()
                 new = set(words)
-            self.learn([w for w in new if len(w) <= LONG_WORD])
+            for word in new:
+                if len(word) <= LONG_WORD:
+                    self[word] = self.learnt(word)
         return b"".join(map(self.__getitem__, words))
 
-    def learn(self, words: list[str]) -> None:
-        """One call for many words: each is encoded on its own, and its ids are found by the word they come from."""
-        found = self.encode(words, is_pretokenized=True, add_special_tokens=False)
-        self.update(dict.fromkeys(words, b""))
-        ids = np.array(found.ids, "<u4")
-        if len(ids):
-            owner = np.array(found.word_ids, np.int64)
-            cuts = np.flatnonzero(np.diff(owner)) + 1
-            starts, stops = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(ids)]))
-            raw = ids.tobytes()
-            for word, a, b in zip(owner[starts].tolist(), (starts * 4).tolist(), (stops * 4).tolist(), strict=True):
-                self[words[word]] = raw[a:b]
+    def learnt(self, word: str) -> bytes:
+        plain = PLAIN.fullmatch(word)
+        if not plain:
+            return self[word]
+        letters, mark = plain.groups()
+        if mark not in self.marks:
+            if len(self.marks) > WORDS_KEPT:
+                self.marks = {"": b""}
+            self.marks[mark] = self[mark]
+        if mark and letters in self:
+            return self[letters] + self.marks[mark]
+        name = letters if letters.isascii() else letters.encode().decode("latin-1").translate(BYTE_NAMES)
+        ids = array("I", [token.id for token in self.model.tokenize(name)]).tobytes()
+        self[letters] = ids
+        return ids + self.marks[mark]
 
     def __missing__(self, word: str) -> bytes:
-        return np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.encode(word, add_special_tokens=False).ids).tobytes()
 
 
 @lru_cache(maxsize=2)
