@@ -1 +1,276 @@
+"""Media-panel queries: spend by geo (region) and week from ``orders``, a channel for each order priority, net revenue as KPI."""
+
+from __future__ import annotations
+
+import datetime as dt
+import math
+
+from pyspark.sql import functions as F
+
+from spendtrail.functions.calendar import fourier_terms, holiday_flags
+from spendtrail.functions.decay import decay_from_half_life, delayed_weights, effective_window, geometric_weights, half_life, weibull_weights
+from spendtrail.functions.metrics import mae, ols, rmse
+from spendtrail.functions.saturation import saturate
+from spendtrail.operators.adstock import Adstock, ChannelSpec, Saturation, adstock, adstock_state, adstock_steady_state, media_transform
+from spendtrail.operators.bootstrap import block_bootstrap
+from spendtrail.operators.diagnose import carry_class, correlations, cpm_outliers, date_audit, variation, vif
+from spendtrail.operators.steps import AdstockStep, Curve, SaturationStep, reference_levels
+from spendtrail.operators.tuning import expanding_fits, filtered, grid, predictions, scores, splits
+from spendtrail.plans.media import allocate_budget, contributions, marginal_roi, mroi_column, reallocate, response_grid, roi, simulate_plan, spend_for, transform_plan
+from spendtrail.plans.plot_data import contribution_bands
+from spendtrail.sources.hyper import from_theta_alpha_gamma
+from spendtrail.sources.look_alikes import touchpoints, weekly_panel
+
 QUERIES, SQL = {}, {}
+PRIORITY = {"urgent": "1-URGENT", "high": "2-HIGH", "medium": "3-MEDIUM", "spare": "4-NOT SPECIFIED", "low": "5-LOW"}
+CHANNELS = list(PRIORITY)
+JOINED = "orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+PANEL = f"""
+    sp AS (SELECT r_name AS geo, date_trunc('week', o_orderdate)::DATE AS wk, {', '.join(f"sum(CASE WHEN o_orderpriority = '{p}' THEN o_totalprice ELSE 0 END) / 1000 AS {c}" for c, p in PRIORITY.items())}, count(*) AS n
+           FROM {JOINED} GROUP BY ALL),
+    wks AS (SELECT geo, unnest(generate_series(min(wk), max(wk), INTERVAL 7 DAY))::DATE AS wk FROM sp GROUP BY geo),
+    panel AS (SELECT geo, wk, {', '.join(f'coalesce({c}, 0)::DOUBLE AS {c}' for c in CHANNELS)}, coalesce(n, 0) AS n FROM wks LEFT JOIN sp USING (geo, wk))"""
+KPI = f""",
+    rev AS (SELECT r_name AS geo, date_trunc('week', o_orderdate)::DATE AS wk, sum(l_extendedprice * (1 - l_discount)) / 1000 AS kpi FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+            JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL),
+    full_panel AS (SELECT p.*, coalesce(kpi, 0)::DOUBLE AS kpi FROM panel p LEFT JOIN rev USING (geo, wk))"""
+
+
+def sparse(spark, sf_dir, kpi=False):
+    """(geo, wk, n, and channels or kpi) of the weeks that have orders."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    geo = read("nation").join(F.broadcast(read("region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("geo"))
+    who = read("customer").join(F.broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "geo")
+    rows = read("orders").join(who, F.col("o_custkey") == F.col("c_custkey")).withColumn("wk", F.date_trunc("week", "o_orderdate").cast("date"))
+    if kpi:
+        net = (F.col("l_extendedprice") * (1 - F.col("l_discount")))
+        return read("lineitem").join(rows.select("o_orderkey", "geo", "wk"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("geo", "wk").agg((F.sum(net) / 1000).alias("kpi"))
+    return rows.groupBy("geo", "wk").agg(*[(F.sum(F.when(F.col("o_orderpriority") == p, F.col("o_totalprice")).otherwise(0.0)) / 1000).alias(c) for c, p in PRIORITY.items()], F.count("*").alias("n"))
+
+
+def panel(spark, sf_dir, kpi=False):
+    """Every week of each geo, weeks without orders at zero."""
+    rows = sparse(spark, sf_dir)
+    weeks = rows.groupBy("geo").agg(F.min("wk").alias("a"), F.max("wk").alias("b")).select("geo", F.explode(F.expr("sequence(a, b, interval 7 days)")).alias("wk"))
+    out = weeks.join(rows, ["geo", "wk"], "left").na.fill(0, [*CHANNELS, "n"])
+    return out.join(sparse(spark, sf_dir, kpi=True), ["geo", "wk"], "left").na.fill(0, ["kpi"]) if kpi else out
+
+
+def register(name, build, sql=None):
+    QUERIES[name] = build
+    if sql:
+        SQL[name] = sql
+
+
+def r(column, digits=6):
+    return F.round(F.col(column).cast("double"), digits).alias(column)
+
+
+def fir_sql(x, weights, by="geo", order="wk"):
+    over = f"OVER (PARTITION BY {by} ORDER BY {order})"
+    return " + ".join(f"{float(w)!r}::DOUBLE * coalesce(lag({x}, {i}) {over}, 0)" for i, w in enumerate(weights) if w)
+
+
+def iir_sql(table, x, decay, by="geo", order="wk"):
+    """CTE iir (by, order, x, a): the recursion over lists, one series a row."""
+    return f"""lists AS (SELECT {by}, list({order} ORDER BY {order}) AS ts, list({x} ORDER BY {order}) AS xs FROM {table} GROUP BY {by}),
+    iir AS (SELECT {by}, unnest(ts) AS {order}, unnest(list_transform(range(1, len(xs) + 1), lambda i: list_reduce(list_prepend(0.0::DOUBLE, list_slice(xs, 1, i)), lambda a, b: b + {decay}::DOUBLE * a))) AS a FROM lists)"""
+
+
+GEO = Adstock("geometric", 0.6)
+KERNELS = {
+    "w13_geometric_finite": (Adstock("geometric", 0.5531, 4), geometric_weights(4, 0.5531)),
+    "w13_geometric_finite_normalised": (Adstock("geometric", 0.5, 4, normalise=True), geometric_weights(4, 0.5, True)),
+    "w14_weibull_cdf": (Adstock("weibull", max_lag=8, shape=2, scale=3), weibull_weights(8, 2, 3)),
+    "w14_weibull_pdf": (Adstock("weibull", max_lag=8, shape=1.5, scale=2, type="pdf", normalise=True), weibull_weights(8, 1.5, 2, "pdf", True)),
+    "w15_delayed": (Adstock("delayed", 0.7, 6, peak=2), delayed_weights(6, 0.7, 2)),
+    "w16_filter": (Adstock("filter", weights=(0.2, 0.5, 0.3)), (0.2, 0.5, 0.3)),
+}
+for _name, (_kernel, _weights) in KERNELS.items():
+    register(
+        _name,
+        lambda spark, sf_dir, k=_kernel: adstock(panel(spark, sf_dir), {"a": ("urgent", k)}, "wk", ["geo"]).select("geo", "wk", r("a")),
+        f"WITH {PANEL} SELECT geo, wk, round({fir_sql('urgent', _weights)}, 6) AS a FROM panel",
+    )
+for _name, _scale in (("w13_geometric", 1.0), ("w13_geometric_normalised", 0.4)):
+    register(
+        _name,
+        lambda spark, sf_dir, s=_scale: adstock(panel(spark, sf_dir), {"a": ("urgent", Adstock("geometric", 0.6, normalise=s < 1))}, "wk", ["geo"]).select("geo", "wk", r("a", 4)),
+        f"WITH {PANEL}, {iir_sql('panel', 'urgent', 0.6)} SELECT geo, wk, round({_scale}::DOUBLE * a, 4) AS a FROM iir",
+    )
+
+
+def chunked(spark, sf_dir):
+    """The series cut in two: the first part's state continues the second, and both together equal the whole."""
+    df, cut = panel(spark, sf_dir), F.lit(dt.date(1998, 1, 1))
+    first, second = df.where(F.col("wk") < cut), df.where(F.col("wk") >= cut)
+    state = adstock_state(first, {"urgent": GEO}, "wk", ["geo"])
+    parts = adstock(first, {"a": ("urgent", GEO)}, "wk", ["geo"]).unionByName(adstock(second, {"a": ("urgent", GEO)}, "wk", ["geo"], state=state))
+    return parts.select("geo", "wk", r("a", 4))
+
+
+register("w17_adstock_chunked", chunked, f"WITH {PANEL}, {iir_sql('panel', 'urgent', 0.6)} SELECT geo, wk, round(a, 4) AS a FROM iir")
+register(
+    "w17_adstock_state",
+    lambda spark, sf_dir: adstock_state(panel(spark, sf_dir), {"urgent": GEO}, "wk", ["geo"]).select("geo", r("urgent_acc", 4)),
+    f"WITH {PANEL}, {iir_sql('panel', 'urgent', 0.6)} SELECT geo, round(arg_max(a, wk), 4) AS urgent_acc FROM iir GROUP BY geo",
+)
+register(
+    "w18_steady_state",
+    lambda spark, sf_dir: adstock_steady_state(panel(spark, sf_dir), "urgent", GEO, "wk", ["geo"]).select("geo", r("urgent_acc", 4)),
+    f"WITH {PANEL}, o AS (SELECT *, row_number() OVER (PARTITION BY geo ORDER BY wk) AS rn FROM panel) SELECT geo, round(avg(urgent) / (1 - 0.6::DOUBLE), 4) AS urgent_acc FROM o WHERE rn <= {effective_window(0.6)} GROUP BY geo",
+)
+SPEC = {
+    "urgent": ChannelSpec(Adstock("geometric", 0.5, 4), Saturation("hill", {"half_max": 400.0, "shape": 1.5})),
+    "high": ChannelSpec(Adstock("filter", weights=(0.7, 0.3)), Saturation("exponential", {"rate": 0.002})),
+    "low": ChannelSpec(Adstock(), Saturation("power", {"exponent": 0.5})),
+}
+COEF = {"urgent": 900.0, "high": 500.0, "low": 20.0}
+
+
+def transformed_sql(table="panel", order="wk", scale=None):
+    s = scale or {c: c for c in SPEC}
+    a = f"SELECT *, {fir_sql(s['urgent'], geometric_weights(4, 0.5), order=order)} AS au, {fir_sql(s['high'], (0.7, 0.3), order=order)} AS ah, {s['low']} AS al FROM {table}"
+    return f"adst AS ({a}), trans AS (SELECT *, CASE WHEN au = 0 THEN 0 ELSE 1 / (1 + pow(400.0::DOUBLE / nullif(au, 0), 1.5)) END AS tu, 1 - exp(-0.002::DOUBLE * ah) AS th, pow(al, 0.5) AS tl FROM adst)"
+
+
+register(
+    "w20_media_transform",
+    lambda spark, sf_dir: media_transform(panel(spark, sf_dir), {"t": ("urgent", SPEC["urgent"])}, "wk", ["geo"]).select("geo", "wk", r("t")),
+    f"WITH {PANEL}, {transformed_sql()} SELECT geo, wk, round(tu, 6) AS t FROM trans",
+)
+register(
+    "w21_transform_plan",
+    lambda spark, sf_dir: transform_plan(panel(spark, sf_dir), SPEC, "wk", ["geo"]).select("geo", "wk", *[r(c) for c in SPEC], r("medium")),
+    f"WITH {PANEL}, {transformed_sql()} SELECT geo, wk, round(tu, 6) AS urgent, round(th, 6) AS high, round(tl, 6) AS low, round(medium, 6) AS medium FROM trans",
+)
+EXT = "ext AS (SELECT geo, wk, 0 AS e, urgent, high, low FROM panel UNION ALL SELECT geo, max(wk), x.e::INT, 0, 0, 0 FROM panel, (SELECT unnest(range(1, 7)) AS e) x GROUP BY geo, x.e)"
+register(
+    "a30_simulate_plan",
+    lambda spark, sf_dir: simulate_plan(panel(spark, sf_dir), SPEC, COEF, "wk", ["geo"], extend=6).select("channel", r("spend", 3), r("contribution", 3)),
+    f"""WITH {PANEL}, {EXT}, {transformed_sql('ext', 'e, wk')} SELECT 'urgent' AS channel, round(sum(urgent), 3) AS spend, round(900 * sum(tu), 3) AS contribution FROM trans
+        UNION ALL SELECT 'high', round(sum(high), 3), round(500 * sum(th), 3) FROM trans UNION ALL SELECT 'low', round(sum(low), 3), round(20 * sum(tl), 3) FROM trans""",
+)
+WINDOW = "wk >= DATE '1999-01-01'"
+BUMPED = {c: f"CASE WHEN {WINDOW} AND e = 0 THEN {c} * 1.01::DOUBLE ELSE {c} END" for c in SPEC}
+register(
+    "a31_marginal_roi",
+    lambda spark, sf_dir: marginal_roi(panel(spark, sf_dir), SPEC, COEF, "wk", ["geo"], rows=F.col("wk") >= dt.date(1999, 1, 1), extend=6).select("channel", r("spend", 3), r("contribution", 3), r("roi"), r("mroi", 4)),
+    f"""WITH {PANEL}, {EXT}, b AS (SELECT geo, wk, e, {', '.join(f'{x} AS {c}' for c, x in BUMPED.items())} FROM ext),
+        base AS (WITH {transformed_sql('ext', 'e, wk')} SELECT sum(tu) AS u, sum(th) AS h, sum(tl) AS l FROM trans),
+        bump AS (WITH {transformed_sql('b', 'e, wk')} SELECT sum(tu) AS u, sum(th) AS h, sum(tl) AS l FROM trans),
+        s AS (SELECT {', '.join(f"sum({c}) AS {c}, sum({c}) FILTER ({WINDOW}) AS w_{c}" for c in SPEC)} FROM panel)
+        """
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS channel, round(s.{c}, 3) AS spend, round({COEF[c]} * base.{k}, 3) AS contribution, round({COEF[c]} * base.{k} / s.{c}, 6) AS roi, round({COEF[c]} * (bump.{k} - base.{k}) / (0.01 * s.w_{c}), 4) AS mroi FROM s, base, bump"
+        for c, k in (("urgent", "u"), ("high", "h"), ("low", "l"))
+    ),
+)
+LEVELS = {"urgent": (0.0, 50000.0, 100000.0), "high": (0.0, 80000.0), "low": (1000.0,)}
+register("t15_response_grid", lambda spark, sf_dir: response_grid(panel(spark, sf_dir), SPEC, COEF, LEVELS, "wk", ["geo"]).select("channel", "k", "level", r("response", 3)),
+    f"WITH {PANEL}, t AS (SELECT sum(urgent) AS u, sum(high) AS h, sum(low) AS l FROM panel), g AS (" + " UNION ALL ".join(f"SELECT '{c}' AS channel, {k} AS k, {x}::DOUBLE AS level" for c, xs in LEVELS.items() for k, x in enumerate(xs)) + f"""),
+        adst AS (SELECT {fir_sql('urgent', geometric_weights(4, 0.5))} AS au, {fir_sql('high', (0.7, 0.3))} AS ah, low AS al FROM panel)
+        SELECT channel, k, level, round(sum(CASE channel WHEN 'urgent' THEN 900 * CASE WHEN au * level = 0 THEN 0 ELSE 1 / (1 + pow(400.0::DOUBLE / nullif(au * level / u, 0), 1.5)) END
+            WHEN 'high' THEN 500 * (1 - exp(-0.002::DOUBLE * ah * level / h)) ELSE 20 * pow(al * level / l, 0.5) END), 3) AS response FROM g, t, adst GROUP BY ALL""")
+register("t15_allocate_budget", lambda spark, sf_dir: allocate_budget(panel(spark, sf_dir), SPEC, COEF, "wk", by=["geo"], steps=100).table)
+register("t16_reallocate", lambda spark, sf_dir: reallocate(panel(spark, sf_dir), "urgent", "low", 100.0, "geo").select("geo", "wk", r("urgent", 4), r("low", 4)),
+    f"WITH {PANEL} SELECT geo, wk, round(urgent * (1 - 100 / sum(urgent) OVER w), 4) AS urgent, round(low + 100 * low / sum(low) OVER w, 4) AS low FROM panel WINDOW w AS (PARTITION BY geo)")
+
+
+def decomposed(spark, sf_dir):
+    return contributions(transform_plan(panel(spark, sf_dir), SPEC, "wk", ["geo"]), COEF, "wk", ["geo"], intercept=50.0)
+
+
+LONG = " UNION ALL ".join(f"SELECT wk AS period, geo, '{c}' AS channel, {COEF[c]} * {t} AS contribution FROM trans" for c, t in (("urgent", "tu"), ("high", "th"), ("low", "tl"))) + " UNION ALL SELECT wk, geo, '(baseline)', 50.0::DOUBLE FROM trans"
+register("w29_contributions", lambda spark, sf_dir: decomposed(spark, sf_dir).select("period", "geo", "channel", r("contribution")), f"WITH {PANEL}, {transformed_sql()}, long AS ({LONG}) SELECT period, geo, channel, round(contribution, 6) AS contribution FROM long")
+register("w29_contributions_predicted", lambda spark, sf_dir: contributions(panel(spark, sf_dir, kpi=True).withColumnRenamed("kpi", "yhat"), {"urgent": 0.4, "low": 0.2}, "wk", ["geo"], prediction="yhat").select("period", "geo", "channel", r("contribution", 8)),
+    f"WITH {PANEL}{KPI} SELECT wk AS period, geo, 'urgent' AS channel, round(0.4::DOUBLE * urgent, 8) AS contribution FROM full_panel UNION ALL SELECT wk, geo, 'low', round(0.2::DOUBLE * low, 8) FROM full_panel UNION ALL SELECT wk, geo, '(baseline)', round(kpi - 0.4::DOUBLE * urgent - 0.2::DOUBLE * low, 8) FROM full_panel")
+register("a18_roi", lambda spark, sf_dir: roi(decomposed(spark, sf_dir), panel(spark, sf_dir).select("geo", "wk", *SPEC).where(F.col("wk") >= dt.date(1996, 1, 1)), "wk", ["geo"]).select("geo", "channel", r("contribution", 3), r("spend", 3), r("roi")),
+    f"""WITH {PANEL}, {transformed_sql()}, long AS ({LONG}), sp2 AS (SELECT wk AS period, geo, unnest(['urgent', 'high', 'low']) AS channel, unnest([urgent, high, low]) AS spend FROM panel WHERE wk >= DATE '1996-01-01')
+        SELECT geo, channel, round(sum(contribution), 3) AS contribution, round(sum(spend), 3) AS spend, round(sum(contribution) / sum(spend), 6) AS roi FROM long JOIN sp2 USING (period, geo, channel) GROUP BY ALL""")
+register("plot_contribution_bands", lambda spark, sf_dir: contribution_bands(decomposed(spark, sf_dir), most=3).select("period", "band", r("contribution", 4)),
+    f"""WITH {PANEL}, {transformed_sql()}, long AS ({LONG}), size AS (SELECT channel, row_number() OVER (ORDER BY sum(abs(contribution)) DESC, channel) AS n FROM long GROUP BY 1)
+        SELECT period, CASE WHEN n >= 3 THEN 'Other' ELSE channel END AS band, round(sum(contribution), 4) AS contribution FROM long JOIN size USING (channel) GROUP BY ALL""")
+
+CURVES = {
+    "f7_hill": ("hill", {"half_max": 150000.0, "shape": 1.6}, "CASE WHEN x = 0 THEN 0 ELSE 1 / (1 + pow(150000.0::DOUBLE / nullif(x, 0), 1.6)) END"),
+    "f8_exponential": ("exponential", {"rate": 0.00001}, "1 - exp(-0.00001::DOUBLE * x)"),
+    "f9_michaelis_menten": ("michaelis_menten", {"km": 120000.0, "vmax": 2.0}, "CASE WHEN x = 0 THEN 0 ELSE 2 / (1 + 120000.0::DOUBLE / nullif(x, 0)) END"),
+    "f10_power": ("power", {"exponent": 0.4}, "pow(x, 0.4)"),
+}
+for _name, (_type, _p, _sql) in CURVES.items():
+    register(_name, lambda spark, sf_dir, t=_type, p=_p: spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.round(saturate(F.col("o_totalprice"), t, **p), 6).alias("y")), f"SELECT o_orderkey, round({_sql}, 6) AS y FROM (SELECT o_orderkey, o_totalprice AS x FROM orders)")
+register("f12_mroi", lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.round(1e6 * mroi_column(F.col("o_totalprice"), 10.0, "michaelis_menten", km=100000.0), 4).alias("slope")),
+    "SELECT o_orderkey, round(1e6::DOUBLE * 10 * ((x * 1.01::DOUBLE) / (x * 1.01::DOUBLE + 100000) - (x * 0.99::DOUBLE) / (x * 0.99::DOUBLE + 100000)) / (0.02::DOUBLE * x), 4) AS slope FROM (SELECT o_orderkey, o_totalprice AS x FROM orders)")
+register("f14_spend_for", lambda spark, sf_dir: spark.createDataFrame([(t, spend_for(t, 100.0, "hill", half_max=50.0, shape=2.0)) for t in (10.0, 50.0, 90.0)], "target double, spend double").select("target", r("spend")),
+    "SELECT t::DOUBLE AS target, round(50 * pow((t / 100) / (1 - t / 100), 0.5::DOUBLE), 6) AS spend FROM (SELECT unnest([10.0::DOUBLE, 50.0::DOUBLE, 90.0::DOUBLE]) AS t)")
+register("f1_decay_vocabulary", lambda spark, sf_dir: spark.createDataFrame([(h, decay_from_half_life(h), half_life(decay_from_half_life(h)), effective_window(decay_from_half_life(h), 0.5)) for h in (1.0, 2.0, 3.0, 7.0)], "h double, decay double, back double, window50 int").select("h", r("decay"), r("back"), "window50"),
+    "SELECT h::DOUBLE AS h, round(pow(0.5::DOUBLE, 1 / h), 6) AS decay, round(h, 6)::DOUBLE AS back, h::INT AS window50 FROM (SELECT unnest([1.0::DOUBLE, 2.0::DOUBLE, 3.0::DOUBLE, 7.0::DOUBLE]) AS h)")
+register("f5_weibull_weights", lambda spark, sf_dir: spark.createDataFrame([(i, float(w)) for i, w in enumerate(weibull_weights(8, 2, 3, "pdf"))], "lag int, w double").select("lag", r("w")),
+    "WITH f AS (SELECT i::INT AS lag, (2.0::DOUBLE / 3) * ((i + 1) / 3.0::DOUBLE) * exp(-pow((i + 1) / 3.0::DOUBLE, 2)) AS f FROM range(8) t(i)) SELECT lag, round(f / (SELECT max(f) FROM f), 6) AS w FROM f")
+register("f15_fourier_terms", lambda spark, sf_dir: fourier_terms(panel(spark, sf_dir).select("geo", "wk"), "wk").select("geo", "wk", *[r(f"fourier_{f}{k}") for k in (1, 2) for f in ("sin", "cos")]),
+    f"WITH {PANEL}, t AS (SELECT geo, wk, (dayofyear(wk) - 1) / 365.25::DOUBLE AS t FROM panel) SELECT geo, wk, " + ", ".join(f"round({f}({2 * math.pi * k!r}::DOUBLE * t), 6) AS fourier_{f}{k}" for k in (1, 2) for f in ("sin", "cos")) + " FROM t")
+HOLIDAYS = {"newyear": [dt.date(y, 1, 1) for y in range(1995, 2003)], "midyear": [dt.date(1997, 7, 4), dt.date(1999, 7, 5)]}
+register("f16_holiday_flags", lambda spark, sf_dir: holiday_flags(panel(spark, sf_dir).select("geo", "wk"), "wk", HOLIDAYS),
+    f"WITH {PANEL} SELECT geo, wk, " + ", ".join("(" + " OR ".join(f"(DATE '{d}' >= wk AND DATE '{d}' < wk + 7)" for d in ds) + f")::INT AS holiday_{n}" for n, ds in HOLIDAYS.items()) + " FROM panel")
+register("f16_holiday_flags_end", lambda spark, sf_dir: holiday_flags(panel(spark, sf_dir).select("geo", "wk"), "wk", HOLIDAYS, align="end"),
+    f"WITH {PANEL} SELECT geo, wk, " + ", ".join("(" + " OR ".join(f"(DATE '{d}' > wk - 7 AND DATE '{d}' <= wk)" for d in ds) + f")::INT AS holiday_{n}" for n, ds in HOLIDAYS.items()) + " FROM panel")
+register("p18_saturation_step", lambda spark, sf_dir: (lambda df: SaturationStep({"urgent": Curve("hill", 0.4, 2.0), "low": Curve("power", exponent=0.5)}, ["geo"], "q95").fit(df).transform(df).select("geo", "wk", r("urgent"), r("low")))(panel(spark, sf_dir)),
+    f"""WITH {PANEL}, ref AS (SELECT geo, quantile_cont(urgent, 0.95) AS ru, quantile_cont(low, 0.95) AS rl FROM panel GROUP BY geo)
+        SELECT geo, wk, round(CASE WHEN urgent = 0 THEN 0 ELSE 1 / (1 + pow(0.4::DOUBLE * ru / nullif(urgent, 0), 2)) END, 6) AS urgent, round(pow(low / rl, 0.5), 6) AS low FROM panel JOIN ref USING (geo)""")
+register("a27_reference_levels", lambda spark, sf_dir: reference_levels(panel(spark, sf_dir), CHANNELS, "q99", ["geo"]).select("geo", *[r(c, 4) for c in CHANNELS]), f"WITH {PANEL} SELECT geo, " + ", ".join(f"round(quantile_cont({c}, 0.99), 4) AS {c}" for c in CHANNELS) + " FROM panel GROUP BY geo")
+
+
+def step_continues(spark, sf_dir):
+    df, cut = panel(spark, sf_dir), F.lit(dt.date(1999, 1, 1))
+    model = AdstockStep({"urgent": GEO, "low": KERNELS["w14_weibull_cdf"][0]}, "wk", ["geo"], carry_over="warm").fit(df.where(F.col("wk") < cut))
+    return model.transform(df.where(F.col("wk") >= cut)).select("geo", "wk", r("adstock_urgent", 4), r("adstock_low", 4))
+
+
+register("w26_adstock_step", step_continues,
+    f"""WITH {PANEL}, {iir_sql('panel', 'urgent', 0.6)}, f AS (SELECT geo, wk, {fir_sql('low', weibull_weights(8, 2, 3))} AS l FROM panel)
+        SELECT geo, wk, round(a, 4) AS adstock_urgent, round(l, 4) AS adstock_low FROM iir JOIN f USING (geo, wk) WHERE wk >= DATE '1999-01-01'""")
+register("a20_variation", lambda spark, sf_dir: variation(panel(spark, sf_dir), CHANNELS, ["geo"]).select("channel", r("mean", 4), r("sd", 4), r("cv"), "distinct", r("zero_share")),
+    f"""WITH {PANEL}, l AS (SELECT geo, unnest({CHANNELS}) AS channel, unnest([{', '.join(CHANNELS)}]) AS x FROM panel), g AS (SELECT geo, channel, avg(x) AS m, stddev_samp(x) AS s, count(DISTINCT x) AS d, avg((x = 0)::INT) AS z FROM l GROUP BY ALL)
+        SELECT channel, round(avg(m), 4) AS mean, round(avg(s), 4) AS sd, round(min(s / abs(m)), 6) AS cv, min(d) AS "distinct", round(max(z), 6) AS zero_share FROM g GROUP BY 1""")
+register("a21_vif", lambda spark, sf_dir: vif(panel(spark, sf_dir), ["urgent", "low"], ["geo"]).select("channel", r("vif")),
+    f"WITH {PANEL}, g AS (SELECT 1 / (1 - pow(corr(urgent, low), 2)) AS v FROM panel GROUP BY geo) SELECT unnest(['urgent', 'low']) AS channel, round(max(v), 6) AS vif FROM g")
+register("a22_correlations", lambda spark, sf_dir: correlations(panel(spark, sf_dir), CHANNELS[:3], ["geo"]).select("channel", "partner", r("r")),
+    f"""WITH {PANEL}, g AS (SELECT corr(urgent, high) AS a, corr(urgent, medium) AS b, corr(high, medium) AS c FROM panel GROUP BY geo),
+        l AS (SELECT unnest(['urgent', 'high', 'urgent', 'medium', 'high', 'medium']) AS channel, unnest(['high', 'urgent', 'medium', 'urgent', 'medium', 'high']) AS partner, unnest([a, a, b, b, c, c]) AS r FROM g)
+        SELECT channel, arg_max(partner, abs(r)) AS partner, round(arg_max(r, abs(r)), 6) AS r FROM l GROUP BY 1""")
+register("a23_cpm_outliers", lambda spark, sf_dir: cpm_outliers(panel(spark, sf_dir), "urgent", "n", "wk", ["geo"]).select("geo", "wk", r("cpm"), r("median"), "outlier"),
+    f"""WITH {PANEL}, c AS (SELECT geo, wk, urgent / n * 1000 AS cpm FROM panel WHERE n > 0), m AS (SELECT *, median(cpm) OVER (PARTITION BY geo) AS med FROM c), d AS (SELECT *, 1.4826 * median(abs(cpm - med)) OVER (PARTITION BY geo) AS mad FROM m)
+        SELECT geo, wk, round(cpm, 6) AS cpm, round(med, 6) AS median, CASE WHEN mad > 0 THEN abs(cpm - med) > 5 * mad ELSE cpm > 2 * med OR cpm < med / 2 END AS outlier FROM d""")
+register("a24_date_audit", lambda spark, sf_dir: date_audit(sparse(spark, sf_dir).withColumn("o", F.xxhash64("wk") % 97), "wk", ["geo"]).select("geo", "rows", "start", "end", "period", "duplicated", "missing", "irregular"),
+    f"""WITH {PANEL}, s AS (SELECT geo, (wk - DATE '1970-01-01')::DOUBLE AS t FROM sp), g AS (SELECT *, t - lag(t) OVER (PARTITION BY geo ORDER BY t) AS step FROM s)
+        SELECT geo, count(*) AS rows, min(t) AS start, max(t) AS "end", 7.0::DOUBLE AS period, 0::BIGINT AS duplicated, coalesce(sum(round(step / 7) - 1), 0)::BIGINT AS missing, 0::BIGINT AS irregular FROM g GROUP BY geo""")
+register("w24_carry_class", lambda spark, sf_dir: (lambda df: carry_class(df.where(F.col("wk") < dt.date(1998, 1, 5)), df.where((F.col("wk") >= dt.date(1998, 1, 5)) & (F.col("geo") != "ASIA") | (F.col("wk") >= dt.date(1999, 3, 1))), "wk", ["geo"]))(panel(spark, sf_dir)),
+    f"WITH {PANEL} SELECT DISTINCT geo, CASE WHEN geo = 'ASIA' THEN 'gap' ELSE 'contiguous' END AS carry FROM panel")
+register("a28_fit_ols", lambda spark, sf_dir: panel(spark, sf_dir, kpi=True).groupBy("geo").agg(ols(F.col("urgent"), F.col("kpi")).alias("f")).select("geo", "f.n", r("f.intercept", 4).alias("intercept"), F.round("f.slope", 6).alias("slope")),
+    f"WITH {PANEL}{KPI} SELECT geo, count(*) AS n, round(regr_intercept(kpi, urgent), 4) AS intercept, round(regr_slope(kpi, urgent), 6) AS slope FROM full_panel GROUP BY geo")
+register("a29_metrics", lambda spark, sf_dir: panel(spark, sf_dir, kpi=True).groupBy("geo").agg(F.round(rmse(F.col("kpi"), F.col("urgent")), 4).alias("rmse"), F.round(mae(F.col("kpi"), F.col("urgent")), 4).alias("mae")),
+    f"WITH {PANEL}{KPI} SELECT geo, round(sqrt(avg(pow(kpi - urgent, 2))), 4) AS rmse, round(avg(abs(kpi - urgent)), 4) AS mae FROM full_panel GROUP BY geo")
+CANDIDATES = [Adstock("geometric", d, lag) for lag in (4, 8) for d in (0.2, 0.5, 0.8)]
+CV = f"""WITH {PANEL}{KPI}, per AS (SELECT *, dense_rank() OVER (ORDER BY wk) AS period FROM full_panel), z AS (""" + " UNION ALL ".join(f"SELECT {i} AS candidate, geo, period, kpi AS y, {fir_sql('urgent', geometric_weights(int(k.max_lag), k.decay))} AS z FROM per" for i, k in enumerate(CANDIDATES)) + "), "
+
+
+def cross_validated(spark, sf_dir):
+    df = panel(spark, sf_dir, kpi=True)
+    rows = filtered(df, "urgent", "kpi", "wk", CANDIDATES, ["geo"])
+    return rows, splits(df.select("wk").distinct().count(), initial=200, assess=4, skip=9)
+
+
+SPLITS = "cuts AS (SELECT unnest(range(200, (SELECT max(period) FROM per) - 3, 10)) AS a)"
+register("t4_expanding_fits", lambda spark, sf_dir: expanding_fits(cross_validated(spark, sf_dir)[0]).where("period >= 200 and period % 20 = 0").select("candidate", "period", r("intercept", 3), r("slope", 5)),
+    CV + "e AS (SELECT DISTINCT period AS a FROM per WHERE period >= 200 AND period % 20 = 0) SELECT candidate, a::INT AS period, round(regr_intercept(y, z), 3) AS intercept, round(regr_slope(y, z), 5) AS slope FROM z JOIN e ON period <= a GROUP BY ALL")
+register("t1_tune_carryover", lambda spark, sf_dir: scores(predictions(*cross_validated(spark, sf_dir))).select("candidate", r("metric", 4)),
+    CV + f"{SPLITS}, fits AS (SELECT candidate, a, regr_intercept(y, z) AS b0, regr_slope(y, z) AS b1 FROM z JOIN cuts ON period <= a GROUP BY ALL) SELECT candidate, round(sqrt(avg(pow(y - b0 - b1 * z, 2))), 4) AS metric FROM z JOIN fits USING (candidate) WHERE period > a AND period <= a + 4 GROUP BY candidate")
+register("t11_predictions", lambda spark, sf_dir: predictions(*cross_validated(spark, sf_dir)).where("candidate = 1").select("split", "geo", "period", r("y", 4), r("predicted", 3)),
+    CV + f"{SPLITS}, fits AS (SELECT candidate, a, regr_intercept(y, z) AS b0, regr_slope(y, z) AS b1 FROM z JOIN cuts ON period <= a WHERE candidate = 1 GROUP BY ALL) SELECT ((a - 200) / 10)::INT AS split, geo, period::INT AS period, round(y, 4) AS y, round(b0 + b1 * z, 3) AS predicted FROM z JOIN fits USING (candidate) WHERE period > a AND period <= a + 4")
+register("t13_block_bootstrap", lambda spark, sf_dir: block_bootstrap(panel(spark, sf_dir), lambda d: {"mean_urgent": d["urgent"].mean(), "mean_low": d["low"].mean()}, "wk", times=50, by=["geo"])[0])
+register("s6_import_hyper", lambda spark, sf_dir: (lambda s: spark.createDataFrame([(s.adstock.decay, s.saturation.parameters["half_max"], s.saturation.parameters["shape"])], "decay double, half_max double, shape double").select("decay", r("half_max", 4), "shape"))(from_theta_alpha_gamma(panel(spark, sf_dir).where("geo = 'ASIA'"), "urgent", "wk", theta=0.3, alpha=2.0, gamma=0.4)),
+    f"WITH {PANEL}, asia AS (SELECT * FROM panel WHERE geo = 'ASIA'), {iir_sql('asia', 'urgent', 0.3)} SELECT 0.3::DOUBLE AS decay, round(0.4::DOUBLE * max(a), 4) AS half_max, 2.0::DOUBLE AS shape FROM iir")
+register("s2_touchpoints", lambda spark, sf_dir: touchpoints(spark, 300))
+register("s2_weekly_panel", lambda spark, sf_dir: weekly_panel(spark))
+register("t1_grid", lambda spark, sf_dir: spark.createDataFrame([(k.decay,) for k in grid()], "decay double"), "SELECT round(i * 0.05::DOUBLE, 2) AS decay FROM range(1, 18) t(i)")
