@@ -15,7 +15,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row for every row of ``docs``: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the largest id stays.
-    Rows that repeat an id as well as a text are all in the group's size and are all marked kept. No rows: no rows. Other
+    Rows that repeat an id as well as a text are all in the group's size and are all marked kept. A null id stays only where no row of the group has one. No rows: no rows. Other
     columns are ignored, so none can clash.
 
     Pass one reads every text once, keeps id and SHA-256 (the lineage is cut there), and counts how many rows fall on each

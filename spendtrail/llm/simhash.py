@@ -64,8 +64,8 @@ def fingerprint_links(fps: DataFrame, distance: int = 2) -> DataFrame:
     The 64 bits fall into ``distance + 3`` blocks; a close pair agrees on at least three of them, so all joins are on three
     blocks (38 bits at distance 2). Buckets of up to SMALL_BUCKET fingerprints are joined with themselves and the pairs'
     Hamming distance is verified. Within a larger bucket every fingerprint instead names all values that it reaches by
-    flipping up to ``distance / 2`` of the bits outside the shared blocks: two that are close name a common value, so a link
-    from each to the smallest that names it loses nothing and grows with the bucket, not with its square.
+    flipping one of the bits outside the shared blocks, and itself: two that are close name a common value, so a link from
+    each to the smallest that names it loses nothing and grows with the bucket, not with its square.
     """
     if distance not in (1, 2):
         raise ValueError("distance must be 1 or 2")
@@ -85,6 +85,8 @@ def fingerprint_links(fps: DataFrame, distance: int = 2) -> DataFrame:
     free = F.element_at(F.array(*[F.array(*[F.lit(_signed(1 << i)) for i in range(64) if not m >> i & 1]) for m in masks]), F.col("k") + 1)
     named = met.where(F.col("size") > SMALL_BUCKET).select("fp", "k", "block", F.explode(F.array_append(F.transform(free, lambda bit: F.col("fp").bitwiseXOR(bit)), F.col("fp"))).alias("name"))
     hubs = named.groupBy("k", "block", "name").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
+    if distance == 1:  # namers of one value may be two bits apart, so they are linked to that value instead, if it is there
+        hubs = met.select("k", "block", F.col("fp").alias("name"), F.col("fp").alias("b"))
     stars = named.join(hubs, ["k", "block", "name"])
     verified = F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= distance
     stars = stars.where((F.col("fp") != F.col("b")) & verified).select(F.col("fp").alias("a"), "b")
