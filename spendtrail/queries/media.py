@@ -243,8 +243,10 @@ register("a23_cpm_outliers", lambda spark, sf_dir: cpm_outliers(panel(spark, sf_
     f"""WITH {PANEL}, c AS (SELECT geo, wk, urgent / n * 1000 AS cpm FROM panel WHERE n > 0), m AS (SELECT *, median(cpm) OVER (PARTITION BY geo) AS med FROM c), d AS (SELECT *, 1.4826 * median(abs(cpm - med)) OVER (PARTITION BY geo) AS mad FROM m)
         SELECT geo, wk, round(cpm, 6) AS cpm, round(med, 6) AS median, CASE WHEN mad > 0 THEN abs(cpm - med) > 5 * mad ELSE cpm > 2 * med OR cpm < med / 2 END AS outlier FROM d""")
 register("a24_date_audit", lambda spark, sf_dir: date_audit(sparse(spark, sf_dir).withColumn("o", F.xxhash64("wk") % 97), "wk", ["geo"]).select("geo", "rows", "start", "end", "period", "duplicated", "missing", "irregular"),
-    f"""WITH {PANEL}, s AS (SELECT geo, (wk - DATE '1970-01-01')::DOUBLE AS t FROM sp), g AS (SELECT *, t - lag(t) OVER (PARTITION BY geo ORDER BY t) AS step FROM s)
-        SELECT geo, count(*) AS rows, min(t) AS start, max(t) AS "end", 7.0::DOUBLE AS period, 0::BIGINT AS duplicated, coalesce(sum(round(step / 7) - 1), 0)::BIGINT AS missing, 0::BIGINT AS irregular FROM g GROUP BY geo""")
+    f"""WITH {PANEL}, s AS (SELECT geo, (wk - DATE '1970-01-01')::DOUBLE AS t FROM sp), g AS (SELECT *, t - lag(t) OVER (PARTITION BY geo ORDER BY t) AS step FROM s),
+        m AS (SELECT *, median(step) OVER (PARTITION BY geo) AS period, step / median(step) OVER (PARTITION BY geo) AS ratio FROM g)
+        SELECT geo, count(*) AS rows, min(t) AS start, max(t) AS "end", max(period) AS period, 0::BIGINT AS duplicated, coalesce(sum(greatest(round(ratio) - 1, 0)), 0)::BIGINT AS missing,
+               count(*) FILTER (abs(ratio - greatest(1, round(ratio))) > 0.25) AS irregular FROM m GROUP BY geo""")
 register("w24_carry_class", lambda spark, sf_dir: (lambda df: carry_class(df.where(F.col("wk") < dt.date(1998, 1, 5)), df.where((F.col("wk") >= dt.date(1998, 1, 5)) & (F.col("geo") != "ASIA") | (F.col("wk") >= dt.date(1999, 3, 1))), "wk", ["geo"]))(panel(spark, sf_dir)),
     f"WITH {PANEL} SELECT DISTINCT geo, CASE WHEN geo = 'ASIA' THEN 'gap' ELSE 'contiguous' END AS carry FROM panel")
 register("a28_fit_ols", lambda spark, sf_dir: panel(spark, sf_dir, kpi=True).groupBy("geo").agg(ols(F.col("urgent"), F.col("kpi")).alias("f")).select("geo", "f.n", r("f.intercept", 4).alias("intercept"), F.round("f.slope", 6).alias("slope")),
