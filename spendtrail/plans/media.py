@@ -81,6 +81,15 @@ def roi(contribution: DataFrame, spend: DataFrame, index: str, by: Sequence[str]
     return out.select(*by, "channel", "contribution", "spend", "roi").orderBy(*by, F.col("roi").desc_nulls_last(), "channel")
 
 
+def unmatched(contribution: DataFrame, spend: DataFrame, index: str, by: Sequence[str] = ()) -> DataFrame:
+    """(period, by..., missing): period x group cells that only one of ``roi``'s inputs has, and which input lacks them."""
+    cell = ["period", *by]
+    left = contribution.select(*cell).distinct().withColumn("_c", F.lit(1))
+    right = spend.withColumnRenamed(index, "period").select(*cell).distinct().withColumn("_s", F.lit(1))
+    both = left.join(right, cell, "full")
+    return both.where("_c is null or _s is null").select(*cell, F.when(F.col("_c").isNull(), "contribution").otherwise("spend").alias("missing"))
+
+
 def marginal_roi(spend: DataFrame, spec: dict[str, ChannelSpec], coefficients: dict[str, float], order_by: str, by: Sequence[str] = (), lift: float = 0.01, rows: Column | None = None, extend: int = 0) -> DataFrame:
     """(channel, spend, contribution, roi, mroi): return of the last ``lift`` of spend in the window ``rows``.
 

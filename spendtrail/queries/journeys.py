@@ -13,6 +13,7 @@ from spendtrail.operators.credit import credit, credit_custom
 from spendtrail.operators.journeys import bind_paths, build_paths
 from spendtrail.operators.markov import markov_removal, transition_counts, transitions
 from spendtrail.operators.path_stats import as_channel_paths, assisted_conversions, channel_positions, conversion_lag, path_lengths, path_strings, path_summary, top_paths
+from spendtrail.streaming.stateful import stream_sessions
 
 QUERIES, SQL = {}, {}
 DROP = {"conversion_touch": "drop"}
@@ -278,3 +279,10 @@ register(
     f"WITH {BASE}, l AS (SELECT max(time_to_conversion) AS lag FROM p WHERE converted GROUP BY path_id) " + " UNION ALL ".join(f"SELECT {q}::DOUBLE AS quantile, round(quantile_cont(lag, {q}), 6) AS lag FROM l" for q in (0.5, 0.75, 0.9, 0.95, 0.99, 1.0)),
 )
 register("a15_transition_counts", lambda spark, sf_dir: transition_counts(journeys(spark, sf_dir, split_on="none", **DROP)).where("source is not null and target is not null").select("source", "target", "n"), f"WITH {journey_sql(split=(), touch='drop')}, {WALK.format(by='')} SELECT source, target, n FROM counts WHERE source <> '(start)' AND target NOT IN ('(conversion)', '(null)')")
+register(
+    "st_sessions",
+    lambda spark, sf_dir: stream_sessions(events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "6 hours", "1 day").select("id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")], "touches"),
+    """WITH o AS (SELECT user_id AS id, ts, CASE WHEN ts - lag(ts) OVER w > INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS op FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+       s AS (SELECT *, sum(op) OVER (PARTITION BY id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM o)
+       SELECT id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS touches FROM s GROUP BY id, n""",
+)

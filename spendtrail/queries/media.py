@@ -15,8 +15,8 @@ from spendtrail.operators.adstock import Adstock, ChannelSpec, Saturation, adsto
 from spendtrail.operators.bootstrap import block_bootstrap
 from spendtrail.operators.diagnose import carry_class, correlations, cpm_outliers, date_audit, variation, vif
 from spendtrail.operators.steps import AdstockStep, Curve, SaturationStep, reference_levels
-from spendtrail.operators.tuning import expanding_fits, filtered, grid, predictions, scores, splits
-from spendtrail.plans.media import allocate_budget, contributions, marginal_roi, mroi_column, reallocate, response_grid, roi, simulate_plan, spend_for, transform_plan
+from spendtrail.operators.tuning import expanding_fits, filtered, grid, predictions, scores, splits, tune_carryover, tune_carryover_joint
+from spendtrail.plans.media import allocate_budget, contributions, marginal_roi, mroi_column, reallocate, response_curve, response_grid, roi, simulate_plan, spend_for, transform_plan, unmatched
 from spendtrail.plans.plot_data import contribution_bands
 from spendtrail.sources.hyper import from_theta_alpha_gamma
 from spendtrail.sources.look_alikes import touchpoints, weekly_panel
@@ -276,3 +276,22 @@ register("s6_import_hyper", lambda spark, sf_dir: (lambda s: spark.createDataFra
 register("s2_touchpoints", lambda spark, sf_dir: touchpoints(spark, 300))
 register("s2_weekly_panel", lambda spark, sf_dir: weekly_panel(spark))
 register("t1_grid", lambda spark, sf_dir: spark.createDataFrame([(k.decay,) for k in grid()], "decay double"), "SELECT round(i * 0.05::DOUBLE, 2) AS decay FROM range(1, 18) t(i)")
+register("a19_unmatched_cells", lambda spark, sf_dir: unmatched(decomposed(spark, sf_dir).where(F.col("period") < dt.date(2000, 1, 1)), panel(spark, sf_dir).select("geo", "wk", *SPEC).where(F.col("wk") >= dt.date(1996, 1, 1)), "wk", ["geo"]),
+    f"WITH {PANEL} SELECT wk AS period, geo, CASE WHEN wk < DATE '1996-01-01' THEN 'spend' ELSE 'contribution' END AS missing FROM panel WHERE wk < DATE '1996-01-01' OR wk >= DATE '2000-01-01'")
+register("f13_response_curve", lambda spark, sf_dir: response_curve(spark.range(0, 20).select((F.col("id") * 50).alias("x")), "x", 40.0, "hill", half_max=300.0, shape=1.5).select("spend", r("response"), r("slope")),
+    """WITH x AS (SELECT i * 50.0::DOUBLE AS x FROM range(20) t(i)), h AS (SELECT x, greatest(x * 0.01::DOUBLE, pow(2.220446049250313e-16::DOUBLE, 1 / 3.0::DOUBLE) * 300) AS h FROM x),
+       e AS (SELECT x, greatest(0, x - h) AS lo, x + h AS hi FROM h), f AS (SELECT *, CASE WHEN x = 0 THEN 0 ELSE 1 / (1 + pow(300 / nullif(x, 0), 1.5)) END AS y, CASE WHEN lo = 0 THEN 0 ELSE 1 / (1 + pow(300 / nullif(lo, 0), 1.5)) END AS a, 1 / (1 + pow(300 / hi, 1.5)) AS b FROM e)
+       SELECT x AS spend, round(40 * y, 6) AS response, round(40 * (b - a) / (hi - lo), 6) AS slope FROM f""")
+register("f6_delayed_weights", lambda spark, sf_dir: spark.createDataFrame([(i, float(w)) for i, w in enumerate(delayed_weights(6, 0.7, 2, True))], "lag int, w double").select("lag", r("w")),
+    "WITH f AS (SELECT i::INT AS lag, pow(0.7::DOUBLE, (i - 2) * (i - 2)) AS f FROM range(6) t(i)) SELECT lag, round(f / (SELECT sum(f) FROM f), 6) AS w FROM f")
+register("f4_geometric_weights", lambda spark, sf_dir: spark.createDataFrame([(i, float(w)) for i, w in enumerate(geometric_weights(12, 0.8, True))], "lag int, w double").select("lag", r("w")),
+    "WITH f AS (SELECT i::INT AS lag, pow(0.8::DOUBLE, i) AS f FROM range(12) t(i)) SELECT lag, round(f / (SELECT sum(f) FROM f), 6) AS w FROM f")
+
+
+def picked(spark, sf_dir):
+    tuned = tune_carryover(panel(spark, sf_dir, kpi=True), "urgent", "kpi", "wk", ["geo"], CANDIDATES, initial=200, assess=4, skip=9)
+    return spark.createDataFrame([("best", tuned.best.decay, float(tuned.best.max_lag)), ("best_1se", tuned.best_1se.decay, float(tuned.best_1se.max_lag))], "pick string, decay double, max_lag double")
+
+
+register("t8_one_standard_error", picked)
+register("t12_tune_joint", lambda spark, sf_dir: spark.createDataFrame(sorted((c, k.decay) for c, k in tune_carryover_joint(panel(spark, sf_dir, kpi=True), ["urgent", "low"], "kpi", "wk", ["geo"], CANDIDATES[3:], max_iter=2, initial=250, assess=10, skip=19).items()), "channel string, decay double"))
