@@ -22,7 +22,7 @@ from spendtrail.llm.common import written
 if sys.byteorder != "little" or array("I").itemsize != 4:
     raise ImportError("ids are written as little-endian 32-bit integers")
 
-WORDS_KEPT = 800_000  # encoded words that a worker remembers
+WORDS_KEPT = 800_000  # encoded words that a task remembers
 LONG_WORD = 64  # characters; longer ones aren't remembered
 PIECE_FIELDS = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -55,7 +55,7 @@ class Words(dict):
     """Ids of the texts between spaces and newlines, as bytes. No token of the tokenizer reaches over white space."""
 
     def __init__(self, file: str):
-        whole = Tokenizer.from_file(file)
+        whole = _tokenizer(file)
         self.encode, self.model = whole.encode, whole.model
         self.marks = {"": b""}
 
@@ -91,8 +91,8 @@ class Words(dict):
 
 
 @lru_cache(maxsize=2)
-def _words(file: str) -> Words:
-    return Words(file)
+def _tokenizer(file: str) -> Tokenizer:
+    return Tokenizer.from_file(file)
 
 
 def tokenised_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,10 +100,11 @@ def tokenised_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 4096,
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
+        words = Words(tokenizer_file)  # goes with the task, as workers outlive it
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = memoryview(_words(tokenizer_file).ids(text.as_py() or "") + end)
+                ids = memoryview(words.ids(text.as_py() or "") + end)
                 step = 4 * capacity
                 rows += [(doc, i, i * capacity, len(ids[at : at + step]) // 4, zlib.crc32(ids[at : at + step])) for i, at in enumerate(range(0, len(ids), step))]
             columns = list(zip(*rows, strict=True)) or [[]] * 5
