@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendtrail.llm.common import attach_groups, cut, written
@@ -152,14 +152,21 @@ def slice_keys(shingles: np.ndarray, similarity: float) -> list[int]:
     return out
 
 
+def alike(x: str, y: str, similarity: float) -> Column:
+    """Whether two sets, as arrays without repeats, have Jaccard similarity ``similarity`` or more."""
+    both = F.size(F.array_intersect(x, y))
+    return both / (F.size(x) + F.size(y) - both) >= similarity
+
+
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) for every row: groups of documents linked by wide fingerprints that are near each other.
+    """(doc_id, component_id) for every row: groups of documents linked by Jaccard similarity of their shingles.
 
-    Documents link where their 256-bit SimHash fingerprints over distinct ``words``-word shingles differ in no more bits than
-    two standard deviations above what sets of Jaccard similarity ``similarity`` differ in on average (50 of 256 at 0.8).
+    Documents link where their sets of distinct ``words``-word shingles have Jaccard similarity ``similarity`` or more, counted
+    on the sets themselves. Pairs are preselected by 256-bit SimHash fingerprints that differ in no more bits than
+    two standard deviations above what sets of that similarity differ in on average (50 of 256 at 0.8).
     At that many bits plain blocks of a fingerprint would hold few bits each and select nothing; so blocks here are those
     of a sliced SimHash (see ``slice_keys``): close pairs share a block, blocks are joined, Hamming distance is verified.
-    Equal fingerprints collapse first. Buckets of up to SMALL_BUCKET classes are joined with themselves; in larger ones every
+    Equal sets collapse first. Buckets of up to SMALL_BUCKET classes are joined with themselves; in larger ones every
     class meets HUBS hubs of the bucket, and as a document is in many buckets, groups of near copies connect over them.
     Null and blank texts are one group. Rows that repeat an id share a component. No rows: no rows.
     """
@@ -172,12 +179,13 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
             made = []
             for text in batch.column(1):
                 s = np.unique(shingle_hashes(text.as_py() or b"", words))
-                made.append((wide_fingerprint(s), slice_keys(s, similarity)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in made], pa.list_(pa.int64())), pa.array([b for _, b in made], pa.list_(pa.int64()))], ["doc_id", "fp", "keys"])
+                made.append((_signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)), s.view(np.int64), wide_fingerprint(s), slice_keys(s, similarity)))
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in list(zip(*made, strict=True))[1:]] if made else [pa.array([], pa.list_(pa.int64()))] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.int64()), *lists], ["doc_id", "set", "shingles", "fp", "keys"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    rows = written(rows.mapInArrow(run, "doc_id long, fp array<long>, keys array<long>"))
-    classes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.min("keys").alias("keys")))
+    rows = written(rows.mapInArrow(run, "doc_id long, set long, shingles array<long>, fp array<long>, keys array<long>"))
+    classes = written(rows.groupBy("set").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.min("fp").alias("fp"), F.min("keys").alias("keys")))
     keyed = classes.select("node", F.explode("keys").alias("key"))
     hubs = [F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"hub{i}") for i in range(HUBS)]
     buckets = written(keyed.groupBy("key").agg(F.count("*").alias("size"), *hubs).where("size > 1"))
@@ -188,10 +196,14 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
     met = written(pairs.union(stars).distinct())
     side = classes.select("node", "fp")
     far = F.aggregate(F.zip_with("fp", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    links = met.join(side.withColumnRenamed("node", "a"), "a").join(side.select(F.col("node").alias("b"), F.col("fp").alias("fp_b")), "b").where(far <= most).select("a", "b")
+    near = written(met.join(side.withColumnRenamed("node", "a"), "a").join(side.select(F.col("node").alias("b"), F.col("fp").alias("fp_b")), "b").where(far <= most).select("a", "b"))
+    named = classes.select("node", "set")
+    asked = near.select(F.col("a").alias("node")).union(near.select("b")).distinct().join(named, "node")
+    sets = written(rows.join(asked, (rows.doc_id == asked.node) & (rows.set == asked.set)).groupBy("node").agg(F.first("shingles").alias("shingles")))
+    links = near.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").where(alike("x", "y", similarity)).select("a", "b")
     parts = connected_components(links)
-    named = written(classes.join(parts, "node", "left").select("fp", "copies", F.coalesce("component", "node").alias("component_id")))
-    return attach_groups(rows.select("doc_id", "fp"), named, "fp", "copies", rows.count()).select("doc_id", "component_id")
+    named = written(classes.join(parts, "node", "left").select("set", "copies", F.coalesce("component", "node").alias("component_id")))
+    return attach_groups(rows.select("doc_id", "set"), named, "set", "copies", rows.count()).select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -437,6 +437,27 @@ def test_similar_groups_find_near_copies_and_leave_others(spark):
     assert drop_near_copies(docs(spark, [])).count() == 0
 
 
+def five_word_sets(texts):
+    split = [t.split() for t in texts]
+    return [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in split]
+
+
+def components_by_brute_force(texts, similarity=0.8):
+    sets, root = five_word_sets(texts), list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if root[a] != root[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= similarity:
+            low, high = sorted((root[a], root[b]))
+            root = [low if r == high else r for r in root]
+    return root
+
+
+def test_similar_groups_leave_documents_that_only_share_a_passage(spark):
+    passage = [f"p{i}" for i in range(40)]
+    texts = [" ".join(passage + [f"own{k}x{i}" for i in range(10)]) for k in range(300)]
+    assert components_by_brute_force(texts) == list(range(300))
+    assert {r.doc_id for r in drop_near_copies(docs(spark, texts)).collect()} == set(range(300))
+
+
 def test_components_of_chains_and_hubs(spark):
     rng = np.random.default_rng(19)
     links = [(i, i + 1) for i in range(100, 160)] + [(7, int(i)) for i in range(200, 400)] + [(int(a), int(b)) for a, b in rng.integers(500, 700, (60, 2))] + [(3, 3)]
