@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from spendtrail.llm.common import attach_groups, cut, written
 from spendtrail.llm.components import connected_components
+from spendtrail.llm.exact_dedup import PAGE_BITS, _bit
 
 SEED = 42
 SMALL_BUCKET = 16
@@ -114,42 +116,58 @@ def near_dedup(docs: DataFrame, words: int = 3, distance: int = 2, id_col: str =
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-WIDE = 4  # 64-bit words of a wide fingerprint
-SLICES = 16  # at most, per document and level
-SLICE_SHINGLES = 2  # a slice has from so many shingles to twice as many, on average
-HUBS = 4
-_MIXES = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+MAP_WORDS = 16  # 64-bit words of a parity map
+COMMON_SAMPLE = 10_000  # documents at least, in the sample that tells common shingles
+COMMON_SHARE = 1 / 32  # of the documents, if those are more
+COMMON_MOST = 500_000  # shingles whose rank tasks carry; it decides the cost alone, never the result
+SLACK = 1e-9  # of bounds computed in floating point
 
 
-def _mixed(h: np.ndarray, mix: np.uint64) -> np.ndarray:
-    x = (h ^ (h >> np.uint64(31))) * mix
-    return x ^ (x >> np.uint64(29))
+def parity_map(shingles: np.ndarray) -> list[int]:
+    """MAP_WORDS signed 64-bit words; each bit is the parity of the shingles that fall on it.
 
+    A shingle in one set alone flips one bit, so two sets differ in at least as many shingles as their maps in bits.
+    """
+    bits = np.bincount((shingles >> np.uint64(20)) % np.uint64(64 * MAP_WORDS), minlength=64 * MAP_WORDS) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8").tolist()
 
-def wide_fingerprint(shingles: np.ndarray) -> list[int]:
-    """WIDE signed 64-bit words of majority votes of distinct shingle hashes."""
-    return [_signed(majority(_mixed(shingles, mix))) for mix in _MIXES]
 
+def rare_first(shingles: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The set in the order that all sets share: shingles not in ``common`` by hash, then those in it by rank."""
+    if not len(common):
+        return np.sort(shingles)
+    at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+    rank = np.where(common[at] == shingles, ranks[at], -1)
+    return shingles[np.lexsort((shingles, rank))]
 
-def slice_keys(shingles: np.ndarray, similarity: float) -> list[int]:
-    """Blocks of a sliced SimHash: block j takes the votes of those shingles alone whose hash falls into slice j.
 
-    A changed shingle can change only its own slice's block, so near copies share the blocks of all slices without a change.
-    The number of slices follows the number of shingles, in powers of two; a document also has the blocks of the next level
-    if a document as similar as ``similarity`` may be on it.
-    """
-    n = len(shingles)
-    if not n:
-        return [0]
-    levels = {max(0, int(np.log2(m / SLICE_SHINGLES))) for m in (n, max(n, n / similarity))}
-    slot = _mixed(shingles, _MIXES[3])
-    out = []
-    for level in levels:
-        place = slot >> np.uint64(64 - level) if level else np.zeros(n, np.uint64)
-        for j in range(min(SLICES, 1 << level)):
-            if len(own := shingles[place == j]):
-                out.append(_signed(xxhash.xxh64_intdigest(np.array([level, j, majority(_mixed(own, _MIXES[1]))], np.uint64).tobytes(), SEED)))
-    return out
+def prefix_length(n: int, similarity: float) -> int:
+    """Two sets of that similarity share one of their first so many shingles in any common order."""
+    return n - math.ceil(similarity * n - SLACK) + 1 if n else 0
+
+
+def common_shingles(rows: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles met more than twice in a sample of documents, and their ranks, the rarest first."""
+    share = max(COMMON_SHARE, COMMON_SAMPLE / max(total, 1))
+    some = rows if share >= 1 else rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    met = some.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c")).where("c > 2")
+    got = met.orderBy(F.desc("c"), "s").limit(COMMON_MOST).toArrow()
+    hashes, counts = got["s"].to_numpy().astype(np.int64).view(np.uint64), got["c"].to_numpy()
+    ranks = np.empty(len(hashes), np.int64)
+    ranks[np.lexsort((hashes, counts))] = np.arange(len(hashes))
+    by = np.argsort(hashes)
+    return hashes[by], ranks[by]
+
+
+def among(rows: DataFrame, key: str, keys: DataFrame, most: int = 1 << 28) -> DataFrame:
+    """The rows whose ``key`` is one of ``keys``, and few others: a bitmap of at most 32 MB spares the rest a shuffle."""
+    bits, total = PAGE_BITS, keys.count()
+    while bits < min(total * 16, most):
+        bits *= 2
+    at = F.pmod(F.xxhash64(key), F.lit(bits))
+    pages = keys.select(at.alias("bit")).groupBy(F.floor(F.col("bit") / PAGE_BITS).alias("page")).agg(F.bitmap_construct_agg(F.col("bit") % PAGE_BITS).alias("bitmap"))
+    tested = rows.withColumn("page", F.floor(at / PAGE_BITS)).join(F.broadcast(written(pages)), "page")
+    return tested.where(_bit("bitmap", at)).select(rows.columns)
 
 
 def alike(x: str, y: str, similarity: float) -> Column:
@@ -161,49 +179,80 @@ def alike(x: str, y: str, similarity: float) -> Column:
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) for every row: groups of documents linked by Jaccard similarity of their shingles.
 
-    Documents link where their sets of distinct ``words``-word shingles have Jaccard similarity ``similarity`` or more, counted
-    on the sets themselves. Pairs are preselected by 256-bit SimHash fingerprints that differ in no more bits than
-    two standard deviations above what sets of that similarity differ in on average (50 of 256 at 0.8).
-    At that many bits plain blocks of a fingerprint would hold few bits each and select nothing; so blocks here are those
-    of a sliced SimHash (see ``slice_keys``): close pairs share a block, blocks are joined, Hamming distance is verified.
-    Equal sets collapse first. Buckets of up to SMALL_BUCKET classes are joined with themselves; in larger ones every
-    class meets HUBS hubs of the bucket, and as a document is in many buckets, groups of near copies connect over them.
+    Documents link where their sets of distinct ``words``-word shingles have Jaccard similarity ``similarity`` or more; the
+    components over all such links are exact. Equal sets collapse first. Two sets that similar share a shingle among the
+    first few of each (see ``prefix_length``) in any common order, here the rare first, so those with a common one meet
+    and nothing else can link. A meeting is dropped only where it is proven too few shingles are common: by the sets' sizes
+    and the shingle's places in them, or by the maps of ``parity_map``; the rest are counted on the sets themselves.
+    At first each set meets the least one of each of its buckets; groups of copies are one component by then. After that
+    only sets of different components meet, all of a bucket, as a link within a component adds nothing.
     Null and blank texts are one group. Rows that repeat an id share a component. No rows: no rows.
     """
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    bits = 64 * WIDE
-    most = int(bits * share + 2 * np.sqrt(bits * share * (1 - share)))
+    spark = docs.sparkSession
 
-    def run(batches):
+    def read(batches):
         for batch in batches:
-            made = []
-            for text in batch.column(1):
-                s = np.unique(shingle_hashes(text.as_py() or b"", words))
-                made.append((_signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)), s.view(np.int64), wide_fingerprint(s), slice_keys(s, similarity)))
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in list(zip(*made, strict=True))[1:]] if made else [pa.array([], pa.list_(pa.int64()))] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.int64()), *lists], ["doc_id", "set", "shingles", "fp", "keys"])
+            sets = [np.unique(shingle_hashes(text.as_py() or b"", words)) for text in batch.column(1)]
+            keys = pa.array([_signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)) for s in sets], pa.int64())
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in ([s.view(np.int64) for s in sets], [parity_map(s) for s in sets])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), keys, pa.array(map(len, sets), pa.int32()), *lists], ["doc_id", "node", "n", "shingles", "map"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    rows = written(rows.mapInArrow(run, "doc_id long, set long, shingles array<long>, fp array<long>, keys array<long>"))
-    classes = written(rows.groupBy("set").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.min("fp").alias("fp"), F.min("keys").alias("keys")))
-    keyed = classes.select("node", F.explode("keys").alias("key"))
-    hubs = [F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"hub{i}") for i in range(HUBS)]
-    buckets = written(keyed.groupBy("key").agg(F.count("*").alias("size"), *hubs).where("size > 1"))
-    small = keyed.join(buckets.where(F.col("size") <= SMALL_BUCKET).select("key"), "key")
-    pairs = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b")
-    stars = attach_groups(keyed, buckets.where(F.col("size") > SMALL_BUCKET), "key", "size", SMALL_BUCKET * 1000)
-    stars = stars.select(F.col("node").alias("a"), F.explode(F.array(*[f"hub{i}" for i in range(HUBS)])).alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    met = written(pairs.union(stars).distinct())
-    side = classes.select("node", "fp")
-    far = F.aggregate(F.zip_with("fp", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = written(met.join(side.withColumnRenamed("node", "a"), "a").join(side.select(F.col("node").alias("b"), F.col("fp").alias("fp_b")), "b").where(far <= most).select("a", "b"))
-    named = classes.select("node", "set")
-    asked = near.select(F.col("a").alias("node")).union(near.select("b")).distinct().join(named, "node")
-    sets = written(rows.join(asked, (rows.doc_id == asked.node) & (rows.set == asked.set)).groupBy("node").agg(F.first("shingles").alias("shingles")))
-    links = near.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").where(alike("x", "y", similarity)).select("a", "b")
-    parts = connected_components(links)
-    named = written(classes.join(parts, "node", "left").select("set", "copies", F.coalesce("component", "node").alias("component_id")))
-    return attach_groups(rows.select("doc_id", "set"), named, "set", "copies", rows.count()).select("doc_id", "component_id")
+    rows = written(rows.mapInArrow(read, "doc_id long, node long, n int, shingles array<long>, map array<long>"))
+    total = rows.count()
+    classes = written(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("map").alias("map")))
+    order = spark.sparkContext.broadcast(common_shingles(rows, total))
+
+    def prefixes(batches):
+        for batch in batches:
+            nodes, sizes, keys, places = [], [], [], []
+            for node, shingles in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                s = np.array(shingles.values.to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
+                first = rare_first(s, *order.value)[: prefix_length(len(s), similarity)]
+                nodes.append(np.full(len(first), node, np.int64))
+                sizes.append(np.full(len(first), len(s), np.int32))
+                keys.append(first.view(np.int64))
+                places.append(np.arange(len(first), dtype=np.int32))
+            if nodes:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (nodes, sizes, keys, places)], ["node", "n", "key", "place"])
+
+    keyed = written(rows.select("node", "shingles").mapInArrow(prefixes, "node long, n int, key long, place int"))
+    places = keyed.count()
+    buckets = written(keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").drop("last"))
+    met = written(attach_groups(among(keyed, "key", buckets), buckets, "key", "size", places))
+    hubs = written(met.where("node = hub").groupBy("key").agg(F.first("size").alias("size"), F.first("n").alias("n_b"), F.first("place").alias("place_b")))
+    least = similarity / (1 + similarity)
+
+    def possible(n: str, place: str, other_n: str, other_place: str) -> Column:
+        return F.least(F.col(n) - F.col(place), F.col(other_n) - F.col(other_place)) >= least * (F.col(n) + F.col(other_n)) - SLACK
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Of the pairs (a, b) and their sizes those that are similar."""
+        side = classes.select("node", "map")
+        apart = F.aggregate(F.zip_with("map_a", "map_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        near = pairs.distinct().join(side.toDF("a", "map_a"), "a").join(side.toDF("b", "map_b"), "b")
+        near = written(near.where(apart <= (1 - 2 * least) * (F.col("n_a") + F.col("n_b")) + SLACK).select("a", "b"))
+        asked = near.select(F.col("a").alias("node")).union(near.select("b")).distinct().join(classes.select("node", "first_id"), "node")
+        asked = written(asked)
+        own = among(rows, "node", asked).select(F.col("node").alias("set"), "doc_id", "shingles")
+        sets = written(own.join(asked, (own.doc_id == asked.first_id) & (own.set == asked.node)).groupBy("node").agg(F.first("shingles").alias("shingles")))
+        return written(near.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").where(alike("x", "y", similarity)).select("a", "b"))
+
+    far = attach_groups(met.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"), F.col("hub").alias("b")), hubs, "key", "size", places)
+    stars = linked(far.where((F.col("a") != F.col("b")) & possible("n_a", "place_a", "n_b", "place_b")).select("a", "n_a", "b", "n_b"))
+    parts = written(connected_components(stars))
+    placed = met.select("key", "node", "n", "place").distinct().join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
+    open_ = written(placed.join(mixed, "key"))
+    one, two = (open_.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "place", "part")]) for x in "ab")
+    cross = one.join(two, (one.key == two.key) & (F.col("part_a") < F.col("part_b")) & possible("n_a", "place_a", "n_b", "place_b"))
+    rest = linked(cross.select(F.col("node_a").alias("a"), "n_a", F.col("node_b").alias("b"), "n_b"))
+
+    parts = connected_components(stars.union(rest))
+    parts = classes.join(parts, "node", "left").select("node", "first_id", "copies", F.coalesce("component", "node").alias("component"))
+    firsts = parts.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    named = written(parts.join(firsts, "component").select("node", "copies", "component_id"))
+    return attach_groups(rows.select("doc_id", "node"), named, "node", "copies", total).select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

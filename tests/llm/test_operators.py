@@ -20,7 +20,7 @@ from spendtrail.llm.exact_dedup import exact_dedup
 from spendtrail.llm.langid import fit_language, fit_temperature, language_scores
 from spendtrail.llm.line_dedup import line_dedup
 from spendtrail.llm.queries import URL_RULES
-from spendtrail.llm.simhash import drop_near_copies, fingerprint_links, near_dedup, shingle_hashes, similar_groups
+from spendtrail.llm.simhash import drop_near_copies, fingerprint_links, near_dedup, parity_map, prefix_length, rare_first, shingle_hashes, similar_groups
 from spendtrail.llm.url_filter import propagate, url_verdicts
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -458,6 +458,35 @@ def test_similar_groups_leave_documents_that_only_share_a_passage(spark):
     assert {r.doc_id for r in drop_near_copies(docs(spark, texts)).collect()} == set(range(300))
 
 
+def test_similar_groups_find_every_pair_that_shares_a_common_passage(spark):
+    rng = np.random.default_rng(19)
+    passage = [f"p{i}" for i in range(30)]
+    texts = []
+    for k in range(300):
+        own = [f"own{k}x{i}" for i in range(25)]
+        other = list(own)
+        other[rng.integers(5, 25)] = "edit"
+        texts += [" ".join(passage + own), " ".join(passage + other)]
+    texts += [" ".join(f"c{i}" if i > k else f"d{k}x{i}" for i in range(60)) for k in range(30)]  # a chain: only neighbours are alike
+    want = components_by_brute_force(texts)
+    assert {r.doc_id: r.component_id for r in similar_groups(docs(spark, texts)).collect()} == dict(enumerate(want))
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 24, 333])
+def test_prefixes_and_maps_lose_no_similar_pair(n):
+    rng = np.random.default_rng(n)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate((a[rng.random(len(a)) > 0.1], rng.integers(0, 1 << 63, rng.integers(0, 1 + n // 8), dtype=np.uint64))))
+        common = np.sort(rng.choice(a, rng.integers(0, n + 1), replace=False))
+        ranks = rng.permutation(len(common))
+        both, union = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+        bits = sum((x ^ y).bit_count() if (x ^ y) >= 0 else 64 - (~(x ^ y)).bit_count() for x, y in zip(parity_map(a), parity_map(b), strict=True))
+        assert bits <= union - both
+        if both / union >= 0.8:
+            assert set(rare_first(a, common, ranks)[: prefix_length(len(a), 0.8)]) & set(rare_first(b, common, ranks)[: prefix_length(len(b), 0.8)])
+
+
 def test_components_of_chains_and_hubs(spark):
     rng = np.random.default_rng(19)
     links = [(i, i + 1) for i in range(100, 160)] + [(7, int(i)) for i in range(200, 400)] + [(int(a), int(b)) for a, b in rng.integers(500, 700, (60, 2))] + [(3, 3)]
