@@ -270,52 +270,91 @@ def test_bpe_equals_the_library_and_comes_back(spark):
 # language-model scores
 
 
-def test_lm_scores_equal_brute_force(spark):
+class Model:
+    """Dictionaries of n-gram counts, states by name, one token at a time."""
+
+    def __init__(self, texts, strengths=lm.STRENGTHS):
+        self.c = [Counter() for _ in range(3)]
+        for t in texts:
+            for n in range(3):
+                self.c[n].update(tuple(t[i : i + n + 1]) for i in range(len(t) - n))
+        self.base = sum(self.c[0].values()) + len(self.c[0]) + 1
+        self.strengths = strengths
+
+    def p(self, context, w):
+        if not context:
+            return (self.c[0][w,] + 1) / self.base
+        m = self.strengths[len(context) - 1]
+        return (self.c[len(context)][*context, w] + m * self.p(context[1:], w)) / (self.c[len(context) - 1][context] + m)
+
+    def score(self, tokens):
+        """Arcs where the n-gram was seen, failure arcs else."""
+        total, state = 0.0, ()
+        for w in tokens:
+            while state and not self.c[len(state)][*state, w]:
+                m = self.strengths[len(state) - 1]
+                total += math.log10(m / (self.c[len(state) - 1][state] + m))
+                state = state[1:]
+            total += math.log10(self.p(state, w))
+            state = (*state, w)[-2:]
+            while state and not self.c[len(state) - 1][state]:
+                state = state[1:]
+        return total
+
+
+def tokens_of(text):
+    return [*fold(text).encode().split(), b""]
+
+
+@pytest.mark.parametrize("sizes", [{}, {"chunk_tokens": 60, "range_grams": 40}])
+def test_lm_scores_equal_brute_force(spark, sizes):
     rng = np.random.default_rng(13)
-    texts = [" ".join(rng.choice(["the", "cat", "sat", "on", "mat", f"rare{i}"], 12)) for i in range(80)] + AWKWARD + ["The CAT"]
+    texts = [" ".join(rng.choice(["the", "cat", "sat", "on", "mat", f"rare{i}"], 12)) for i in range(80)] + AWKWARD + ["The CAT", "the cat sat " * 400]
+    if sizes:
+        texts = [t for t in texts if len(t or "") < 6000]
     learn = [i % 3 > 0 for i in range(len(texts))]
-    got = lm.lm_scores(docs(spark, texts), F.col("doc_id") % 3 > 0, share=0.002, context_share=0.003, gram_share=0.0005).collect()
-    tokens = [[*fold(t).encode().split(), b""] for t in texts]
-    c = Counter(w for ts, use in zip(tokens, learn, strict=True) if use for w in ts)
+    got = lm.lm_scores(docs(spark, texts).withColumn("n", F.lit("clash")), F.col("doc_id") % 3 > 0, **sizes).collect()
+    tokens = [tokens_of(t) for t in texts]
+    model = Model([ts for ts, use in zip(tokens, learn, strict=True) if use])
+    c = model.c[0]
     n, v = sum(c.values()), len(c)
-    assert len(got) == len(texts)
+    assert sorted(r.doc_id for r in got) == list(range(len(texts)))
     for r in got:
         mine = tokens[r.doc_id]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(mine), sum(c[w] > 0 for w in mine), n)
-        assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in mine))
-    seen = [r for r in got if r.doc_id < 80]
-    assert sum(r.score for r in seen) > sum(r.base_score for r in seen)
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(mine), sum(c[w,] > 0 for w in mine), n)
+        assert r.base_score == pytest.approx(sum(math.log10((c[w,] + 1) / (n + v + 1)) for w in mine))
+        assert r.score == pytest.approx(model.score(mine))
+
+
+def test_lm_scores_of_repeats_and_nothing(spark):
     again = lm.lm_scores(docs(spark, ["the cat", "the cat"], [7, 7]), F.lit(False)).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens) for r in again] == [(3, 0, 0)] * 2
+    assert all(r.score == pytest.approx(r.base_score) for r in again)
     assert lm.lm_scores(docs(spark, []), F.lit(True)).count() == 0
 
 
-def test_automaton_weights_sum_to_one_in_every_state():
-    import pyarrow as pa
+def test_lm_query_equals_brute_force_and_learns(spark):
+    import __spark_entry__
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 7 == 2 for r in rows}
+    model = Model([tokens_of(r.text) for r in rows if not held[r.doc_id]])
+    text = {r.doc_id: r.text for r in rows}
+    got = __spark_entry__.queries()["op7_lm_scores"](spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.held_out == held[r.doc_id] and r.score == pytest.approx(model.score(tokens_of(text[r.doc_id])))
+    unseen = [r for r in got if r.held_out]
+    assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen) + 0.1 * sum(r.n_tokens for r in unseen)
+
 
+def test_model_is_a_distribution_in_every_state():
     rng = np.random.default_rng(14)
-    words = [int(x) for x in rng.integers(0, 6, 4000)]
-    counts = np.array([words.count(i) for i in range(6)])
-    order = np.argsort(-counts)
-    rank = {int(w): i for i, w in enumerate(order)}
-    row = [rank[w] for w in words]
-    grams = Counter([(2, a << 20 | b) for a, b in itertools.pairwise(row)] + [(3, (a << 20 | b) << 20 | d) for a, b, d in zip(row, row[1:], row[2:], strict=False)])
-    kept = [(n, g, k) for (n, g), k in grams.items() if k > 15]
-    table = pa.table({"n": [x[0] for x in kept], "gram": [x[1] for x in kept], "c": [x[2] for x in kept]})
-    vocabulary = lm.Vocabulary({bytes([i]): i for i in range(6)}, counts[order], 6, 4000, 6)
-    field = lm.automaton(vocabulary, table)
-    unknown = 1 - sum((counts + 1) / vocabulary.base)
-    for state in range(len(field.backoff)):
-        total = 0.0
-        for w in range(6):
-            s, weight = state, 0.0
-            while s and (s << 20 | w) not in field.arcs:
-                weight, s = weight + field.backoff[s], field.fail[s]
-            total += 10 ** (weight + (field.arcs[s << 20 | w][0] if s else field.unigram[w]))
-        s, weight = state, 0.0
-        while s:
-            weight, s = weight + field.backoff[s], field.fail[s]
-        assert total + 10**weight * unknown == pytest.approx(1, abs=1e-6)
+    model = Model([[*(f"w{x}" for x in rng.integers(0, 6, 30)), "end"] for _ in range(40)])
+    words = [w for w, in model.c[0]]
+    for context in [(), *((w,) for w in words if w != "end"), *(x for x in model.c[1] if x[1] != "end")]:
+        unseen = model.p(context, "never")
+        assert sum(model.p(context, w) for w in words) + unseen == pytest.approx(1)
 
 
 # nearest neighbours
