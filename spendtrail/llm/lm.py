@@ -17,8 +17,8 @@ from spendtrail.llm.common import written
 
 END = b""  # the end token: no word is empty
 PLACE_BITS = 21  # of a token's place in its chunk, and of a word's or an n-gram's number there
-CHUNK = (1 << PLACE_BITS) - 8  # tokens of a chunk at most
-RANGE = 1 << 21  # n-grams, repeats across chunks included, that one group of the counting holds, about
+CHUNK = 1 << 20  # tokens of a chunk at most; places reach further
+RANGE = 1 << 20  # n-grams, repeats across chunks included, that one group of the counting holds, about
 PART = 1024  # tokens of a text that are traversed in one go
 SPARE_BITS = 20  # of n-gram hashes beyond what numbers all tokens: one foreign n-gram in a million meets another's count
 STRENGTHS = (400.0, 5.0)  # tokens that the shorter context counts for, after one word and after two
@@ -305,7 +305,7 @@ def lm_scores(
     n-grams by ``SPARE_BITS`` more bits than number the tokens.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    chunked = written(chunks(rows, min(chunk_tokens, CHUNK)))
+    chunked = written(chunks(rows, min(chunk_tokens, 1 << PLACE_BITS)))
     total = chunked.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     bits = min(64, max(total, 1).bit_length() + SPARE_BITS)
     counted = written(gram_counts(chunked, max(1, math.ceil(total / range_grams)), bits))
