@@ -13,25 +13,32 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` in the checkpoint folder that the cluster names.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir.
 
-    A machine-local folder is set only where the session names none, as in tests.
+    One of our own is made only where none is named and all runs on one machine, as in tests.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spendtrail-checkpoint-"))
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+        folder = tempfile.mkdtemp(prefix="spendtrail-checkpoint-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` by a checkpoint."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def written(df: DataFrame) -> DataFrame:
     """Like ``cut``, as a Parquet table in the same folder: smaller than a checkpoint where rows are many."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spendtrail-checkpoint-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -58,6 +65,50 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total
     return spread.unionByName(rest)
 
 
+def attach_wide_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, spread: Column, share: int = 1000, copies: int = 64) -> DataFrame:
+    """Like ``attach_groups``, for groups whose columns are too wide to broadcast.
+
+    The rows of a hot group, of which there are fewer than ``share``, are dealt by the hash ``spread`` among ``copies``
+    copies of it; only the hot keys are broadcast.
+    """
+    is_hot = F.col(size) > max(total / share, copies)
+    hot = groups.where(is_hot).select(key, F.lit(True).alias("hot_"))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("salt_", F.when(F.col("hot_"), F.pmod(spread, F.lit(copies)).cast("int")).otherwise(0)).drop("hot_")
+    held = groups.withColumn("salt_", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(copies - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(held, [key, "salt_"]).drop("salt_")
+
+
+PAGE_BITS = 32768  # bits in one page of Spark's bitmap functions
+
+
+def bit_of(bitmap: Column, place: Column) -> Column:
+    """Whether the bit at ``place`` within its page is set; False where there is no page."""
+    at = place % PAGE_BITS
+    byte = F.conv(F.hex(F.substring(bitmap, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) > 0, F.lit(False))
+
+
+def split_by_keys(rows: DataFrame, cols: list[str], keys: DataFrame, most: int = 1 << 28) -> tuple[DataFrame, DataFrame]:
+    """(rows whose ``cols`` are certainly none of ``keys``, the others): nothing is shuffled.
+
+    A bitmap of the keys' hashes is broadcast, 16 bits a key and at most ``most`` bits (32 MB). With more keys than that
+    serves, more rows are among the others. ``keys`` has columns in the order of ``cols``.
+    """
+    bits, total = PAGE_BITS, keys.count()
+    while bits < min(total * 16, most):
+        bits *= 2
+
+    def place(frame_cols):
+        return F.pmod(F.xxhash64(*frame_cols), F.lit(bits))
+
+    page, bitmap = "__spendtrail_page", "__spendtrail_bitmap"
+    bit = keys.select(place(keys.columns).alias("bit"))
+    pages = written(bit.groupBy(F.floor(F.col("bit") / PAGE_BITS).alias(page)).agg(F.bitmap_construct_agg(F.col("bit") % PAGE_BITS).alias(bitmap)))
+    tested = rows.withColumn(page, F.floor(place(cols) / PAGE_BITS)).join(F.broadcast(pages), page, "left")
+    among = bit_of(F.col(bitmap), place(cols))
+    return tested.where(~among).drop(page, bitmap), tested.where(among).drop(page, bitmap)
+
+
 def keep_where(docs: DataFrame, text_col: str, keep: Callable[[str | None], bool]) -> DataFrame:
     """Rows of ``docs``, all columns as they are, whose text ``keep`` accepts: one pass, nothing is shuffled."""
     at = docs.columns.index(text_col)

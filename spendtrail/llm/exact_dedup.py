@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendtrail.llm.common import attach_groups, cut, fold
+from spendtrail.llm.common import PAGE_BITS, attach_groups, bit_of, cut, fold
 
-PAGE_BITS = 32768  # bits in one page of Spark's bitmap functions
 PROBES = 2
 
 
@@ -16,7 +15,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the largest id stays.
     Rows that repeat an id as well as a text are all in the group's size and are all marked kept. A null id stays only where no row of the group has one. No rows: no rows. Other
-    columns are ignored, so none can clash.
+    columns are ignored, so none can clash. Very long texts are hashed whole, and only their hash travels.
 
     Pass one reads every text once, keeps id and SHA-256 (the lineage is cut there), and counts how many rows fall on each
     bit of a Bloom filter; bits met twice or more form the filter. Pass two tests every row: a row with a bit met only once
@@ -38,7 +37,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for seed, probe in enumerate(probes):
         side = F.broadcast(pages.select(F.col("page").alias(f"page{seed}"), F.col("bitmap").alias(f"bitmap{seed}")))
         tested = tested.withColumn(f"page{seed}", F.floor(probe / PAGE_BITS)).join(side, f"page{seed}", "left")
-    repeated = _bit("bitmap0", probes[0]) & _bit("bitmap1", probes[1])
+    repeated = bit_of(F.col("bitmap0"), probes[0]) & bit_of(F.col("bitmap1"), probes[1])
     tested = tested.select("doc_id", "text_sha256", repeated.alias("repeated"))
 
     alone = tested.where("not repeated").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
@@ -51,8 +50,3 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _probe(seed: int, bits: int) -> Column:
     return F.pmod(F.xxhash64("text_sha256", F.lit(seed)), F.lit(bits))
 
-
-def _bit(bitmap: str, probe: Column) -> Column:
-    at = probe % PAGE_BITS
-    byte = F.conv(F.hex(F.substring(F.col(bitmap), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.shiftright(byte, 0).bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) > 0, F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendtrail.llm.common import attach_groups, written
+from spendtrail.llm.common import attach_groups, attach_wide_groups, split_by_keys, written
 
 ROW = ["doc_id", "text_hash"]
 OWN, RUNS = ["__line_dedup_doc_id", "__line_dedup_text_hash"], "__line_dedup_runs"  # beside the input's own columns
@@ -14,51 +14,51 @@ OWN, RUNS = ["__line_dedup_doc_id", "__line_dedup_text_hash"], "__line_dedup_run
 def line_dedup(docs: DataFrame, min_words: int = 50, max_lines: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``text_col`` rewritten, and the columns n_lines and n_deleted added.
 
-    Lines are compared without the spaces around them; blank lines are no units, and stay. A window starts at any
-    line and runs to the first line at which it has ``min_words`` words or ``max_lines`` lines (words: one more than the
-    spaces); where the text ends before that, there is no window. Every line of a window is deleted if the same window
-    starts at a smaller (id, line) somewhere; so of each repeated run that holds a window, the first occurrence stays whole
-    and later ones go, in other documents or the same one. Null texts stay null, with 0 lines. Texts whose lines all go
-    become empty. Rows that repeat both id and text are treated alike; rows without an id are left as they are. Columns of the input named n_lines or n_deleted are
-    replaced. No rows: no rows.
+    Lines are compared without the spaces around them; blank lines are no units, and stay unless both sides of them go. A
+    window starts at any line and runs to the first line at which it has ``min_words`` words or ``max_lines`` lines (words:
+    one more than the spaces); where the text ends before that, there is no window. A window that starts at a smaller (id,
+    line) too is a repeat of the first of these; from both places lines are followed backwards and forwards until they
+    differ or a text ends, and the whole run found so is deleted. So of each repeated run that holds a window, an earlier
+    occurrence stays and later ones go, in other documents or the same one. Null texts stay null, with 0 lines. Texts whose
+    lines all go become empty. Very long texts are texts like others. Rows that repeat both id and text are treated alike;
+    rows without an id are left as they are. Columns of the input named n_lines or n_deleted are replaced. No rows: no rows.
 
     Winnowing: the smallest line hash of a window (the last of equals) is its fingerprint, so two equal windows always
-    share one. Only fingerprints that occur at two or more lines are followed: their positions are joined, and matches
-    extend both ways from them over the windows that hold that line. Adjacent deleted windows merge into
-    runs. Nothing pairs occurrences with each other: each window meets the first one.
+    share one. Only these selected minima become rows, one each with the windows that selected it. Minima met once end
+    there. The places of the others are joined by the windows' hashes, each to the first one, and every match is extended
+    both ways over both texts' line hashes, which also verifies it. Nothing pairs occurrences with each other: each place
+    meets the first. Only texts that lose lines are shuffled, for which a bitmap of their keys is broadcast.
     """
     text = F.col(text_col)
     keyed = docs.withColumns({OWN[0]: F.col(id_col), OWN[1]: F.xxhash64(text)})
-    found = written(_windows(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).where(text.isNotNull()), min_words, max_lines))
-    total = found.count()
-    line = F.struct(*ROW, "print_at")
-    repeated = found.groupBy("print").agg(F.count("*").alias("met"), F.min(line).alias("low"), F.max(line).alias("high")).where("low <> high").select("print", "met")
-    windows = written(attach_groups(found, repeated, "print", "met", total).select(*ROW, "window", "at", "lines"))
-
-    where = F.struct("doc_id", "at")
-    firsts = windows.groupBy("window").agg(F.min(where).alias("first"), F.count("*").alias("times")).where("times > 1")
-    later = attach_groups(windows, firsts, "window", "times", windows.count()).where(where > F.col("first"))
-    runs = _runs(later.select(*ROW, "at", F.col("at") + F.col("lines")).toDF(*ROW, "start", "stop"))
-
-    joined = keyed.join(runs.toDF(*OWN, RUNS), OWN, "left")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).where(text.isNotNull() & F.col(id_col).isNotNull())
+    minima = written(_minima(texts, min_words, max_lines))
+    matches = _matches(_repeated(minima))
+
+    merged = written(_merged(_extended(matches, texts)))
+
     lines = F.split(text, "\n")
+    plain, losing = split_by_keys(keyed, OWN, merged.select(F.col("doc_id").alias(OWN[0]), F.col("text_hash").alias(OWN[1])))
+    joined = losing.join(merged.toDF(*OWN, RUNS), OWN, "left")
+    at = F.filter(F.transform(lines, lambda x, i: F.when(F.trim(x) != "", i)), lambda i: i.isNotNull())  # places of the units
+    placed = joined.withColumn(RUNS, F.transform(RUNS, lambda r: F.struct(F.get(at, r.start).alias("start"), (F.get(at, r.stop - 1) + 1).alias("stop"))))
     deleted = F.coalesce(F.aggregate(RUNS, F.lit(0), lambda n, r: n + r.stop - r.start), F.lit(0))
     kept = F.when(F.col(RUNS).isNull(), text).otherwise(_keep(lines, F.col(RUNS)))
-    out = joined.withColumns({"n_lines": F.when(text.isNull(), 0).otherwise(F.size(lines)), "n_deleted": deleted, text_col: kept})
-    return out.select(*[F.col(c) for c in docs.columns if c not in ("n_lines", "n_deleted")], "n_lines", "n_deleted")
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size(lines))
+    others = [F.col(c) for c in docs.columns if c not in ("n_lines", "n_deleted")]
+    shortened = placed.withColumns({"n_lines": n_lines, "n_deleted": deleted, text_col: kept}).select(*others, "n_lines", "n_deleted")
+    return plain.withColumns({"n_lines": n_lines, "n_deleted": F.lit(0)}).select(*others, "n_lines", "n_deleted").unionByName(shortened)
 
 
-def _windows(docs: DataFrame, min_words: int, max_lines: int) -> DataFrame:
-    """A row for each window: its hash, where it starts, how many lines it spans, its fingerprint and the line that gave it.
+def _units(text: Column) -> Column:
+    """Hash and number of words of every line that isn't blank, in order."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("hash"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("words")))
 
-    Places count all lines of the text, so blank lines inside a window are deleted with it.
-    """
-    units = F.filter(
-        F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("at"), F.trim(x).alias("line"))),
-        lambda u: u.line != "",
-    )
-    units = F.transform(units, lambda u: F.struct(u.at.alias("at"), F.xxhash64(u.line).alias("hash"), (F.length(u.line) - F.length(F.replace(u.line, F.lit(" "), F.lit(""))) + 1).alias("words")))
-    held = docs.select(*ROW, units.alias("units"))
+
+def _minima(texts: DataFrame, min_words: int, max_lines: int) -> DataFrame:
+    """A row for each selected minimum: its hash ``print``, its place ``at``, and the windows (hash, start, lines) that selected it."""
+    held = texts.select(*ROW, _units(F.col("text")).alias("units"))
 
     def reach(part: Column) -> Column:
         """Lines until the window is full, 0 if it never is."""
@@ -73,22 +73,75 @@ def _windows(docs: DataFrame, min_words: int, max_lines: int) -> DataFrame:
         part = F.slice("units", i + 1, F.lit(max_lines))
         return F.slice(part, 1, reach(part))
 
-    def window(part: Column) -> Column:
-        smallest = F.array_min(F.transform(part, lambda u: F.struct(u.hash.alias("hash"), (-u.at).alias("minus_at"))))
-        first, last = F.element_at(part, 1), F.element_at(part, -1)
+    def window(part: Column, start: Column) -> Column:
+        smallest = F.array_min(F.transform(part, lambda u, k: F.struct(u.hash.alias("hash"), (-k).alias("minus_at"))))
         return F.struct(
             smallest.hash.alias("print"),
-            (-smallest.minus_at).alias("print_at"),
+            (start - smallest.minus_at).alias("at"),
             F.xxhash64(F.transform(part, lambda u: u.hash)).alias("window"),
-            first.at.alias("at"),
-            (last.at - first.at + 1).alias("lines"),
+            start.alias("start"),
+            F.size(part).alias("lines"),
         )
 
+    # a full window is followed by full ones until the text is too short for any, so starts are places in this array
     spans = held.select(*ROW, F.filter(F.transform("units", span), lambda part: F.size(part) > 0).alias("spans"))
-    return spans.select(*ROW, F.explode(F.transform("spans", window)).alias("w")).select(*ROW, "w.*")
-
-
-def _runs(spans: DataFrame) -> DataFrame:
+    wide = spans.select(*ROW, F.transform("spans", window).alias("wide"))
+    heads = F.filter("wide", lambda w, i: (i == 0) | (F.get("wide", i - 1).at != w.at))  # windows that select one line are neighbours
+    chosen = F.transform(
+        heads,
+        lambda h: F.struct(
+            h.print.alias("print"),
+            h.at.alias("at"),
+            F.transform(
+                F.filter(F.slice("wide", h.start + 1, F.lit(max_lines)), lambda w: w.at == h.at),
+                lambda w: F.struct(w.window.alias("window"), w.start.alias("start"), w.lines.alias("lines")),
+            ).alias("windows"),
+        ),
+    )
+    return wide.select(*ROW, F.explode(chosen).alias("m")).select(*ROW, "m.*")
+
+
+def _repeated(minima: DataFrame) -> DataFrame:
+    """The minima whose hash was selected at two places or more."""
+    place = F.struct(*ROW, "at")
+    met = minima.groupBy("print").agg(F.count("*").alias("met"), F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("print", "met")
+    return attach_groups(minima, met, "print", "met", minima.count())
+
+
+def _matches(minima: DataFrame) -> DataFrame:
+    """(text, first text, shift, starts): a text's windows (start, lines) that occur before, at ``start - shift`` of the first text."""
+    windows = written(minima.select(*ROW, F.explode("windows").alias("w")).select(*ROW, "w.*"))
+    place = F.struct("doc_id", "start", "text_hash")
+    firsts = windows.groupBy("window").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1")
+    later = attach_groups(windows, firsts, "window", "times", windows.count())
+    later = later.where(F.struct("doc_id", "start") > F.struct("first.doc_id", "first.start"))
+    shift = F.col("start") - F.col("first.start")
+    first = [F.col("first.doc_id").alias("first_doc_id"), F.col("first.text_hash").alias("first_text_hash")]
+    return later.groupBy(*ROW, *first, shift.alias("shift")).agg(F.collect_set(F.struct("start", "lines")).alias("starts"))
+
+
+def _extended(matches: DataFrame, texts: DataFrame) -> DataFrame:
+    """(text, start, stop): the runs of equal lines, as long as they go both ways, that hold a matched window."""
+    found = written(matches)
+    firsts = found.groupBy("first_doc_id", "first_text_hash").agg(F.count("*").alias("followed"))
+    firsts = firsts.withColumn("first_key", F.struct("first_doc_id", "first_text_hash")).select("first_key", "followed")
+    _, wanted = split_by_keys(texts, ROW, found.select(*ROW).union(found.select("first_doc_id", "first_text_hash")).distinct())
+    wanted = wanted.select(*ROW, F.transform(_units(F.col("text")), lambda u: u.hash).alias("hashes"))
+    wanted = written(wanted.groupBy(*ROW).agg(F.first("hashes").alias("hashes")))
+    key = F.struct(F.col("doc_id").alias("first_doc_id"), F.col("text_hash").alias("first_text_hash"))
+    first_side = wanted.select(key.alias("first_key"), F.col("hashes").alias("theirs")).join(firsts, "first_key")
+    both = attach_wide_groups(found.withColumn("first_key", F.struct("first_doc_id", "first_text_hash")), first_side, "first_key", "followed", found.count(), F.xxhash64(*ROW))
+    both = both.join(wanted.withColumnRenamed("hashes", "mine"), ROW)
+
+    low, high = F.greatest(F.lit(0), F.col("shift")), F.least(F.size("mine"), F.size("theirs") + F.col("shift"))
+    differ = F.filter(F.sequence(low, high - 1), lambda i: F.get("mine", i) != F.get("theirs", i - F.col("shift")))
+    both = both.withColumn("ends", F.concat(F.array(low - 1), differ, F.array(high)))
+    equal = F.filter(F.zip_with(F.slice("ends", 1, F.size("ends") - 1), F.slice("ends", 2, F.size("ends") - 1), lambda a, b: F.struct((a + 1).alias("start"), b.alias("stop"))), lambda r: r.stop > r.start)
+    whole = F.filter(equal, lambda r: F.exists("starts", lambda w: (w.start >= r.start) & (w.start + w.lines <= r.stop)))
+    return both.select(*ROW, F.explode(whole).alias("r")).select(*ROW, "r.*")
+
+
+def _merged(spans: DataFrame) -> DataFrame:
     """Overlapping or touching spans of a text merged: the key and its runs (start, stop), in order."""
     by = Window.partitionBy(*ROW).orderBy("start", "stop")
     before = F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1))

@@ -90,14 +90,24 @@ SQL = {
              raw AS (SELECT doc_id, unnest(all_lines) AS line, unnest(range(len(all_lines))) AS pos FROM docs),
              units AS (SELECT doc_id, pos, trim(line) AS line, length(trim(line)) - length(replace(trim(line), ' ', '')) + 1 AS words,
                               row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM raw WHERE trim(line) <> ''),
-             reach AS (SELECT a.doc_id, a.i, b.i AS j, a.pos, b.pos AS until,
+             reach AS (SELECT a.doc_id, a.i, b.i AS j,
                               sum(b.words) OVER (PARTITION BY a.doc_id, a.i ORDER BY b.i) AS words,
                               string_agg(b.line, chr(10)) OVER (PARTITION BY a.doc_id, a.i ORDER BY b.i) AS content
                        FROM units a JOIN units b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 7),
-             windows AS (SELECT doc_id, pos, min(until) AS until, arg_min(content, j) AS content
-                         FROM reach WHERE words >= 50 OR j = i + 7 GROUP BY doc_id, pos),
-             later AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, pos) AS nth FROM windows),
-             gone AS (SELECT DISTINCT r.doc_id, r.pos FROM raw r JOIN later l ON l.nth > 1 AND r.doc_id = l.doc_id AND r.pos BETWEEN l.pos AND l.until),
+             windows AS (SELECT doc_id, i, min(j) - i + 1 AS n, arg_min(content, j) AS content
+                         FROM reach WHERE words >= 50 OR j = i + 7 GROUP BY doc_id, i),
+             firsts AS (SELECT content, min((doc_id, i)) AS first FROM windows GROUP BY 1),
+             later AS (SELECT w.doc_id, w.i, first[1] AS ref, w.i - first[2] AS shift, w.i + n - 1 AS j
+                       FROM windows w JOIN firsts f USING (content) WHERE (w.doc_id, w.i) > first),
+             pairs AS (SELECT DISTINCT doc_id, ref, shift FROM later),
+             along AS (SELECT p.*, a.i, a.i - row_number() OVER (PARTITION BY p.doc_id, p.ref, p.shift ORDER BY a.i) AS run
+                       FROM pairs p JOIN units a ON a.doc_id = p.doc_id JOIN units b ON b.doc_id = p.ref AND b.i = a.i - p.shift AND b.line = a.line),
+             runs AS (SELECT doc_id, ref, shift, min(i) AS low, max(i) AS high FROM along GROUP BY doc_id, ref, shift, run),
+             lost AS (SELECT DISTINCT r.doc_id, u.i, u.pos FROM runs r JOIN later l USING (doc_id, ref, shift)
+                      JOIN units u ON u.doc_id = r.doc_id AND u.i BETWEEN low AND high WHERE l.i >= low AND l.j <= high),
+             spans AS (SELECT doc_id, min(pos) AS low, max(pos) AS high
+                       FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM lost) GROUP BY doc_id, run),
+             gone AS (SELECT r.doc_id, r.pos FROM raw r JOIN spans s ON r.doc_id = s.doc_id AND r.pos BETWEEN low AND high),
              left_over AS (SELECT r.doc_id, string_agg(r.line, chr(10) ORDER BY r.pos) AS text, count(*) AS n
                            FROM raw r ANTI JOIN gone g ON r.doc_id = g.doc_id AND r.pos = g.pos GROUP BY 1)
         SELECT d.doc_id, coalesce(l.text, CASE WHEN d.text IS NOT NULL THEN '' END) AS text,

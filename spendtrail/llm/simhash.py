@@ -11,9 +11,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendtrail.llm.common import attach_groups, cut, written
+from spendtrail.llm.common import attach_groups, cut, split_by_keys, written
 from spendtrail.llm.components import connected_components
-from spendtrail.llm.exact_dedup import PAGE_BITS, _bit
 
 SEED = 42
 SMALL_BUCKET = 16
@@ -159,17 +158,6 @@ def common_shingles(rows: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray
     return hashes[by], ranks[by]
 
 
-def among(rows: DataFrame, key: str, keys: DataFrame, most: int = 1 << 28) -> DataFrame:
-    """The rows whose ``key`` is one of ``keys``, and few others: a bitmap of at most 32 MB spares the rest a shuffle."""
-    bits, total = PAGE_BITS, keys.count()
-    while bits < min(total * 16, most):
-        bits *= 2
-    at = F.pmod(F.xxhash64(key), F.lit(bits))
-    pages = keys.select(at.alias("bit")).groupBy(F.floor(F.col("bit") / PAGE_BITS).alias("page")).agg(F.bitmap_construct_agg(F.col("bit") % PAGE_BITS).alias("bitmap"))
-    tested = rows.withColumn("page", F.floor(at / PAGE_BITS)).join(F.broadcast(written(pages)), "page")
-    return tested.where(_bit("bitmap", at)).select(rows.columns)
-
-
 def alike(x: str, y: str, similarity: float) -> Column:
     """Whether two sets, as arrays without repeats, have Jaccard similarity ``similarity`` or more."""
     both = F.size(F.array_intersect(x, y))
@@ -219,7 +207,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
     keyed = written(rows.select("node", "shingles").mapInArrow(prefixes, "node long, n int, key long, place int"))
     places = keyed.count()
     buckets = written(keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").drop("last"))
-    met = written(attach_groups(among(keyed, "key", buckets), buckets, "key", "size", places))
+    met = written(attach_groups(split_by_keys(keyed, ["key"], buckets.select("key"))[1], buckets, "key", "size", places))
     hubs = written(met.where("node = hub").groupBy("key").agg(F.first("size").alias("size"), F.first("n").alias("n_b"), F.first("place").alias("place_b")))
     least = similarity / (1 + similarity)
 
@@ -234,7 +222,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
         near = written(near.where(apart <= (1 - 2 * least) * (F.col("n_a") + F.col("n_b")) + SLACK).select("a", "b"))
         asked = near.select(F.col("a").alias("node")).union(near.select("b")).distinct().join(classes.select("node", "first_id"), "node")
         asked = written(asked)
-        own = among(rows, "node", asked).select(F.col("node").alias("set"), "doc_id", "shingles")
+        own = split_by_keys(rows, ["node"], asked.select("node"))[1].select(F.col("node").alias("set"), "doc_id", "shingles")
         sets = written(own.join(asked, (own.doc_id == asked.first_id) & (own.set == asked.node)).groupBy("node").agg(F.first("shingles").alias("shingles")))
         return written(near.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").where(alike("x", "y", similarity)).select("a", "b"))
 

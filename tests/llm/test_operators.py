@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from spendtrail.llm import bpe, hnsw, lm, packing, quality
+from spendtrail.llm import line_dedup as ld
 from spendtrail.llm.components import connected_components
 from spendtrail.llm.exact_dedup import exact_dedup
 from spendtrail.llm.langid import fit_language, fit_temperature, language_scores
@@ -66,26 +67,38 @@ def test_exact_dedup_of_repeated_rows_and_nothing(spark):
 
 
 def deduped(texts, min_words=50, max_lines=8):
-    windows, seen = [], {}
-    for i, t in enumerate(texts):
-        lines = (t or "").split("\n")
-        units = [(k, x.strip(" ")) for k, x in enumerate(lines) if x.strip(" ")]
-        for s in range(len(units)):
+    units = [[(k, x.strip(" ")) for k, x in enumerate((t or "").split("\n")) if x.strip(" ")] for t in texts]
+    seen, gone = {}, defaultdict(set)
+    for i, own in enumerate(units):
+        for s in range(len(own)):
             total = 0
-            for m in range(1, max_lines + 1):
-                if s + m > len(units):
-                    break
-                total += units[s + m - 1][1].count(" ") + 1
+            for m in range(1, min(max_lines, len(own) - s) + 1):
+                total += own[s + m - 1][1].count(" ") + 1
                 if total >= min_words or m == max_lines:
-                    key = tuple(x for _, x in units[s : s + m])
-                    windows.append((key, i, units[s][0], units[s + m - 1][0]))
-                    seen.setdefault(key, (i, units[s][0]))
+                    first = seen.setdefault(tuple(x for _, x in own[s : s + m]), (i, s))
+                    if first != (i, s):
+                        j, r = first
+                        back = ahead = 0
+                        while r - back > 0 and own[s - back - 1][1] == units[j][r - back - 1][1]:
+                            back += 1
+                        while s + ahead < len(own) and r + ahead < len(units[j]) and own[s + ahead][1] == units[j][r + ahead][1]:
+                            ahead += 1
+                        gone[i] |= set(range(s - back, s + ahead))
                     break
-    gone = defaultdict(set)
-    for key, i, a, b in windows:
-        if (i, a) > seen[key]:
-            gone[i] |= set(range(a, b + 1))
-    return [None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in enumerate(texts)], gone
+    out = []
+    for i, t in enumerate(texts):
+        places = {k: n for n, (k, _) in enumerate(units[i])}
+        lost, last = set(), None  # blank lines between deleted lines go with them
+        for k in range(len((t or "").split("\n"))):
+            if k in places:
+                if places[k] in gone[i]:
+                    lost |= set(range(last + 1 if last is not None else k, k + 1))
+                    last = k
+                else:
+                    last = None
+        gone[i] = lost
+        out.append(None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in lost))
+    return out, gone
 
 
 def test_line_dedup_equals_brute_force(spark):
@@ -101,6 +114,22 @@ def test_line_dedup_equals_brute_force(spark):
     assert gone and line_dedup(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_takes_whole_runs(spark):
+    lead, body, end = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("a", 10), ("b", 60), ("c", 10)))
+    texts = [f"one\n{lead}\n{body}\n{end}\ntwo", f"{lead}\n\n{body}\n{end}\nthree", f"four\n{body}\n{end}\n{lead}"]
+    got = [r.text for r in line_dedup(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [texts[0], "three", f"four\n{lead}"]
+
+
+def test_line_dedup_rests_on_the_fingerprints(spark):
+    text = "\n".join(" ".join(["w"] * 30) + str(i) for i in range(40))
+    texts = docs(spark, [text, text]).withColumn("text_hash", F.xxhash64("text"))
+    minima = ld._minima(texts, 50, 8)
+    windows = sum(len(r.windows) for r in minima.collect())
+    assert minima.count() < windows == 2 * 39  # one row for each selected line, not for each window
+    assert ld._matches(ld._repeated(minima)).count() == 1 and ld._matches(minima.limit(0)).count() == 0
+
+
 def test_line_dedup_keeps_repeated_rows_alike(spark):
     text = "\n".join(" ".join(["w"] * 30) + str(i) for i in range(4))
     got = line_dedup(docs(spark, [text, text, text], [1, 1, 2])).orderBy("doc_id").collect()
