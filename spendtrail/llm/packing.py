@@ -29,7 +29,11 @@ PIECE_FIELDS = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 @dataclass(frozen=True)
 class Capacity:
-    """Of one sequence. attention: sum of squared lengths. Documents and attention default to what tokens allow anyway."""
+    """Of one sequence. attention: sum of squared lengths.
+
+    Every sequence keeps all three limits. Documents and attention default to what tokens allow anyway, as packing into as few
+    sequences as possible asks; they bind where a caller lowers them, and their weights then count in the choice.
+    """
 
     tokens: int = 4096
     documents: int | None = None
@@ -60,7 +64,9 @@ class Words(dict):
         self.marks = {"": b""}
 
     def ids(self, text: str) -> bytes:
-        words = text.encode().lower().decode().replace("\n", " ").split(" ")  # A-Z, as the tokenizer would
+        if "<|" not in text:  # special tokens are looked for before letters are lowered, so only other texts are lowered here
+            text = text.encode().lower().decode()
+        words = text.replace("\n", " ").split(" ")
         if new := {w for w in words if w not in self}:
             if len(self) + len(new) > WORDS_KEPT:
                 self.clear()
@@ -123,7 +129,7 @@ def best_fit(lengths: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, np.nd
     limits, weights = capacity.limits(), np.array(capacity.weights)
     bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     order = np.lexsort((np.arange(len(lengths)), -lengths))
-    least = lengths.min(initial=0)
+    least = lengths.min() if len(lengths) else 0
     free, names, made = np.empty((3, 1024)), np.empty(1024, np.int64), 0  # columns: open bins
     count = 0
     for i in order.tolist():
@@ -167,14 +173,14 @@ def pack(pieces: DataFrame, capacity: Capacity = Capacity(), group_pieces: int =
 
     dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int"))
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
-    return dealt.groupBy("part").applyInPandas(run, f"{fields}, sequence_id long, offset long")
+    return dealt.repartitionByRange("part").groupBy("part").applyInPandas(run, f"{fields}, sequence_id long, offset long")
 
 
 def best_fit_packing(docs: DataFrame, tokenizer_file: str, capacity: Capacity = Capacity(), end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document's pieces and their places: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Documents of more tokens than a sequence are cut into full pieces and a rest. Null and empty texts are the end id
-    alone. Repeated rows are packed each. No rows: no rows; other columns are ignored. Pieces are written once, so the
+    alone. Repeated rows are packed each, equal lengths in the order of id and piece. No rows: no rows; other columns are ignored. Pieces are written once, so the
     texts are tokenised once.
     """
     return pack(written(tokenised_pieces(docs, tokenizer_file, capacity.tokens, end_id, id_col, text_col)), capacity)
