@@ -115,6 +115,10 @@ def near_dedup(docs: DataFrame, words: int = 3, distance: int = 2, id_col: str =
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _set_key(shingles: np.ndarray) -> int:
+    return _signed(xxhash.xxh64_intdigest(shingles.tobytes(), SEED))
+
+
 MAP_WORDS = 16  # 64-bit words of a parity map
 COMMON_SAMPLE = 10_000  # documents at least, in the sample that tells common shingles
 COMMON_SHARE = 1 / 32  # of the documents, if those are more
@@ -145,11 +149,17 @@ def prefix_length(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - SLACK) + 1 if n else 0
 
 
-def common_shingles(rows: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of shingles met more than twice in a sample of documents, and their ranks, the rarest first."""
-    share = max(COMMON_SHARE, COMMON_SAMPLE / max(total, 1))
-    some = rows if share >= 1 else rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    met = some.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c")).where("c > 2")
+def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles met more than twice in a sample of ``docs`` (doc_id, text), and their ranks, the rarest first."""
+
+    def read(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(text.as_py() or b"", words)).view(np.int64) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64))], ["s"])
+
+    share = max(COMMON_SHARE, COMMON_SAMPLE / max(docs.count(), 1))
+    some = docs if share >= 1 else docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    met = some.mapInArrow(read, "s long").groupBy("s").agg(F.count("*").alias("c")).where("c > 2")
     got = met.orderBy(F.desc("c"), "s").limit(COMMON_MOST).toArrow()
     hashes, counts = got["s"].to_numpy().astype(np.int64).view(np.uint64), got["c"].to_numpy()
     ranks = np.empty(len(hashes), np.int64)
@@ -171,42 +181,37 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
     components over all such links are exact. Equal sets collapse first. Two sets that similar share a shingle among the
     first few of each (see ``prefix_length``) in any common order, here the rare first, so those with a common one meet
     and nothing else can link. A meeting is dropped only where it is proven too few shingles are common: by the sets' sizes
-    and the shingle's places in them, or by the maps of ``parity_map``; the rest are counted on the sets themselves.
-    At first each set meets the least one of each of its buckets; groups of copies are one component by then. After that
-    only sets of different components meet, all of a bucket, as a link within a component adds nothing.
-    Null and blank texts are one group. Rows that repeat an id share a component. No rows: no rows.
+    and the shingle's places in them, or by the maps of ``parity_map``; the rest are counted on the sets themselves, read
+    from the texts once more. At first each set meets the least one of each of its buckets; groups of copies are one
+    component by then. After that only sets of different components meet, all of a bucket, as a link within a component
+    adds nothing. Null and blank texts are one group; texts of fewer words than ``words`` are one shingle. Very long texts
+    have long sets, and a prefix of a fifth of them. Rows that repeat an id share a component. No rows: no rows. Other
+    columns are ignored.
     """
     spark = docs.sparkSession
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    order = spark.sparkContext.broadcast(common_shingles(texts, words))
 
     def read(batches):
         for batch in batches:
             sets = [np.unique(shingle_hashes(text.as_py() or b"", words)) for text in batch.column(1)]
-            keys = pa.array([_signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)) for s in sets], pa.int64())
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in ([s.view(np.int64) for s in sets], [parity_map(s) for s in sets])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), keys, pa.array(map(len, sets), pa.int32()), *lists], ["doc_id", "node", "n", "shingles", "map"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    rows = written(rows.mapInArrow(read, "doc_id long, node long, n int, shingles array<long>, map array<long>"))
-    total = rows.count()
-    classes = written(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("map").alias("map")))
-    order = spark.sparkContext.broadcast(common_shingles(rows, total))
+            keys = pa.array([_set_key(s) for s in sets], pa.int64())
+            first = [rare_first(s, *order.value)[: prefix_length(len(s), similarity)].view(np.int64) for s in sets]
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (first, [parity_map(s) for s in sets])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), keys, pa.array(map(len, sets), pa.int32()), *lists], ["doc_id", "node", "n", "first", "map"])
 
-    def prefixes(batches):
+    def read_sets(batches):
         for batch in batches:
-            nodes, sizes, keys, places = [], [], [], []
-            for node, shingles in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                s = np.array(shingles.values.to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
-                first = rare_first(s, *order.value)[: prefix_length(len(s), similarity)]
-                nodes.append(np.full(len(first), node, np.int64))
-                sizes.append(np.full(len(first), len(s), np.int32))
-                keys.append(first.view(np.int64))
-                places.append(np.arange(len(first), dtype=np.int32))
-            if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (nodes, sizes, keys, places)], ["node", "n", "key", "place"])
-
-    keyed = written(rows.select("node", "shingles").mapInArrow(prefixes, "node long, n int, key long, place int"))
-    places = keyed.count()
-    buckets = written(keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").drop("last"))
+            sets = [np.unique(shingle_hashes(text.as_py() or b"", words)) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array([_set_key(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "shingles"])
+
+    rows = written(texts.mapInArrow(read, "doc_id long, node long, n int, first array<long>, map array<long>"))
+    total = rows.count()
+    whole = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), *[F.first(x).alias(x) for x in ("n", "first", "map")])
+    classes = written(whole)
+    keyed = classes.select("node", "n", F.posexplode("first").alias("place", "key"))
+    places = classes.agg(F.coalesce(F.sum(F.size("first")), F.lit(0))).first()[0]
+    buckets = written(keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("hub")).where("size > 1"))
     met = written(attach_groups(split_by_keys(keyed, ["key"], buckets.select("key"))[1], buckets, "key", "size", places))
     hubs = written(met.where("node = hub").groupBy("key").agg(F.first("size").alias("size"), F.first("n").alias("n_b"), F.first("place").alias("place_b")))
     least = similarity / (1 + similarity)
@@ -220,10 +225,9 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
         apart = F.aggregate(F.zip_with("map_a", "map_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         near = pairs.distinct().join(side.toDF("a", "map_a"), "a").join(side.toDF("b", "map_b"), "b")
         near = written(near.where(apart <= (1 - 2 * least) * (F.col("n_a") + F.col("n_b")) + SLACK).select("a", "b"))
-        asked = near.select(F.col("a").alias("node")).union(near.select("b")).distinct().join(classes.select("node", "first_id"), "node")
-        asked = written(asked)
-        own = split_by_keys(rows, ["node"], asked.select("node"))[1].select(F.col("node").alias("set"), "doc_id", "shingles")
-        sets = written(own.join(asked, (own.doc_id == asked.first_id) & (own.set == asked.node)).groupBy("node").agg(F.first("shingles").alias("shingles")))
+        asked = written(near.select(F.col("a").alias("node")).union(near.select("b")).distinct().join(classes.select("node", "first_id"), "node"))
+        own = split_by_keys(texts, ["doc_id"], asked.select("first_id"))[1].mapInArrow(read_sets, "node long, shingles array<long>")
+        sets = written(split_by_keys(own, ["node"], asked.select("node"))[1].join(asked, "node").groupBy("node").agg(F.first("shingles").alias("shingles")))
         return written(near.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").where(alike("x", "y", similarity)).select("a", "b"))
 
     far = attach_groups(met.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"), F.col("hub").alias("b")), hubs, "key", "size", places)
@@ -244,6 +248,13 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents of which a group's document of smallest id stays; rows that repeat an id stay together."""
-    gone = similar_groups(docs, words, similarity, id_col, text_col).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone.withColumnRenamed("doc_id", id_col), id_col, "left_anti")
+    """``docs``, all columns as they are, without the documents of which a group's document of smallest id stays.
+
+    Groups are those of ``similar_groups``. Rows that repeat an id stay or go together; rows without an id stay; of null and
+    blank texts one stays. No rows: no rows. Of the texts only those that may go are shuffled.
+    """
+    gone = similar_groups(docs, words, similarity, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(id_col))
+    gone = written(gone.distinct())
+    stay, some = split_by_keys(docs.withColumn("__spendtrail_id", F.col(id_col).cast("long")), ["__spendtrail_id"], gone)
+    some = some.join(gone.toDF("__spendtrail_id"), "__spendtrail_id", "left_anti")
+    return stay.drop("__spendtrail_id").unionByName(some.drop("__spendtrail_id"))

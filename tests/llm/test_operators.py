@@ -235,7 +235,7 @@ def test_document_score_is_the_weighted_mean_of_marginals():
 
 
 def test_pieces_equal_the_library(spark):
-    texts = [*AWKWARD, "<|endoftext|> ends", "don't e\u0301 É ǅ 12345 !!??", "word,... \u0130x ß", "Ａ１ fullwidth"]
+    texts = [*AWKWARD, "<|endoftext|> ends", "<|ENDOFTEXT|> A<|StartOfText|>B  Plain", "don't e\u0301 É ǅ 12345 !!??", "word,... \u0130x ß", "Ａ１ fullwidth"]
     library = Tokenizer.from_file(WORDS)
     got = packing.best_fit_packing(docs(spark, texts), WORDS, packing.Capacity(tokens=4096)).collect()
     found = defaultdict(dict)
@@ -279,6 +279,20 @@ def test_packing_is_tight_and_keeps_every_limit(spark, rule):
         packing.best_fit(lengths, packing.Capacity(400, attention=10.0))
 
 
+@pytest.mark.parametrize("rule", ["residual", "dot"])
+def test_every_capacity_can_bind(spark, rule):
+    rng = np.random.default_rng(12)
+    lengths = rng.integers(1, 200, 500)
+    pieces = spark.createDataFrame([(i, 0, int(n)) for i, n in enumerate(lengths)], "doc_id long, piece int, length long")
+    limit = packing.Capacity(400, documents=4, attention=170000.0, weights=(1.0, 0.5, 0.5), rule=rule)
+    held = defaultdict(list)
+    for r in packing.pack(pieces, limit, group_pieces=200).collect():
+        held[r.sequence_id].append(r.length)
+    assert sum(map(len, held.values())) == 500
+    assert all(sum(x) <= 400 and len(x) <= 4 and sum(n * n for n in x) <= 170000 for x in held.values())
+    assert any(len(x) == 4 and sum(x) < 300 for x in held.values())  # the number of documents did bind
+
+
 # byte-level BPE
 
 

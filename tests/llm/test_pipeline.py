@@ -85,6 +85,34 @@ def test_packing_holds_every_token(stages):
     assert pieces.groupby("sequence_id").length.sum().max() <= 4096
 
 
+ODD = [None, "", " \n\t ", "a", "1 2 3", "same text here", "same text here", "word " * 30000, "\n".join(["line of a few words"] * 30), "😀", "tail\n"]
+
+
+@pytest.mark.parametrize("number", range(5))
+def test_stages_take_odd_rows_and_none(spark, tmp_path, number):
+    frame = spark.createDataFrame(
+        [(i, t, "en" if i % 2 else None, None, 1, "mine", "too", 9) for i, t in enumerate([*ODD, *ODD])] + [(3, "again", "en", "x", 1, "mine", "too", 9), (3, "again", "en", "x", 1, "mine", "too", 9), (None, "no id", None, None, None, None, None, None)],
+        "doc_id long, text string, lang string, source string, n_chars long, n_lines string, n_deleted string, score long",
+    )
+    spark.createDataFrame([(i, i % 2) for i in range(20)] + [(None, 1), (4, None), (4, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    stage = corpus_pipeline.STAGES[number][1]
+    got, none = stage(spark, frame, str(tmp_path)), stage(spark, frame.limit(0), str(tmp_path))
+    assert none.count() == 0
+    if number == 4:
+        assert got.select("doc_id", "piece").count() >= frame.count()
+        return
+    assert got.columns == frame.columns
+    rows = [tuple(r) for r in got.collect()]
+    if number == 2:
+        assert sorted(str((r[0], r[2], *r[5:])) for r in rows) == sorted(str((r[0], r[2], *r[5:])) for r in frame.collect())
+    else:
+        given = [tuple(r) for r in frame.collect()]
+        assert all(rows.count(r) == given.count(r) for r in rows)
+    if number == 3:
+        assert rows.count((3, "again", "en", "x", 1, "mine", "too", 9)) == 2 and sum(not (r[1] or "").split() for r in rows) == 1
+        assert (None, "no id") in [r[:2] for r in rows]
+
+
 def test_registered_queries(spark):
     names = __spark_entry__.queries()
     assert len([n for n in names if n.startswith("op")]) == 10 and "pipeline" in names
