@@ -182,7 +182,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
     first few of each (see ``prefix_length``) in any common order, here the rare first, so those with a common one meet
     and nothing else can link. A meeting is dropped only where it is proven too few shingles are common: by the sets' sizes
     and the shingle's places in them, or by the maps of ``parity_map``; the rest are counted on the sets themselves, read
-    from the texts once more. At first each set meets the least one of each of its buckets; groups of copies are one
+    from the texts once more. Of buckets with the same members only the first in the order counts, as there any two of them
+    meet first. At first each set meets the least one of each of its buckets; groups of copies are one
     component by then. After that only sets of different components meet, all of a bucket, as a link within a component
     adds nothing. Null and blank texts are one group; texts of fewer words than ``words`` are one shingle. Very long texts
     have long sets, and a prefix of a fifth of them. Rows that repeat an id share a component. No rows: no rows. Other
@@ -211,7 +212,10 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
     classes = written(whole)
     keyed = classes.select("node", "n", F.posexplode("first").alias("place", "key"))
     places = classes.agg(F.coalesce(F.sum(F.size("first")), F.lit(0))).first()[0]
-    buckets = written(keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("hub")).where("size > 1"))
+    members = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"members{i}") for i in range(2)]
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("node", "place")).alias("least"), *members).where("size > 1")
+    first = F.min(F.struct("least.place", "key")).alias("first")
+    buckets = written(buckets.groupBy("size", F.col("least.node").alias("hub"), "members0", "members1").agg(first).select("first.key", "size", "hub"))
     met = written(attach_groups(split_by_keys(keyed, ["key"], buckets.select("key"))[1], buckets, "key", "size", places))
     hubs = written(met.where("node = hub").groupBy("key").agg(F.first("size").alias("size"), F.first("n").alias("n_b"), F.first("place").alias("place_b")))
     least = similarity / (1 + similarity)
