@@ -60,35 +60,50 @@ def verdict_of(rule: Column, rules: list[Rule]) -> Column:
 
 def host_links(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """(src, dst, weight) between different hosts: absolute and protocol-relative href and src targets, counted, and one link
-    each way between a host and its parent domains that are hosts of pages too. ``pages`` has a column host."""
+    each way between a host and each of its parent domains, whether or not these have pages; a top-level domain is no parent. ``pages`` has a column host."""
     tag = r"""(?i)(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
     target = F.explode(F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(tag), 1))
     linked = pages.where("host <> ''").select(F.col("host").alias("src"), target.alias("dst")).select("src", F.translate("dst", UPPER, UPPER.lower()).alias("dst"))
     hosts = pages.where("host <> ''").select("host").distinct()
     labels = F.split("host", r"\.")
-    parents = hosts.select("host", F.explode(F.transform(F.sequence(F.lit(2), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("parent")).where("parent <> '' and parent <> host")
-    kin = parents.join(hosts.select(F.col("host").alias("parent")), "parent").select(F.col("host").alias("src"), F.col("parent").alias("dst"))
+    parents = hosts.select("host", F.explode(F.transform(F.sequence(F.lit(2), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("parent")).where("parent <> host and instr(parent, '.') > 0")
+    kin = parents.select(F.col("host").alias("src"), F.col("parent").alias("dst"))
     both = kin.unionByName(kin.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     return linked.unionByName(both).where("src <> dst and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, rounds: int = 12, damping: float = 0.85) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 0.01, rounds: int = 100) -> DataFrame:
     """(host, rank): personalised PageRank over ``links`` (src, dst, weight) from ``seeds`` (host, weight).
 
     Ranks are in units of seed weight; what reaches a host without out-links ends there. Hosts never reached are absent. No
-    seeds: no rows. Each round is one join on the source and one sum by target, with partial sums first.
+    seeds: no rows. Rounds go on until one changes all ranks together by ``tolerance`` of the seeds' weight or less, which
+    every fourth shows; if ``rounds`` don't bring that about, an error says so. Each round is one join on the source and one sum by target, with
+    partial sums first; the sources with most links are spread over all tasks.
     """
     start = cut(seeds.groupBy("host").agg(F.sum("weight").cast("double").alias("rank")))
-    out = links.groupBy("src").agg(F.sum("weight").alias("out"))
-    edges = cut(links.join(out, "src").select("src", "dst", (damping * F.col("weight") / F.col("out")).alias("share")))
+    mass = start.agg(F.sum("rank")).first()[0] or 0.0
+    out = links.groupBy("src").agg(F.sum("weight").alias("out"), F.count("*").alias("fan"))
+    edges = cut(attach_groups(links, out, "src", "fan", links.count()).select("src", "dst", "fan", (damping * F.col("weight") / F.col("out")).alias("share")))
+    total = edges.count()
+    fans = cut(edges.groupBy("src").agg(F.first("fan").alias("fan")))
     teleport = start.select("host", ((1 - damping) * F.col("rank")).alias("rank"))
     ranks = start
     for r in range(rounds):
-        moved = ranks.join(edges, ranks.host == edges.src).select(F.col("dst").alias("host"), (F.col("rank") * F.col("share")).alias("rank"))
-        ranks = moved.unionByName(teleport).groupBy("host").agg(F.sum("rank").alias("rank"))
         if r % 4 == 3:
             ranks = cut(ranks)
-    return ranks
+        known = ranks.withColumnRenamed("host", "src").join(fans, "src")
+        moved = attach_groups(edges.drop("fan"), known, "src", "fan", total).select(F.col("dst").alias("host"), (F.col("rank") * F.col("share")).alias("rank"))
+        after = moved.unionByName(teleport).groupBy("host").agg(F.sum("rank").alias("rank"))
+        if r % 4 < 3:
+            ranks = after
+            continue
+        after = cut(after)
+        both = after.join(ranks.withColumnRenamed("rank", "old"), "host", "full")
+        change = both.agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0] or 0.0
+        ranks = after
+        if change <= tolerance * mass:
+            return ranks
+    raise RuntimeError(f"ranks did not settle in {rounds} rounds")
 
 
 def url_verdicts(pages: DataFrame, rules: list[Rule], threshold: float = 0.75, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
