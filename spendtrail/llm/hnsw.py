@@ -152,18 +152,20 @@ def nearest(
     links: int = 12,
     build_beam: int = 48,
     search_beam: int = 96,
+    block_queries: int = 4096,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's ``k`` nearest rows found, itself left out, all if there are fewer.
 
     Nearness is the cosine in double precision of the vectors as given; ties go to the smaller id. Vectors that are null, zero
-    or hold null or non-finite components take no part; all others must be of one length. Rows that share an id are one row
+    or hold null or non-finite components take no part. Vectors of different lengths have no cosine: each length is searched
+    by itself. Equal vectors are ties. Rows that share an id are one row
     to the search: the first of them in the order of their components. No rows: no rows. Other columns are ignored.
 
     Rows are dealt by hash of id into shards of about ``shard_rows``, whatever their values, so none is crowded. Each shard
     builds its graph and searches it for every query; a query brings its vector, and takes home its best few of each shard.
-    Queries meet shards as rows of the table, never in the driver. Identical vectors are one node, as many copies of
+    Queries meet shards as rows of the table, in blocks of about ``block_queries``, never in the driver. Identical vectors are one node, as many copies of
     one vector would cut a graph into islands; of each vector's rows only the ``k`` + 1 of smallest id can be among the
     ``k`` nearest of any query, so no more are carried.
     """
@@ -174,7 +176,7 @@ def nearest(
     members = written(members.select("vec_id", "v", "n", F.min("vec_id").over(Window.partitionBy("v")).alias("node")))
     distinct = members.where("n = 1")
     shards = max(1, math.ceil(distinct.count() / shard_rows))
-    nodes = distinct.select(F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"), "node", "v")
+    nodes = distinct.select(F.size("v").alias("width"), F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"), "node", "v")
     queries = rows.where("is_query").select("vec_id", "v")
 
     def index(key, table):
@@ -182,9 +184,9 @@ def nearest(
         unit = _unit(table["v"])
         graph = build(unit, links, build_beam)
         flat = [x.astype("<i4").tobytes() for x in graph.layers]
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "nodes": [table["node"].to_numpy().astype("<i8").tobytes()], "unit": [unit.astype("<f8").tobytes()], "level": [graph.level.astype("<i8").tobytes()], "entry": pa.array([graph.entry], pa.int32()), "layers": [flat]})
+        return pa.table({"width": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "nodes": [table["node"].to_numpy().astype("<i8").tobytes()], "unit": [unit.astype("<f8").tobytes()], "level": [graph.level.astype("<i8").tobytes()], "entry": pa.array([graph.entry], pa.int32()), "layers": [flat]})
 
-    graphs = written(nodes.groupBy("shard").applyInArrow(index, "shard int, nodes binary, unit binary, level binary, entry int, layers array<binary>"))
+    graphs = written(nodes.groupBy("width", "shard").applyInArrow(index, "width int, shard int, nodes binary, unit binary, level binary, entry int, layers array<binary>"))
 
     def search(key, left, right):
         empty = pa.table({"query_id": pa.array([], pa.int64()), "node": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
@@ -203,9 +205,13 @@ def nearest(
             out.append(pa.table({"query_id": np.repeat(asked[at : at + ROUND], node.shape[1])[ok.reshape(-1)], "node": ids[node[ok]], "score": near[ok]}))
         return pa.concat_tables(out)
 
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
-    asked = queries.select("vec_id", "v", blocks)
-    met = graphs.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(search, "query_id long, node long, score double")
+    blocks = max(1, math.ceil(queries.count() / block_queries))
+    block = F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).cast("int").alias("block")
+    every_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+    asked = queries.select("vec_id", "v", F.size("v").alias("width"), block, every_shard)
+    graphs = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    place = ["width", "shard", "block"]
+    met = graphs.groupBy(*place).cogroup(asked.groupBy(*place)).applyInArrow(search, "query_id long, node long, score double")
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "node")
     few = written(met.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).select("query_id", "node"))
