@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BITS = 15
@@ -25,31 +26,35 @@ def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     A text without letters has none. Runs of non-letters count as one space.
     """
     total = None
-    carry = " "
+    last, carried = " ", 0  # a part's n-grams go on from the last two characters before it
     pieces = [text[at : at + PART] for at in range(0, len(text), PART)]
-    for piece in pieces:
+    for number, piece in enumerate(pieces):
         kept = "".join([c if c.isalpha() else " " for c in piece.lower()]) if not piece.isascii() else piece.lower().translate(_ASCII)
-        words = kept.split()
-        if not words:
+        ends = number == len(pieces) - 1
+        joined = _SPACES.sub(" ", last + kept + " " * ends)
+        if joined == last or (len(pieces) == 1 and joined == " "):
             continue
-        joined = carry + " ".join(words) + " "
+        old, last = carried, joined[-2:]
+        carried = len(last)
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         found = []
         rolled = np.zeros(len(codes), np.uint64)
         for n in ORDERS:
             rolled = rolled[: len(codes) - n + 1] * np.uint64(0x110001) + codes[n - 1 :]
-            found.append(((rolled * _MIX) ^ _SALTS[n - 1]) * _SALTS[n - 1] >> np.uint64(64 - BITS))
+            fresh = rolled[max(0, old - n + 1) :]  # those before ended in an earlier part
+            found.append(((fresh * _MIX) ^ _SALTS[n - 1]) * _SALTS[n - 1] >> np.uint64(64 - BITS))
         flat = np.concatenate(found).astype(np.int64)
         if len(pieces) == 1 and len(flat) < 8192:
             return np.unique(flat, return_counts=True)
         counts = np.bincount(flat, minlength=DIMS)
         total = counts if total is None else total + counts
-    if total is None:
+    if total is None or not any(map(str.isalpha, text)):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     at = np.flatnonzero(total)
     return at, total[at]
 
 
+_SPACES = re.compile(" {2,}")
 _ASCII = {i: " " for i in range(128) if not chr(i).isalpha()}
 
 
@@ -157,7 +162,8 @@ def fit_language(docs: DataFrame, learn: Column, sample: int = 4000, text_col: s
     """A model learnt from rows with a language where ``learn`` holds.
 
     Document frequencies count all such rows. Weights are learnt from at most ``sample`` of them, those first in the order of
-    a hash of their id; a tenth of these sets the temperature instead. Languages are those of the rows learnt from.
+    a hash of their id, of rows that share one the first in the order of a hash of its text; rows without an id count for the
+    frequencies alone. A tenth of the sample sets the temperature instead. Languages are those of the rows learnt from.
     Without any, every prediction is ``und``.
     """
     rows = docs.where(learn & F.col(lang_col).isNotNull())
@@ -173,8 +179,9 @@ def fit_language(docs: DataFrame, learn: Column, sample: int = 4000, text_col: s
             )
 
     by = F.xxhash64(F.col("doc_id"), F.lit("language sample"))
-    ids = rows.select("doc_id", by.alias("by")).orderBy("by", "doc_id").limit(sample).distinct()
-    taken = rows.join(F.broadcast(ids), "doc_id").select(text_col, F.col(lang_col).alias("lang"), (F.pmod("by", F.lit(10)) == 0).alias("held"))
+    ids = rows.where("doc_id is not null").select("doc_id", by.alias("by")).distinct().orderBy("by", "doc_id").limit(sample)
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(text_col), text_col, lang_col)
+    taken = rows.join(F.broadcast(ids), "doc_id").withColumn("nth", F.row_number().over(first)).where("nth = 1").select(text_col, F.col(lang_col).alias("lang"), (F.pmod("by", F.lit(10)) == 0).alias("held"))
     got = taken.mapInArrow(run, "at binary, counts binary, lang string, held boolean").toPandas()
     vectors = [tfidf(np.frombuffer(a, "<i4").astype(np.int64), np.frombuffer(c, "<i4").astype(float), idf) for a, c in zip(got["at"], got["counts"], strict=True)]
     order = sorted((i for i in range(len(got)) if len(vectors[i][0])), key=lambda i: (got["at"][i], got["counts"][i], got["lang"][i]))

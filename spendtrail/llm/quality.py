@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Edges of the bins of each line feature.
@@ -215,7 +215,7 @@ def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a, b
 
 
-def _examples(docs: DataFrame, labels: DataFrame, sample: int, text_col: str) -> list[tuple[np.ndarray, np.ndarray, int]]:
+def _examples(docs: DataFrame, labels: DataFrame, sample: int, sample_bytes: int, text_col: str) -> list[tuple[np.ndarray, np.ndarray, int]]:
     """Line codes of a bounded sample of labelled documents, the same rows whatever the partitions."""
 
     def run(batches):
@@ -223,22 +223,27 @@ def _examples(docs: DataFrame, labels: DataFrame, sample: int, text_col: str) ->
             found = [line_codes(x.as_py() or b"") for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([c.tobytes() for c, _ in found], pa.binary()), pa.array([n.tobytes() for _, n in found], pa.binary()), batch.column(1)], ["codes", "lengths", "quality"])
 
-    by = F.xxhash64(F.col("doc_id"), F.lit("quality sample"))
-    ids = docs.select("doc_id").join(labels, "doc_id").orderBy(by, "doc_id", "quality").limit(sample)
-    taken = docs.join(F.broadcast(ids), "doc_id").select(F.col(text_col).cast("binary").alias("text"), "quality")
+    chosen = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").drop("other")
+    ids = docs.select("doc_id").distinct().join(chosen, "doc_id").orderBy(F.xxhash64(F.col("doc_id"), F.lit("quality sample")), "doc_id").limit(sample)
+    among = docs.join(F.broadcast(ids), "doc_id").withColumn("size", F.octet_length(text_col))
+    rest = Window.partitionBy("doc_id").orderBy(F.xxhash64(text_col), text_col)
+    taken = among.withColumn("nth", F.row_number().over(rest)).where("nth = 1").select(F.col(text_col).cast("binary").alias("text"), "quality", "doc_id", "size")
+    before = Window.orderBy(F.xxhash64(F.col("doc_id"), F.lit("quality sample")), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    taken = taken.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).where((F.col("before") < sample_bytes) | (F.col("before") == 0)).select("text", "quality")
     rows = taken.mapInArrow(run, "codes binary, lengths binary, quality int").toPandas()
     rows = rows.sort_values(["codes", "lengths", "quality"])
     return [(np.frombuffer(c, np.uint8).reshape(-1, len(SIZES)), np.frombuffer(n, np.int64), int(y)) for c, n, y in zip(rows["codes"], rows["lengths"], rows["quality"], strict=True)]
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = 4000, text_col: str = "text") -> LineField:
+def fit_quality(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = 4000, sample_bytes: int = 64 << 20, text_col: str = "text") -> LineField:
     """A field learnt from labelled rows (doc_id, quality 0 or 1; others are left out) where ``learn`` holds.
 
-    At most ``sample`` documents are learnt from, those first in the order of a hash of their id. Without labelled rows
-    every score is 0.5.
+    At most ``sample`` documents are learnt from, those first in the order of a hash of their id, until they have
+    ``sample_bytes`` of text; of rows that share an id one, the first in the order of a hash of its text. Ids labelled both
+    ways are left out. Without labelled rows every score is 0.5.
     """
     labels = labels.where("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
-    return train(_examples(docs.where(learn).select("doc_id", text_col), labels, sample, text_col))
+    return train(_examples(docs.where(learn).select("doc_id", text_col), labels, sample, sample_bytes, text_col))
 
 
 def quality_scores(docs: DataFrame, field: LineField, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

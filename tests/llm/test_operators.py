@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from spendtrail.llm import bpe, hnsw, lm, packing, quality
+from spendtrail.llm import bpe, hnsw, langid, lm, packing, quality
 from spendtrail.llm import line_dedup as ld
 from spendtrail.llm.components import connected_components
 from spendtrail.llm.exact_dedup import exact_dedup
@@ -22,7 +22,7 @@ from spendtrail.llm.langid import fit_language, fit_temperature, language_scores
 from spendtrail.llm.line_dedup import line_dedup
 from spendtrail.llm.queries import URL_RULES
 from spendtrail.llm.simhash import drop_near_copies, fingerprint_links, near_dedup, parity_map, prefix_length, rare_first, shingle_hashes, similar_groups
-from spendtrail.llm.url_filter import propagate, url_verdicts
+from spendtrail.llm.url_filter import Rule, propagate, url_verdicts
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -173,18 +173,34 @@ def test_distrust_follows_links_backwards(spark):
     assert (got[2].verdict, got[3].verdict) == ("block", "allow") and got[3].trust > 0 and got[2].distrust > 0
 
 
+def test_hosts_without_ruled_pages_are_judged_by_their_neighbours(spark):
+    rows = [(i, f"http://a{i}.ill.net/x", "") for i in range(3)] + [(9, "http://lone.net/x", "")]
+    rules = [Rule(f"a{i}.ill.net/", "block") for i in range(2)]
+    got = {r.page_id: r for r in url_verdicts(spark.createDataFrame(rows, "page_id long, url string, html string"), rules).collect()}
+    assert (got[2].rule, got[2].verdict) == (None, "block") and got[2].distrust > 0  # by the siblings, over ill.net, which has no page
+    rules.append(Rule("lone.net/", "allow"))
+    rules += [Rule("ill.net/y", "allow")]
+    rows += [(k, "http://a2.ill.net/y", "") for k in range(20, 60)]
+    got = {r.page_id: r for r in url_verdicts(spark.createDataFrame(rows, "page_id long, url string, html string"), rules).collect()}
+    assert got[2].verdict == "allow"
+
+
 def test_propagation_equals_power_iteration(spark):
     rng = np.random.default_rng(8)
     edges = sorted({(int(a), int(b)) for a, b in rng.integers(0, 12, (40, 2)) if a != b})
     links = spark.createDataFrame([(f"h{a}", f"h{b}", a + b + 1) for a, b in edges], "src string, dst string, weight long")
-    got = {r.host: r.rank for r in propagate(links, spark.createDataFrame([("h0", 2), ("h3", 1)], "host string, weight long"), rounds=9).collect()}
+    seeds = spark.createDataFrame([("h0", 2), ("h3", 1)], "host string, weight long")
+    got = {r.host: r.rank for r in propagate(links, seeds, tolerance=1e-9, rounds=300).collect()}
+    with pytest.raises(RuntimeError):
+        propagate(links, seeds, tolerance=1e-9, rounds=3)
+    assert propagate(links, seeds.limit(0)).count() == 0
     m = np.zeros((12, 12))
     for a, b in edges:
         m[a, b] = a + b + 1
     m /= np.maximum(m.sum(axis=1, keepdims=True), 1e-300)
     seed = np.array([2.0 if i == 0 else 1.0 if i == 3 else 0 for i in range(12)])
     rank = seed.copy()
-    for _ in range(9):
+    for _ in range(300):
         rank = 0.85 * rank @ m + 0.15 * seed
     assert all(got.get(f"h{i}", 0) == pytest.approx(rank[i]) for i in range(12))
 
@@ -310,6 +326,27 @@ def test_bpe_equals_the_library_and_comes_back(spark):
     assert isinstance(library, tiktoken.Encoding) and bpe.bpe_encode(docs(spark, []), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_samples_hold_one_row_of_an_id(spark):
+    rows = [(1, "plain words here", "aa")] * 300 + [(None, "more of it", "bb")] * 50 + [(2, "other things there", "bb"), (5, "kata", "aa")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (5, 0), (5, 1)], "doc_id long, quality int")
+    taken = quality._examples(frame.select("doc_id", "text"), labels, 10, 1 << 20, "text")
+    assert sorted(y for *_, y in taken) == [0, 1]
+    assert len(quality._examples(frame.select("doc_id", "text"), labels, 10, 1, "text")) == 1
+    assert fit_language(frame, F.lit(True), sample=3).languages == ["aa", "bb"]
+
+
+def test_grams_of_a_long_text_do_not_depend_on_its_parts(monkeypatch):
+    rng = np.random.default_rng(22)
+    text = "".join(rng.choice(list("abé  1\n𝓐ǅ"), 5000))
+    want = langid.ngram_counts(text)
+    for part in (1, 2, 7, 1000):
+        monkeypatch.setattr(langid, "PART", part)
+        got = langid.ngram_counts(text)
+        assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
+    assert len(langid.ngram_counts("1 2\n" * 9)[0]) == 0
+
+
 # language-model scores
 
 
@@ -410,7 +447,7 @@ def test_nearest_recall_scores_and_order(spark):
     rows = [(i, [float(x) for x in v[i]]) for i in range(900)]
     rows += [(900, None), (901, [0.0] * 16), (902, [float("nan")] + [1.0] * 15), (903, [None] + [1.0] * 15), (905, [float("inf")] * 16)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
-    got = hnsw.nearest(frame, F.col("vec_id") % 50 == 0, shard_rows=300).collect()
+    got = hnsw.nearest(frame, F.col("vec_id") % 50 == 0, shard_rows=300, block_queries=7).collect()
     exact = v.astype(float)
     unit = exact / np.linalg.norm(exact, axis=1, keepdims=True)
     hit = 0
@@ -430,10 +467,29 @@ def test_nearest_recall_scores_and_order(spark):
     assert [r.vec_id for r in by[500]] == [7, 501, 502, 503, 504]
 
 
+def test_nearest_query_has_its_recall_on_the_table(spark):
+    import __spark_entry__
+
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").orderBy("vec_id").toPandas()
+    unit = np.array(table.embedding.tolist(), float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    found = defaultdict(set)
+    for r in __spark_entry__.queries()["op8_hnsw"](spark, "/root/testdata/sf0.01").collect():
+        found[r.query_id].add(r.vec_id)
+    ids, hit = table.vec_id.to_numpy(), 0
+    for q in ids[ids % 50 == 0]:
+        cosine = unit @ unit[ids == q][0]
+        cosine[ids == q] = -9
+        hit += len(found[q] & set(ids[np.lexsort((ids, -cosine))[:5]].tolist()))
+    assert hit >= 0.9 * 5 * len(found) > 0
+
+
 def test_nearest_of_few_or_none(spark):
     fields = "vec_id long, embedding array<float>"
     few = hnsw.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 2.0]), (2, [1.0, 1.0])], fields), F.col("vec_id") == 0).collect()
     assert [(r.rank, r.vec_id) for r in sorted(few, key=lambda r: r.rank)] == [(1, 2), (2, 1)]
+    mixed = hnsw.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0]), (2, [1.0, 1.0]), (3, [2.0]), (4, [1.0, 2.0, 3.0])], fields), F.lit(True)).collect()
+    assert sorted((r.query_id, r.vec_id) for r in mixed) == [(0, 2), (1, 3), (2, 0), (3, 1)]
     assert hnsw.nearest(spark.createDataFrame([], fields), F.lit(True)).count() == 0
     assert hnsw.nearest(spark.createDataFrame([(0, [1.0])], fields), F.lit(True)).count() == 0
 
