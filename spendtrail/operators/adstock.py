@@ -36,7 +36,7 @@ class Adstock:
     peak: float = 0.0
     type: str = "cdf"
     weights: tuple[float, ...] = ()
-    normalise: bool = False
+    normalise: bool = True
 
     def __post_init__(self):
         if self.kind not in ("none", "geometric", "weibull", "delayed", "filter"):

@@ -134,7 +134,7 @@ class Diagnosis:
     dates: DataFrame | None
     cpm: DataFrame | None
 
-    def flags(self, vif_threshold: float = 10, cv_threshold: float = 0.1) -> list[str]:
+    def flags(self, vif_threshold: float = 5, cv_threshold: float = 0.15) -> list[str]:
         """What to look at, in words; runs the tables, which have a row for each channel or series."""
         out = [f"{r['channel']} hardly varies (cv {r['cv']:.3g})" for r in self.variation.orderBy("channel").collect() if r["cv"] is not None and r["cv"] < cv_threshold]
         out += [f"{r['channel']} is mostly zero" for r in self.variation.where("zero_share > 0.5").orderBy("channel").collect()]

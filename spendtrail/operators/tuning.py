@@ -30,7 +30,7 @@ def splits(n: int, scheme: str = "rolling_origin", initial: int | None = None, a
     return out
 
 
-def grid(max_lags: Sequence[float] = (math.inf,), decays: Sequence[float] = tuple(round(0.05 * i, 2) for i in range(1, 18)), normalise: bool = False) -> list[Adstock]:
+def grid(max_lags: Sequence[float] = (math.inf,), decays: Sequence[float] = tuple(round(0.1 + 0.05 * i, 2) for i in range(17)), normalise: bool = True) -> list[Adstock]:
     return [Adstock("geometric", d, lag, normalise=normalise) for lag in max_lags for d in decays if not (math.isinf(lag) and d == 1)]
 
 

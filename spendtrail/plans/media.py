@@ -110,7 +110,7 @@ def marginal_roi(spend: DataFrame, spec: dict[str, ChannelSpec], coefficients: d
     return sums.select(F.explode(F.array(*parts)).alias("x")).select("x.*")
 
 
-def mroi(spend_level: float, coefficient: float, type: str = "none", delta: float = 0.01, **parameters) -> float:
+def mroi(spend_level: float, coefficient: float, type: str = "hill", delta: float = 0.01, **parameters) -> float:
     """Slope of coefficient x curve at a level: central difference, one-sided at zero."""
     scale = curve_scale(type, **parameters) or 1.0
     h = max(spend_level * delta, EPS3 * scale)
@@ -118,20 +118,20 @@ def mroi(spend_level: float, coefficient: float, type: str = "none", delta: floa
     return coefficient * (curve_value(high, type, **parameters) - curve_value(low, type, **parameters)) / (high - low)
 
 
-def mroi_column(spend: Column, coefficient: float, type: str = "none", delta: float = 0.01, **parameters) -> Column:
+def mroi_column(spend: Column, coefficient: float, type: str = "hill", delta: float = 0.01, **parameters) -> Column:
     scale = curve_scale(type, **parameters) or 1.0
     h = F.greatest(spend * delta, F.lit(EPS3 * scale))
     low, high = F.greatest(F.lit(0.0), spend - h), spend + h
     return coefficient * (saturate(high, type, **parameters) - saturate(low, type, **parameters)) / (high - low)
 
 
-def response_curve(levels: DataFrame, spend: str, coefficient: float, type: str = "none", **parameters) -> DataFrame:
+def response_curve(levels: DataFrame, spend: str, coefficient: float, type: str = "hill", **parameters) -> DataFrame:
     """(spend, response, slope) for a column of spend levels."""
     x = F.col(spend).cast("double")
     return levels.select(x.alias("spend"), (coefficient * saturate(x, type, **parameters)).alias("response"), mroi_column(x, coefficient, type, **parameters).alias("slope"))
 
 
-def spend_for(target: float, coefficient: float, type: str = "none", max_spend: float | None = None, **parameters) -> float | None:
+def spend_for(target: float, coefficient: float, type: str = "hill", max_spend: float | None = None, **parameters) -> float | None:
     """Spend at which the response reaches ``target``; None where it isn't reached up to ``max_spend`` (1000 curve scales)."""
     scale = curve_scale(type, **parameters)
     if max_spend is None:

@@ -77,14 +77,14 @@ def iir_sql(table, x, decay, by="geo", order="wk"):
     iir AS (SELECT {by}, unnest(ts) AS {order}, unnest(list_transform(range(1, len(xs) + 1), lambda i: list_reduce(list_prepend(0.0::DOUBLE, list_slice(xs, 1, i)), lambda a, b: b + {decay}::DOUBLE * a))) AS a FROM lists)"""
 
 
-GEO = Adstock("geometric", 0.6)
+GEO = Adstock("geometric", 0.6, normalise=False)
 KERNELS = {
-    "w13_geometric_finite": (Adstock("geometric", 0.5531, 4), geometric_weights(4, 0.5531)),
+    "w13_geometric_finite": (Adstock("geometric", 0.5531, 4, normalise=False), geometric_weights(4, 0.5531)),
     "w13_geometric_finite_normalised": (Adstock("geometric", 0.5, 4, normalise=True), geometric_weights(4, 0.5, True)),
-    "w14_weibull_cdf": (Adstock("weibull", max_lag=8, shape=2, scale=3), weibull_weights(8, 2, 3)),
+    "w14_weibull_cdf": (Adstock("weibull", max_lag=8, shape=2, scale=3, normalise=False), weibull_weights(8, 2, 3)),
     "w14_weibull_pdf": (Adstock("weibull", max_lag=8, shape=1.5, scale=2, type="pdf", normalise=True), weibull_weights(8, 1.5, 2, "pdf", True)),
-    "w15_delayed": (Adstock("delayed", 0.7, 6, peak=2), delayed_weights(6, 0.7, 2)),
-    "w16_filter": (Adstock("filter", weights=(0.2, 0.5, 0.3)), (0.2, 0.5, 0.3)),
+    "w15_delayed": (Adstock("delayed", 0.7, 6, peak=2, normalise=False), delayed_weights(6, 0.7, 2)),
+    "w16_filter": (Adstock("filter", weights=(0.2, 0.5, 0.3), normalise=False), (0.2, 0.5, 0.3)),
 }
 for _name, (_kernel, _weights) in KERNELS.items():
     register(
@@ -121,8 +121,8 @@ register(
     f"WITH {PANEL}, o AS (SELECT *, row_number() OVER (PARTITION BY geo ORDER BY wk) AS rn FROM panel) SELECT geo, round(avg(urgent) / (1 - 0.6::DOUBLE), 4) AS urgent_acc FROM o WHERE rn <= {effective_window(0.6)} GROUP BY geo",
 )
 SPEC = {
-    "urgent": ChannelSpec(Adstock("geometric", 0.5, 4), Saturation("hill", {"half_max": 400.0, "shape": 1.5})),
-    "high": ChannelSpec(Adstock("filter", weights=(0.7, 0.3)), Saturation("exponential", {"rate": 0.002})),
+    "urgent": ChannelSpec(Adstock("geometric", 0.5, 4, normalise=False), Saturation("hill", {"half_max": 400.0, "shape": 1.5})),
+    "high": ChannelSpec(Adstock("filter", weights=(0.7, 0.3), normalise=False), Saturation("exponential", {"rate": 0.002})),
     "low": ChannelSpec(Adstock(), Saturation("power", {"exponent": 0.5})),
 }
 COEF = {"urgent": 900.0, "high": 500.0, "low": 20.0}
@@ -172,7 +172,7 @@ register("t15_response_grid", lambda spark, sf_dir: response_grid(panel(spark, s
         adst AS (SELECT {fir_sql('urgent', geometric_weights(4, 0.5))} AS au, {fir_sql('high', (0.7, 0.3))} AS ah, low AS al FROM panel)
         SELECT channel, k, level, round(sum(CASE channel WHEN 'urgent' THEN 900 * CASE WHEN au * level = 0 THEN 0 ELSE 1 / (1 + pow(400.0::DOUBLE / nullif(au * level / u, 0), 1.5)) END
             WHEN 'high' THEN 500 * (1 - exp(-0.002::DOUBLE * ah * level / h)) ELSE 20 * pow(al * level / l, 0.5) END), 3) AS response FROM g, t, adst GROUP BY ALL""")
-register("t15_allocate_budget", lambda spark, sf_dir: allocate_budget(panel(spark, sf_dir), SPEC, COEF, "wk", by=["geo"], steps=100).table)
+register("t15_allocate_budget", lambda spark, sf_dir: allocate_budget(panel(spark, sf_dir), SPEC, COEF, "wk", by=["geo"], steps=200).table)
 register("t16_reallocate", lambda spark, sf_dir: reallocate(panel(spark, sf_dir), "urgent", "low", 100.0, "geo").select("geo", "wk", r("urgent", 4), r("low", 4)),
     f"WITH {PANEL} SELECT geo, wk, round(urgent * (1 - 100 / sum(urgent) OVER w), 4) AS urgent, round(low + 100 * low / sum(low) OVER w, 4) AS low FROM panel WINDOW w AS (PARTITION BY geo)")
 
@@ -253,29 +253,29 @@ register("a28_fit_ols", lambda spark, sf_dir: panel(spark, sf_dir, kpi=True).gro
     f"WITH {PANEL}{KPI} SELECT geo, count(*) AS n, round(regr_intercept(kpi, urgent), 4) AS intercept, round(regr_slope(kpi, urgent), 6) AS slope FROM full_panel GROUP BY geo")
 register("a29_metrics", lambda spark, sf_dir: panel(spark, sf_dir, kpi=True).groupBy("geo").agg(F.round(rmse(F.col("kpi"), F.col("urgent")), 4).alias("rmse"), F.round(mae(F.col("kpi"), F.col("urgent")), 4).alias("mae")),
     f"WITH {PANEL}{KPI} SELECT geo, round(sqrt(avg(pow(kpi - urgent, 2))), 4) AS rmse, round(avg(abs(kpi - urgent)), 4) AS mae FROM full_panel GROUP BY geo")
-CANDIDATES = [Adstock("geometric", d, lag) for lag in (4, 8) for d in (0.2, 0.5, 0.8)]
-CV = f"""WITH {PANEL}{KPI}, per AS (SELECT *, dense_rank() OVER (ORDER BY wk) AS period FROM full_panel), z AS (""" + " UNION ALL ".join(f"SELECT {i} AS candidate, geo, period, kpi AS y, {fir_sql('urgent', geometric_weights(int(k.max_lag), k.decay))} AS z FROM per" for i, k in enumerate(CANDIDATES)) + "), "
+CANDIDATES = grid((8,))  # all decays of the default grid
+CV = f"""WITH {PANEL}{KPI}, per AS (SELECT *, dense_rank() OVER (ORDER BY wk) AS period FROM full_panel), z AS (""" + " UNION ALL ".join(f"SELECT {i} AS candidate, geo, period, kpi AS y, {fir_sql('urgent', geometric_weights(int(k.max_lag), k.decay, True))} AS z FROM per" for i, k in enumerate(CANDIDATES)) + "), "
 
 
 def cross_validated(spark, sf_dir):
     df = panel(spark, sf_dir, kpi=True)
     rows = filtered(df, "urgent", "kpi", "wk", CANDIDATES, ["geo"])
-    return rows, splits(df.select("wk").distinct().count(), initial=200, assess=4, skip=9)
+    return rows, splits(df.select("wk").distinct().count(), initial=200, assess=4)
 
 
-SPLITS = "cuts AS (SELECT unnest(range(200, (SELECT max(period) FROM per) - 3, 10)) AS a)"
-register("t4_expanding_fits", lambda spark, sf_dir: expanding_fits(cross_validated(spark, sf_dir)[0]).where("period >= 200 and period % 20 = 0").select("candidate", "period", r("intercept", 3), r("slope", 5)),
-    CV + "e AS (SELECT DISTINCT period AS a FROM per WHERE period >= 200 AND period % 20 = 0) SELECT candidate, a::INT AS period, round(regr_intercept(y, z), 3) AS intercept, round(regr_slope(y, z), 5) AS slope FROM z JOIN e ON period <= a GROUP BY ALL")
+SPLITS = "cuts AS (SELECT unnest(range(200, (SELECT max(period) FROM per) - 3)) AS a)"
+register("t4_expanding_fits", lambda spark, sf_dir: expanding_fits(cross_validated(spark, sf_dir)[0]).where("period > 2").select("candidate", "period", r("intercept", 3), r("slope", 5)),
+    CV + "e AS (SELECT DISTINCT period AS a FROM per WHERE period > 2) SELECT candidate, a::INT AS period, round(regr_intercept(y, z), 3) AS intercept, round(regr_slope(y, z), 5) AS slope FROM z JOIN e ON period <= a GROUP BY ALL")
 register("t1_tune_carryover", lambda spark, sf_dir: scores(predictions(*cross_validated(spark, sf_dir))).select("candidate", r("metric", 4)),
     CV + f"{SPLITS}, fits AS (SELECT candidate, a, regr_intercept(y, z) AS b0, regr_slope(y, z) AS b1 FROM z JOIN cuts ON period <= a GROUP BY ALL) SELECT candidate, round(sqrt(avg(pow(y - b0 - b1 * z, 2))), 4) AS metric FROM z JOIN fits USING (candidate) WHERE period > a AND period <= a + 4 GROUP BY candidate")
-register("t11_predictions", lambda spark, sf_dir: predictions(*cross_validated(spark, sf_dir)).where("candidate = 1").select("split", "geo", "period", r("y", 4), r("predicted", 3)),
-    CV + f"{SPLITS}, fits AS (SELECT candidate, a, regr_intercept(y, z) AS b0, regr_slope(y, z) AS b1 FROM z JOIN cuts ON period <= a WHERE candidate = 1 GROUP BY ALL) SELECT ((a - 200) / 10)::INT AS split, geo, period::INT AS period, round(y, 4) AS y, round(b0 + b1 * z, 3) AS predicted FROM z JOIN fits USING (candidate) WHERE period > a AND period <= a + 4")
-register("t13_block_bootstrap", lambda spark, sf_dir: block_bootstrap(panel(spark, sf_dir), lambda d: {"mean_urgent": d["urgent"].mean(), "mean_low": d["low"].mean()}, "wk", times=50, by=["geo"])[0])
+register("t11_predictions", lambda spark, sf_dir: predictions(*cross_validated(spark, sf_dir)).select("candidate", "split", "geo", "period", r("y", 4), r("predicted", 3)),
+    CV + f"{SPLITS}, fits AS (SELECT candidate, a, regr_intercept(y, z) AS b0, regr_slope(y, z) AS b1 FROM z JOIN cuts ON period <= a GROUP BY ALL) SELECT candidate, (a - 200)::INT AS split, geo, period::INT AS period, round(y, 4) AS y, round(b0 + b1 * z, 3) AS predicted FROM z JOIN fits USING (candidate) WHERE period > a AND period <= a + 4")
+register("t13_block_bootstrap", lambda spark, sf_dir: block_bootstrap(panel(spark, sf_dir), lambda d: {"mean_urgent": d["urgent"].mean(), "mean_low": d["low"].mean()}, "wk", by=["geo"])[0])
 register("s6_import_hyper", lambda spark, sf_dir: (lambda s: spark.createDataFrame([(s.adstock.decay, s.saturation.parameters["half_max"], s.saturation.parameters["shape"])], "decay double, half_max double, shape double").select("decay", r("half_max", 4), "shape"))(from_theta_alpha_gamma(panel(spark, sf_dir).where("geo = 'ASIA'"), "urgent", "wk", theta=0.3, alpha=2.0, gamma=0.4)),
     f"WITH {PANEL}, asia AS (SELECT * FROM panel WHERE geo = 'ASIA'), {iir_sql('asia', 'urgent', 0.3)} SELECT 0.3::DOUBLE AS decay, round(0.4::DOUBLE * max(a), 4) AS half_max, 2.0::DOUBLE AS shape FROM iir")
-register("s2_touchpoints", lambda spark, sf_dir: touchpoints(spark, 300))
+register("s2_touchpoints", lambda spark, sf_dir: touchpoints(spark))
 register("s2_weekly_panel", lambda spark, sf_dir: weekly_panel(spark))
-register("t1_grid", lambda spark, sf_dir: spark.createDataFrame([(k.decay,) for k in grid()], "decay double"), "SELECT round(i * 0.05::DOUBLE, 2) AS decay FROM range(1, 18) t(i)")
+register("t1_grid", lambda spark, sf_dir: spark.createDataFrame([(k.decay,) for k in grid()], "decay double"), "SELECT round(0.1::DOUBLE + i * 0.05::DOUBLE, 2) AS decay FROM range(17) t(i)")
 register("a19_unmatched_cells", lambda spark, sf_dir: unmatched(decomposed(spark, sf_dir).where(F.col("period") < dt.date(2000, 1, 1)), panel(spark, sf_dir).select("geo", "wk", *SPEC).where(F.col("wk") >= dt.date(1996, 1, 1)), "wk", ["geo"]),
     f"WITH {PANEL} SELECT wk AS period, geo, CASE WHEN wk < DATE '1996-01-01' THEN 'spend' ELSE 'contribution' END AS missing FROM panel WHERE wk < DATE '1996-01-01' OR wk >= DATE '2000-01-01'")
 register("f13_response_curve", lambda spark, sf_dir: response_curve(spark.range(0, 20).select((F.col("id") * 50).alias("x")), "x", 40.0, "hill", half_max=300.0, shape=1.5).select("spend", r("response"), r("slope")),
@@ -289,9 +289,9 @@ register("f4_geometric_weights", lambda spark, sf_dir: spark.createDataFrame([(i
 
 
 def picked(spark, sf_dir):
-    tuned = tune_carryover(panel(spark, sf_dir, kpi=True), "urgent", "kpi", "wk", ["geo"], CANDIDATES, initial=200, assess=4, skip=9)
+    tuned = tune_carryover(panel(spark, sf_dir, kpi=True), "urgent", "kpi", "wk", ["geo"], CANDIDATES, initial=200, assess=4)
     return spark.createDataFrame([("best", tuned.best.decay, float(tuned.best.max_lag)), ("best_1se", tuned.best_1se.decay, float(tuned.best_1se.max_lag))], "pick string, decay double, max_lag double")
 
 
 register("t8_one_standard_error", picked)
-register("t12_tune_joint", lambda spark, sf_dir: spark.createDataFrame(sorted((c, k.decay) for c, k in tune_carryover_joint(panel(spark, sf_dir, kpi=True), ["urgent", "low"], "kpi", "wk", ["geo"], CANDIDATES[3:], max_iter=2, initial=250, assess=10, skip=19).items()), "channel string, decay double"))
+register("t12_tune_joint", lambda spark, sf_dir: spark.createDataFrame(sorted((c, k.decay) for c, k in tune_carryover_joint(panel(spark, sf_dir, kpi=True), ["urgent", "low"], "kpi", "wk", ["geo"], CANDIDATES, initial=250, assess=10).items()), "channel string, decay double"))

@@ -18,9 +18,9 @@ def from_theta_alpha_gamma(
     """
     n = df.count()
     if kind == "geometric":
-        kernel = Adstock("geometric", theta)
+        kernel = Adstock("geometric", theta, normalise=False)
     elif kind == "weibull_cdf":
-        kernel = Adstock("weibull", max_lag=n, shape=shape, scale=float(round(float(np.quantile(np.arange(1, n + 1), scale)))), type="cdf")
+        kernel = Adstock("weibull", max_lag=n, shape=shape, scale=float(round(float(np.quantile(np.arange(1, n + 1), scale)))), type="cdf", normalise=False)
     else:
         raise ValueError("kind is geometric or weibull_cdf")
     made = adstock(df, {"_a": (x, kernel)}, order_by)

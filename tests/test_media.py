@@ -32,12 +32,12 @@ def run(df, kernel, **kw):
 @pytest.mark.parametrize(
     "values,kernel,expected",
     [
-        ((100, 0, 0, 0, 100), Adstock("geometric", 0.5), (100, 50, 25, 12.5, 106.25)),
+        ((100, 0, 0, 0, 100), Adstock("geometric", 0.5, normalise=False), (100, 50, 25, 12.5, 106.25)),
         ((100, 0, 0, 0, 100), Adstock("geometric", 0.5, normalise=True), (50, 25, 12.5, 6.25, 53.125)),
-        ((100, 100, 0, 0), Adstock("geometric", 0.6), (100, 160, 96, 57.6)),
-        ((100, 0, 0, 0), Adstock("geometric", 0.5, 2), (100, 50, 0, 0)),
+        ((100, 100, 0, 0), Adstock("geometric", 0.6, normalise=False), (100, 160, 96, 57.6)),
+        ((100, 0, 0, 0), Adstock("geometric", 0.5, 2, normalise=False), (100, 50, 0, 0)),
         ((100, 0, 0, 0), Adstock("geometric", 0.5, 2, normalise=True), (100 / 1.5, 50 / 1.5, 0, 0)),
-        ((100, 0, 0, 0, 0), Adstock("filter", weights=(0.2, 0.5, 0.3)), (20, 50, 30, 0, 0)),
+        ((100, 0, 0, 0, 0), Adstock("filter", weights=(0.2, 0.5, 0.3), normalise=False), (20, 50, 30, 0, 0)),
     ],
 )
 def test_golden_filters(spark, values, kernel, expected):
@@ -50,15 +50,15 @@ def test_kernels():
     assert vocab.effective_window(vocab.decay_from_half_life(3), 0.5) == 3
     assert vocab.half_life(0.5) == 1 and vocab.effective_window(0) == 1
     assert vocab.geometric_weights(2**31 - 1, 0.5, reach=3).tolist() == [1, 0.5, 0.25]
-    for bad in (lambda: vocab.half_life(1), lambda: vocab.effective_window(0.5, 1), lambda: Adstock("delayed", 0.5), lambda: Adstock("filter")):
+    for bad in (lambda: vocab.half_life(1), lambda: vocab.effective_window(0.5, 1), lambda: Adstock("delayed", 0.5, normalise=False), lambda: Adstock("filter", normalise=False)):
         with pytest.raises(ValueError):
             bad()
 
 
-LONG = Adstock("filter", weights=tuple(0.9**i for i in range(80)))
+LONG = Adstock("filter", weights=tuple(0.9**i for i in range(80)), normalise=False)
 
 
-@pytest.mark.parametrize("kernel", [Adstock("geometric", 0.7), Adstock("geometric", 0.7, 5), Adstock("weibull", max_lag=6, shape=2, scale=2), LONG])
+@pytest.mark.parametrize("kernel", [Adstock("geometric", 0.7, normalise=False), Adstock("geometric", 0.7, 5, normalise=False), Adstock("weibull", max_lag=6, shape=2, scale=2, normalise=False), LONG])
 def test_chunks_with_state_equal_the_whole(spark, kernel):
     rng = np.random.default_rng(1)
     df = series(spark, rng.uniform(0, 9, 40)).unionByName(series(spark, rng.uniform(0, 9, 40), "h"))
@@ -74,7 +74,7 @@ def test_chunks_with_state_equal_the_whole(spark, kernel):
 
 def test_steady_state_is_a_fixed_point(spark):
     df = series(spark, [10.0] * 12)
-    for kernel, level in ((Adstock("geometric", 0.5), 20.0), (Adstock("geometric", 0.5, normalise=True), 10.0), (Adstock("filter", weights=(0.5, 0.25, 0.25)), 10.0)):
+    for kernel, level in ((Adstock("geometric", 0.5, normalise=False), 20.0), (Adstock("geometric", 0.5, normalise=True), 10.0), (Adstock("filter", weights=(0.5, 0.25, 0.25), normalise=False), 10.0)):
         seed = adstock_steady_state(df, "x", kernel, "t", ["geo"])
         assert run(df, kernel, state=seed) == pytest.approx([level] * 12)
 
@@ -82,8 +82,8 @@ def test_steady_state_is_a_fixed_point(spark):
 def test_missing_media(spark):
     df = spark.createDataFrame([("g", 0, 4.0), ("g", 1, None), ("g", 2, 0.0)], "geo string, t int, x double")
     with pytest.raises(Exception, match="missing"):
-        run(df, Adstock("geometric", 0.5))
-    assert run(df, Adstock("geometric", 0.5), na_action="zero") == [4, 2, 1]
+        run(df, Adstock("geometric", 0.5, normalise=False))
+    assert run(df, Adstock("geometric", 0.5, normalise=False), na_action="zero") == [4, 2, 1]
 
 
 def test_saturation(spark):
@@ -103,7 +103,7 @@ def toy(spark):
     return spark.createDataFrame([(a, float(b), float(c), float(d)) for a, b, c, d in rows], "week int, a double, b double, c double")
 
 
-SPEC = {n: ChannelSpec(Adstock("geometric", d), Saturation("hill", {"half_max": h})) for n, d, h in (("a", 0.6, 80.0), ("b", 0.3, 50.0), ("c", 0.1, 40.0))}
+SPEC = {n: ChannelSpec(Adstock("geometric", d, normalise=False), Saturation("hill", {"half_max": h})) for n, d, h in (("a", 0.6, 80.0), ("b", 0.3, 50.0), ("c", 0.1, 40.0))}
 COEF = {"a": 50.0, "b": 40.0, "c": 30.0}
 
 
@@ -149,9 +149,9 @@ def test_allocation_is_the_best_of_all_splits(spark):
 def test_tuning_recovers_the_decay(spark):
     rng = np.random.default_rng(2)
     x = rng.gamma(1, 50, 80) * (rng.random(80) > 0.4)
-    y = 20 + 3 * Adstock("geometric", 0.6).run(x) + rng.normal(0, 1, 80)
+    y = 20 + 3 * Adstock("geometric", 0.6, normalise=False).run(x) + rng.normal(0, 1, 80)
     df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "t int, x double, y double")
-    grid = [Adstock("geometric", d) for d in (0.0, 0.3, 0.6, 0.9)]
+    grid = [Adstock("geometric", d, normalise=False) for d in (0.0, 0.3, 0.6, 0.9)]
     tuned = tune_carryover(df, "x", "y", "t", candidates=grid)
     assert tuned.best.decay == 0.6 and tuned.best_1se.decay <= 0.6
     rows, cuts = filtered(df, "x", "y", "t", grid), splits(80)
@@ -166,9 +166,9 @@ def test_tuning_recovers_the_decay(spark):
 def test_joint_tuning(spark):
     rng = np.random.default_rng(3)
     a, b = rng.gamma(1, 50, 60), rng.gamma(1, 50, 60)
-    y = 3 * Adstock("geometric", 0.6).run(a) + 2 * Adstock("geometric", 0.2).run(b) + rng.normal(0, 1, 60)
+    y = 3 * Adstock("geometric", 0.6, normalise=False).run(a) + 2 * Adstock("geometric", 0.2, normalise=False).run(b) + rng.normal(0, 1, 60)
     df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(zip(a, b, y, strict=True))], "t int, a double, b double, y double")
-    grid = [Adstock("geometric", d) for d in (0.2, 0.6, 0.8)]
+    grid = [Adstock("geometric", d, normalise=False) for d in (0.2, 0.6, 0.8)]
     got = tune_carryover_joint(df, ["a", "b"], "y", "t", candidates=grid)
     assert (got["a"].decay, got["b"].decay) == (0.6, 0.2)
 
@@ -206,7 +206,7 @@ def test_diagnostics(spark):
 
 def test_steps_continue_series(spark):
     df = series(spark, range(1, 21))
-    kernels = {"x": Adstock("geometric", 0.5)}
+    kernels = {"x": Adstock("geometric", 0.5, normalise=False)}
     whole = run(df, kernels["x"])
     train, new = df.where("t < 12"), df.where("t >= 12")
     got = [r.adstock_x for r in AdstockStep(kernels, "t", ["geo"]).fit(train).transform(new).orderBy("t").collect()]
@@ -237,7 +237,7 @@ def test_streamed_filter_equals_batch(spark, tmp_path):
         df.where((F.col("t") >= low) & (F.col("t") < high)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = run_to_memory(stream_adstock(source, "geo", "t", "x", 0.5), "streamed").where("not late").orderBy("series", "t").toPandas()["value"].to_numpy()
-    assert got == pytest.approx(np.array(run(df, Adstock("geometric", 0.5))))
+    assert got == pytest.approx(np.array(run(df, Adstock("geometric", 0.5, normalise=False))))
 
 
 def test_streamed_journeys_and_sessions(spark, tmp_path):

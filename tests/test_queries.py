@@ -43,7 +43,7 @@ def test_query_equals_sql(spark, duck, name):
     ours, theirs = rows(columns, got), rows(columns, want.astype({c: got[c].dtype for c in columns if got[c].dtype.kind in "if" and want[c].notna().all() and got[c].notna().all()}))
     assert len(ours) == len(theirs)
     off = sum(a != b for a, b in zip(ours, theirs, strict=True))
-    assert off <= 0.002 * len(ours), [x for x in zip(ours, theirs, strict=True) if x[0] != x[1]][:3]
+    assert off == 0, [x for x in zip(ours, theirs, strict=True) if x[0] != x[1]][:3]
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
