@@ -44,7 +44,7 @@ def attribute(
 ) -> DataFrame:
     """(by..., rule, channel, conversions, share, value, touches[, lower, upper]).
 
-    ``by`` columns must be constant within a journey (``check_segments``). value is 0 where journeys carry none. With ``times``
+    ``by`` columns must be constant within a journey, which ``check_segments`` makes sure of first. value is 0 where journeys carry none. With ``times``
     bootstrap replicates lower and upper bound the share at ``level``. Rows of a rule are not ordered: sort on
     conversions and channel as wanted.
     """
@@ -53,6 +53,8 @@ def attribute(
     by = [by] if isinstance(by, str) else list(by)
     if clash := set(by) & {"rule", "channel", "conversions", "share", "value", "touches", "lower", "upper", "path_id"}:
         raise ValueError(f"segments can't be named {', '.join(sorted(clash))}")
+    if by:
+        check_segments(paths, by)
     df = _frame(paths)
     plain = [r for r in rules if r != "markov"]
     parts = []

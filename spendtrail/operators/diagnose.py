@@ -40,7 +40,8 @@ def correlations(df: DataFrame, media: Sequence[str], by: Sequence[str] = ()) ->
 
 
 def vif(df: DataFrame, media: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """(channel, vif): the largest over groups of 1 / (1 - R2) against the other channels; infinite where R2 is 1.
+    """(channel, vif): the largest over groups of 1 / (1 - R2) against the other channels; infinite where R2 is 1. The largest comes
+    first, channels without one last, ties by name.
 
     Only sums and products of channels leave Spark's aggregation, a matrix for each group.
     """
@@ -64,7 +65,7 @@ def vif(df: DataFrame, media: Sequence[str], by: Sequence[str] = ()) -> DataFram
                     out.append((c, np.nan if s[i, i] <= 0 else np.inf if r2 >= 1 - 1e-10 else 1 / (1 - r2)))
             yield pd.DataFrame(out, columns=["channel", "vif"])
 
-    return sums.select("g").mapInPandas(invert, "channel string, vif double").groupBy("channel").agg(F.max(F.nanvl("vif", F.lit(None).cast("double"))).alias("vif"))
+    return sums.select("g").mapInPandas(invert, "channel string, vif double").groupBy("channel").agg(F.max(F.nanvl("vif", F.lit(None).cast("double"))).alias("vif")).orderBy(F.desc_nulls_last("vif"), "channel")
 
 
 def cpm_outliers(df: DataFrame, spend: str, impressions: str, index: str, by: Sequence[str] = ()) -> DataFrame:

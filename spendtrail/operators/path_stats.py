@@ -90,8 +90,7 @@ def conversion_lag(paths, probs: Sequence[float] = (0.5, 0.75, 0.9, 0.95, 0.99,
 
 
 def path_diagnostics(paths: Journeys, n: int = 10) -> dict[str, DataFrame]:
-    """All diagnostics of one journey table, which is cached for them."""
-    paths.df.cache()
+    """All diagnostics of one journey table; cache ``paths.df`` before and release it after if all are to be run."""
     return {
         "summary": path_summary(paths),
         "lengths": path_lengths(paths),

@@ -31,24 +31,41 @@ def splits(n: int, scheme: str = "rolling_origin", initial: int | None = None, a
 
 
 def grid(max_lags: Sequence[float] = (math.inf,), decays: Sequence[float] = tuple(round(0.1 + 0.05 * i, 2) for i in range(17)), normalise: bool = True) -> list[Adstock]:
+    if not max_lags or not decays or len(set(max_lags)) < len(max_lags) or len(set(decays)) < len(decays):
+        raise ValueError("max_lags and decays need at least one value each and none twice")
     return [Adstock("geometric", d, lag, normalise=normalise) for lag in max_lags for d in decays if not (math.isinf(lag) and d == 1)]
 
 
-def filtered(df: DataFrame, x: str, y: str, index: str, candidates: Sequence[Adstock], by: Sequence[str] = ()) -> DataFrame:
-    """(candidate, by..., period, y, z): the series filtered by every candidate, in one pass over each series.
+def filtered(df: DataFrame, x: str, y: str, index: str, candidates: Sequence[Adstock], by: Sequence[str] = (), controls: Sequence[str] = (), warm_until: int | None = None) -> DataFrame:
+    """(candidate, by..., period, y, z, controls...): the series filtered by every candidate, in one pass over each series.
+
+    With ``warm_until`` a series starts as if it had always spent its mean over the first periods up to that one, as many as
+    hold nine tenths of the carryover; where it has none of these, or the kernel is not geometric, it starts cold.
 
     Filters are causal, so filtering once is the same as filtering each training window. period numbers the distinct times.
     """
     times = df.select(index).distinct().withColumn("period", F.dense_rank().over(Window.orderBy(index)))
-    rows = df.select(*by, index, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).join(F.broadcast(times), index)
+    rows = df.select(*by, index, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in controls]).join(F.broadcast(times), index)
 
     def run(series: pd.DataFrame) -> pd.DataFrame:
         series = series.sort_values("period")
         values = series["x"].to_numpy()
-        return pd.concat([series[[*by, "period", "y"]].assign(candidate=i, z=k.run(values)) for i, k in enumerate(candidates)])
+        early = values[: int((series["period"] <= warm_until).sum())] if warm_until else values[:0]
+        held = [*by, "period", "y", *controls]
+        return pd.concat([series[held].assign(candidate=i, z=warmed(k, values, early)) for i, k in enumerate(candidates)])
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    return rows.groupBy(*by).applyInPandas(run, "".join(f"`{c}` {kinds[c]}, " for c in by) + "period int, y double, candidate int, z double")
+    return rows.groupBy(*by).applyInPandas(run, "".join(f"`{c}` {kinds[c]}, " for c in by) + "period int, y double, candidate int, z double" + "".join(f", `{c}` double" for c in controls))
+
+
+def warmed(kernel: Adstock, values: np.ndarray, early: np.ndarray) -> np.ndarray:
+    """The filtered series; before it, the mean of the first of ``early`` for as long as the kernel reaches."""
+    if not len(early) or kernel.kind != "geometric" or kernel.decay == 0:
+        return kernel.run(values)
+    window = math.ceil(math.log(0.1) / math.log(kernel.decay)) if kernel.decay < 1 else len(early)
+    steady = float(np.mean(early[: max(1, min(window, len(early)))]))
+    reach = 40 * window if math.isinf(kernel.max_lag) else int(min(kernel.max_lag, 40 * window)) - 1
+    return kernel.run(np.concatenate((np.full(reach, steady), values)))[reach:]
 
 
 def expanding_fits(rows: DataFrame) -> DataFrame:
@@ -111,35 +128,97 @@ def paired_errors(predicted: DataFrame, best: int, metric: str = "rmse", block:
 
 @dataclass
 class Carryover:
+    """``notices``: picks at the edge of what was searched, and candidates left out as a split of theirs failed."""
+
     best: Adstock
     best_1se: Adstock
     results: pd.DataFrame
     predictions: DataFrame
+    notices: list[str]
+
+
+def edge_notices(pick: Adstock, candidates: Sequence[Adstock]) -> list[str]:
+    """Where a parameter of the pick is the smallest or largest of three or more tried with its other parameter."""
+    out = []
+    decays = sorted({k.decay for k in candidates if k.max_lag == pick.max_lag})
+    lags = sorted({k.max_lag for k in candidates if k.decay == pick.decay})
+    for name, value, tried, ends in (("decay", pick.decay, decays, (0, 1)), ("max_lag", pick.max_lag, lags, (1, math.inf))):
+        if len(tried) < 3 or (name == "decay" and pick.max_lag == 1) or (name == "max_lag" and pick.decay == 0):
+            continue
+        if value == tried[-1] and value != ends[1]:
+            out.append(f"{name} {value:g} is the largest value tried; try larger ones")
+        if value == tried[0] and value != ends[0]:
+            out.append(f"{name} {value:g} is the smallest value tried; try smaller ones")
+    return out
+
+
+def scores_by(predicted: DataFrame, metric_fn: Callable, aggregate: str = "pooled") -> DataFrame:
+    """(candidate, metric) by a function of the arrays y and predicted: over all test rows, or the mean over the splits."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["split", "period", "y"])
+        return pd.DataFrame({"candidate": [part["candidate"].iloc[0]], "metric": [float(metric_fn(part["y"].to_numpy(), part["predicted"].to_numpy()))]})
+
+    rows = predicted.select("candidate", "split", "period", "y", "predicted")
+    if aggregate == "pooled":
+        return rows.groupBy("candidate").applyInPandas(run, "candidate int, metric double")
+    return rows.groupBy("candidate", "split").applyInPandas(run, "candidate int, metric double").groupBy("candidate").agg(F.avg("metric").alias("metric"))
 
 
 def tune_carryover(
     df: DataFrame, x: str, y: str, index: str, by: Sequence[str] = (), candidates: Sequence[Adstock] | None = None, metric: str = "rmse", aggregate: str = "pooled", scheme: str = "rolling_origin",
-    initial: int | None = None, assess: int = 1, skip: int = 0, k: int = 5, se_block: int = 1,
+    initial: int | None = None, assess: int = 1, skip: int = 0, k: int = 5, se_block: int = 1, controls: Sequence[str] = (), fit: Callable | None = None, predict: Callable | None = None,
+    metric_fn: Callable | None = None, warm_start: bool = False,
 ) -> Carryover:
-    """The candidate with the least forward error, and the one of least carryover within one paired standard error of it."""
+    """The candidate with the least forward error, and the one of least carryover within one paired standard error of it.
+
+    The model is least squares of y on the carried-over series and the ``controls``, or any: ``fit(z, y)`` and
+    ``predict(model, z)`` on arrays, z with a column for the series and each control if there are any. ``metric_fn(y,
+    predicted)`` takes the place of ``metric``; its picks have no standard error, so both are one. Candidates of which a split
+    fails are left out; if all do, the first failure is raised.
+    """
+    if (fit is None) != (predict is None):
+        raise ValueError("fit and predict go together")
     candidates = list(candidates or grid())
     cuts = splits(df.select(index).distinct().count(), scheme, initial, assess, skip, k)
-    rows = filtered(df, x, y, index, candidates, by).cache()
-    predicted = predictions(rows, cuts)
-    results = scores(predicted, metric, aggregate).toPandas().sort_values(["metric", "candidate"])
-    best = int(results["candidate"].iloc[0])
-    errors = paired_errors(predicted, best, metric, se_block).toPandas()
-    results = results.merge(errors, on="candidate", how="left")
+    rows = filtered(df, x, y, index, candidates, by, controls, cuts[0][0] if warm_start else None).cache()
+    general = fit is not None or bool(controls)
+    predicted = (cross_validate(rows, cuts, fit or _fit_least_squares, predict or _predict_least_squares, controls) if general else predictions(rows, cuts)).cache()
+    try:
+        failed = {r["candidate"]: r["failure"] for r in predicted.groupBy("candidate").agg(F.max("failure").alias("failure")).where("failure is not null").collect()} if general else {}
+        if len(failed) == len(candidates):
+            raise RuntimeError(f"every candidate failed: {failed[min(failed)]}")
+        counted = predicted.where(~F.col("candidate").isin(list(failed))) if failed else predicted
+        results = (scores_by(counted, metric_fn, aggregate) if metric_fn else scores(counted, metric, aggregate)).toPandas().sort_values(["metric", "candidate"])
+        best = int(results["candidate"].iloc[0])
+        if metric_fn:
+            results["std_err"] = np.nan
+        else:
+            results = results.merge(paired_errors(counted, best, metric, se_block).toPandas(), on="candidate", how="left")
+    finally:
+        rows.unpersist()
+        predicted.unpersist()
     results["decay"] = [candidates[i].decay for i in results["candidate"]]
     results["max_lag"] = [candidates[i].max_lag for i in results["candidate"]]
     near = results[results["metric"] - results["metric"].min() <= results["std_err"].fillna(0)]
     carry = np.where(near["max_lag"] == 1, 0.0, near["decay"])
     pick = near.assign(carry=carry).sort_values(["carry", "max_lag", "decay"]).iloc[0]
-    return Carryover(candidates[best], candidates[int(pick["candidate"])], results.reset_index(drop=True), predicted)
+    notices = edge_notices(candidates[best], candidates) + [f"candidate {i} left out: {why}" for i, why in sorted(failed.items())]
+    return Carryover(candidates[best], candidates[int(pick["candidate"])], results.reset_index(drop=True), predicted, notices)
+
+
+def _fit_least_squares(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    design = np.column_stack([np.ones(len(y)), z])
+    return np.linalg.lstsq(design, y, rcond=None)[0]
+
+
+def _predict_least_squares(beta: np.ndarray, z: np.ndarray) -> np.ndarray:
+    return np.column_stack([np.ones(len(z)), z]) @ beta
 
 
-def cross_validate(rows: DataFrame, cuts: Sequence[tuple[int, int]], fit: Callable, predict: Callable) -> DataFrame:
-    """(candidate, split, period, y, predicted, failure) with any model: ``fit(z, y)`` and ``predict(model, z)`` on arrays.
+def cross_validate(rows: DataFrame, cuts: Sequence[tuple[int, int]], fit: Callable, predict: Callable, controls: Sequence[str] = ()) -> DataFrame:
+    """(candidate, split, period, y, predicted, failure) with any model: ``fit(z, y)`` and ``predict(model, z)`` on arrays,
+    z with a column for the series and each of the ``controls`` if there are any.
 
     Candidates run side by side; what a split raises is its failure, and its rows have no prediction.
     """
@@ -147,10 +226,11 @@ def cross_validate(rows: DataFrame, cuts: Sequence[tuple[int, int]], fit: Callab
     def run(candidate: pd.DataFrame) -> pd.DataFrame:
         out = []
         for i, (a, b) in enumerate(cuts):
+            known = ["z", *controls] if controls else "z"
             train, test = candidate[candidate["period"] <= a], candidate[(candidate["period"] > a) & (candidate["period"] <= b)]
             made, failure = np.full(len(test), np.nan), None
             try:
-                made = np.asarray(predict(fit(train["z"].to_numpy(), train["y"].to_numpy()), test["z"].to_numpy()), float)
+                made = np.asarray(predict(fit(train[known].to_numpy(), train["y"].to_numpy()), test[known].to_numpy()), float)
             except Exception as e:  # the caller's model: its failure is a result
                 failure = str(e).split("\n")[0]
             out.append(test[["candidate", "period", "y"]].assign(split=i, predicted=made, failure=failure))

@@ -235,7 +235,7 @@ register(
     f"""WITH RECURSIVE {SEGMENTED}, {CHAIN.format(by='segment, ', wby='w.segment, ', hby='h.segment, ', on='AND q.segment = w.segment', hon='AND h.segment = b.segment', part='PARTITION BY e.segment', fon='e.segment = f.segment')}
         SELECT segment, channel, round(re, 6) AS removal_effect, round(conversions, 6) AS conversions, round(share, 6) AS share FROM markov""",
 )
-register("t14_share_intervals", lambda spark, sf_dir: share_intervals(journeys(spark, sf_dir, **DROP), ["linear", "last", "markov"], times=40))
+register("t14_share_intervals", lambda spark, sf_dir: share_intervals(journeys(spark, sf_dir, **DROP), ["linear", "last", "markov"]))
 register(
     "a4_path_summary",
     lambda spark, sf_dir: path_summary(journeys(spark, sf_dir, **DROP)).withColumn("mean_length", F.round("mean_length", 6)),

@@ -19,10 +19,10 @@ def from_theta_alpha_gamma(
     n = df.count()
     if kind == "geometric":
         kernel = Adstock("geometric", theta, normalise=False)
-    elif kind == "weibull_cdf":
-        kernel = Adstock("weibull", max_lag=n, shape=shape, scale=float(round(float(np.quantile(np.arange(1, n + 1), scale)))), type="cdf", normalise=False)
+    elif kind in ("weibull_cdf", "weibull_pdf"):
+        kernel = Adstock("weibull", max_lag=n, shape=shape, scale=float(round(float(np.quantile(np.arange(1, n + 1), scale)))), type=kind.removeprefix("weibull_"), normalise=False)
     else:
-        raise ValueError("kind is geometric or weibull_cdf")
+        raise ValueError("kind is geometric, weibull_cdf or weibull_pdf")
     made = adstock(df, {"_a": (x, kernel)}, order_by)
     ends = (made.where(window) if window is not None else made).agg(F.min("_a").alias("low"), F.max("_a").alias("high")).first()
     half = gamma * ends["high"] if inflexion == "max" else (1 - gamma) * ends["low"] + gamma * ends["high"]

@@ -249,3 +249,56 @@ def test_streamed_journeys_and_sessions(spark, tmp_path):
     assert [(r.path_id, r.path) for r in got] == [("a#1", "x > y"), ("a#2", "z > w")]
     timed = rows.select("id", "ch", F.timestamp_seconds((F.col("t") * F.when(F.col("t") < 2, 10).otherwise(100)).cast("long")).alias("ts"))
     assert sorted(r.touches for r in stream_sessions(timed, "id", "ts", "15 seconds", "1 minute", "ch").collect()) == [1, 1, 2]
+
+
+def tuned_rows(spark, n=60):
+    rng = np.random.default_rng(31)
+    x, c = rng.gamma(2, 50, n), rng.normal(0, 1, n)
+    y = 20 + 3 * Adstock("geometric", 0.6).run(x) + 40 * c + rng.normal(0, 1, n)
+    return spark.createDataFrame([(i, float(x[i]), float(c[i]), float(y[i])) for i in range(n)], "t int, x double, c double, y double"), x, c, y
+
+
+def test_tuning_with_controls_equals_least_squares_by_hand(spark):
+    df, x, c, y = tuned_rows(spark)
+    kernels = [Adstock("geometric", d) for d in (0.2, 0.4, 0.6, 0.8)]
+    tuned = tune_carryover(df, "x", "y", "t", candidates=kernels, initial=30, assess=5, skip=4, controls=["c"])
+    want = []
+    for k in kernels:
+        z, off = k.run(x), []
+        for a in range(30, 56, 5):
+            design = np.column_stack([np.ones(60), z, c])
+            beta = np.linalg.lstsq(design[:a], y[:a], rcond=None)[0]
+            off += (design[a : a + 5] @ beta - y[a : a + 5]).tolist()
+        want.append(float(np.sqrt(np.mean(np.square(off)))))
+    got = tuned.results.sort_values("candidate")["metric"].tolist()
+    assert got == pytest.approx(want) and tuned.best.decay == 0.6 and tuned.notices == []
+
+
+def test_tuning_with_any_model_metric_and_failures(spark):
+    df, x, c, y = tuned_rows(spark)
+    kernels = [Adstock("geometric", d) for d in (0.6, 0.7, 0.8)]
+
+    def failing(z, goal):
+        raise ValueError("no")
+
+    tuned = tune_carryover(df, "x", "y", "t", candidates=kernels, initial=40, fit=lambda z, goal: np.polyfit(z, goal, 1), predict=np.polyval, metric_fn=lambda a, b: float(np.median(np.abs(a - b))))
+    assert tuned.best == tuned.best_1se and tuned.results["std_err"].isna().all()
+    if tuned.best.decay == 0.6:
+        assert tuned.notices == ["decay 0.6 is the smallest value tried; try smaller ones"]
+    with pytest.raises(RuntimeError, match="every candidate failed: no"):
+        tune_carryover(df, "x", "y", "t", candidates=kernels, initial=40, fit=failing, predict=np.polyval)
+    with pytest.raises(ValueError):
+        tune_carryover(df, "x", "y", "t", candidates=kernels, fit=failing)
+
+
+def test_warm_start_takes_the_level_before_the_series(spark):
+    from spendtrail.operators.tuning import filtered, grid
+
+    df = spark.createDataFrame([(i, 10.0, 1.0) for i in range(20)], "t int, x double, y double")
+    kernels = [Adstock("geometric", 0.5), Adstock("geometric", 0.5, 4), Adstock("geometric", 0.0)]
+    got = {(r.candidate, r.period): r.z for r in filtered(df, "x", "y", "t", kernels, warm_until=8).collect()}
+    assert all(z == pytest.approx(10.0) for z in got.values())
+    cold = {(r.candidate, r.period): r.z for r in filtered(df, "x", "y", "t", kernels).collect()}
+    assert cold[0, 1] == pytest.approx(5.0)
+    with pytest.raises(ValueError):
+        grid(decays=(0.2, 0.2))
