@@ -212,11 +212,13 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
     classes = written(whole)
     keyed = classes.select("node", "n", F.posexplode("first").alias("place", "key"))
     places = classes.agg(F.coalesce(F.sum(F.size("first")), F.lit(0))).first()[0]
+    again = written(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"))
+    shared = written(split_by_keys(keyed, ["key"], again)[1])
     members = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"members{i}") for i in range(2)]
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("node", "place")).alias("least"), *members).where("size > 1")
+    buckets = shared.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("node", "place")).alias("least"), *members).where("size > 1")
     first = F.min(F.struct("least.place", "key")).alias("first")
     buckets = written(buckets.groupBy("size", F.col("least.node").alias("hub"), "members0", "members1").agg(first).select("first.key", "size", "hub"))
-    met = written(attach_groups(split_by_keys(keyed, ["key"], buckets.select("key"))[1], buckets, "key", "size", places))
+    met = written(attach_groups(split_by_keys(shared, ["key"], buckets.select("key"))[1], buckets, "key", "size", places))
     hubs = written(met.where("node = hub").groupBy("key").agg(F.first("size").alias("size"), F.first("n").alias("n_b"), F.first("place").alias("place_b")))
     least = similarity / (1 + similarity)
 
