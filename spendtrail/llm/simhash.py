@@ -18,6 +18,16 @@ SEED = 42
 SMALL_BUCKET = 16
 
 
+BATCH = 256  # texts whose shingles a task holds at a time
+
+
+def _some(batches):
+    """Batches of up to BATCH rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH):
+            yield batch.slice(at, BATCH)
+
+
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
     """Unsigned XXH64 (seed 42) of each run of ``words`` words, repeats included; fewer words: the whole sequence."""
     tokens = text.lower().split()  # on bytes: A-Z only, and splits on 0x20 and 0x09-0x0D
@@ -153,7 +163,7 @@ def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
     """Sorted hashes of shingles met more than twice in a sample of ``docs`` (doc_id, text), and their ranks, the rarest first."""
 
     def read(batches):
-        for batch in batches:
+        for batch in _some(batches):
             sets = [np.unique(shingle_hashes(text.as_py() or b"", words)).view(np.int64) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64))], ["s"])
 
@@ -194,7 +204,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
     order = spark.sparkContext.broadcast(common_shingles(texts, words))
 
     def read(batches):
-        for batch in batches:
+        for batch in _some(batches):
             sets = [np.unique(shingle_hashes(text.as_py() or b"", words)) for text in batch.column(1)]
             keys = pa.array([_set_key(s) for s in sets], pa.int64())
             first = [rare_first(s, *order.value)[: prefix_length(len(s), similarity)].view(np.int64) for s in sets]
@@ -202,7 +212,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
             yield pa.RecordBatch.from_arrays([batch.column(0), keys, pa.array(map(len, sets), pa.int32()), *lists], ["doc_id", "node", "n", "first", "map"])
 
     def read_sets(batches):
-        for batch in batches:
+        for batch in _some(batches):
             sets = [np.unique(shingle_hashes(text.as_py() or b"", words)) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([pa.array([_set_key(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "shingles"])
 
