@@ -133,6 +133,7 @@ MAP_WORDS = 16  # 64-bit words of a parity map
 COMMON_SAMPLE = 10_000  # documents at least, in the sample that tells common shingles
 COMMON_SHARE = 1 / 32  # of the documents, if those are more
 COMMON_MOST = 500_000  # shingles whose rank tasks carry; it decides the cost alone, never the result
+HUBS = 4  # sets of each bucket that all others of it meet first; it decides the cost alone, never the result
 SLACK = 1e-9  # of bounds computed in floating point
 
 
@@ -193,9 +194,9 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
     and nothing else can link. A meeting is dropped only where it is proven too few shingles are common: by the sets' sizes
     and the shingle's places in them, or by the maps of ``parity_map``; the rest are counted on the sets themselves, read
     from the texts once more. Of buckets with the same members only the first in the order counts, as there any two of them
-    meet first. At first each set meets the least one of each of its buckets; groups of copies are one
-    component by then. After that only sets of different components meet, all of a bucket, as a link within a component
-    adds nothing. Null and blank texts are one group; texts of fewer words than ``words`` are one shingle. Very long texts
+    meet first. At first each set meets the HUBS of each of its buckets, the least by as many orders; groups of copies are
+    one component by then. After that only sets of different components meet, all of a bucket, as a link within a component
+    adds nothing; the bounds are part of that join, so of its pairs only those near enough become rows. Null and blank texts are one group; texts of fewer words than ``words`` are one shingle. Very long texts
     have long sets, and a prefix of a fifth of them. Rows that repeat an id share a component. No rows: no rows. Other
     columns are ignored.
     """
@@ -224,37 +225,44 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
     places = classes.agg(F.coalesce(F.sum(F.size("first")), F.lit(0))).first()[0]
     again = written(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"))
     shared = written(split_by_keys(keyed, ["key"], again)[1])
+    by_order = [F.min(F.struct(F.xxhash64("node", F.lit(-i)).alias("by"), "node")).alias(f"hub{i}") for i in range(1, HUBS)]
     members = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"members{i}") for i in range(2)]
-    buckets = shared.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("node", "place")).alias("least"), *members).where("size > 1")
+    buckets = shared.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("node", "place")).alias("least"), *by_order, *members).where("size > 1")
     first = F.min(F.struct("least.place", "key")).alias("first")
-    buckets = written(buckets.groupBy("size", F.col("least.node").alias("hub"), "members0", "members1").agg(first).select("first.key", "size", "hub"))
+    hubs = F.array_distinct(F.array("least.node", *[f"hub{i}.node" for i in range(1, HUBS)])).alias("hubs")
+    buckets = written(buckets.groupBy("size", hubs, "members0", "members1").agg(first).select("first.key", "size", "hubs"))
     met = written(attach_groups(split_by_keys(shared, ["key"], buckets.select("key"))[1], buckets, "key", "size", places))
-    hubs = written(met.where("node = hub").groupBy("key").agg(F.first("size").alias("size"), F.first("n").alias("n_b"), F.first("place").alias("place_b")))
+    hubs = written(met.where("array_contains(hubs, node)").select("key", "size", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b")))
     least = similarity / (1 + similarity)
 
     def possible(n: str, place: str, other_n: str, other_place: str) -> Column:
         return F.least(F.col(n) - F.col(place), F.col(other_n) - F.col(other_place)) >= least * (F.col(n) + F.col(other_n)) - SLACK
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Of the pairs (a, b) and their sizes those that are similar."""
-        side = classes.select("node", "map")
-        apart = F.aggregate(F.zip_with("map_a", "map_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        near = pairs.distinct().join(side.toDF("a", "map_a"), "a").join(side.toDF("b", "map_b"), "b")
-        near = written(near.where(apart <= (1 - 2 * least) * (F.col("n_a") + F.col("n_b")) + SLACK).select("a", "b"))
+    sized = classes.select("node", "n", *[F.col("map")[i].alias(f"map{i}") for i in range(MAP_WORDS)])
+    apart = sum((F.bit_count(F.col(f"map{i}_a").bitwiseXOR(F.col(f"map{i}_b"))) for i in range(MAP_WORDS)), F.lit(0))
+    close = apart <= (1 - 2 * least) * (F.col("n_a") + F.col("n_b")) + SLACK
+
+    def linked(near: DataFrame) -> DataFrame:
+        """Of the pairs (a, b) those that are similar."""
+        near = written(near.distinct())
         asked = written(near.select(F.col("a").alias("node")).union(near.select("b")).distinct().join(classes.select("node", "first_id"), "node"))
         own = split_by_keys(texts, ["doc_id"], asked.select("first_id"))[1].mapInArrow(read_sets, "node long, shingles array<long>")
         sets = written(split_by_keys(own, ["node"], asked.select("node"))[1].join(asked, "node").groupBy("node").agg(F.first("shingles").alias("shingles")))
         return written(near.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").where(alike("x", "y", similarity)).select("a", "b"))
 
-    far = attach_groups(met.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"), F.col("hub").alias("b")), hubs, "key", "size", places)
-    stars = linked(far.where((F.col("a") != F.col("b")) & possible("n_a", "place_a", "n_b", "place_b")).select("a", "n_a", "b", "n_b"))
+    far = attach_groups(met.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a")), hubs, "key", "size", places)
+    far = far.where((F.col("a") != F.col("b")) & possible("n_a", "place_a", "n_b", "place_b"))
+    far = far.select(F.least("a", "b").alias("node_a"), F.greatest("a", "b").alias("node_b")).distinct()
+    for x in "ab":
+        far = far.join(sized.toDF(*[f"{c}_{x}" for c in sized.columns]), f"node_{x}")
+    stars = linked(far.where(close).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
     parts = written(connected_components(stars))
     placed = met.select("key", "node", "n", "place").distinct().join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
     mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-    open_ = written(placed.join(mixed, "key"))
-    one, two = (open_.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "place", "part")]) for x in "ab")
-    cross = one.join(two, (one.key == two.key) & (F.col("part_a") < F.col("part_b")) & possible("n_a", "place_a", "n_b", "place_b"))
-    rest = linked(cross.select(F.col("node_a").alias("a"), "n_a", F.col("node_b").alias("b"), "n_b"))
+    open_ = written(placed.join(mixed, "key").join(sized.drop("n"), "node"))
+    one, two = (open_.select("key", *[F.col(c).alias(f"{c}_{x}") for c in open_.columns if c != "key"]) for x in "ab")
+    cross = one.join(two, (one.key == two.key) & (F.col("part_a") < F.col("part_b")) & possible("n_a", "place_a", "n_b", "place_b") & close)
+    rest = linked(cross.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
 
     parts = connected_components(stars.union(rest))
     parts = classes.join(parts, "node", "left").select("node", "first_id", "copies", F.coalesce("component", "node").alias("component"))
