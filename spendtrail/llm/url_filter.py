@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from spendtrail.llm.common import UPPER, attach_groups, cut
 
+TASK_LINKS = 1 << 17  # links a task of a round takes; it decides the cost alone, never the result
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -78,24 +80,25 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, toleran
     Ranks are in units of seed weight; what reaches a host without out-links ends there. Hosts never reached are absent. No
     seeds: no rows. Rounds go on until one changes all ranks together by ``tolerance`` of the seeds' weight or less, which
     every fourth shows; if ``rounds`` don't bring that about, an error says so. Each round is one join on the source and one sum by target, with
-    partial sums first.
+    partial sums first, in one task for every ``TASK_LINKS`` links: many rounds over a small graph would else be mostly empty tasks.
     """
-    start = cut(seeds.groupBy("host").agg(F.sum("weight").cast("double").alias("rank")))
+    tasks = 1 + links.count() // TASK_LINKS
+    start = cut(seeds.groupBy("host").agg(F.sum("weight").cast("double").alias("rank")).coalesce(tasks))
     mass = start.agg(F.sum("rank")).first()[0] or 0.0
     out = links.groupBy("src").agg(F.sum("weight").alias("out"))
-    edges = cut(links.join(out, "src").select("src", "dst", (damping * F.col("weight") / F.col("out")).alias("share")))
+    edges = cut(links.join(out, "src").select("src", "dst", (damping * F.col("weight") / F.col("out")).alias("share")).coalesce(tasks))
     teleport = start.select("host", ((1 - damping) * F.col("rank")).alias("rank"))
     ranks = start
     for r in range(rounds):
         if r % 4 == 3:
             ranks = cut(ranks)
-        moved = ranks.join(edges, ranks.host == edges.src).select(F.col("dst").alias("host"), (F.col("rank") * F.col("share")).alias("rank"))
-        after = moved.unionByName(teleport).groupBy("host").agg(F.sum("rank").alias("rank"))
+        moved = ranks.join(edges, ranks.host == edges.src).select(F.col("dst").alias("host"), (F.col("rank") * F.col("share")).alias("rank")).coalesce(tasks)
+        after = moved.unionByName(teleport).groupBy("host").agg(F.sum("rank").alias("rank")).coalesce(tasks)
         if r % 4 < 3:
             ranks = after
             continue
         after = cut(after)
-        both = after.join(ranks.withColumnRenamed("rank", "old"), "host", "full")
+        both = after.join(ranks.withColumnRenamed("rank", "old"), "host", "full").coalesce(tasks)
         change = both.agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0] or 0.0
         ranks = after
         if change <= tolerance * mass:
