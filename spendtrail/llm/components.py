@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from spendtrail.llm.common import cut
 
+TASK_LINKS = 1 << 15  # links a task of a round takes; it decides the cost alone, never the result
+
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node that has a link; component is the smallest node reachable.
 
     ``links`` has the columns ``a`` and ``b``; order, loops and repeats don't matter. No links: no rows. Every round is a
-    shuffle of the links, whose number never grows, and ends in a checkpoint; rounds grow with the log of the largest
-    component. Raises if ``max_rounds`` do not settle it, rather than return part of the answer.
+    shuffle of the links, whose number never grows, in one task for every ``TASK_LINKS`` of them, and ends in a checkpoint;
+    rounds grow with the log of the largest component. Raises if ``max_rounds`` do not settle it, rather than return part of the answer.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
@@ -24,7 +26,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
                 edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         before = state
-        edges = cut(_small_star(_large_star(edges)))
+        tasks = 1 + state[0] // TASK_LINKS
+        edges = cut(_small_star(_large_star(edges.coalesce(tasks)).coalesce(tasks)).coalesce(tasks))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
