@@ -75,34 +75,38 @@ def host_links(pages: DataFrame, html_col: str = "html") -> DataFrame:
 
 
 def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 0.01, rounds: int = 100) -> DataFrame:
-    """(host, rank): personalised PageRank over ``links`` (src, dst, weight) from ``seeds`` (host, weight).
+    """(host, rank): personalised PageRank over ``links`` (src, dst, weight) from ``seeds`` (host, weight); see ``propagate_sides``."""
+    side = F.lit(0).alias("side")
+    return propagate_sides(links.select(side, "src", "dst", "weight"), seeds.select(side, "host", "weight"), damping, tolerance, rounds).drop("side")
+
+
+def propagate_sides(links: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 0.01, rounds: int = 100) -> DataFrame:
+    """(side, host, rank): personalised PageRank of each side by itself, over ``links`` (side, src, dst, weight) from ``seeds``
+    (side, host, weight). Sides are few.
 
     Ranks are in units of seed weight; what reaches a host without out-links ends there. Hosts never reached are absent. No
-    seeds: no rows. Rounds go on until one changes all ranks together by ``tolerance`` of the seeds' weight or less, which
-    every fourth shows; if ``rounds`` don't bring that about, an error says so. Each round is one join on the source and one sum by target, with
-    partial sums first, in one task for every ``TASK_LINKS`` links: many rounds over a small graph would else be mostly empty tasks.
+    seeds: no rows. Rounds go on until one changes all ranks of each side together by ``tolerance`` of its seeds' weight or
+    less, which every fourth shows; if ``rounds`` don't bring that about, an error says so. Each round is one join on the source
+    and one sum by target, with partial sums first, and cuts the lineage. It runs in one task for every ``TASK_LINKS`` links, as
+    many rounds over a small graph would else be mostly empty tasks, and joins by merging, so nothing goes through the driver.
     """
     tasks = 1 + links.count() // TASK_LINKS
-    start = cut(seeds.groupBy("host").agg(F.sum("weight").cast("double").alias("rank")).coalesce(tasks))
-    mass = start.agg(F.sum("rank")).first()[0] or 0.0
-    out = links.groupBy("src").agg(F.sum("weight").alias("out"))
-    edges = cut(links.join(out, "src").select("src", "dst", (damping * F.col("weight") / F.col("out")).alias("share")).coalesce(tasks))
-    teleport = start.select("host", ((1 - damping) * F.col("rank")).alias("rank"))
+    start = cut(seeds.groupBy("side", "host").agg(F.sum("weight").cast("double").alias("rank")).coalesce(tasks))
+    mass = {side: total for side, total in start.groupBy("side").agg(F.sum("rank")).collect()}
+    out = links.groupBy("side", "src").agg(F.sum("weight").alias("out"))
+    edges = links.join(out, ["side", "src"]).select("side", F.col("src").alias("host"), "dst", (damping * F.col("weight") / F.col("out")).alias("share"))
+    edges = cut(edges.coalesce(tasks))
+    teleport = start.select("side", "host", ((1 - damping) * F.col("rank")).alias("rank"))
     ranks = start
     for r in range(rounds):
+        moved = ranks.hint("merge").join(edges, ["side", "host"]).select("side", F.col("dst").alias("host"), (F.col("rank") * F.col("share")).alias("rank"))
+        after = cut(moved.coalesce(tasks).unionByName(teleport).groupBy("side", "host").agg(F.sum("rank").alias("rank")).coalesce(tasks))
         if r % 4 == 3:
-            ranks = cut(ranks)
-        moved = ranks.join(edges, ranks.host == edges.src).select(F.col("dst").alias("host"), (F.col("rank") * F.col("share")).alias("rank")).coalesce(tasks)
-        after = moved.unionByName(teleport).groupBy("host").agg(F.sum("rank").alias("rank")).coalesce(tasks)
-        if r % 4 < 3:
-            ranks = after
-            continue
-        after = cut(after)
-        both = after.join(ranks.withColumnRenamed("rank", "old"), "host", "full").coalesce(tasks)
-        change = both.agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0] or 0.0
+            both = after.hint("merge").join(ranks.withColumnRenamed("rank", "old"), ["side", "host"], "full").coalesce(tasks)
+            moved_by = F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))
+            if all(change <= tolerance * mass[side] for side, change in both.groupBy("side").agg(moved_by).collect()):
+                return after
         ranks = after
-        if change <= tolerance * mass:
-            return ranks
     raise RuntimeError(f"ranks did not settle in {rounds} rounds")
 
 
@@ -122,9 +126,11 @@ def url_verdicts(pages: DataFrame, rules: list[Rule], threshold: float = 0.75, i
     links = cut(host_links(judged, "html_"))
     standing = judged.groupBy("host").agg(F.count("*").alias("pages"), *[F.count_if(F.col("ruled") == v).alias(v) for v in ("allow", "block")])
     standing = cut(standing)
-    trust = propagate(links, standing.where("allow > 0 and host <> ''").select("host", F.col("allow").alias("weight")))
-    distrust = propagate(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), standing.where("block > 0 and host <> ''").select("host", F.col("block").alias("weight")))
-    known = standing.select("host", "pages").join(trust.withColumnRenamed("rank", "trust"), "host", "left").join(distrust.withColumnRenamed("rank", "distrust"), "host", "left").na.fill(0.0, ["trust", "distrust"])
+    reverse = links.select(F.lit("distrust").alias("side"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    seeds = [standing.where((F.col(v) > 0) & (F.col("host") != "")).select(F.lit(side).alias("side"), "host", F.col(v).alias("weight")) for side, v in (("trust", "allow"), ("distrust", "block"))]
+    ranks = propagate_sides(links.select(F.lit("trust").alias("side"), "src", "dst", "weight").unionByName(reverse), seeds[0].unionByName(seeds[1]))
+    both = ranks.groupBy("host").agg(*[F.sum(F.when(F.col("side") == side, F.col("rank")).otherwise(0.0)).alias(side) for side in ("trust", "distrust")])
+    known = standing.select("host", "pages").join(both, "host", "left").na.fill(0.0, ["trust", "distrust"])
     known = cut(known.withColumn("share", F.coalesce(F.try_divide(F.col("distrust"), F.col("trust") + F.col("distrust")), F.lit(0.0))))
     by_host = F.when(F.col("share") > threshold, "block").otherwise("allow")
     total = standing.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
