@@ -120,5 +120,10 @@ def keep_where(docs: DataFrame, text_col: str, keep: Callable[[str | None], bool
     return docs.mapInArrow(run, docs.schema)
 
 
+def table_key(df: DataFrame, column: str) -> str:
+    """The column's name and type, as a schema string has them."""
+    return f"`{column}` {df.schema[column].dataType.simpleString()}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from spendtrail.llm.bpe import bpe_encode
 from spendtrail.llm.common import table
+from spendtrail.llm.divergence import divergence_audit
 from spendtrail.llm.exact_dedup import exact_dedup
+from spendtrail.llm.fim import fim_restore, fim_transform
 from spendtrail.llm.hnsw import nearest
 from spendtrail.llm.langid import fit_language, language_scores
 from spendtrail.llm.line_dedup import line_dedup
@@ -15,6 +17,7 @@ from spendtrail.llm.lm import lm_scores
 from spendtrail.llm.packing import best_fit_packing
 from spendtrail.llm.quality import fit_quality, quality_scores
 from spendtrail.llm.simhash import near_dedup
+from spendtrail.llm.token_counts import token_counts
 from spendtrail.llm.url_filter import Rule, url_verdicts
 
 
@@ -80,7 +83,27 @@ def op10_language(spark, sf_dir):
     return language_scores(docs, model).select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_url_filter, op3_quality, op4_exact_dedup, op5_best_fit_packing, op6_byte_bpe, op7_lm_scores, op8_hnsw, op9_simhash, op10_language)}
+def op11_fill_in_middle(spark, sf_dir):
+    rows = fim_transform(table(spark, sf_dir, "documents"))
+    restored = fim_restore(F.col("output"), F.col("form"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+def op12_token_counts(spark, sf_dir):
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_source_divergence(spark, sf_dir):
+    return divergence_audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup, op2_url_filter, op3_quality, op4_exact_dedup, op5_best_fit_packing, op6_byte_bpe, op7_lm_scores, op8_hnsw, op9_simhash, op10_language,
+        op11_fill_in_middle, op12_token_counts, op13_source_divergence,
+    )
+}
 
 FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -117,4 +140,33 @@ SQL = {
         WITH t AS (SELECT doc_id, sha256({FOLDED}) AS text_sha256 FROM documents),
              g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY 1)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)""",
+    "op11_fill_in_middle": r"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || doc_id) AS h, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units FROM documents),
+             d AS (SELECT *, len(units) AS n, [('0x' || substr(h, 8 * i + 1, 8))::BIGINT FOR i IN range(4)] AS draws FROM t),
+             c AS (SELECT *, least(draws[1] % (n + 1), draws[2] % (n + 1)) AS low, greatest(draws[1] % (n + 1), draws[2] % (n + 1)) AS high,
+                          CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR draws[3] % 100 >= 100 THEN 'plain'
+                               WHEN draws[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+             p AS (SELECT *, array_to_string(units[1:low], '') AS prefix, array_to_string(units[low + 1:high], '') AS middle, array_to_string(units[high + 1:], '') AS suffix FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM p""",
+    "op13_source_divergence": rf"""
+        WITH docs AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {FOLDED} AS text FROM documents),
+             words AS (SELECT i, lang, source, unnest(regexp_extract_all(text, '[a-z\x{{80}}-\x{{10FFFF}}]+')) AS term FROM docs),
+             kept AS (SELECT lang, term, count(*) AS whole FROM words GROUP BY 1, 2 HAVING count(DISTINCT i) >= 30),
+             size AS (SELECT lang, count(*) AS v, sum(whole) AS n FROM kept GROUP BY 1),
+             grp AS (SELECT DISTINCT lang, source FROM docs),
+             counts AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+             totals AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM grp LEFT JOIN counts USING (lang, source) GROUP BY 1, 2),
+             p AS (SELECT lang, source, term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (total + 5 * v) AS p,
+                          1 + (1000000000::HUGEINT * (whole + 5)) // (s.n + 5 * v) AS q
+                   FROM totals JOIN size s USING (lang) JOIN kept USING (lang) LEFT JOIN counts c USING (lang, source, term)),
+             pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0) AS value
+                      FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+                      LEFT JOIN (SELECT x.lang, x.source, y.source AS other, sum(abs(x.p - y.p)) AS f FROM p x JOIN p y USING (lang, term) GROUP BY 1, 2, 3) d
+                             ON d.lang = a.lang AND d.source = a.source AND d.other = b.source),
+             term AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM pair UNION ALL FROM term)) WHERE part = 'pair' OR rank <= 50""",
 }
