@@ -15,7 +15,7 @@ from spendtrail.operators.adstock import Adstock, ChannelSpec, Saturation, adsto
 from spendtrail.operators.bootstrap import block_bootstrap
 from spendtrail.operators.diagnose import carry_class, correlations, cpm_outliers, date_audit, variation, vif
 from spendtrail.operators.steps import AdstockStep, Curve, SaturationStep, reference_levels
-from spendtrail.operators.tuning import expanding_fits, filtered, grid, predictions, scores, splits, tune_carryover, tune_carryover_joint
+from spendtrail.operators.tuning import expanding_fits, filtered, grid, predictions, splits, tune_carryover, tune_carryover_joint
 from spendtrail.plans.media import allocate_budget, contributions, marginal_roi, mroi_column, reallocate, response_curve, response_grid, roi, simulate_plan, spend_for, transform_plan, unmatched
 from spendtrail.plans.plot_data import contribution_bands
 from spendtrail.sources.hyper import from_theta_alpha_gamma
@@ -254,7 +254,43 @@ register("a28_fit_ols", lambda spark, sf_dir: panel(spark, sf_dir, kpi=True).gro
 register("a29_metrics", lambda spark, sf_dir: panel(spark, sf_dir, kpi=True).groupBy("geo").agg(F.round(rmse(F.col("kpi"), F.col("urgent")), 4).alias("rmse"), F.round(mae(F.col("kpi"), F.col("urgent")), 4).alias("mae")),
     f"WITH {PANEL}{KPI} SELECT geo, round(sqrt(avg(pow(kpi - urgent, 2))), 4) AS rmse, round(avg(abs(kpi - urgent)), 4) AS mae FROM full_panel GROUP BY geo")
 CANDIDATES = grid((8,))  # all decays of the default grid
-CV = f"""WITH {PANEL}{KPI}, per AS (SELECT *, dense_rank() OVER (ORDER BY wk) AS period FROM full_panel), z AS (""" + " UNION ALL ".join(f"SELECT {i} AS candidate, geo, period, kpi AS y, {fir_sql('urgent', geometric_weights(int(k.max_lag), k.decay, True))} AS z FROM per" for i, k in enumerate(CANDIDATES)) + "), "
+
+
+def carried_sql(x):
+    return " UNION ALL ".join(f"SELECT {i} AS candidate, geo, period, kpi AS y, medium AS c, {fir_sql(x, geometric_weights(int(k.max_lag), k.decay, True))} AS z FROM per" for i, k in enumerate(CANDIDATES))
+
+
+CV = f"""WITH {PANEL}{KPI}, per AS (SELECT *, dense_rank() OVER (ORDER BY wk) AS period FROM full_panel), z AS ({carried_sql('urgent')}), """
+
+
+def least_squares_sql(table, regressors):
+    """CTE fits (candidate, a, b0, b1...): y on one or two regressors over all periods up to a, by running sums about the means."""
+    names = ["y", *regressors]
+    pairs = [(p, q) for i, p in enumerate(names) for q in names[i:]]
+    d = {x: f"({x} - m_{x})" for x in names}
+    sums = [f"sum({d[x]}) AS s_{x}" for x in names] + [f"sum({d[p]} * {d[q]}) AS s_{p}_{q}" for p, q in pairs]
+    cols = ["n", *[f"s_{x}" for x in names], *[f"s_{p}_{q}" for p, q in pairs]]
+    v = lambda p, q: f"(s_{p}_{q} - s_{p} * s_{q} / n)"
+    if len(regressors) == 1:
+        (x,) = regressors
+        slopes = {x: f"{v('y', x)} / {v(x, x)}"}
+    else:
+        x, w = regressors
+        det = f"({v(x, x)} * {v(w, w)} - {v(x, w)} * {v(x, w)})"
+        slopes = {x: f"({v(w, w)} * {v('y', x)} - {v(x, w)} * {v('y', w)}) / {det}", w: f"({v(x, x)} * {v('y', w)} - {v(x, w)} * {v('y', x)}) / {det}"}
+    return f"""means AS (SELECT candidate, {', '.join(f'avg({x}) AS m_{x}' for x in names)} FROM {table} GROUP BY 1),
+        per_sums AS (SELECT candidate, period, count(*)::DOUBLE AS n, {', '.join(f'any_value(m_{x}) AS m_{x}' for x in names)}, {', '.join(sums)} FROM {table} JOIN means USING (candidate) GROUP BY 1, 2),
+        run AS (SELECT candidate, period, {', '.join(f'm_{x}' for x in names)}, {', '.join(f'sum({c}) OVER k AS {c}' for c in cols)} FROM per_sums WINDOW k AS (PARTITION BY candidate ORDER BY period)),
+        slopes AS (SELECT *, {', '.join(f'{e} AS b_{x}' for x, e in slopes.items())} FROM run),
+        fits AS (SELECT candidate, period AS a, m_y + s_y / n - {' - '.join(f'b_{x} * (m_{x} + s_{x} / n)' for x in regressors)} AS b0, {', '.join(f'b_{x}' for x in regressors)} FROM slopes)"""
+
+
+def tested_sql(table, regressors, initial, assess):
+    """CTEs fits and tested (candidate, split, geo, period, y, predicted)."""
+    return least_squares_sql(table, regressors) + f""",
+        cuts AS (SELECT unnest(range({initial}, (SELECT max(period) FROM per) - {assess - 1})) AS a),
+        tested AS (SELECT t.candidate, a - {initial} AS split, t.geo, t.period, y, b0 + {' + '.join(f'b_{x} * {x}' for x in regressors)} AS predicted
+                   FROM fits JOIN cuts USING (a) JOIN {table} t ON t.candidate = fits.candidate AND t.period > a AND t.period <= a + {assess})"""
 
 
 def cross_validated(spark, sf_dir):
@@ -263,13 +299,65 @@ def cross_validated(spark, sf_dir):
     return rows, splits(df.select("wk").distinct().count(), initial=200, assess=4)
 
 
-SPLITS = "cuts AS (SELECT unnest(range(200, (SELECT max(period) FROM per) - 3)) AS a)"
+def search(spark, sf_dir, controls=()):
+    return tune_carryover(panel(spark, sf_dir, kpi=True), "urgent", "kpi", "wk", ["geo"], CANDIDATES, initial=200, assess=4, controls=list(controls))
+
+
+def tuned(spark, sf_dir, controls=()):
+    """The metric of every candidate, its jackknife error and that of its difference from the best."""
+    found = search(spark, sf_dir, controls).results
+    return spark.createDataFrame(found[["candidate", "metric", "std_err", "paired_err"]], "candidate int, metric double, std_err double, paired_err double").select("candidate", *[r(c, 4) for c in ("metric", "std_err", "paired_err")])
+
+
+def picked(spark, sf_dir):
+    found = search(spark, sf_dir)
+    return spark.createDataFrame([("best", found.best.decay, float(found.best.max_lag)), ("best_1se", found.best_1se.decay, float(found.best_1se.max_lag))], "pick string, decay double, max_lag double")
+
+
+#: scores (candidate, metric, std_err, paired_err): the whole and what is left without each split.
+SCORES = """losses AS (SELECT candidate, split, sum(pow(y - predicted, 2)) AS s, count(*) AS n FROM tested GROUP BY 1, 2),
+    whole AS (SELECT candidate, sqrt(sum(s) / sum(n)) AS metric, sum(s) AS s, sum(n) AS n FROM losses GROUP BY 1), top AS (SELECT arg_min(candidate, metric) AS best, min(metric) AS least FROM whole),
+    theta AS (SELECT l.candidate, l.split, sqrt((w.s - l.s) / (w.n - l.n)) AS t FROM losses l JOIN whole w USING (candidate)),
+    errs AS (SELECT t.candidate, sqrt((count(*) - 1)::DOUBLE / count(*) * (count(*) * var_pop(t.t))) AS std_err, sqrt((count(*) - 1)::DOUBLE / count(*) * (count(*) * var_pop(t.t - b.t))) AS paired_err
+             FROM theta t JOIN theta b ON b.split = t.split AND b.candidate = (SELECT best FROM top) GROUP BY 1)"""
+TUNED = f"{SCORES} SELECT candidate, round(metric, 4) AS metric, round(std_err, 4) AS std_err, round(paired_err, 4) AS paired_err FROM whole JOIN errs USING (candidate)"
 register("t4_expanding_fits", lambda spark, sf_dir: expanding_fits(cross_validated(spark, sf_dir)[0]).where("period > 2").select("candidate", "period", r("intercept", 3), r("slope", 5)),
-    CV + "e AS (SELECT DISTINCT period AS a FROM per WHERE period > 2) SELECT candidate, a::INT AS period, round(regr_intercept(y, z), 3) AS intercept, round(regr_slope(y, z), 5) AS slope FROM z JOIN e ON period <= a GROUP BY ALL")
-register("t1_tune_carryover", lambda spark, sf_dir: scores(predictions(*cross_validated(spark, sf_dir))).select("candidate", r("metric", 4)),
-    CV + f"{SPLITS}, fits AS (SELECT candidate, a, regr_intercept(y, z) AS b0, regr_slope(y, z) AS b1 FROM z JOIN cuts ON period <= a GROUP BY ALL) SELECT candidate, round(sqrt(avg(pow(y - b0 - b1 * z, 2))), 4) AS metric FROM z JOIN fits USING (candidate) WHERE period > a AND period <= a + 4 GROUP BY candidate")
+    CV + least_squares_sql("z", ["z"]) + " SELECT candidate, a::INT AS period, round(b0, 3) AS intercept, round(b_z, 5) AS slope FROM fits WHERE a > 2")
+register("t1_tune_carryover", tuned, CV + tested_sql("z", ["z"], 200, 4) + ", " + TUNED)
+register("t5_controls", lambda spark, sf_dir: tuned(spark, sf_dir, ("medium",)), CV + tested_sql("z", ["z", "c"], 200, 4) + ", " + TUNED)
+register("t8_one_standard_error", picked, CV + tested_sql("z", ["z"], 200, 4) + f""", {SCORES},
+    grid AS (SELECT unnest(range({len(CANDIDATES)})) AS candidate, unnest({[k.decay for k in CANDIDATES]}) AS decay)
+    SELECT 'best' AS pick, decay::DOUBLE AS decay, 8.0::DOUBLE AS max_lag FROM grid JOIN top ON candidate = best
+    UNION ALL SELECT 'best_1se', min(decay)::DOUBLE, 8.0::DOUBLE FROM grid JOIN whole USING (candidate) JOIN errs USING (candidate), top WHERE metric - least <= paired_err""")
 register("t11_predictions", lambda spark, sf_dir: predictions(*cross_validated(spark, sf_dir)).select("candidate", "split", "geo", "period", r("y", 4), r("predicted", 3)),
-    CV + f"{SPLITS}, fits AS (SELECT candidate, a, regr_intercept(y, z) AS b0, regr_slope(y, z) AS b1 FROM z JOIN cuts ON period <= a GROUP BY ALL) SELECT candidate, (a - 200)::INT AS split, geo, period::INT AS period, round(y, 4) AS y, round(b0 + b1 * z, 3) AS predicted FROM z JOIN fits USING (candidate) WHERE period > a AND period <= a + 4")
+    CV + tested_sql("z", ["z"], 200, 4) + " SELECT candidate, split::INT AS split, geo, period::INT AS period, round(y, 4) AS y, round(predicted, 3) AS predicted FROM tested")
+
+
+def search_jointly(spark, sf_dir):
+    return tune_carryover_joint(panel(spark, sf_dir, kpi=True), ["urgent", "low"], "kpi", "wk", ["geo"], CANDIDATES, initial=250, assess=10)
+
+
+def tuned_jointly(spark, sf_dir):
+    found = search_jointly(spark, sf_dir)
+    return spark.createDataFrame(sorted((c, k.decay, found.metric) for c, k in found.best.items()), "channel string, decay double, metric double").select("channel", "decay", r("metric", 4))
+
+
+def joint_profiles(spark, sf_dir):
+    found = search_jointly(spark, sf_dir).profiles[["channel", "candidate", "metric"]]
+    return spark.createDataFrame(found, "channel string, candidate int, metric double").select("channel", "candidate", r("metric", 4))
+
+
+#: pairs (u, l, metric): every pair of candidates by normal equations; walk: one channel's best beside the other's, in turns.
+JOINT = f"""WITH RECURSIVE {PANEL}{KPI}, per AS (SELECT *, dense_rank() OVER (ORDER BY wk) AS period FROM full_panel), zu AS ({carried_sql('urgent')}), zl AS ({carried_sql('low')}),
+    paired AS (SELECT zu.candidate * 100 + zl.candidate AS candidate, geo, period, zu.y AS y, zu.z AS z, zl.z AS w FROM zu JOIN zl USING (geo, period)), {tested_sql('paired', ['z', 'w'], 250, 10)},
+    pairs AS (SELECT candidate // 100 AS u, candidate % 100 AS l, sqrt(avg(pow(y - predicted, 2))) AS metric FROM tested GROUP BY candidate),
+    best_u AS (SELECT l, arg_min(u, metric) AS u FROM pairs GROUP BY l), best_l AS (SELECT u, arg_min(l, metric) AS l FROM pairs GROUP BY u),
+    walk AS (SELECT 0 AS i, {len(CANDIDATES) // 2}::BIGINT AS u, {len(CANDIDATES) // 2}::BIGINT AS l UNION ALL
+             SELECT i + 1, CASE WHEN i % 2 = 0 THEN b.u ELSE w.u END, CASE WHEN i % 2 = 1 THEN c.l ELSE w.l END FROM walk w JOIN best_u b ON b.l = w.l JOIN best_l c ON c.u = w.u WHERE i < 20),
+    fin AS (SELECT u, l, metric FROM walk JOIN pairs USING (u, l) WHERE i = 20),
+    grid AS (SELECT unnest(range({len(CANDIDATES)})) AS candidate, unnest({[k.decay for k in CANDIDATES]}) AS decay)"""
+register("t12_tune_joint", tuned_jointly, f"""{JOINT} SELECT 'urgent' AS channel, decay::DOUBLE AS decay, round(metric, 4) AS metric FROM fin JOIN grid ON candidate = u UNION ALL SELECT 'low', decay::DOUBLE, round(metric, 4) FROM fin JOIN grid ON candidate = l""")
+register("t12_joint_profiles", joint_profiles, f"""{JOINT} SELECT 'urgent' AS channel, p.u::INT AS candidate, round(p.metric, 4) AS metric FROM pairs p JOIN fin ON p.l = fin.l UNION ALL SELECT 'low', p.l::INT, round(p.metric, 4) FROM pairs p JOIN fin ON p.u = fin.u""")
 register("t13_block_bootstrap", lambda spark, sf_dir: block_bootstrap(panel(spark, sf_dir), lambda d: {"mean_urgent": d["urgent"].mean(), "mean_low": d["low"].mean()}, "wk", by=["geo"])[0])
 register("s6_import_hyper", lambda spark, sf_dir: (lambda s: spark.createDataFrame([(s.adstock.decay, s.saturation.parameters["half_max"], s.saturation.parameters["shape"])], "decay double, half_max double, shape double").select("decay", r("half_max", 4), "shape"))(from_theta_alpha_gamma(panel(spark, sf_dir).where("geo = 'ASIA'"), "urgent", "wk", theta=0.3, alpha=2.0, gamma=0.4)),
     f"WITH {PANEL}, asia AS (SELECT * FROM panel WHERE geo = 'ASIA'), {iir_sql('asia', 'urgent', 0.3)} SELECT 0.3::DOUBLE AS decay, round(0.4::DOUBLE * max(a), 4) AS half_max, 2.0::DOUBLE AS shape FROM iir")
@@ -287,11 +375,3 @@ register("f6_delayed_weights", lambda spark, sf_dir: spark.createDataFrame([(i,
 register("f4_geometric_weights", lambda spark, sf_dir: spark.createDataFrame([(i, float(w)) for i, w in enumerate(geometric_weights(12, 0.8, True))], "lag int, w double").select("lag", r("w")),
     "WITH f AS (SELECT i::INT AS lag, pow(0.8::DOUBLE, i) AS f FROM range(12) t(i)) SELECT lag, round(f / (SELECT sum(f) FROM f), 6) AS w FROM f")
 
-
-def picked(spark, sf_dir):
-    tuned = tune_carryover(panel(spark, sf_dir, kpi=True), "urgent", "kpi", "wk", ["geo"], CANDIDATES, initial=200, assess=4)
-    return spark.createDataFrame([("best", tuned.best.decay, float(tuned.best.max_lag)), ("best_1se", tuned.best_1se.decay, float(tuned.best_1se.max_lag))], "pick string, decay double, max_lag double")
-
-
-register("t8_one_standard_error", picked)
-register("t12_tune_joint", lambda spark, sf_dir: spark.createDataFrame(sorted((c, k.decay) for c, k in tune_carryover_joint(panel(spark, sf_dir, kpi=True), ["urgent", "low"], "kpi", "wk", ["geo"], CANDIDATES, initial=250, assess=10).items()), "channel string, decay double"))
