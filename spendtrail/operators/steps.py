@@ -76,7 +76,7 @@ class AdstockModel(Model):
             reach = int(max(k.lags for k in s.channels.values()))
             old = old.withColumn("_back", F.row_number().over(Window.partitionBy(*s.by).orderBy(F.desc(s.index)))).where(F.col("_back") < reach).drop("_back")
         rows = dataset.withColumn("_new", F.lit(True)).unionByName(old.withColumn("_new", F.lit(False)), allowMissingColumns=True)
-        made = adstock(rows, {f"{s.prefix}{c}" if s.prefix else f"_new_{c}": (c, k) for c, k in s.channels.items()}, s.index, s.by, state=self.seed).where("_new").drop("_new")
+        made = adstock(rows, {f"{s.prefix}{c}" if s.prefix else f"_new_{c}": (c, k) for c, k in s.channels.items()}, s.index, s.by, state=self.seed, missing_state="cold").where("_new").drop("_new")
         if not s.prefix:
             return made.drop(*names).withColumnsRenamed({f"_new_{c}": c for c in names}).select(columns)
         return made if s.keep_original else made.drop(*names)
@@ -151,7 +151,7 @@ class SaturationModel(Model):
     def _transform(self, dataset: DataFrame) -> DataFrame:
         s, rows = self.step, dataset
         if self.groups is not None:
-            rows = rows.join(F.broadcast(self.groups.withColumnsRenamed({c: f"_ref_{c}" for c in s.curves})), s.by, "left")
+            rows = rows.join(self.groups.withColumnsRenamed({c: f"_ref_{c}" for c in s.curves}), s.by, "left")
         for c, curve in s.curves.items():
             own = F.col(f"_ref_{c}") if self.groups is not None else F.lit(None).cast("double")
             reference = F.when(own > 0, own).otherwise(F.lit(float(self.pooled[c])))
