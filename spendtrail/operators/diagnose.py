@@ -105,26 +105,34 @@ def date_audit(df: DataFrame, index: str, by: Sequence[str] = (), row_order: str
 
 
 def carry_class(history: DataFrame, new: DataFrame, index: str, by: Sequence[str], tolerance: float = 0.25) -> DataFrame:
-    """(by..., carry): how new data joins a series' history: overlap, contiguous, misaligned, gap, unseen or unknown_period.
+    """(by..., carry): how new data joins a series' history.
 
-    A series of one time borrows the median period of the others.
+    unseen: it has none. overlap: the new data starts before the history, on one of its times, or a period after one of them.
+    contiguous: about a period after its last time. misaligned: less than that after the time before; gap: more. The bound is
+    ``tolerance`` of a period, the median step of the series; one of a single time borrows the median of the others', and without
+    any the class is unknown_period.
     """
-    old = history.select(*by, day_number(history, index).alias("t")).distinct()
+    old = history.select(*by, day_number(history, index).alias("t")).where(F.col("t").isNotNull()).distinct()
     steps = old.withColumn("step", F.col("t") - F.lag("t").over(Window.partitionBy(*by).orderBy("t")))
-    known = steps.groupBy(*by).agg(F.max("t").alias("last"), F.median("step").alias("own"))
-    known = known.withColumn("period", F.coalesce("own", F.median("own").over(Window.partitionBy())))
+    own = steps.groupBy(*by).agg(F.median("step").alias("own"))
+    pooled = own.agg(F.median("own").alias("pooled"))  # one row
     starts = new.select(*by, day_number(new, index).alias("t")).groupBy(*by).agg(F.min("t").alias("first"))
-    gap = (F.col("first") - F.col("last")) / F.col("period")
+    joined = old.join(starts, list(by)) if by else old.crossJoin(F.broadcast(starts))
+    before = joined.groupBy(*by).agg(F.max("t").alias("last"), F.max(F.when(F.col("t") < F.col("first"), F.col("t"))).alias("before"), F.count_if(F.col("t") == F.col("first")).alias("same"))
+    known = before.join(own, list(by)) if by else before.crossJoin(F.broadcast(own))
+    period = F.coalesce("own", "pooled")
+    lead = (F.col("first") - F.col("before")) / period
     kind = (
         F.when(F.col("last").isNull(), "unseen")
-        .when(F.col("first") <= F.col("last"), "overlap")
-        .when(F.col("period").isNull(), "unknown_period")
-        .when(F.abs(gap - 1) <= tolerance, "contiguous")
-        .when(gap < 1 + tolerance, "misaligned")
-        .when(F.abs(gap - F.round(gap)) > tolerance, "misaligned")
-        .otherwise("gap")
+        .when(F.col("before").isNull() | (F.col("same") > 0), "overlap")
+        .when(period.isNull(), "unknown_period")
+        .when(lead < 1 - tolerance, "misaligned")
+        .when(lead > 1 + tolerance, "gap")
+        .when(F.col("before") < F.col("last"), "overlap")
+        .otherwise("contiguous")
     )
-    return starts.join(known, list(by), "left").select(*by, kind.alias("carry"))
+    met = starts.join(known, list(by), "left") if by else starts.join(known, how="left")
+    return met.crossJoin(F.broadcast(pooled)).select(*by, kind.alias("carry"))
 
 
 @dataclass

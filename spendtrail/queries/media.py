@@ -247,8 +247,28 @@ register("a24_date_audit", lambda spark, sf_dir: date_audit(sparse(spark, sf_dir
         m AS (SELECT *, median(step) OVER (PARTITION BY geo) AS period, step / median(step) OVER (PARTITION BY geo) AS ratio FROM g)
         SELECT geo, count(*) AS rows, min(t) AS start, max(t) AS "end", max(period) AS period, 0::BIGINT AS duplicated, coalesce(sum(greatest(round(ratio) - 1, 0)), 0)::BIGINT AS missing,
                count(*) FILTER (abs(ratio - greatest(1, round(ratio))) > 0.25) AS irregular FROM m GROUP BY geo""")
-register("w24_carry_class", lambda spark, sf_dir: (lambda df: carry_class(df.where(F.col("wk") < dt.date(1998, 1, 5)), df.where((F.col("wk") >= dt.date(1998, 1, 5)) & (F.col("geo") != "ASIA") | (F.col("wk") >= dt.date(1999, 3, 1))), "wk", ["geo"]))(panel(spark, sf_dir)),
-    f"WITH {PANEL} SELECT DISTINCT geo, CASE WHEN geo = 'ASIA' THEN 'gap' ELSE 'contiguous' END AS carry FROM panel")
+#: How each geo's new rows join on: a day's shift, the weeks its history lacks, and where the new rows start.
+JOINS = {"AFRICA": (0, "1998-01-05"), "AMERICA": (0, "1997-06-02"), "ASIA": (0, "1999-03-01"), "EUROPE": (3, "1997-06-02")}
+
+
+def joined_on(spark, sf_dir):
+    """Five of the six classes: the history of MIDDLE EAST is left out, EUROPE's new rows are shifted by days."""
+    df, cut = panel(spark, sf_dir).select("geo", "wk"), dt.date(1998, 1, 5)
+    history = df.where((F.col("wk") < cut) & (F.col("geo") != "MIDDLE EAST"))
+    starts = F.create_map(*[F.lit(x) for geo, (_, start) in JOINS.items() for x in (geo, start)])
+    shifts = F.create_map(*[F.lit(x) for geo, (days, _) in JOINS.items() for x in (geo, days)])
+    late = df.where(F.col("wk") >= F.coalesce(F.element_at(starts, F.col("geo")), F.lit("1998-01-05")).cast("date"))
+    return carry_class(history, late.withColumn("wk", F.date_add("wk", F.coalesce(F.element_at(shifts, F.col("geo")), F.lit(0)))), "wk", ["geo"])
+
+
+register("w24_carry_class", joined_on,
+    f"""WITH {PANEL}, how AS (SELECT unnest({list(JOINS)}) AS geo, unnest({[d for d, _ in JOINS.values()]}) AS days, unnest({[s for _, s in JOINS.values()]})::DATE AS start),
+        old AS (SELECT geo, wk FROM panel WHERE wk < DATE '1998-01-05' AND geo <> 'MIDDLE EAST'),
+        fresh AS (SELECT p.geo, min(p.wk + coalesce(days, 0)::INT) AS first FROM panel p LEFT JOIN how h ON p.geo = h.geo WHERE p.wk >= coalesce(start, DATE '1998-01-05') GROUP BY p.geo),
+        steps AS (SELECT geo, wk - lag(wk) OVER (PARTITION BY geo ORDER BY wk) AS step FROM old), own AS (SELECT geo, median(step) AS period FROM steps GROUP BY geo),
+        met AS (SELECT f.geo, first, max(o.wk) AS last, max(o.wk) FILTER (o.wk < first) AS before, coalesce(bool_or(o.wk = first), false) AS same FROM fresh f LEFT JOIN old o ON o.geo = f.geo GROUP BY ALL)
+        SELECT m.geo, CASE WHEN last IS NULL THEN 'unseen' WHEN before IS NULL OR same THEN 'overlap' WHEN (first - before) / period < 0.75 THEN 'misaligned' WHEN (first - before) / period > 1.25 THEN 'gap'
+                           WHEN before < last THEN 'overlap' ELSE 'contiguous' END AS carry FROM met m LEFT JOIN own ON own.geo = m.geo""")
 register("a28_fit_ols", lambda spark, sf_dir: panel(spark, sf_dir, kpi=True).groupBy("geo").agg(ols(F.col("urgent"), F.col("kpi")).alias("f")).select("geo", "f.n", r("f.intercept", 4).alias("intercept"), F.round("f.slope", 6).alias("slope")),
     f"WITH {PANEL}{KPI} SELECT geo, count(*) AS n, round(regr_intercept(kpi, urgent), 4) AS intercept, round(regr_slope(kpi, urgent), 6) AS slope FROM full_panel GROUP BY geo")
 register("a29_metrics", lambda spark, sf_dir: panel(spark, sf_dir, kpi=True).groupBy("geo").agg(F.round(rmse(F.col("kpi"), F.col("urgent")), 4).alias("rmse"), F.round(mae(F.col("kpi"), F.col("urgent")), 4).alias("mae")),
