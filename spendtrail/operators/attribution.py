@@ -7,6 +7,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,37 +90,59 @@ def check_segments(paths, by: Sequence[str]) -> None:
             raise ValueError(f"column {c} is missing or differs within a journey")
 
 
-def _drawn(seed: int, replicate: Column) -> Column:
-    """How often a journey is drawn in a replicate: Poisson(1), from a hash of both, so partitions don't matter."""
-    u = F.pmod(F.xxhash64("path_id", replicate, F.lit(seed)), F.lit(2**53)) / F.lit(float(2**53))
-    out, total, term = F.lit(0), 0.0, math.exp(-1)
-    for k in range(1, 14):
-        total += term
-        out = F.when(u >= total, k).otherwise(out)
-        term /= k
-    return out
+def poisson_draws(journeys: np.ndarray, times: int) -> np.ndarray:
+    """How often each journey, given by a 64-bit hash, is drawn in each replicate: Poisson(1) from a mix of hash and replicate."""
+    chances = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(13)])
+    with np.errstate(over="ignore"):
+        z = journeys.astype(np.uint64)[:, None] + np.arange(1, times + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+    return np.searchsorted(chances, (z >> np.uint64(11)) / 2.0**53, side="right")
+
+
+def replicate_sums(rows: DataFrame, keys: Sequence[str], times: int, seed: int) -> DataFrame:
+    """(keys..., replicate, total): sums of ``amount`` over the journeys drawn in each replicate, of rows (path_id, keys, amount).
+
+    A batch of rows becomes one row of sums for each of its keys, and these are summed again before they are shuffled: what is
+    shuffled are keys times replicates, whatever the number of journeys.
+    """
+    keys = list(keys)
+
+    def run(parts):
+        for part in parts:
+            code = part.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+            order = np.argsort(code, kind="stable")
+            starts = np.flatnonzero(np.diff(code[order], prepend=-1))
+            draws = poisson_draws(part["journey"].to_numpy()[order], times) * part["amount"].to_numpy()[order][:, None]
+            out = part.iloc[order[starts]][keys].copy()
+            out["sums"] = list(np.add.reduceat(draws, starts, axis=0)) if len(part) else []
+            yield out
+
+    kinds = "".join(f"`{k}` {rows.schema[k].dataType.simpleString()}, " for k in keys)
+    hashed = rows.select(*keys, F.col("amount").cast("double").alias("amount"), F.xxhash64("path_id", F.lit(seed)).alias("journey"))
+    sums = hashed.mapInPandas(run, kinds + "sums array<double>").groupBy(*keys).agg(vector_to_array(Summarizer.sum(array_to_vector(F.col("sums")))).alias("sums"))
+    return sums.select(*keys, F.posexplode("sums").alias("at", "total")).select(*keys, (F.col("at") + 1).alias("replicate"), "total")
 
 
 def share_replicates(paths, rules, first_weight=0.4, last_weight=0.4, decay=None, period=1, by: Sequence[str] = (), times: int = 200, seed: int = 1) -> DataFrame:
     """(by..., replicate, rule, channel, share) of journeys drawn with replacement; replicates without conversions are absent.
 
-    Credit and transitions of a journey are computed once and weighted, as shares are linear in them. Draws are Poisson
-    rather than multinomial: the same intervals, without a table of draws that grows with journeys x replicates.
+    Credit and transitions of a journey are counted once, in rows that don't depend on ``times``, and weighted by its draws, as
+    shares are functions of their sums. Draws are Poisson rather than multinomial: the same intervals, without a table of draws.
     """
     df = _frame(paths)
-    replicates = F.explode(F.sequence(F.lit(1), F.lit(times))).alias("replicate")
     parts = []
     plain = [r for r in rules if r != "markov"]
     if plain:
         held = _stacked(_rule_credits(df.where("converted"), plain, first_weight, last_weight, decay, period), plain, [*by, "path_id", "channel"])
-        per_journey = held.groupBy(*by, "path_id", "rule", "channel").agg(F.sum("credit").alias("credit"))
-        drawn = per_journey.select("*", replicates).withColumn("w", _drawn(seed, F.col("replicate")))
-        sums = drawn.groupBy(*by, "replicate", "rule", "channel").agg(F.sum(F.col("credit") * F.col("w")).alias("credit"))
-        whole = F.sum("credit").over(Window.partitionBy(*by, "replicate", "rule"))
-        parts.append(sums.withColumn("share", F.try_divide(F.col("credit"), whole)).where("share is not null").select(*by, "replicate", "rule", "channel", "share"))
+        per_journey = held.groupBy(*by, "path_id", "rule", "channel").agg(F.sum("credit").alias("amount"))
+        sums = replicate_sums(per_journey, [*by, "rule", "channel"], times, seed)
+        whole = F.sum("total").over(Window.partitionBy(*by, "replicate", "rule"))
+        parts.append(sums.withColumn("share", F.try_divide(F.col("total"), whole)).where("share is not null").select(*by, "replicate", "rule", "channel", "share"))
     if "markov" in rules:
-        drawn = df.select("*", replicates).withColumn("w", _drawn(seed, F.col("replicate"))).where("w > 0").withColumn("path_id", F.concat_ws("|", "replicate", "path_id"))
-        moves = transition_counts(drawn, [*by, "replicate"], "w")
+        per_journey = transition_counts(df, [*by, "path_id"]).withColumnRenamed("n", "amount")
+        moves = replicate_sums(per_journey, [*by, "source", "target", "ends"], times, seed).where("total > 0").withColumnRenamed("total", "n")
 
         def solve(segment: pd.DataFrame) -> pd.DataFrame:
             channels, without, base = solve_chain(segment)

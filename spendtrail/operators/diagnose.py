@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendtrail.functions.metrics import finite
+from spendtrail.operators.adstock import Adstock, adstock
 
 MAD = 1.4826
 
@@ -139,26 +140,50 @@ def carry_class(history: DataFrame, new: DataFrame, index: str, by: Sequence[str
 class Diagnosis:
     variation: DataFrame
     collinearity: DataFrame
-    correlations: DataFrame
+    correlations: DataFrame | None
     dates: DataFrame | None
     cpm: DataFrame | None
 
-    def flags(self, vif_threshold: float = 5, cv_threshold: float = 0.15) -> list[str]:
-        """What to look at, in words; runs the tables, which have a row for each channel or series."""
-        out = [f"{r['channel']} hardly varies (cv {r['cv']:.3g})" for r in self.variation.orderBy("channel").collect() if r["cv"] is not None and r["cv"] < cv_threshold]
-        out += [f"{r['channel']} is mostly zero" for r in self.variation.where("zero_share > 0.5").orderBy("channel").collect()]
-        out += [f"{r['channel']} is collinear (VIF {r['vif']:.3g})" for r in self.collinearity.orderBy("channel").collect() if r["vif"] is not None and r["vif"] > vif_threshold]
+    def flags(self, vif_threshold: float = 5, cv_threshold: float = 0.15, correlation_threshold: float | None = None) -> list[str]:
+        """What to look at, in words; runs the tables, which have a row for each channel or series. Problems of the index come first."""
+        out = []
         if self.dates is not None:
             for r in self.dates.collect():
-                out += [f"the index has {r[k]} {k} rows" for k in ("duplicated", "missing", "irregular") if r[k]]
+                out += [f"the index has {r[k]} {k} rows" for k in ("out_of_order", "duplicated", "missing", "irregular") if r[k]]
+        varied = self.variation.orderBy("channel").collect()
+        out += [f"{r['channel']} has no usable values" for r in varied if not r["distinct"]]
+        out += [f"{r['channel']} hardly varies (cv {r['cv']:.3g})" for r in varied if r["cv"] is not None and r["cv"] < cv_threshold]
+        out += [f"{r['channel']} is mostly zero" for r in varied if r["zero_share"] is not None and r["zero_share"] > 0.5]
+        tangled = self.collinearity.orderBy("channel").collect()
+        if len(varied) > 1 and not any(r["vif"] is not None for r in tangled):
+            out.append("collinearity could not be assessed, as no channel varies enough beside the others")
+        out += [f"{r['channel']} is collinear (VIF {r['vif']:.3g})" for r in tangled if r["vif"] is not None and r["vif"] > vif_threshold]
+        if correlation_threshold is not None and self.correlations is not None:
+            found = self.correlations.where(F.abs("r") > correlation_threshold).orderBy("channel").collect()
+            out += [f"{r['channel']} goes with {r['partner']} (r {r['r']:.3g})" for r in found]
+        if self.cpm is not None and (odd := self.cpm.where("outlier").count()):
+            out.append(f"{odd} periods have an odd cost per thousand")
         return out
 
 
-def diagnose_media(df: DataFrame, media: Sequence[str], by: Sequence[str] = (), date: str | None = None, row_order: str | None = None, spend: str | None = None, impressions: str | None = None) -> Diagnosis:
+def diagnose_media(
+    df: DataFrame, media: Sequence[str], by: Sequence[str] = (), date: str | None = None, row_order: str | None = None, spend: str | None = None, impressions: str | None = None, decay: float | dict[str, float] | None = None
+) -> Diagnosis:
+    """The tables of a media diagnosis. With ``decay``, one for all channels or by name, collinearity and correlations are those
+    of the carried-over series, in the order of ``date`` or ``row_order``; missing spend counts as none there."""
+    carried = df
+    if decay is not None:
+        decays = decay if isinstance(decay, dict) else dict.fromkeys(media, decay)
+        if unknown := set(decays) - set(media):
+            raise ValueError(f"decay names no channels: {sorted(unknown)}")
+        if not (date or row_order):
+            raise ValueError("decay needs date or row_order, which put a series in order")
+        names = {f"_carried_{c}": (c, Adstock("geometric", d)) for c, d in decays.items()}
+        carried = adstock(df, names, date or row_order, by, na_action="zero").drop(*decays).withColumnsRenamed({f"_carried_{c}": c for c in decays})
     return Diagnosis(
         variation(df, media, by),
-        vif(df, media, by),
-        correlations(df, media, by),
+        vif(carried, media, by),
+        correlations(carried, media, by) if len(media) > 1 else None,
         date_audit(df, date, by, row_order) if date else None,
         cpm_outliers(df, spend, impressions, date, by) if spend and impressions and date else None,
     )

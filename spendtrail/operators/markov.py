@@ -14,21 +14,20 @@ from spendtrail.operators.credit import _frame
 START, CONVERSION, NULL = "(start)", "(conversion)", "(null)"
 
 
-def transition_counts(paths, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+def transition_counts(paths, by: Sequence[str] = ()) -> DataFrame:
     """(by..., source, target, ends, n): source null is the start; ends: '' for channels, else how a journey ended.
 
-    One exchange by journey, then partial counts.
+    One exchange by journey, then partial counts; none more where path_id is among ``by``.
     """
     df = _frame(paths)
     order = Window.partitionBy("path_id").orderBy("touch_rank")
-    step = df.select(*by, "channel", "touch_rank", "touch_n", "converted", *([weight] if weight else []), F.lead("channel").over(order).alias("next"))
+    step = df.select(*by, "channel", "touch_rank", "touch_n", "converted", F.lead("channel").over(order).alias("next"))
     end = F.when(F.col("converted"), CONVERSION).otherwise(NULL)
     moves = F.array(
         F.when(F.col("touch_rank") == 1, F.struct(F.lit(None).cast("string").alias("source"), F.col("channel").alias("target"), F.lit("").alias("ends"))),
         F.struct(F.col("channel").alias("source"), F.col("next").alias("target"), F.when(F.col("next").isNull(), end).otherwise("").alias("ends")),
     )
-    n = F.sum(weight) if weight else F.count("*")
-    return step.select(*by, *([weight] if weight else []), F.explode(F.array_compact(moves)).alias("m")).groupBy(*by, "m.source", "m.target", "m.ends").agg(n.alias("n"))
+    return step.select(*by, F.explode(F.array_compact(moves)).alias("m")).groupBy(*by, "m.source", "m.target", "m.ends").agg(F.count("*").alias("n"))
 
 
 def solve_chain(moves: pd.DataFrame) -> tuple[list[str], np.ndarray, float]:

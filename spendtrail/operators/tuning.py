@@ -290,6 +290,11 @@ class JointCarryover:
     def iterations(self) -> int:
         return int(self.history["sweep"].max())
 
+    def chart(self) -> pd.DataFrame:
+        """The profiles, with what is picked of each channel marked as best and best_1se."""
+        is_ = lambda picks: [(d, lag) == (picks[c].decay, picks[c].max_lag) for c, d, lag in self.profiles[["channel", "decay", "max_lag"]].itertuples(index=False)]
+        return self.profiles.assign(best=is_(self.best), best_1se=is_(self.best_1se))
+
 
 def tune_carryover_joint(
     df: DataFrame, media: Sequence[str], y: str, index: str, by: Sequence[str] = (), candidates: Sequence[Adstock] | None = None, start: dict[str, float] | None = None, max_iter: int = 10,

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GeneralizedLinearRegressionModel, LinearRegressionModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,19 +53,98 @@ def simulate_plan(plan: DataFrame, spec: dict[str, ChannelSpec], coefficients: d
     return now.join(old, "channel").withColumns({"spend_change": F.col("spend") - F.col("baseline_spend"), "contribution_change": F.col("contribution") - F.col("baseline_contribution")})
 
 
-def contributions(media: DataFrame, coefficients: dict[str, float], index: str, by: Sequence[str] = (), intercept: float | None = None, prediction: str | None = None) -> DataFrame:
-    """Long (period, by..., channel, contribution): coefficient times each channel's transformed media, and the baseline: the
-    ``prediction`` column less them, else the intercept."""
-    if prediction is None and intercept is None:
+@dataclass(frozen=True)
+class Fitted:
+    """A linear model: what a unit of each column adds to its linear predictor. bare: coefficients only, with no model behind."""
+
+    coefficients: dict[str, float]
+    intercept: float | None
+    link: str = "identity"
+    bare: bool = False
+
+
+def fitted(model, features: Sequence[str] | None = None) -> Fitted:
+    """Of a mapping of coefficients (with or without "(Intercept)"; back-ticks around names don't count), a linear or generalised
+    linear model of ``pyspark.ml``, or a pipeline model that ends in one.
+
+    ``features`` names the elements of the model's vector; a pipeline's assembler tells them by itself.
+    """
+    if isinstance(model, dict):
+        named = {str(k).replace("`", ""): float(v) for k, v in model.items()}
+        return Fitted({k: v for k, v in named.items() if k != "(Intercept)"}, named.get("(Intercept)"), bare=True)
+    if isinstance(model, PipelineModel):
+        *before, last = model.stages
+        made = {s.getOutputCol(): s.getInputCols() for s in before if isinstance(s, VectorAssembler)}
+        return fitted(last, features or made.get(last.getFeaturesCol()))
+    if not isinstance(model, LinearRegressionModel | GeneralizedLinearRegressionModel):
+        raise TypeError(f"no coefficients are known of {type(model).__name__}; give a mapping")
+    values = model.coefficients.toArray().tolist()
+    if features is None or len(features) != len(values):
+        raise ValueError(f"features must name the {len(values)} elements of the model's vector")
+    link = "identity"
+    if isinstance(model, GeneralizedLinearRegressionModel):
+        canonical = {"gaussian": "identity", "binomial": "logit", "poisson": "log", "gamma": "inverse"}
+        link = model.getLink() if model.isDefined("link") else canonical.get(model.getFamily().lower(), "power")
+    return Fitted(dict(zip(features, values, strict=True)), float(model.intercept), link)
+
+
+def contributions(media: DataFrame, model, index: str, by: Sequence[str] = (), intercept: float | None = None, prediction: str | None = None, newdata: DataFrame | None = None, features: Sequence[str] | None = None) -> DataFrame:
+    """Long (period, by..., channel, contribution): coefficient times each channel's transformed media, and the baseline, which is
+    all else that the model predicts.
+
+    ``model`` as in ``fitted``. The baseline is the ``prediction`` column less the media, or what a fitted model predicts for the
+    rows of ``newdata`` (index, by..., all of its columns) less the media, or else the intercept. A row that newdata lacks, and a
+    column that both hold with different values, are refused when the table is run. Under a link other than the identity
+    contributions are on the scale of the linear predictor, and a warning says so.
+    """
+    fit = fitted(model, features)
+    names = [c for c in media.columns if c in fit.coefficients and c not in (index, *by)]
+    if not names:
+        raise ValueError(f"no column of the media is one of the model's: {', '.join(fit.coefficients)}")
+    if missing := [c for c in names if not np.isfinite(fit.coefficients[c])]:
+        raise ValueError(f"these channels have no coefficient, as others determine them: {', '.join(missing)}")
+    others = [c for c in fit.coefficients if c not in names]
+    if intercept is None:
+        intercept = fit.intercept
+    if fit.link != "identity":
+        warnings.warn(f"contributions are on the scale of the linear predictor, as the model has a {fit.link} link", stacklevel=2)
+    effect = {c: F.col(c).cast("double") * fit.coefficients[c] for c in names}
+    known = sum(effect.values(), F.lit(0.0))
+    if prediction is not None:
+        base = F.col(prediction) - known
+    elif newdata is not None:
+        if fit.bare:
+            raise ValueError("newdata needs a fitted model to predict from")
+        media, base = _beside(media, newdata, fit, names, index, by)
+        base = base - known
+    elif intercept is None:
         raise ValueError("give an intercept or a prediction column for the baseline")
-    names = [c for c in media.columns if c in coefficients]
-    parts = [(F.lit(c), F.col(c) * float(coefficients[c])) for c in names]
-    known = sum((value for _, value in parts), F.lit(0.0))
-    parts.append((F.lit(BASELINE), F.col(prediction) - known if prediction else F.lit(float(intercept))))
-    each = F.array(*[F.struct(name.alias("channel"), value.cast("double").alias("contribution")) for name, value in parts])
+    elif others and not fit.bare:
+        raise ValueError(f"the model's other columns are needed for its prediction, give newdata with {', '.join(others)}")
+    else:
+        base = F.lit(float(intercept))
+    each = F.array(*[F.struct(F.lit(c).alias("channel"), value.cast("double").alias("contribution")) for c, value in (*effect.items(), (BASELINE, base))])
     return media.select(F.col(index).alias("period"), *by, F.explode(each).alias("x")).select("period", *by, "x.channel", "x.contribution")
 
 
+def _beside(media: DataFrame, newdata: DataFrame, fit: Fitted, names: Sequence[str], index: str, by: Sequence[str]) -> tuple[DataFrame, Column]:
+    """``media`` with newdata's columns beside it, and the model's linear predictor for newdata's row."""
+    if lacking := [c for c in fit.coefficients if c not in newdata.columns]:
+        raise ValueError(f"newdata lacks {', '.join(lacking)}")
+    keys = [index, *by]
+    held = newdata.select(*keys, *[F.col(c).cast("double").alias(f"_new_{c}") for c in fit.coefficients], F.lit(True).alias("_found"))
+    rows = media.join(held, keys, "left")
+    refuse = lambda why: F.raise_error(F.lit(why)).cast("double")
+    value = F.when(F.col("_found").isNull(), refuse("newdata lacks a row of the media")).otherwise(F.lit(fit.intercept))
+    for c, k in fit.coefficients.items():
+        x = F.col(f"_new_{c}")
+        if c in names:
+            own = F.col(c).cast("double")
+            x = F.when(F.abs(own - x) > 1.5e-8 * F.greatest(F.abs(own), F.abs(x)), refuse(f"media and newdata hold different values of {c}")).otherwise(x)
+        value = value + x * k
+    return rows, value
+
+
 def roi(contribution: DataFrame, spend: DataFrame, index: str, by: Sequence[str] = (), periods: Sequence | None = None) -> DataFrame:
     """(by..., channel, contribution, spend, roi) over the period x group cells that both sides have; roi is null at no spend.
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 import datetime as dt
 import math
 
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from spendtrail.functions.calendar import fourier_terms, holiday_flags
@@ -13,7 +16,7 @@ from spendtrail.functions.metrics import mae, ols, rmse
 from spendtrail.functions.saturation import saturate
 from spendtrail.operators.adstock import Adstock, ChannelSpec, Saturation, adstock, adstock_state, adstock_steady_state, media_transform
 from spendtrail.operators.bootstrap import block_bootstrap
-from spendtrail.operators.diagnose import carry_class, correlations, cpm_outliers, date_audit, variation, vif
+from spendtrail.operators.diagnose import carry_class, correlations, cpm_outliers, date_audit, diagnose_media, variation, vif
 from spendtrail.operators.steps import AdstockStep, Curve, SaturationStep, reference_levels
 from spendtrail.operators.tuning import expanding_fits, filtered, grid, predictions, splits, tune_carryover, tune_carryover_joint
 from spendtrail.plans.media import allocate_budget, contributions, marginal_roi, mroi_column, reallocate, response_curve, response_grid, roi, simulate_plan, spend_for, transform_plan, unmatched
@@ -185,6 +188,19 @@ LONG = " UNION ALL ".join(f"SELECT wk AS period, geo, '{c}' AS channel, {COEF[c]
 register("w29_contributions", lambda spark, sf_dir: decomposed(spark, sf_dir).select("period", "geo", "channel", r("contribution")), f"WITH {PANEL}, {transformed_sql()}, long AS ({LONG}) SELECT period, geo, channel, round(contribution, 6) AS contribution FROM long")
 register("w29_contributions_predicted", lambda spark, sf_dir: contributions(panel(spark, sf_dir, kpi=True).withColumnRenamed("kpi", "yhat"), {"urgent": 0.4, "low": 0.2}, "wk", ["geo"], prediction="yhat").select("period", "geo", "channel", r("contribution", 8)),
     f"WITH {PANEL}{KPI} SELECT wk AS period, geo, 'urgent' AS channel, round(0.4::DOUBLE * urgent, 8) AS contribution FROM full_panel UNION ALL SELECT wk, geo, 'low', round(0.2::DOUBLE * low, 8) FROM full_panel UNION ALL SELECT wk, geo, '(baseline)', round(kpi - 0.4::DOUBLE * urgent - 0.2::DOUBLE * low, 8) FROM full_panel")
+def decomposed_later(spark, sf_dir):
+    """Fitted on the weeks before 1999, decomposed after: what the model never saw, with its control in newdata."""
+    df, cut = panel(spark, sf_dir, kpi=True), dt.date(1999, 1, 4)
+    model = Pipeline(stages=[VectorAssembler(inputCols=["urgent", "medium"], outputCol="x"), LinearRegression(featuresCol="x", labelCol="kpi", solver="normal")]).fit(df.where(F.col("wk") < cut))
+    late = df.where(F.col("wk") >= cut)
+    return contributions(late.select("geo", "wk", "urgent"), model, "wk", ["geo"], newdata=late)
+
+
+register("w29_contributions_newdata", lambda spark, sf_dir: decomposed_later(spark, sf_dir).select("period", "geo", "channel", r("contribution", 3)),
+    f"""WITH {PANEL}{KPI}, e AS (SELECT urgent - avg(urgent) OVER () AS u, medium - avg(medium) OVER () AS m, kpi - avg(kpi) OVER () AS k, avg(urgent) OVER () AS au, avg(medium) OVER () AS am, avg(kpi) OVER () AS ak FROM full_panel WHERE wk < DATE '1999-01-04'),
+        s AS (SELECT sum(u * u) AS uu, sum(u * m) AS um, sum(m * m) AS mm, sum(u * k) AS uk, sum(m * k) AS mk, any_value(au) AS au, any_value(am) AS am, any_value(ak) AS ak FROM e),
+        b AS (SELECT *, (mm * uk - um * mk) / (uu * mm - um * um) AS bu, (uu * mk - um * uk) / (uu * mm - um * um) AS bm FROM s), late AS (SELECT * FROM full_panel WHERE wk >= DATE '1999-01-04')
+        SELECT wk AS period, geo, 'urgent' AS channel, round(bu * urgent, 3) AS contribution FROM late, b UNION ALL SELECT wk, geo, '(baseline)', round(ak - bu * au - bm * am + bm * medium, 3) FROM late, b""")
 register("a18_roi", lambda spark, sf_dir: roi(decomposed(spark, sf_dir), panel(spark, sf_dir).select("geo", "wk", *SPEC).where(F.col("wk") >= dt.date(1996, 1, 1)), "wk", ["geo"]).select("geo", "channel", r("contribution", 3), r("spend", 3), r("roi")),
     f"""WITH {PANEL}, {transformed_sql()}, long AS ({LONG}), sp2 AS (SELECT wk AS period, geo, unnest(['urgent', 'high', 'low']) AS channel, unnest([urgent, high, low]) AS spend FROM panel WHERE wk >= DATE '1996-01-01')
         SELECT geo, channel, round(sum(contribution), 3) AS contribution, round(sum(spend), 3) AS spend, round(sum(contribution) / sum(spend), 6) AS roi FROM long JOIN sp2 USING (period, geo, channel) GROUP BY ALL""")
@@ -215,6 +231,15 @@ register("f16_holiday_flags", lambda spark, sf_dir: holiday_flags(panel(spark, s
     f"WITH {PANEL} SELECT geo, wk, " + ", ".join("(" + " OR ".join(f"(DATE '{d}' >= wk AND DATE '{d}' < wk + 7)" for d in ds) + f")::INT AS holiday_{n}" for n, ds in HOLIDAYS.items()) + " FROM panel")
 register("f16_holiday_flags_end", lambda spark, sf_dir: holiday_flags(panel(spark, sf_dir).select("geo", "wk"), "wk", HOLIDAYS, align="end"),
     f"WITH {PANEL} SELECT geo, wk, " + ", ".join("(" + " OR ".join(f"(DATE '{d}' > wk - 7 AND DATE '{d}' <= wk)" for d in ds) + f")::INT AS holiday_{n}" for n, ds in HOLIDAYS.items()) + " FROM panel")
+def monthly_flags(spark, sf_dir):
+    """An index of months, of which the length of a period is inferred."""
+    months = panel(spark, sf_dir).select("geo", F.trunc("wk", "month").alias("month")).distinct()
+    return holiday_flags(months, "month", HOLIDAYS)
+
+
+register("f16_holiday_flags_monthly", monthly_flags,
+    f"""WITH {PANEL}, m AS (SELECT DISTINCT geo, date_trunc('month', wk)::DATE AS month FROM panel), d AS (SELECT DISTINCT month FROM m), s AS (SELECT month - lag(month) OVER (ORDER BY month) AS step FROM d), p AS (SELECT median(step) AS period FROM s)
+        SELECT geo, month, """ + ", ".join("(" + " OR ".join(f"(DATE '{d}' >= month AND DATE '{d}' - month < period)" for d in ds) + f")::INT AS holiday_{n}" for n, ds in HOLIDAYS.items()) + " FROM m, p")
 register("p18_saturation_step", lambda spark, sf_dir: (lambda df: SaturationStep({"urgent": Curve("hill", 0.4, 2.0), "low": Curve("power", exponent=0.5)}, ["geo"], "q95").fit(df).transform(df).select("geo", "wk", r("urgent"), r("low")))(panel(spark, sf_dir)),
     f"""WITH {PANEL}, ref AS (SELECT geo, quantile_cont(urgent, 0.95) AS ru, quantile_cont(low, 0.95) AS rl FROM panel GROUP BY geo)
         SELECT geo, wk, round(CASE WHEN urgent = 0 THEN 0 ELSE 1 / (1 + pow(0.4::DOUBLE * ru / nullif(urgent, 0), 2)) END, 6) AS urgent, round(pow(low / rl, 0.5), 6) AS low FROM panel JOIN ref USING (geo)""")
@@ -233,19 +258,33 @@ register("w26_adstock_step", step_continues,
 register("a20_variation", lambda spark, sf_dir: variation(panel(spark, sf_dir), CHANNELS, ["geo"]).select("channel", r("mean", 4), r("sd", 4), r("cv"), "distinct", r("zero_share")),
     f"""WITH {PANEL}, l AS (SELECT geo, unnest({CHANNELS}) AS channel, unnest([{', '.join(CHANNELS)}]) AS x FROM panel), g AS (SELECT geo, channel, avg(x) AS m, stddev_samp(x) AS s, count(DISTINCT x) AS d, avg((x = 0)::INT) AS z FROM l GROUP BY ALL)
         SELECT channel, round(avg(m), 4) AS mean, round(avg(s), 4) AS sd, round(min(s / abs(m)), 6) AS cv, min(d) AS "distinct", round(max(z), 6) AS zero_share FROM g GROUP BY 1""")
-register("a21_vif", lambda spark, sf_dir: vif(panel(spark, sf_dir), ["urgent", "low"], ["geo"]).select("channel", r("vif")),
-    f"WITH {PANEL}, g AS (SELECT 1 / (1 - pow(corr(urgent, low), 2)) AS v FROM panel GROUP BY geo) SELECT unnest(['urgent', 'low']) AS channel, round(max(v), 6) AS vif FROM g")
-register("a22_correlations", lambda spark, sf_dir: correlations(panel(spark, sf_dir), CHANNELS[:3], ["geo"]).select("channel", "partner", r("r")),
-    f"""WITH {PANEL}, g AS (SELECT corr(urgent, high) AS a, corr(urgent, medium) AS b, corr(high, medium) AS c FROM panel GROUP BY geo),
-        l AS (SELECT unnest(['urgent', 'high', 'urgent', 'medium', 'high', 'medium']) AS channel, unnest(['high', 'urgent', 'medium', 'urgent', 'medium', 'high']) AS partner, unnest([a, a, b, b, c, c]) AS r FROM g)
+R3 = "corr(urgent, high) AS a, corr(urgent, low) AS b, corr(high, low) AS c"
+VIF3 = """d AS (SELECT *, 1 + 2 * a * b * c - a * a - b * b - c * c AS det FROM g), v AS (SELECT unnest(['urgent', 'high', 'low']) AS channel, unnest([(1 - c * c) / det, (1 - b * b) / det, (1 - a * a) / det]) AS v FROM d)
+    SELECT channel, round(max(v), 6) AS vif FROM v GROUP BY 1"""
+register("a21_vif", lambda spark, sf_dir: vif(panel(spark, sf_dir), ["urgent", "high", "low"], ["geo"]).select("channel", r("vif")), f"WITH {PANEL}, g AS (SELECT {R3} FROM panel GROUP BY geo), {VIF3}")
+register("a26_diagnosis_carried", lambda spark, sf_dir: diagnose_media(panel(spark, sf_dir), ["urgent", "high", "low"], ["geo"], date="wk", decay={"urgent": 0.6, "low": 0.3}).collinearity.select("channel", r("vif")),
+    f"""WITH {PANEL}, ul AS (WITH {iir_sql('panel', 'urgent', 0.6)} SELECT geo, wk, a FROM iir), ll AS (WITH {iir_sql('panel', 'low', 0.3)} SELECT geo, wk, a FROM iir),
+        carried AS (SELECT p.geo, p.wk, ul.a AS urgent, high, ll.a AS low FROM panel p JOIN ul ON ul.geo = p.geo AND ul.wk = p.wk JOIN ll ON ll.geo = p.geo AND ll.wk = p.wk), g AS (SELECT {R3} FROM carried GROUP BY geo), {VIF3}""")
+PAIRS = [(a, b) for i, a in enumerate(CHANNELS) for b in CHANNELS[i + 1 :]]
+register("a22_correlations", lambda spark, sf_dir: correlations(panel(spark, sf_dir), CHANNELS, ["geo"]).select("channel", "partner", r("r")),
+    f"""WITH {PANEL}, g AS (SELECT {', '.join(f'corr({a}, {b}) AS {a}_{b}' for a, b in PAIRS)} FROM panel GROUP BY geo),
+        l AS (SELECT unnest({[x for a, b in PAIRS for x in (a, b)]}) AS channel, unnest({[x for a, b in PAIRS for x in (b, a)]}) AS partner, unnest([{', '.join(f'{a}_{b}, {a}_{b}' for a, b in PAIRS)}]) AS r FROM g)
         SELECT channel, arg_max(partner, abs(r)) AS partner, round(arg_max(r, abs(r)), 6) AS r FROM l GROUP BY 1""")
 register("a23_cpm_outliers", lambda spark, sf_dir: cpm_outliers(panel(spark, sf_dir), "urgent", "n", "wk", ["geo"]).select("geo", "wk", r("cpm"), r("median"), "outlier"),
     f"""WITH {PANEL}, c AS (SELECT geo, wk, urgent / n * 1000 AS cpm FROM panel WHERE n > 0), m AS (SELECT *, median(cpm) OVER (PARTITION BY geo) AS med FROM c), d AS (SELECT *, 1.4826 * median(abs(cpm - med)) OVER (PARTITION BY geo) AS mad FROM m)
         SELECT geo, wk, round(cpm, 6) AS cpm, round(med, 6) AS median, CASE WHEN mad > 0 THEN abs(cpm - med) > 5 * mad ELSE cpm > 2 * med OR cpm < med / 2 END AS outlier FROM d""")
-register("a24_date_audit", lambda spark, sf_dir: date_audit(sparse(spark, sf_dir).withColumn("o", F.xxhash64("wk") % 97), "wk", ["geo"]).select("geo", "rows", "start", "end", "period", "duplicated", "missing", "irregular"),
-    f"""WITH {PANEL}, s AS (SELECT geo, (wk - DATE '1970-01-01')::DOUBLE AS t FROM sp), g AS (SELECT *, t - lag(t) OVER (PARTITION BY geo ORDER BY t) AS step FROM s),
-        m AS (SELECT *, median(step) OVER (PARTITION BY geo) AS period, step / median(step) OVER (PARTITION BY geo) AS ratio FROM g)
-        SELECT geo, count(*) AS rows, min(t) AS start, max(t) AS "end", max(period) AS period, 0::BIGINT AS duplicated, coalesce(sum(greatest(round(ratio) - 1, 0)), 0)::BIGINT AS missing,
+def audited(spark, sf_dir):
+    """The weeks with orders, some of them twice, in an order that goes back at times."""
+    weeks = sparse(spark, sf_dir).select("geo", "wk", F.unix_date("wk").alias("day"))
+    rows = weeks.withColumn("place", (F.col("day") % 35) * 100000 + F.col("day"))
+    return date_audit(rows.unionByName(weeks.where("day % 11 = 0").withColumn("place", F.col("day") + 10000000)), "wk", ["geo"], row_order="place")
+
+
+register("a24_date_audit", audited,
+    f"""WITH {PANEL}, d AS (SELECT geo, (wk - DATE '1970-01-01') AS day FROM sp), rows AS (SELECT geo, day, (day % 35) * 100000 + day AS place FROM d UNION ALL SELECT geo, day, day + 10000000 FROM d WHERE day % 11 = 0),
+        b AS (SELECT *, day < lag(day) OVER (PARTITION BY geo ORDER BY place) AS back FROM rows), c AS (SELECT geo, day::DOUBLE AS t, count(*) AS n, count(*) FILTER (back) AS back FROM b GROUP BY ALL),
+        g AS (SELECT *, t - lag(t) OVER (PARTITION BY geo ORDER BY t) AS step FROM c), m AS (SELECT *, median(step) OVER (PARTITION BY geo) AS period, step / median(step) OVER (PARTITION BY geo) AS ratio FROM g)
+        SELECT geo, sum(n)::BIGINT AS rows, min(t) AS start, max(t) AS "end", max(period) AS period, sum(back)::BIGINT AS out_of_order, sum(n - 1)::BIGINT AS duplicated, coalesce(sum(greatest(round(ratio) - 1, 0)), 0)::BIGINT AS missing,
                count(*) FILTER (abs(ratio - greatest(1, round(ratio))) > 0.25) AS irregular FROM m GROUP BY geo""")
 #: How each geo's new rows join on: a day's shift, the weeks its history lacks, and where the new rows start.
 JOINS = {"AFRICA": (0, "1998-01-05"), "AMERICA": (0, "1997-06-02"), "ASIA": (0, "1999-03-01"), "EUROPE": (3, "1997-06-02")}

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Fixed values of the panel: kernel decay, half-saturation, curve shape and effect of each channel.
 TRUTH = {
@@ -17,32 +19,71 @@ TRUTH = {
     "display": (0.55, 300, 1.0, 900),
 }
 GEOS = {"north": 1.0, "central": 0.72, "south": 1.35}
-CHANNELS = ["paid_search", "organic_search", "social", "display", "email", "affiliate", "direct", "(none)", ""]
+#: Fixed values of the log: how likely each channel opens and closes a journey; touches between go from one mix to the other.
+OPENING = {"paid_search": 0.10, "organic_search": 0.14, "social": 0.26, "display": 0.32, "email": 0.06, "affiliate": 0.12}
+CLOSING = {"paid_search": 0.34, "organic_search": 0.22, "social": 0.09, "display": 0.05, "email": 0.22, "affiliate": 0.08}
+DIRECT = ["direct", "(none)", ""]
+CONVERSIONS = (0.62, 0.28, 0.07, 0.03)  # of 0 to 3 conversions a customer
+DAY = 86400.0
 
 
 def touchpoints(spark: SparkSession, customers: int = 5400, seed: int = 1) -> DataFrame:
-    """customer_id, channel, timestamp, conversion, value: repeat converters, bursts, ties, exact duplicates, missing labels."""
-    rng = np.random.default_rng(seed)
-    rows = []
-    start = dt.datetime(2025, 1, 1)
-    for i in range(customers):
-        at = float(rng.uniform(0, 120))
-        wins = int(rng.choice(4, p=[0.62, 0.28, 0.07, 0.03]))
-        for burst in range(max(1, wins)):
-            n = 1 + int(rng.poisson(2.4))
-            before = None
-            for k in range(n):
-                label = before if before is not None and rng.random() < 0.35 else CHANNELS[6 + rng.integers(3)] if rng.random() < 0.22 else CHANNELS[rng.integers(6)]
-                before = label
-                won = burst < wins and k == n - 1
-                rows.append((f"cust_{i + 1:05d}", None if rng.random() < 0.04 else label, start + dt.timedelta(days=at), int(won), round(float(rng.gamma(3, 42)), 2) if won else None))
-                if rng.random() > 0.15:
-                    at += float(rng.exponential(2.5))
-            at += float(rng.uniform(20, 140))
-    rows += [rows[j] for j in rng.integers(0, len(rows), len(rows) // 180)]
-    order = rng.permutation(len(rows))
-    fields = "customer_id string, channel string, timestamp timestamp_ntz, conversion int, value double"
-    return spark.createDataFrame([rows[j] for j in order], fields)
+    """customer_id, channel, timestamp, conversion, value: repeat converters, bursts, ties, exact duplicates, missing labels.
+
+    Every number is drawn from a hash of the seed, what it is for and the customer, burst and touch it belongs to, so executors
+    make the log from a range of customers, without a shuffle, and the same one however it is cut into tasks.
+    """
+
+    def u(use: str, *keys) -> Column:
+        return (F.pmod(F.xxhash64(F.lit(seed), F.lit(use), *keys), F.lit(2**53)) + 0.5) / float(2**53)
+
+    def one_of(draw: Column, chances) -> Column:
+        """The number, from 0, of the chance that the draw falls on."""
+        out = F.lit(len(chances) - 1)
+        for i in range(len(chances) - 2, -1, -1):
+            out = F.when(draw < sum(chances[1 : i + 1], chances[0]), i).otherwise(out)
+        return out
+
+    poisson = [math.exp(-2.4) * 2.4**k / math.factorial(k) for k in range(16)]
+    who = F.col("id")
+    touches = lambda b: F.lit(1) + one_of(u("touches", who, b), [*poisson, 1.0])
+    tie = lambda b: u("tie", who, b) < 0.15
+
+    def pause(b, k) -> Column:
+        """Seconds between the touch and the one before; the third sometimes comes with the second."""
+        return F.when((k == 1) | ((k == 3) & tie(b)), 0.0).otherwise(-2.5 * DAY * F.log(u("pause", who, b, k)))
+
+    def offset(b, k) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), k), F.lit(0.0), lambda total, i: total + pause(b, i))
+
+    def start(b) -> Column:
+        before = F.aggregate(F.sequence(F.lit(1), F.greatest(b - 1, F.lit(1))), F.lit(0.0), lambda total, j: total + offset(j, touches(j)) + DAY * (20 + 120 * u("rest", who, j)))
+        return 300 * DAY * u("start", who) + F.when(b > 1, before).otherwise(0.0)
+
+    b, k, n = F.col("burst"), F.col("k"), F.col("n")
+    bursts = spark.range(1, customers + 1).withColumn("wins", one_of(u("wins", who), CONVERSIONS))
+    bursts = bursts.select("id", "wins", F.explode(F.sequence(F.lit(1), F.greatest("wins", F.lit(1)))).alias("burst"))
+    rows = bursts.withColumns({"n": touches(b), "start": start(b)}).withColumn("k", F.explode(F.sequence(F.lit(1), n)))
+
+    names = list(OPENING)
+    # one touch in a burst may repeat the channel of the one before
+    again = (n > 1) & (u("again", who, b) < 0.35) & (k == 2 + F.floor((n - 1) * u("again at", who, b)))
+    drawn = F.when(again, k - 1).otherwise(k)
+    late = F.when(n == 1, 0.5).otherwise((drawn - 1) / (n - 1))
+    mix = [(1 - late) * OPENING[c] + late * CLOSING[c] for c in names]
+    label = F.element_at(F.array(*map(F.lit, names)), one_of(u("channel", who, b, drawn), mix) + 1)
+    spot = lambda use: 1 + F.floor(n * u(use, who, b))
+    label = F.when((u("direct", who, b) < 0.22) & (k == spot("direct at")), F.element_at(F.array(*map(F.lit, DIRECT)), (1 + F.floor(3 * u("direct as", who, b))).cast("int"))).otherwise(label)
+    label = F.when((u("missing", who, b) < 0.04) & (k == spot("missing at")), None).otherwise(label)
+    won = (b <= F.col("wins")) & (k == n)
+    value = F.round(-42 * sum((F.log(u(f"value {i}", who, b)) for i in range(3)), F.lit(0.0)), 2)  # a gamma draw of shape 3
+    seconds = F.floor(F.col("start") + offset(b, k))
+    copies = F.explode(F.array_repeat(F.lit(0), F.when(u("copy", who, b, k) < 1 / 180, 2).otherwise(1)))
+    made = rows.select(
+        F.format_string("cust_%05d", who).alias("customer_id"), label.alias("channel"), (F.lit(dt.datetime(2025, 1, 1)).cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)).alias("timestamp"),
+        won.cast("int").alias("conversion"), F.when(won, value).alias("value"), copies.alias("copy"),
+    )
+    return made.drop("copy")
 
 
 def weekly_panel(spark: SparkSession, weeks: int = 156, seed: int = 1) -> DataFrame:
