@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -256,29 +257,60 @@ def reallocate(plan: DataFrame, source: str, target: str, amount: float | dict,
     return plan.withColumns(moved)
 
 
-def response_grid(plan: DataFrame, spec: dict[str, ChannelSpec], coefficients: dict[str, float], levels: dict[str, Sequence[float]], order_by: str, by: Sequence[str] = (), extend: int = 0) -> DataFrame:
-    """(channel, k, level, response): total response of each channel's flighting scaled to each spend level.
+class Responses:
+    """The response of every channel's flighting at any spend levels, from one pass over the series.
 
-    Carryover is linear, so where it comes before saturation one filtered series serves all levels and the grid is one
-    explode and sum; a channel that saturates first is filtered for each level.
+    Carryover is linear, so where it comes before saturation one filtered series serves all levels, and a grid is one explode and
+    sum for all channels; a channel that saturates first is filtered for each level. ``held`` keeps the filtered series in
+    executors until it is left.
     """
-    rows = extended(plan, list(spec), order_by, by, extend)
-    current = {c: v or 0.0 for c, v in rows.agg(*[F.sum(c).alias(c) for c in spec]).first().asDict().items()}
-    factor = {c: [x / current[c] if current[c] > 0 else 0.0 for x in levels[c]] for c in spec}
-    linear = adstock(rows, {f"_a_{c}": (c, s.adstock) for c, s in spec.items() if not s.saturate_first}, ["_ext", order_by], by) if any(not s.saturate_first for s in spec.values()) else rows
-    parts = []
-    for c, s in spec.items():
-        grid = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(x)).alias("level"), F.lit(float(f)).alias("f")) for k, (x, f) in enumerate(zip(levels[c], factor[c], strict=True))])).alias("g")
-        if s.saturate_first:
-            series = rows.select(*by, order_by, "_ext", c, grid).select(*by, order_by, "_ext", "g.k", "g.level", (F.col(c) * F.col("g.f")).alias("_x"))
-            made = media_transform(series, {"_y": ("_x", s)}, ["_ext", order_by], [*by, "k", "level"])
-        else:
-            made = linear.select(F.col(f"_a_{c}").alias("_a"), grid).select("g.k", "g.level", s.saturation.column(F.col("_a") * F.col("g.f")).alias("_y"))
-        parts.append(made.groupBy("k", "level").agg((F.sum("_y") * float(coefficients[c])).alias("response")).select(F.lit(c).alias("channel"), "k", "level", "response"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+
+    def __init__(self, plan: DataFrame, spec: dict[str, ChannelSpec], coefficients: dict[str, float], order_by: str, by: Sequence[str] = (), extend: int = 0):
+        self.spec, self.coefficients, self.order, self.by = spec, coefficients, ["_ext", order_by], list(by)
+        self.rows = extended(plan, list(spec), order_by, by, extend)
+        self.late = {c: s for c, s in spec.items() if not s.saturate_first}
+        self.rows = adstock(self.rows, {f"_a_{c}": (c, s.adstock) for c, s in self.late.items()}, self.order, by)
+        self.spend = None
+
+    def __enter__(self) -> Responses:
+        self.rows = self.rows.persist()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.rows.unpersist()
+
+    def current(self) -> dict[str, float]:
+        """What each channel spends in all."""
+        if self.spend is None:
+            self.spend = {c: v or 0.0 for c, v in self.rows.agg(*[F.sum(c).alias(c) for c in self.spec]).first().asDict().items()}
+        return self.spend
+
+    def at(self, levels: dict[str, Sequence[float]]) -> DataFrame:
+        """(channel, k, level, response)."""
+        points = [(c, k, float(x), float(x) / self.current()[c] if self.current()[c] > 0 else 0.0) for c in self.spec for k, x in enumerate(levels[c])]
+        fields = "array<struct<channel: string, k: int, level: double, f: double>>"
+        held = lambda wanted: F.explode(F.from_json(F.lit(json.dumps([dict(zip(("channel", "k", "level", "f"), p, strict=True)) for p in points if p[0] in wanted])), fields)).alias("g")  # noqa: E731 # one literal
+        parts = []
+        if self.late:
+            each = self.rows.select(*[f"_a_{c}" for c in self.late], held(self.late)).select("*", "g.*")
+            y = F.lit(None).cast("double")
+            for c, s in self.late.items():
+                y = F.when(F.col("channel") == c, s.saturation.column(F.col(f"_a_{c}") * F.col("f")) * float(self.coefficients[c])).otherwise(y)
+            parts.append(each.withColumn("y", y))
+        for c, s in self.spec.items():
+            if s.saturate_first:
+                series = self.rows.select(*self.by, *self.order, c, held([c])).select(*self.by, *self.order, "g.*", (F.col(c) * F.col("g.f")).alias("_x"))
+                made = media_transform(series, {"_y": ("_x", s)}, self.order, [*self.by, "channel", "k"])
+                parts.append(made.withColumn("y", F.col("_y") * float(self.coefficients[c])))
+        out = parts[0].select("channel", "k", "level", "y")
+        for part in parts[1:]:
+            out = out.unionByName(part.select("channel", "k", "level", "y"))
+        return out.groupBy("channel", "k", "level").agg(F.sum("y").alias("response"))
+
+
+def response_grid(plan: DataFrame, spec: dict[str, ChannelSpec], coefficients: dict[str, float], levels: dict[str, Sequence[float]], order_by: str, by: Sequence[str] = (), extend: int = 0) -> DataFrame:
+    """(channel, k, level, response): total response of each channel's flighting scaled to each spend level; see ``Responses``."""
+    return Responses(plan, spec, coefficients, order_by, by, extend).at(levels)
 
 
 @dataclass
@@ -332,38 +364,41 @@ def allocate_budget(
 ) -> Allocation:
     """The split of ``total`` over channels, in ``steps`` equal increments above their lower bounds, of the largest response.
 
-    The response grid is computed in Spark; what reaches the driver is channels x steps numbers, searched exactly. A channel
-    without spend has no flighting and gets its lower bound at zero response. Where upper bounds leave less than an increment
-    of room each, the rest is shared in proportion to the room left.
+    The series are filtered once; response grids are computed on them in Spark, and what reaches the driver is channels x steps
+    numbers, searched exactly. A channel without spend has no flighting and gets its lower bound at zero response. Where upper
+    bounds leave less than an increment of room each, the rest is shared in proportion to the room left.
     """
+    if not 1 <= steps <= 10_000:
+        raise ValueError("steps must be from 1 to 10,000")
     channels = list(spec)
-    current = {c: v or 0.0 for c, v in plan.agg(*[F.sum(c).alias(c) for c in channels]).first().asDict().items()}
-    total = sum(current.values()) if total is None else float(total)
-    lower = {c: float((lower or {}).get(c, 0.0)) for c in channels}
-    upper = {c: float((upper or {}).get(c, total if current[c] > 0 else lower[c])) for c in channels}
-    upper = {c: min(u, total) for c, u in upper.items()}
-    if any(lower[c] > upper[c] + 1e-9 * total for c in channels) or sum(lower.values()) > total * (1 + 1e-9) or sum(upper.values()) < total * (1 - 1e-9):
-        raise ValueError("no split of the total keeps within the bounds")
-    free = max(0.0, total - sum(lower.values()))
-    step = free / steps
-    tops = {c: int(min(steps, np.floor((upper[c] - lower[c]) / step + 1e-9))) if step else 0 for c in channels}
-    levels = {c: [lower[c] + k * step for k in range(tops[c] + 1)] for c in channels}
-    grid = {c: np.zeros(len(levels[c])) for c in channels}
-    for row in response_grid(plan, spec, coefficients, levels, order_by, by, extend).collect():
-        grid[row["channel"]][row["k"]] = row["response"]
-    if not all(np.isfinite(g).all() for g in grid.values()):
-        raise ValueError("the response is not finite at every level searched")
-    picks = best_split([grid[c] for c in channels], steps) if free else [0] * len(channels)
-    if picks is not None:
-        spend = {c: lower[c] + k * step for c, k in zip(channels, picks, strict=True)}
-    else:
-        spend = {c: lower[c] + tops[c] * step for c in channels}
-        room = {c: upper[c] - spend[c] for c in channels}
-        rest, space = total - sum(spend.values()), sum(room.values())
-        spend = {c: spend[c] + (rest * room[c] / space if space > 0 else 0) for c in channels}
-    spend = {c: min(upper[c], max(lower[c], x)) for c, x in spend.items()}
-    points = {c: [current[c], spend[c], spend[c] * 1.01] for c in channels}
-    at = {(r["channel"], r["k"]): r["response"] for r in response_grid(plan, spec, coefficients, points, order_by, by, extend).collect()}
+    with Responses(plan, spec, coefficients, order_by, by, extend) as responses:
+        current = responses.current()
+        total = sum(current.values()) if total is None else float(total)
+        lower = {c: float((lower or {}).get(c, 0.0)) for c in channels}
+        upper = {c: float((upper or {}).get(c, total if current[c] > 0 else lower[c])) for c in channels}
+        upper = {c: min(u, total) for c, u in upper.items()}
+        if any(lower[c] > upper[c] + 1e-9 * total for c in channels) or sum(lower.values()) > total * (1 + 1e-9) or sum(upper.values()) < total * (1 - 1e-9):
+            raise ValueError("no split of the total keeps within the bounds")
+        free = max(0.0, total - sum(lower.values()))
+        step = free / steps
+        tops = {c: int(min(steps, np.floor((upper[c] - lower[c]) / step + 1e-9))) if step else 0 for c in channels}
+        levels = {c: [lower[c] + k * step for k in range(tops[c] + 1)] for c in channels}
+        grid = {c: np.zeros(len(levels[c])) for c in channels}
+        for row in responses.at(levels).collect():
+            grid[row["channel"]][row["k"]] = row["response"]
+        if not all(np.isfinite(g).all() for g in grid.values()):
+            raise ValueError("the response is not finite at every level searched")
+        picks = best_split([grid[c] for c in channels], steps) if free else [0] * len(channels)
+        if picks is not None:
+            spend = {c: lower[c] + k * step for c, k in zip(channels, picks, strict=True)}
+        else:
+            spend = {c: lower[c] + tops[c] * step for c in channels}
+            room = {c: upper[c] - spend[c] for c in channels}
+            rest, space = total - sum(spend.values()), sum(room.values())
+            spend = {c: spend[c] + (rest * room[c] / space if space > 0 else 0) for c in channels}
+        spend = {c: min(upper[c], max(lower[c], x)) for c, x in spend.items()}
+        points = {c: [current[c], spend[c], spend[c] * 1.01] for c in channels}
+        at = {(r["channel"], r["k"]): r["response"] for r in responses.at(points).collect()}
     rows = [(c, float(current[c]), float(spend[c]), at[c, 0], at[c, 1], (at[c, 2] - at[c, 1]) / (0.01 * spend[c]) if spend[c] > 0 else None) for c in channels]
     fields = "channel string, current_spend double, recommended_spend double, current_response double, recommended_response double, mroi double"
     table = plan.sparkSession.createDataFrame(rows, fields)

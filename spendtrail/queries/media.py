@@ -175,7 +175,44 @@ register("t15_response_grid", lambda spark, sf_dir: response_grid(panel(spark, s
         adst AS (SELECT {fir_sql('urgent', geometric_weights(4, 0.5))} AS au, {fir_sql('high', (0.7, 0.3))} AS ah, low AS al FROM panel)
         SELECT channel, k, level, round(sum(CASE channel WHEN 'urgent' THEN 900 * CASE WHEN au * level = 0 THEN 0 ELSE 1 / (1 + pow(400.0::DOUBLE / nullif(au * level / u, 0), 1.5)) END
             WHEN 'high' THEN 500 * (1 - exp(-0.002::DOUBLE * ah * level / h)) ELSE 20 * pow(al * level / l, 0.5) END), 3) AS response FROM g, t, adst GROUP BY ALL""")
-register("t15_allocate_budget", lambda spark, sf_dir: allocate_budget(panel(spark, sf_dir), SPEC, COEF, "wk", by=["geo"], steps=200).table)
+FULL_SPEC = SPEC | {
+    "medium": ChannelSpec(Adstock("geometric", 0.3, 3, normalise=False), Saturation("michaelis_menten", {"km": 500.0, "vmax": 1.0})),
+    "spare": ChannelSpec(Adstock("delayed", 0.6, 4, peak=1, normalise=False), Saturation("hill", {"half_max": 700.0, "shape": 0.8})),
+}
+FULL_COEF = COEF | {"medium": 700.0, "spare": 650.0}
+
+
+def allocated(spark, sf_dir):
+    """All five channels, 200 steps."""
+    found = allocate_budget(panel(spark, sf_dir), FULL_SPEC, FULL_COEF, "wk", by=["geo"], steps=200).table
+    return found.select("channel", r("current_spend", 3), r("recommended_spend", 3), r("current_response", 3), r("recommended_response", 3))
+
+
+#: Each channel's response in SQL, of its carried-over spend x.
+RESPONSE = {
+    "urgent": "900 * CASE WHEN x = 0 THEN 0 ELSE 1 / (1 + pow(400.0::DOUBLE / nullif(x, 0), 1.5)) END", "high": "500 * (1 - exp(-0.002::DOUBLE * x))", "low": "20 * pow(x, 0.5::DOUBLE)",
+    "medium": "700 * CASE WHEN x = 0 THEN 0 ELSE 1 / (1 + 500.0::DOUBLE / nullif(x, 0)) END", "spare": "650 * CASE WHEN x = 0 THEN 0 ELSE 1 / (1 + pow(700.0::DOUBLE / nullif(x, 0), 0.8::DOUBLE)) END",
+}
+CARRIED = {"urgent": geometric_weights(4, 0.5), "high": (0.7, 0.3), "low": (1.0,), "medium": geometric_weights(3, 0.3), "spare": delayed_weights(4, 0.6, 1)}
+
+
+def split_sql():
+    """CTEs s0, s1...: (b, gain, picks): the best split of b increments over the first channels."""
+    out = ["s0 AS (SELECT k AS b, response AS gain, [k] AS picks FROM grid WHERE channel = 'urgent')"]
+    for i, c in enumerate(list(FULL_SPEC)[1:]):
+        out.append(f"s{i + 1} AS (SELECT s.b + g.k AS b, max(s.gain + g.response) AS gain, arg_max(list_append(s.picks, g.k), s.gain + g.response) AS picks FROM s{i} s JOIN grid g ON g.channel = '{c}' AND s.b + g.k <= 200 GROUP BY 1)")
+    return ", ".join(out)
+
+
+register("t15_allocate_budget", allocated,
+    f"""WITH {PANEL}, carried AS (SELECT {', '.join(f'{fir_sql(c, w)} AS {c}' for c, w in CARRIED.items())} FROM panel), long AS ({' UNION ALL '.join(f"SELECT '{c}' AS channel, {c} AS a FROM carried" for c in FULL_SPEC)}),
+        cur AS ({' UNION ALL '.join(f"SELECT '{c}' AS channel, sum({c}) AS spend FROM panel" for c in FULL_SPEC)}), tot AS (SELECT sum(spend) AS total FROM cur),
+        points AS (SELECT channel, k, total * k / 200 AS level, total * k / 200 / spend AS f FROM cur, tot, (SELECT unnest(range(201)) AS k) UNION ALL SELECT channel, -1, spend, 1 FROM cur),
+        grid AS (SELECT channel, k, any_value(level) AS level, sum(CASE channel {' '.join(f"WHEN '{c}' THEN {e}" for c, e in RESPONSE.items())} END) AS response FROM (SELECT p.*, a * f AS x FROM long JOIN points p USING (channel)) GROUP BY 1, 2),
+        {split_sql().replace("FROM grid WHERE", "FROM grid WHERE k >= 0 AND").replace("'  AND s.b", "' AND s.b").replace("AND s.b + g.k", "AND g.k >= 0 AND s.b + g.k")},
+        won AS (SELECT picks FROM s4 WHERE b = 200), names AS (SELECT unnest({list(FULL_SPEC)}) AS channel, unnest(picks) AS k FROM won)
+        SELECT n.channel, round(spend, 3) AS current_spend, round(g.level, 3) AS recommended_spend, round(c0.response, 3) AS current_response, round(g.response, 3) AS recommended_response
+        FROM names n JOIN grid g ON g.channel = n.channel AND g.k = n.k JOIN cur ON cur.channel = n.channel JOIN grid c0 ON c0.channel = n.channel AND c0.k = -1""")
 register("t16_reallocate", lambda spark, sf_dir: reallocate(panel(spark, sf_dir), "urgent", "low", 100.0, "geo").select("geo", "wk", r("urgent", 4), r("low", 4)),
     f"WITH {PANEL} SELECT geo, wk, round(urgent * (1 - 100 / sum(urgent) OVER w), 4) AS urgent, round(low + 100 * low / sum(low) OVER w, 4) AS low FROM panel WINDOW w AS (PARTITION BY geo)")
 
