@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendtrail.operators.credit import RULES, _frame, rule_weight
-from spendtrail.operators.markov import markov_removal, removal_effects, solve_chain, transition_counts
+from spendtrail.operators.markov import removal_effects, removal_with_touches, solve_chain, transition_counts
 
 ALL_RULES = (*RULES, "markov")
 
@@ -46,7 +46,8 @@ def attribute(
 ) -> DataFrame:
     """(by..., rule, channel, conversions, share, value, touches[, lower, upper]).
 
-    ``by`` columns must be constant within a journey, which ``check_segments`` makes sure of first. value is 0 where journeys carry none. With ``times``
+    ``by`` columns must be present and constant within a journey, which is checked as the table is run (``check_segments`` does it
+    at once). value is 0 where journeys carry none. With ``times``
     bootstrap replicates lower and upper bound the share at ``level``. Rows of a rule are not ordered: sort on
     conversions and channel as wanted.
     """
@@ -55,9 +56,9 @@ def attribute(
     by = [by] if isinstance(by, str) else list(by)
     if clash := set(by) & {"rule", "channel", "conversions", "share", "value", "touches", "lower", "upper", "path_id"}:
         raise ValueError(f"segments can't be named {', '.join(sorted(clash))}")
-    if by:
-        check_segments(paths, by)
     df = _frame(paths)
+    if by:
+        df = _constant_within(df, by)
     plain = [r for r in rules if r != "markov"]
     parts = []
     if plain:
@@ -68,9 +69,7 @@ def attribute(
         whole = F.sum("conversions").over(Window.partitionBy(*by, "rule"))
         parts.append(sums.withColumn("share", F.coalesce(F.try_divide(F.col("conversions"), whole), F.lit(0.0))))
     if "markov" in rules:
-        touches = df.groupBy(*by, "channel").agg(F.count("*").alias("touches"))
-        chain = markov_removal(df, by).withColumns({"rule": F.lit("markov"), "value": F.coalesce("value", F.lit(0.0))})
-        parts.append(chain.join(touches, [*by, "channel"]))
+        parts.append(removal_with_touches(df, by).withColumns({"rule": F.lit("markov"), "value": F.coalesce("value", F.lit(0.0))}))
     columns = [*by, "rule", "channel", "conversions", "share", "value", "touches"]
     out = parts[0].select(*columns)
     for part in parts[1:]:
@@ -81,6 +80,14 @@ def attribute(
     return out.join(bounds, [*by, "rule", "channel"], "left")
 
 
+def _constant_within(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``df``, refused when it is run if a ``by`` column is missing or differs within a journey. Windows are over the journey, as
+    those of the rules are, so this costs no exchange of its own there."""
+    journey = Window.partitionBy("path_id")
+    refuse = lambda c: F.raise_error(F.lit(f"column {c} is missing or differs within a journey"))
+    return df.withColumns({c: F.when(F.col(c).isNull() | (F.min(c).over(journey) != F.max(c).over(journey)), refuse(c).cast(df.schema[c].dataType)).otherwise(F.col(c)) for c in by})
+
+
 def check_segments(paths, by: Sequence[str]) -> None:
     """Raises unless every ``by`` column is present and constant within each journey: one job."""
     df = _frame(paths)

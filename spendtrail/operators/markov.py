@@ -14,20 +14,23 @@ from spendtrail.operators.credit import _frame
 START, CONVERSION, NULL = "(start)", "(conversion)", "(null)"
 
 
-def transition_counts(paths, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., source, target, ends, n): source null is the start; ends: '' for channels, else how a journey ended.
+def transition_counts(paths, by: Sequence[str] = (), value: bool = False) -> DataFrame:
+    """(by..., source, target, ends, n[, total]): source null is the start; ends: '' for channels, else how a journey ended; total:
+    the values of the journeys that ended so, null where none has one.
 
     One exchange by journey, then partial counts; none more where path_id is among ``by``.
     """
     df = _frame(paths)
     order = Window.partitionBy("path_id").orderBy("touch_rank")
-    step = df.select(*by, "channel", "touch_rank", "touch_n", "converted", F.lead("channel").over(order).alias("next"))
+    worth = [F.when(F.col("converted"), F.col("conversion_value")).alias("worth")] if value else []
+    step = df.select(*by, "channel", "touch_rank", "converted", *worth, F.lead("channel").over(order).alias("next"))
     end = F.when(F.col("converted"), CONVERSION).otherwise(NULL)
     moves = F.array(
         F.when(F.col("touch_rank") == 1, F.struct(F.lit(None).cast("string").alias("source"), F.col("channel").alias("target"), F.lit("").alias("ends"))),
         F.struct(F.col("channel").alias("source"), F.col("next").alias("target"), F.when(F.col("next").isNull(), end).otherwise("").alias("ends")),
     )
-    return step.select(*by, F.explode(F.array_compact(moves)).alias("m")).groupBy(*by, "m.source", "m.target", "m.ends").agg(F.count("*").alias("n"))
+    sums = [F.count("*").alias("n"), *([F.sum(F.when(F.col("ends") != "", F.col("worth"))).alias("total")] if value else [])]
+    return step.select(*by, *(["worth"] if value else []), F.explode(F.array_compact(moves)).alias("m")).select("*", "m.*").groupBy(*by, "source", "target", "ends").agg(*sums)
 
 
 def solve_chain(moves: pd.DataFrame) -> tuple[list[str], np.ndarray, float]:
@@ -63,23 +66,28 @@ def markov_removal(paths, by: Sequence[str] = ()) -> DataFrame:
     What is solved for a segment is at most its (channels + 1) x (channels + 2) counts. value is null where no converting
     journey has one.
     """
+    return removal_with_touches(paths, by).drop("touches")
+
+
+def removal_with_touches(paths, by: Sequence[str] = ()) -> DataFrame:
+    """``markov_removal`` and each channel's number of touches, all from one pass: every touch is the source of one move, and the
+    conversions and their values are those of the moves that end so."""
     df = _frame(paths)
-    moves = transition_counts(df, by)
-    firsts = df.where("touch_rank = 1").groupBy(*by).agg(F.count_if("converted").alias("n_conv"), F.sum(F.when(F.col("converted"), F.col("conversion_value"))).alias("total"))
-    totals = firsts.select(*by, F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("target"), F.lit("(total)").alias("ends"), F.col("n_conv").alias("n"), "total")
-    rows = moves.withColumn("total", F.lit(None).cast("double")).unionByName(totals)
+    rows = transition_counts(df, by, value=True)
 
     def solve(segment: pd.DataFrame) -> pd.DataFrame:
-        end = segment[segment["ends"] == "(total)"].iloc[0]
-        channels, without, base = solve_chain(segment[segment["ends"] != "(total)"])
+        channels, without, base = solve_chain(segment)
         effect, share = removal_effects(channels, without, base)
-        out = pd.DataFrame({"channel": channels, "removal_effect": effect, "conversions": end["n"] * share, "share": share, "value": end["total"] * share if end["total"] == end["total"] and end["total"] is not None else None, "p_without": without, "p_conversion": base})
+        won = segment[segment["ends"] == CONVERSION]
+        total = won["total"].sum(min_count=1)
+        touches = segment.groupby("source")["n"].sum().reindex(channels, fill_value=0).to_numpy()
+        out = pd.DataFrame({"channel": channels, "removal_effect": effect, "conversions": int(won["n"].sum()) * share, "share": share, "value": total * share if total == total else None, "p_without": without, "p_conversion": base, "touches": touches})
         for name in by:
             out[name] = segment[name].iloc[0]
         return out
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    schema = "".join(f"`{c}` {kinds[c]}, " for c in by) + "channel string, removal_effect double, conversions double, share double, value double, p_without double, p_conversion double"
+    schema = "".join(f"`{c}` {kinds[c]}, " for c in by) + "channel string, removal_effect double, conversions double, share double, value double, p_without double, p_conversion double, touches long"
     return rows.groupBy(*by).applyInPandas(solve, schema)
 
 
