@@ -88,7 +88,9 @@ COUNTS_SQL = """
            (SELECT count(*) FROM p WHERE touch_rank = 1 AND converted) AS converting_journeys, (SELECT sum(conv)::BIGINT FROM facts) AS conversion_events,
            (SELECT count(*) FROM facts WHERE op = 1 AND conv_t IS NOT NULL) AS conversions_observed,
            (SELECT count(*) FROM facts WHERE op = 1 AND conv_t IS NOT NULL) - (SELECT count(*) FROM p WHERE touch_rank = 1 AND converted) AS conversions_unattributable,
-           (SELECT count(*) FROM raw) - (SELECT count(*) FROM facts) AS duplicate_events"""
+           (SELECT count(*) FROM raw) - (SELECT count(*) FROM facts) AS duplicate_events,
+           (SELECT count(*) FROM (SELECT sum(conv) AS wins FROM facts GROUP BY id, jn) WHERE wins > 1) AS multi_conversion_journeys,
+           (SELECT coalesce(sum(wins - 1), 0)::BIGINT FROM (SELECT sum(conv) AS wins FROM facts GROUP BY id, jn) WHERE wins > 1) AS conversions_merged"""
 
 #: name: (settings of build_paths, the same for journey_sql)
 VARIANTS = {
