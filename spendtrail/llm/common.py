@@ -35,14 +35,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Like ``cut``, as a Parquet table in the same folder: smaller than a checkpoint where rows are many."""
+def written(df: DataFrame, scratch: list[str] | None = None) -> DataFrame:
+    """Like ``cut``, as a Parquet table in the same folder: smaller than a checkpoint where rows are many.
+
+    Its path is added to ``scratch``, so that ``release`` can delete it once nothing that is still to run reads it.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, scratch: list[str]) -> None:
+    """Delete the tables of ``scratch``, wherever they lie."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while scratch:
+        path = jvm.org.apache.hadoop.fs.Path(scratch.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def fold(text: Column) -> Column:
     """Lower-case A-Z only; null is empty.
 
@@ -88,7 +101,7 @@ def bit_of(bitmap: Column, place: Column) -> Column:
     return F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) > 0, F.lit(False))
 
 
-def split_by_keys(rows: DataFrame, cols: list[str], keys: DataFrame, most: int = 1 << 28) -> tuple[DataFrame, DataFrame]:
+def split_by_keys(rows: DataFrame, cols: list[str], keys: DataFrame, most: int = 1 << 28, scratch: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows whose ``cols`` are certainly none of ``keys``, the others): nothing is shuffled.
 
     A bitmap of the keys' hashes is broadcast, 16 bits a key and at most ``most`` bits (32 MB). With more keys than that
@@ -103,7 +116,7 @@ def split_by_keys(rows: DataFrame, cols: list[str], keys: DataFrame, most: int =
 
     page, bitmap = "__spendtrail_page", "__spendtrail_bitmap"
     bit = keys.select(place(keys.columns).alias("bit"))
-    pages = written(bit.groupBy(F.floor(F.col("bit") / PAGE_BITS).alias(page)).agg(F.bitmap_construct_agg(F.col("bit") % PAGE_BITS).alias(bitmap)))
+    pages = written(bit.groupBy(F.floor(F.col("bit") / PAGE_BITS).alias(page)).agg(F.bitmap_construct_agg(F.col("bit") % PAGE_BITS).alias(bitmap)), scratch)
     tested = rows.withColumn(page, F.floor(place(cols) / PAGE_BITS)).join(F.broadcast(pages), page, "left")
     among = bit_of(F.col(bitmap), place(cols))
     return tested.where(~among).drop(page, bitmap), tested.where(among).drop(page, bitmap)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendtrail.llm.common import attach_groups, attach_wide_groups, split_by_keys, written
+from spendtrail.llm.common import attach_groups, attach_wide_groups, release, split_by_keys, written
 
 ROW = ["doc_id", "text_hash"]
-OWN, RUNS = ["__line_dedup_doc_id", "__line_dedup_text_hash"], "__line_dedup_runs"  # beside the input's own columns
+OWN, RUNS, PLACES = ["__line_dedup_doc_id", "__line_dedup_text_hash"], "__line_dedup_runs", "__line_dedup_places"  # beside the input's own columns
 
 
 def line_dedup(docs: DataFrame, min_words: int = 50, max_lines: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -25,23 +25,23 @@ def line_dedup(docs: DataFrame, min_words: int = 50, max_lines: int = 8, id_col:
 
     Winnowing: the smallest line hash of a window (the last of equals) is its fingerprint, so two equal windows always
     share one. Only these selected minima become rows, one each with the windows that selected it. Minima met once end
-    there. The places of the others are joined by the windows' hashes, each to the first one, and every match is extended
-    both ways over both texts' line hashes, which also verifies it. Nothing pairs occurrences with each other: each place
-    meets the first. Only texts that lose lines are shuffled, for which a bitmap of their keys is broadcast.
+    there. The places of the others are joined by the windows' hashes, each to the first one, and matches are extended both
+    ways (see ``_extended``). Nothing pairs occurrences with each other: each place meets the first. Only texts that lose lines
+    are shuffled, for which a bitmap of their keys is broadcast.
     """
     text = F.col(text_col)
     keyed = docs.withColumns({OWN[0]: F.col(id_col), OWN[1]: F.xxhash64(text)})
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).where(text.isNotNull() & F.col(id_col).isNotNull())
-    minima = written(_minima(texts, min_words, max_lines))
-    matches = _matches(_repeated(minima))
-
-    merged = written(_merged(_extended(matches, texts)))
+    scratch = []
+    minima = written(_minima(texts, min_words, max_lines), scratch)
+    matches = _matches(_repeated(minima), scratch)
+    merged = written(_merged(_extended(matches, texts, max_lines, scratch)))
+    release(docs.sparkSession, scratch)
 
     lines = F.split(text, "\n")
     plain, losing = split_by_keys(keyed, OWN, merged.select(F.col("doc_id").alias(OWN[0]), F.col("text_hash").alias(OWN[1])))
-    joined = losing.join(merged.toDF(*OWN, RUNS), OWN, "left")
-    at = F.filter(F.transform(lines, lambda x, i: F.when(F.trim(x) != "", i)), lambda i: i.isNotNull())  # places of the units
-    placed = joined.withColumn(RUNS, F.transform(RUNS, lambda r: F.struct(F.get(at, r.start).alias("start"), (F.get(at, r.stop - 1) + 1).alias("stop"))))
+    joined = losing.join(merged.toDF(*OWN, RUNS), OWN, "left").withColumn(PLACES, F.filter(F.transform(lines, lambda x, i: F.when(F.trim(x) != "", i)), lambda i: i.isNotNull()))
+    placed = joined.withColumn(RUNS, F.transform(RUNS, lambda r: F.struct(F.get(PLACES, r.start).alias("start"), (F.get(PLACES, r.stop - 1) + 1).alias("stop"))))
     deleted = F.coalesce(F.aggregate(RUNS, F.lit(0), lambda n, r: n + r.stop - r.start), F.lit(0))
     kept = F.when(F.col(RUNS).isNull(), text).otherwise(_keep(lines, F.col(RUNS)))
     n_lines = F.when(text.isNull(), 0).otherwise(F.size(lines))
@@ -108,37 +108,55 @@ def _repeated(minima: DataFrame) -> DataFrame:
     return attach_groups(minima, met, "print", "met", minima.count())
 
 
-def _matches(minima: DataFrame) -> DataFrame:
-    """(text, first text, shift, starts): a text's windows (start, lines) that occur before, at ``start - shift`` of the first text."""
-    windows = written(minima.select(*ROW, F.explode("windows").alias("w")).select(*ROW, "w.*"))
+def _matches(minima: DataFrame, scratch: list[str] | None = None) -> DataFrame:
+    """(text, start, lines, first text, shift): a text's windows that occur before, at ``start - shift`` of the first text."""
+    windows = written(minima.select(*ROW, F.explode("windows").alias("w")).select(*ROW, "w.*"), scratch)
     place = F.struct("doc_id", "start", "text_hash")
     firsts = windows.groupBy("window").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1")
     later = attach_groups(windows, firsts, "window", "times", windows.count())
     later = later.where(F.struct("doc_id", "start") > F.struct("first.doc_id", "first.start"))
-    shift = F.col("start") - F.col("first.start")
     first = [F.col("first.doc_id").alias("first_doc_id"), F.col("first.text_hash").alias("first_text_hash")]
-    return later.groupBy(*ROW, *first, shift.alias("shift")).agg(F.collect_set(F.struct("start", "lines")).alias("starts"))
+    return later.select(*ROW, "start", "lines", *first, (F.col("start") - F.col("first.start")).alias("shift")).distinct()
+
 
+def _extended(matches: DataFrame, texts: DataFrame, max_lines: int, scratch: list[str] | None = None) -> DataFrame:
+    """(text, start, stop): the runs of equal lines, as long as they go both ways from a matched window.
 
-def _extended(matches: DataFrame, texts: DataFrame) -> DataFrame:
-    """(text, start, stop): the runs of equal lines, as long as they go both ways, that hold a matched window."""
-    found = written(matches)
-    firsts = found.groupBy("first_doc_id", "first_text_hash").agg(F.count("*").alias("followed"))
-    firsts = firsts.withColumn("first_key", F.struct("first_doc_id", "first_text_hash")).select("first_key", "followed")
-    _, wanted = split_by_keys(texts, ROW, found.select(*ROW).union(found.select("first_doc_id", "first_text_hash")).distinct())
+    What lies before a matched window and equals what lies before its first place starts with a matched window itself, so
+    windows at neighbouring lines, whatever they match, are a chain that is deleted whole. Behind a chain's last window a run
+    can go on, but by fewer lines than a window has, or there would be a matched window more. So only these lines are compared,
+    for each first text and shift in the chain; and if the nearest window of that shift is not the last one, the lines between.
+    A text and a first text meet once, however many shifts there are between them, so a text that repeats one line is linear.
+    """
+    by = Window.partitionBy(*ROW).orderBy("start")
+    opened = matches.withColumn("chain", F.sum(F.when(F.col("start") == F.lag("start").over(by) + 1, 0).otherwise(1)).over(by))
+    chains = Window.partitionBy(*ROW, "chain")
+    found = opened.withColumns({"last": F.max("start").over(chains), "stop": F.max(F.col("start") + F.col("lines")).over(chains)})
+    found = written(found, scratch)
+    whole = found.groupBy(*ROW, "chain").agg(F.min("start").alias("start"), F.first("stop").alias("stop")).drop("chain")
+
+    first = ["first_doc_id", "first_text_hash"]
+    ends = found.groupBy(*ROW, *first, "stop", "last", "shift").agg(F.max("start").alias("start"))
+    ends = written(ends.groupBy(*ROW, *first).agg(F.collect_list(F.struct("stop", "last", "shift", "start")).alias("ends")), scratch)
+    firsts = ends.groupBy(*first).agg(F.count("*").alias("followed")).select(F.struct(*first).alias("first_key"), "followed")
+    _, wanted = split_by_keys(texts, ROW, ends.select(*ROW).union(ends.select(*first)).distinct(), scratch=scratch)
     wanted = wanted.select(*ROW, F.transform(_units(F.col("text")), lambda u: u.hash).alias("hashes"))
-    wanted = written(wanted.groupBy(*ROW).agg(F.first("hashes").alias("hashes")))
-    key = F.struct(F.col("doc_id").alias("first_doc_id"), F.col("text_hash").alias("first_text_hash"))
+    wanted = written(wanted.groupBy(*ROW).agg(F.first("hashes").alias("hashes")), scratch)
+    key = F.struct(F.col("doc_id").alias(first[0]), F.col("text_hash").alias(first[1]))
     first_side = wanted.select(key.alias("first_key"), F.col("hashes").alias("theirs")).join(firsts, "first_key")
-    both = attach_wide_groups(found.withColumn("first_key", F.struct("first_doc_id", "first_text_hash")), first_side, "first_key", "followed", found.count(), F.xxhash64(*ROW))
+    both = attach_wide_groups(ends.withColumn("first_key", F.struct(*first)), first_side, "first_key", "followed", ends.count(), F.xxhash64(*ROW))
     both = both.join(wanted.withColumnRenamed("hashes", "mine"), ROW)
 
-    low, high = F.greatest(F.lit(0), F.col("shift")), F.least(F.size("mine"), F.size("theirs") + F.col("shift"))
-    differ = F.filter(F.sequence(low, high - 1), lambda i: F.get("mine", i) != F.get("theirs", i - F.col("shift")))
-    both = both.withColumn("ends", F.concat(F.array(low - 1), differ, F.array(high)))
-    equal = F.filter(F.zip_with(F.slice("ends", 1, F.size("ends") - 1), F.slice("ends", 2, F.size("ends") - 1), lambda a, b: F.struct((a + 1).alias("start"), b.alias("stop"))), lambda r: r.stop > r.start)
-    whole = F.filter(equal, lambda r: F.exists("starts", lambda w: (w.start >= r.start) & (w.start + w.lines <= r.stop)))
-    return both.select(*ROW, F.explode(whole).alias("r")).select(*ROW, "r.*")
+    def further(e: Column) -> Column:
+        """The run's stop: lines are compared until two differ or either text ends."""
+        return F.aggregate(F.sequence(F.lit(1), F.lit(max_lines)), e.stop, lambda at, _: F.when(F.get("mine", at) == F.get("theirs", at - e.shift), at + 1).otherwise(at))
+
+    def unbroken(e: Column) -> Column:
+        n = e.stop - e.start
+        return (e.start == e.last) | (F.slice("mine", e.start + 1, n) == F.slice("theirs", e.start - e.shift + 1, n))
+
+    more = F.filter(F.transform("ends", lambda e: F.struct(e.stop.alias("start"), further(e).alias("stop"), e.alias("e"))), lambda r: (r.stop > r.start) & unbroken(r.e))
+    return whole.unionByName(both.select(*ROW, F.explode(more).alias("r")).select(*ROW, "r.start", "r.stop"))
 
 
 def _merged(spans: DataFrame) -> DataFrame:
