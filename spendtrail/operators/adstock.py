@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from spendtrail.functions.decay import check_decay, delayed_weights, effective_window, geometric_total, geometric_weights, weibull_weights
 from spendtrail.functions.saturation import saturate
+from spendtrail.validate import require_columns
 
 WINDOWED = 64  # kernels up to so many lags become window expressions
 
@@ -185,6 +186,7 @@ def adstock(
     side by side; a chunk's row count and last value give the next one's start.
     """
     order = [order_by] if isinstance(order_by, str) else list(order_by)
+    require_columns(df, [*by, *order], numeric=[name for name, _ in filters.values()])
     kernels = {out: (name, k) for out, (name, k) in filters.items() if k.kind != "none"}
     plain = df.withColumns({out: _cleaned(F.col(name), na_action) for out, (name, k) in filters.items() if k.kind == "none"})
     if not kernels:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from spendtrail.operators.credit import RULES, _frame, rule_weight
 from spendtrail.operators.markov import removal_effects, removal_with_touches, solve_chain, transition_counts
+from spendtrail.validate import require_number
 
 ALL_RULES = (*RULES, "markov")
 
@@ -170,8 +171,8 @@ def share_replicates(paths, rules, first_weight=0.4, last_weight=0.4, decay=None
 
 def share_intervals(paths, rules, first_weight=0.4, last_weight=0.4, decay=None, period=1, by: Sequence[str] = (), times: int = 200, level: float = 0.9, seed: int = 1) -> DataFrame:
     """(by..., rule, channel, lower, upper): type-7 percentiles over replicates, null for fewer than two."""
-    if not 0 < level < 1 or times < 2:
-        raise ValueError("level must be between 0 and 1, times at least 2")
+    require_number(level, "level", 1e-9, 1 - 1e-9)
+    require_number(times, "times", 2, whole=True)
     tail = (1 - level) / 2
     got = share_replicates(paths, rules, first_weight, last_weight, decay, period, by, times, seed)
     ends = F.percentile("share", F.array(F.lit(tail), F.lit(1 - tail)))

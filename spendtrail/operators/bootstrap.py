@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spendtrail.validate import require_columns, require_number
+
 
 def draws(positions: int, times: int, block_length: int, seed: int, circular: bool, spark, by: DataFrame | None = None) -> DataFrame:
     """(replicate[, by...], pos, source): positions 1..n of each replicate and where they come from.
@@ -48,6 +50,9 @@ def block_bootstrap(df: DataFrame, statistic: Callable[[pd.DataFrame], dict[str,
     ``statistic`` takes one replicate's rows in order and returns named numbers; replicate 0 is the data itself. Replicates
     run side by side; values that aren't finite don't count, and fewer than two leave bounds null.
     """
+    require_columns(df, [*by, index])
+    require_number(times, "times", 1, whole=True)
+    require_number(level, "level", 1e-9, 1 - 1e-9)
     own = df.withColumns({"replicate": F.lit(0), "_pos": F.dense_rank().over(Window.partitionBy(*by).orderBy(index))})
     rows = resampled(df, index, times, block_length, by, seed, circular, shared).unionByName(own)
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from spendtrail.functions.metrics import finite
 from spendtrail.operators.adstock import Adstock, adstock
+from spendtrail.validate import require_columns, require_distinct
 
 MAD = 1.4826
 
@@ -171,6 +172,8 @@ def diagnose_media(
 ) -> Diagnosis:
     """The tables of a media diagnosis. With ``decay``, one for all channels or by name, collinearity and correlations are those
     of the carried-over series, in the order of ``date`` or ``row_order``; missing spend counts as none there."""
+    require_distinct(media, "media")
+    require_columns(df, [*by, *[c for c in (date, row_order) if c]], numeric=[*media, *[c for c in (spend, impressions) if c]])
     carried = df
     if decay is not None:
         decays = decay if isinstance(decay, dict) else dict.fromkeys(media, decay)

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from spendtrail.functions.saturation import saturate
 from spendtrail.operators.adstock import Adstock, adstock, adstock_steady_state
 from spendtrail.operators.diagnose import carry_class
+from spendtrail.validate import require_columns
 
-RANGES = {"decay": (0.0, 0.95), "max_lag": (1, 26), "shape": (0.5, 5.0), "scale": (0.5, 10.0), "peak": (0.0, 4.0), "half_max": (0.05, 1.0), "saturation_shape": (0.5, 3.0)}
+RANGES = {"decay": (0.0, 0.95), "max_lag": (1, 26), "shape": (0.5, 5.0), "scale": (0.5, 10.0), "peak": (0.0, 4.0), "half_max": (0.05, 1.0), "saturation_shape": (0.5, 3.0), "exponent": (0.1, 1.0)}
+CURVE_RANGES = {"hill": {"half_max": "half_max", "shape": "saturation_shape"}, "michaelis_menten": {"half_max": "half_max"}, "exponential": {"half_max": "half_max"}, "power": {"exponent": "exponent"}}
 
 
 def parameter_grid(name: str, levels: int = 5) -> list[float]:
@@ -33,6 +35,8 @@ class AdstockStep(Estimator):
 
     def __init__(self, channels: dict[str, Adstock], index: str, by: Sequence[str] = (), carry_over: str = "auto", start: str = "zero", prefix: str = "", keep_original: bool = True):
         super().__init__()
+        if index in channels or set(by) & set(channels):
+            raise ValueError("the index and the columns of a series can't be channels")
         if carry_over not in ("auto", "warm", "cold") or start not in ("zero", "steady"):
             raise ValueError("carry_over is auto, warm or cold; start zero or steady")
         if not prefix and keep_original:
@@ -41,6 +45,7 @@ class AdstockStep(Estimator):
         self.carry_over, self.start, self.prefix, self.keep_original = carry_over, start, prefix, keep_original
 
     def _fit(self, dataset: DataFrame) -> AdstockModel:
+        require_columns(dataset, [*self.by, self.index], "the training table", numeric=list(self.channels))
         history = dataset.select(*self.by, self.index, *self.channels)
         seed = None
         if self.start == "steady":
@@ -133,6 +138,7 @@ class SaturationStep(Estimator):
         self.curves, self.by, self.level, self.prefix = dict(curves), list(by), level, prefix
 
     def _fit(self, dataset: DataFrame) -> SaturationModel:
+        require_columns(dataset, self.by, "the training table", numeric=list(self.curves))
         pooled = reference_levels(dataset, list(self.curves), self.level).first().asDict()
         if not all(v and v > 0 for v in pooled.values()):
             raise ValueError("a reference level is not positive")
@@ -140,7 +146,7 @@ class SaturationStep(Estimator):
         return SaturationModel(self, pooled, groups)
 
     def tunable(self) -> dict[str, tuple]:
-        return {f"{c}.{p}": RANGES[r] for c in self.curves for p, r in (("half_max", "half_max"), ("shape", "saturation_shape"))}
+        return {f"{c}.{p}": RANGES[r] for c, curve in self.curves.items() for p, r in CURVE_RANGES[curve.type].items()}
 
 
 class SaturationModel(Model):

@@ -16,10 +16,14 @@ from spendtrail.functions.metrics import EPS, finite
 from spendtrail.operators.adstock import Adstock, adstock_weights_total
 from spendtrail.operators.gram import cross_products, fits, fitted_values, means
 from spendtrail.operators.scoring import Compared, Scoring, compare, split_losses
+from spendtrail.validate import require_columns, require_distinct, require_number
 
 
 def splits(n: int, scheme: str = "rolling_origin", initial: int | None = None, assess: int = 1, skip: int = 0, k: int = 5) -> list[tuple[int, int]]:
     """(last training period, last test period) of each forward split of periods 1..n."""
+    for name, value, low in (("initial", initial, 2), ("assess", assess, 1), ("skip", skip, 0), ("k", k, 1)):
+        if value is not None:
+            require_number(value, name, low, whole=True)
     initial = initial or max(2, n // 2)
     if scheme == "rolling_origin":
         out = [(e, e + assess) for e in range(initial, n - assess + 1, skip + 1)]
@@ -48,6 +52,8 @@ def filtered_wide(df: DataFrame, media: Sequence[str], y: str, index: str, candi
     Filters are causal, so filtering once is the same as filtering each training window. period numbers the distinct times. A
     series with two rows of a period is refused; a missing y is NaN; missing controls are refused.
     """
+    require_columns(df, [*by, index], numeric=[*media, y, *controls])
+    require_distinct([*media, *controls], "media and controls")
     times = df.select(index).distinct().withColumn("period", F.dense_rank().over(Window.orderBy(index)))
     number = lambda c: F.col(c).cast("double")
     known = lambda c: F.when(finite(F.col(c)), number(c)).otherwise(F.raise_error(F.lit(f"{c} has missing or infinite values")).cast("double"))
@@ -204,6 +210,7 @@ def tune_carryover(
         raise ValueError("fit and predict go together")
     candidates = list(candidates or grid())
     scoring = Scoring(metric, aggregate, se_block, metric_fn)
+    require_columns(df, [*by, index], numeric=[x, y, *controls])
     cuts = splits(df.select(index).distinct().count(), scheme, initial, assess, skip, k)
     wide = filtered_wide(df, [x], y, index, candidates, by, controls, cuts[0][0] if warm_start else None).persist()
     held = [wide]

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from spendtrail.functions.saturation import curve_inverse, curve_scale, curve_value, saturate
 from spendtrail.operators.adstock import ChannelSpec, adstock, media_transform
+from spendtrail.validate import require_columns, require_number
 
 BASELINE = "(baseline)"
 EPS3 = 2.220446049250313e-16 ** (1 / 3)
@@ -151,7 +152,9 @@ def roi(contribution: DataFrame, spend: DataFrame, index: str, by: Sequence[str]
 
     ``spend`` is wide: a column for each channel. Highest roi first, nulls last.
     """
+    require_columns(contribution, ["period", *by, "channel"], "the contributions", numeric=["contribution"])
     channels = [c for c in spend.columns if c not in (index, *by)]
+    require_columns(spend, [index, *by], "the spend", numeric=channels)
     rows = spend.withColumnRenamed(index, "period")
     effect = contribution.where(F.col("channel").isin(channels))
     if periods is not None:
@@ -174,13 +177,23 @@ def unmatched(contribution: DataFrame, spend: DataFrame, index: str, by: Sequenc
     return both.where("_c is null or _s is null").select(*cell, F.when(F.col("_c").isNull(), "contribution").otherwise("spend").alias("missing"))
 
 
+def unmatched_channels(contribution: DataFrame, spend: DataFrame, index: str, by: Sequence[str] = ()) -> DataFrame:
+    """(channel, missing): channels that only one of ``roi``'s inputs has, which it leaves out, and which input lacks them. The
+    baseline is no channel."""
+    spent = [c for c in spend.columns if c not in (index, *by)]
+    known = F.array(*map(F.lit, spent)).cast("array<string>")
+    both = contribution.where(F.col("channel") != BASELINE).agg(F.collect_set("channel").alias("found"))  # one row, a name a channel
+    named = lambda names, what: F.transform(names, lambda c: F.struct(c.alias("channel"), F.lit(what).alias("missing")))
+    return both.select(F.explode(F.concat(named(F.array_except("found", known), "spend"), named(F.array_except(known, F.col("found")), "contribution"))).alias("x")).select("x.*")
+
+
 def marginal_roi(spend: DataFrame, spec: dict[str, ChannelSpec], coefficients: dict[str, float], order_by: str, by: Sequence[str] = (), lift: float = 0.01, rows: Column | None = None, extend: int = 0) -> DataFrame:
     """(channel, spend, contribution, roi, mroi): return of the last ``lift`` of spend in the window ``rows``.
 
     Both scenarios are columns of one pass over each series. mroi is null where the window has no spend.
     """
-    if not lift > 0:
-        raise ValueError("lift must be positive")
+    require_number(lift, "lift", 1e-12, 1e6)
+    require_number(extend, "extend", 0, whole=True)
     inside = F.coalesce(rows, F.lit(False)) if rows is not None else F.lit(True)
     plan = spend.withColumns({f"_w_{c}": F.when(inside, F.col(c)).otherwise(0.0) for c in spec})
     names = [*spec, *[f"_w_{c}" for c in spec]]

@@ -9,6 +9,16 @@ from pyspark.sql import functions as F
 PALETTE = ["#1b6ca8", "#e07a1f", "#3b8f4a", "#b8323a", "#7a5aa6", "#8a6a4f", "#c9609b", "#5f6b73"]
 
 
+#: Neutral colours by what they are for.
+INK = {"surface": "#ffffff", "primary": "#161616", "secondary": "#4d4d4d", "muted": "#8c8c8c", "grid": "#e6e6e6", "axis": "#bdbdbd"}
+
+
+def ink(role: str) -> str:
+    if role not in INK:
+        raise ValueError(f"role is one of {', '.join(INK)}")
+    return INK[role]
+
+
 def palette(n: int) -> list[str]:
     if not 1 <= n <= len(PALETTE):
         raise ValueError(f"there are {len(PALETTE)} colours")

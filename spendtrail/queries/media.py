@@ -19,7 +19,7 @@ from spendtrail.operators.bootstrap import block_bootstrap
 from spendtrail.operators.diagnose import carry_class, correlations, cpm_outliers, date_audit, diagnose_media, variation, vif
 from spendtrail.operators.steps import AdstockStep, Curve, SaturationStep, reference_levels
 from spendtrail.operators.tuning import expanding_fits, filtered, grid, predictions, splits, tune_carryover, tune_carryover_joint
-from spendtrail.plans.media import allocate_budget, contributions, marginal_roi, mroi_column, reallocate, response_curve, response_grid, roi, simulate_plan, spend_for, transform_plan, unmatched
+from spendtrail.plans.media import allocate_budget, contributions, marginal_roi, mroi_column, reallocate, response_curve, response_grid, roi, simulate_plan, spend_for, transform_plan, unmatched, unmatched_channels
 from spendtrail.plans.plot_data import contribution_bands
 from spendtrail.sources.hyper import from_theta_alpha_gamma
 from spendtrail.sources.look_alikes import touchpoints, weekly_panel
@@ -462,6 +462,13 @@ register("s2_weekly_panel", lambda spark, sf_dir: weekly_panel(spark))
 register("t1_grid", lambda spark, sf_dir: spark.createDataFrame([(k.decay,) for k in grid()], "decay double"), "SELECT round(0.1::DOUBLE + i * 0.05::DOUBLE, 2) AS decay FROM range(17) t(i)")
 register("a19_unmatched_cells", lambda spark, sf_dir: unmatched(decomposed(spark, sf_dir).where(F.col("period") < dt.date(2000, 1, 1)), panel(spark, sf_dir).select("geo", "wk", *SPEC).where(F.col("wk") >= dt.date(1996, 1, 1)), "wk", ["geo"]),
     f"WITH {PANEL} SELECT wk AS period, geo, CASE WHEN wk < DATE '1996-01-01' THEN 'spend' ELSE 'contribution' END AS missing FROM panel WHERE wk < DATE '1996-01-01' OR wk >= DATE '2000-01-01'")
+def channels_apart(spark, sf_dir):
+    """Contributions of three channels and spend of others, of which one is the same."""
+    return unmatched_channels(decomposed(spark, sf_dir), panel(spark, sf_dir).select("geo", "wk", "urgent", "medium"), "wk", ["geo"])
+
+
+register("j6_unmatched_channels", channels_apart,
+    f"WITH {PANEL}, {transformed_sql()}, long AS ({LONG}), l AS (SELECT DISTINCT channel FROM long WHERE channel <> '(baseline)'), r AS (SELECT unnest(['urgent', 'medium']) AS channel) SELECT coalesce(l.channel, r.channel) AS channel, CASE WHEN l.channel IS NULL THEN 'contribution' ELSE 'spend' END AS missing FROM l FULL JOIN r ON l.channel = r.channel WHERE l.channel IS NULL OR r.channel IS NULL")
 register("f13_response_curve", lambda spark, sf_dir: response_curve(spark.range(0, 20).select((F.col("id") * 50).alias("x")), "x", 40.0, "hill", half_max=300.0, shape=1.5).select("spend", r("response"), r("slope")),
     """WITH x AS (SELECT i * 50.0::DOUBLE AS x FROM range(20) t(i)), h AS (SELECT x, greatest(x * 0.01::DOUBLE, pow(2.220446049250313e-16::DOUBLE, 1 / 3.0::DOUBLE) * 300) AS h FROM x),
        e AS (SELECT x, greatest(0, x - h) AS lo, x + h AS hi FROM h), f AS (SELECT *, CASE WHEN x = 0 THEN 0 ELSE 1 / (1 + pow(300 / nullif(x, 0), 1.5)) END AS y, CASE WHEN lo = 0 THEN 0 ELSE 1 / (1 + pow(300 / nullif(lo, 0), 1.5)) END AS a, 1 / (1 + pow(300 / hi, 1.5)) AS b FROM e)
