@@ -74,32 +74,43 @@ def host_links(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return linked.unionByName(both).where("src <> dst and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 0.01, rounds: int = 100) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 0.01, rounds: int = 100, task_links: int = TASK_LINKS) -> DataFrame:
     """(host, rank): personalised PageRank over ``links`` (src, dst, weight) from ``seeds`` (host, weight); see ``propagate_sides``."""
     side = F.lit(0).alias("side")
-    return propagate_sides(links.select(side, "src", "dst", "weight"), seeds.select(side, "host", "weight"), damping, tolerance, rounds).drop("side")
+    return propagate_sides(links.select(side, "src", "dst", "weight"), seeds.select(side, "host", "weight"), damping, tolerance, rounds, task_links).drop("side")
 
 
-def propagate_sides(links: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 0.01, rounds: int = 100) -> DataFrame:
+def propagate_sides(links: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = 0.01, rounds: int = 100, task_links: int = TASK_LINKS) -> DataFrame:
     """(side, host, rank): personalised PageRank of each side by itself, over ``links`` (side, src, dst, weight) from ``seeds``
     (side, host, weight). Sides are few.
 
     Ranks are in units of seed weight; what reaches a host without out-links ends there. Hosts never reached are absent. No
     seeds: no rows. Rounds go on until one changes all ranks of each side together by ``tolerance`` of its seeds' weight or
     less, which every fourth shows; if ``rounds`` don't bring that about, an error says so. Each round is one join on the source
-    and one sum by target, with partial sums first, and cuts the lineage. It runs in one task for every ``TASK_LINKS`` links, as
+    and one sum by target, with partial sums first, and cuts the lineage. It runs in one task for every ``task_links`` links, as
     many rounds over a small graph would else be mostly empty tasks, and joins by merging, so nothing goes through the driver.
+    Hosts with more than ``task_links`` links, which are fewer than tasks, are broadcast to theirs instead, wherever these lie.
     """
-    tasks = 1 + links.count() // TASK_LINKS
+    tasks = 1 + links.count() // task_links
     start = cut(seeds.groupBy("side", "host").agg(F.sum("weight").cast("double").alias("rank")).coalesce(tasks))
     mass = {side: total for side, total in start.groupBy("side").agg(F.sum("rank")).collect()}
-    out = links.groupBy("side", "src").agg(F.sum("weight").alias("out"))
-    edges = links.join(out, ["side", "src"]).select("side", F.col("src").alias("host"), "dst", (damping * F.col("weight") / F.col("out")).alias("share"))
+    out = cut(links.groupBy("side", "src").agg(F.sum("weight").alias("out"), F.count("*").alias("n")).coalesce(tasks))
+    hubs = None if tasks == 1 or out.where(F.col("n") > task_links).isEmpty() else cut(out.where(F.col("n") > task_links).select("side", F.col("src").alias("host"), "out"))
+    edges = links.select("side", F.col("src").alias("host"), "dst", "weight")
+    share = (damping * F.col("weight") / F.col("out")).alias("share")
+    spread = None
+    if hubs is not None:
+        spread = cut(edges.join(F.broadcast(hubs), ["side", "host"]).select("side", "host", "dst", share).repartition(tasks))
+        edges = edges.join(F.broadcast(hubs), ["side", "host"], "left_anti")
+    edges = edges.join(out.select("side", F.col("src").alias("host"), "out"), ["side", "host"]).select("side", "host", "dst", share)
     edges = cut(edges.coalesce(tasks))
     teleport = start.select("side", "host", ((1 - damping) * F.col("rank")).alias("rank"))
     ranks = start
     for r in range(rounds):
-        moved = ranks.hint("merge").join(edges, ["side", "host"]).select("side", F.col("dst").alias("host"), (F.col("rank") * F.col("share")).alias("rank"))
+        passed = ranks.hint("merge").join(edges, ["side", "host"])
+        if spread is not None:
+            passed = passed.unionByName(spread.join(F.broadcast(ranks.join(F.broadcast(hubs.drop("out")), ["side", "host"])), ["side", "host"]).select(passed.columns))
+        moved = passed.select("side", F.col("dst").alias("host"), (F.col("rank") * F.col("share")).alias("rank"))
         after = cut(moved.coalesce(tasks).unionByName(teleport).groupBy("side", "host").agg(F.sum("rank").alias("rank")).coalesce(tasks))
         if r % 4 == 3:
             both = after.hint("merge").join(ranks.withColumnRenamed("rank", "old"), ["side", "host"], "full").coalesce(tasks)
@@ -115,8 +126,9 @@ def url_verdicts(pages: DataFrame, rules: list[Rule], threshold: float = 0.75, i
 
     Where a rule fits, the longest gives the verdict. Else the host's standing does: trust is personalised PageRank from the
     hosts of allowed pages, distrust the same over reversed links from hosts of blocked pages (who links to the blocked
-    is suspect); a host with distrust / (trust + distrust) above ``threshold`` is blocked, all others, and urls without a host,
-    are allowed. A seed host's weight is its number of such pages, so a host of both kinds stands by their balance. Null urls have an empty host and path. Repeated rows each
+    is suspect). Both are taken as shares of what their seeds gave out, t and d, so that neither side prevails by its number of
+    seeds; a host with d / (t + d) above ``threshold`` is blocked, which at 0.75 means that its part of all distrust is over
+    three times its part of all trust. All others, and urls without a host, are allowed. A seed host's weight is its number of such pages. Null urls have an empty host and path. Repeated rows each
     keep their row. No rows: no rows. Columns of the same names in the input are ignored.
     """
     judged = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url_"), F.col(html_col).alias("html_"))
@@ -131,9 +143,11 @@ def url_verdicts(pages: DataFrame, rules: list[Rule], threshold: float = 0.75, i
     ranks = propagate_sides(links.select(F.lit("trust").alias("side"), "src", "dst", "weight").unionByName(reverse), seeds[0].unionByName(seeds[1]))
     both = ranks.groupBy("host").agg(*[F.sum(F.when(F.col("side") == side, F.col("rank")).otherwise(0.0)).alias(side) for side in ("trust", "distrust")])
     known = standing.select("host", "pages").join(both, "host", "left").na.fill(0.0, ["trust", "distrust"])
-    known = cut(known.withColumn("share", F.coalesce(F.try_divide(F.col("distrust"), F.col("trust") + F.col("distrust")), F.lit(0.0))))
+    given = F.when(F.col("host") != "", F.col("allow")), F.when(F.col("host") != "", F.col("block"))
+    total, *mass = standing.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in (F.col("pages"), *given)]).first()
+    t, d = (F.col(side) / float(max(n, 1)) for side, n in zip(("trust", "distrust"), mass, strict=True))
+    known = cut(known.withColumn("share", F.coalesce(F.try_divide(d, t + d), F.lit(0.0))))
     by_host = F.when(F.col("share") > threshold, "block").otherwise("allow")
-    total = standing.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
     return attach_groups(judged.drop("html_"), known, "host", "pages", total).select(
         "page_id",
         "host",

@@ -3,6 +3,8 @@
 import hashlib
 import itertools
 import math
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -20,7 +22,7 @@ from spendtrail.llm.components import connected_components
 from spendtrail.llm.exact_dedup import exact_dedup
 from spendtrail.llm.langid import fit_language, fit_temperature, language_scores
 from spendtrail.llm.line_dedup import line_dedup
-from spendtrail.llm.queries import URL_RULES
+from spendtrail.llm.queries import QUERIES, URL_RULES
 from spendtrail.llm.simhash import drop_near_copies, fingerprint_links, near_dedup, parity_map, prefix_length, rare_first, shingle_hashes, similar_groups
 from spendtrail.llm.url_filter import Rule, propagate, url_verdicts
 
@@ -127,7 +129,33 @@ def test_line_dedup_rests_on_the_fingerprints(spark):
     minima = ld._minima(texts, 50, 8)
     windows = sum(len(r.windows) for r in minima.collect())
     assert minima.count() < windows == 2 * 39  # one row for each selected line, not for each window
-    assert ld._matches(ld._repeated(minima)).count() == 1 and ld._matches(minima.limit(0)).count() == 0
+    matches = ld._matches(ld._repeated(minima))
+    assert matches.count() == 39 and ld._matches(minima.limit(0)).count() == 0
+    spans = ld._extended(matches, texts, 8).select("start", "stop").collect()
+    assert [tuple(r) for r in spans] == [(0, 40)]  # one chain, which nothing extends
+
+
+def test_line_dedup_extends_behind_the_last_window_by_every_shift(spark):
+    rng = np.random.default_rng(12)
+    words = lambda n, tag: " ".join(f"{tag}{i}" for i in range(n))
+    texts = []
+    for k in range(40):  # blocks of long lines, then short ones that alone fill no window, cut at odd places and put together anew
+        blocks = [[words(30, f"b{rng.integers(6)}_{j}_") for j in range(rng.integers(1, 5))] + [words(rng.integers(1, 6), f"s{rng.integers(3)}_") for _ in range(rng.integers(0, 6))] for _ in range(rng.integers(1, 5))]
+        texts.append("\n".join(x for b in blocks for x in b))
+    texts += [texts[0] + "\n" + texts[1], texts[1] + "\ntail\n" + texts[0], "\n".join(["ha"] * 30 + ["end"]), "\n".join(["ha"] * 50 + ["end"]), "\n".join(["ab", "ba"] * 20 + ["end"]), "\n".join(["ba", "ab"] * 12 + ["end", "ab"])]
+    want, _ = deduped(texts)
+    assert [r.text for r in line_dedup(docs(spark, texts)).orderBy("doc_id").collect()] == want
+
+
+def test_line_dedup_is_linear_in_a_text_that_repeats_a_line(spark):
+    took = []
+    for n in (10_000, 100_000):
+        frame = docs(spark, ["\n".join(["the same line again"] * n), "\n".join(["the same line again"] * 20 + ["another"])])
+        began = time.perf_counter()
+        got = line_dedup(frame).orderBy("doc_id").collect()
+        took.append(time.perf_counter() - began)
+        assert got[0].text == "the same line again" and got[0].n_deleted == n - 1 and got[1].text == "another"
+    assert took[1] < 10 * took[0] + 30
 
 
 def test_line_dedup_keeps_repeated_rows_alike(spark):
@@ -185,6 +213,57 @@ def test_hosts_without_ruled_pages_are_judged_by_their_neighbours(spark):
     assert got[2].verdict == "allow"
 
 
+def test_url_query_equals_brute_force_and_ranks_decide(spark):
+    """All rows by plain power iteration; on these tables unruled hosts of both verdicts are reached, and which is asserted."""
+    for sf, blocked, spared in (("sf0.01", {"blog.tiontion.example.com"}, {"www.ththhe.example.com"}), ("sf0.001", set(), set())):
+        pages = [(r.page_id, *judged(r.url), r.html or "") for r in spark.read.parquet(f"/root/testdata/{sf}/pages.parquet").collect()]
+        links = Counter()
+        for _, host, _, _, html in pages:
+            if host:
+                for target in re.findall(r"""(?i)(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)""", html):
+                    links[host, fold(target)] += 1
+        for host in {p[1] for p in pages if p[1]}:
+            labels = host.split(".")
+            for i in range(1, len(labels) - 1):
+                parent = ".".join(labels[i:])
+                links[host, parent] += 1
+                links[parent, host] += 1
+        links = {(a, b): n for (a, b), n in links.items() if a != b and a and b}
+        names = sorted({x for pair in links for x in pair} | {p[1] for p in pages if p[1]})
+        at = {n: i for i, n in enumerate(names)}
+        standing = {}
+        for side, verdict, turned in (("trust", "allow", False), ("distrust", "block", True)):
+            m, seed = np.zeros((len(names), len(names))), np.zeros(len(names))
+            for (a, b), n in links.items():
+                m[(at[b], at[a]) if turned else (at[a], at[b])] += n
+            for p in pages:
+                if p[1] and p[3] is not None and p[3].verdict == verdict:
+                    seed[at[p[1]]] += 1
+            m /= np.maximum(m.sum(axis=1, keepdims=True), 1e-300)
+            rank = seed.copy()
+            for k in range(100):
+                new = 0.85 * rank @ m + 0.15 * seed
+                moved, rank = np.abs(new - rank).sum(), new
+                if k % 4 == 3 and moved <= 0.01 * seed.sum():
+                    break
+            standing[side] = rank, max(seed.sum(), 1)
+        got = {r.page_id: r for r in QUERIES["op2_url_filter"](spark, f"/root/testdata/{sf}").collect()}
+        assert len(got) == len(pages)
+        unruled = {"allow": set(), "block": set()}
+        for page, host, path, rule, _ in pages:
+            t, d = ((standing[s][0][at[host]] if host else 0.0) for s in ("trust", "distrust"))
+            t_part, d_part = t / standing["trust"][1], d / standing["distrust"][1]
+            share = d_part / (t_part + d_part) if t_part + d_part else 0.0
+            want = rule.verdict if rule else "block" if share > 0.75 else "allow"
+            r = got[page]
+            assert (r.host, r.path, r.rule) == (host, path, rule.text if rule else None)
+            assert (r.trust, r.distrust) == (pytest.approx(t), pytest.approx(d))
+            assert r.verdict == want or abs(share - 0.75) < 1e-9
+            if not rule and t + d > 0:
+                unruled[r.verdict].add(host)
+        assert blocked <= unruled["block"] and spared <= unruled["allow"]
+
+
 def test_propagation_equals_power_iteration(spark):
     rng = np.random.default_rng(8)
     edges = sorted({(int(a), int(b)) for a, b in rng.integers(0, 12, (40, 2)) if a != b})
@@ -193,6 +272,8 @@ def test_propagation_equals_power_iteration(spark):
     got = {r.host: r.rank for r in propagate(links, seeds, tolerance=1e-9, rounds=300).collect()}
     with pytest.raises(RuntimeError):
         propagate(links, seeds, tolerance=1e-9, rounds=3)
+    spread = {r.host: r.rank for r in propagate(links, seeds, tolerance=1e-9, rounds=300, task_links=3).collect()}
+    assert spread == pytest.approx(got)  # with hosts of more than three links broadcast to theirs
     assert propagate(links, seeds.limit(0)).count() == 0
     m = np.zeros((12, 12))
     for a, b in edges:
