@@ -1,10 +1,12 @@
-"""Decay vocabulary and carryover kernels, computed once on the driver: they are as long as a lag window."""
+"""Decay vocabulary, for numbers and for columns, and carryover kernels, which are as long as a lag window."""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 
 def check_decay(decay: float, allow_one: bool = False) -> float:
@@ -41,6 +43,27 @@ def effective_window(decay: float, coverage: float = 0.9) -> int:
     return max(1, n)
 
 
+def decay_column(half_life: Column, period: float = 1) -> Column:
+    """``decay_from_half_life`` of a column; a half-life that isn't positive is refused when it is run."""
+    wrong = F.raise_error(F.lit("half_life must be positive")).cast("double")
+    return F.when(half_life <= 0, wrong).otherwise(F.pow(F.lit(0.5), F.lit(float(period)) / half_life))
+
+
+def half_life_column(decay: Column, period: float = 1) -> Column:
+    wrong = F.raise_error(F.lit("decay must be strictly between 0 and 1")).cast("double")
+    return F.when((decay <= 0) | (decay >= 1), wrong).otherwise(F.lit(period * math.log(0.5)) / F.log(decay))
+
+
+def effective_window_column(decay: Column, coverage: float = 0.9) -> Column:
+    """``effective_window`` of a column of decays from 0 to less than 1."""
+    if not 0 < coverage < 1:
+        raise ValueError("coverage must be strictly between 0 and 1")
+    wrong = F.raise_error(F.lit("decay must be in [0, 1)")).cast("long")
+    n = F.ceil(F.lit(math.log1p(-coverage)) / F.log(decay))
+    n = F.when((n > 1) & (F.pow(decay, n - 1) <= (1 - coverage) * (1 + 1e-10)), n - 1).otherwise(n)
+    return F.when((decay < 0) | (decay >= 1), wrong).when(decay == 0, 1).otherwise(F.greatest(n, F.lit(1)))
+
+
 def geometric_total(decay: float, max_lag: float) -> float:
     """Sum of the kernel decay**i, i < max_lag, in closed form."""
     if decay == 1:

@@ -78,6 +78,24 @@ def curve_scale(type: str, **p: float) -> float | None:
     return 1 / p["rate"] if type == "exponential" else None
 
 
+def inverse_column(y: Column, type: str, **p: float) -> Column:
+    """``curve_inverse`` of a column."""
+    if type not in CURVES:
+        raise ValueError(f"unknown curve {type!r}: one of {', '.join(CURVES)}")
+    if type == "none":
+        return F.greatest(y, F.lit(0.0))
+    if type == "power":
+        return F.when(y <= 0, 0.0).otherwise(F.pow(y, F.lit(1 / p["exponent"])))
+    top = p.get("vmax", 1) if type == "michaelis_menten" else 1.0
+    inside = F.when((y > 0) & (y < top), y)
+    found = {
+        "hill": lambda: p["half_max"] * F.pow(inside / (1 - inside), F.lit(1 / p.get("shape", 1))),
+        "exponential": lambda: -F.log1p(-inside) / p["rate"],
+        "michaelis_menten": lambda: p["km"] / (top / inside - 1),
+    }[type]()
+    return F.when(y <= 0, 0.0).when(y >= top, float("inf")).otherwise(found)
+
+
 def curve_inverse(y: float, type: str, **p: float) -> float:
     """The spend at which the curve has the value ``y``; infinite where it never does."""
     if y <= 0:

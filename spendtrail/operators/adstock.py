@@ -319,6 +319,24 @@ def adstock_steady_state(df: DataFrame, column: str, kernel: Adstock, order_by:
     return mean.select(*by, F.array_repeat("_m", int(kernel.lags - 1)).alias(f"{column}_tail"))
 
 
+def carried_by_lag(df: DataFrame, column: str, kernel: Adstock, order_by: str | Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., lag, weight, carried): how much of a finite kernel's effect falls that many rows after the spend, within each series.
+
+    What would fall after a series' last row is not in it, so the sum over lags is the filtered column's.
+    """
+    if kernel.recursive:
+        raise ValueError("carried_by_lag is for kernels with max_lag")
+    order = [order_by] if isinstance(order_by, str) else list(order_by)
+    require_columns(df, [*by, *order], numeric=[column])
+    weights = kernel.kernel(int(kernel.lags)).tolist()
+    left = F.row_number().over(Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order])) - 1
+    rows = df.select(*by, _cleaned(F.col(column), "zero").alias("_x"), left.alias("_left"))
+    lags = rows.select(*by, "_x", F.explode(F.sequence(F.lit(0), F.least(F.col("_left"), F.lit(len(weights) - 1)))).alias("lag"))
+    sums = lags.groupBy(*by, "lag").agg(F.sum("_x").alias("_x"))
+    weight = F.element_at(F.array(*map(F.lit, weights)), F.col("lag") + 1)
+    return sums.select(*by, "lag", weight.alias("weight"), (weight * F.col("_x")).alias("carried"))
+
+
 def media_transform(df: DataFrame, specs: dict[str, tuple[str, ChannelSpec]], order_by, by: Sequence[str] = (), na_action: str = "error") -> DataFrame:
     """``df`` with new columns: new name -> (column, spec), carried over and saturated in the spec's order."""
     early = {out: name for out, (name, s) in specs.items() if s.saturate_first}

@@ -14,7 +14,7 @@ from pyspark.ml.regression import GeneralizedLinearRegressionModel, LinearRegres
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spendtrail.functions.saturation import curve_inverse, curve_scale, curve_value, saturate
+from spendtrail.functions.saturation import curve_inverse, curve_scale, curve_value, inverse_column, saturate
 from spendtrail.operators.adstock import ChannelSpec, adstock, media_transform
 from spendtrail.validate import require_columns, require_number
 
@@ -241,6 +241,19 @@ def spend_for(target: float, coefficient: float, type: str = "hill", max_spend:
     return level if level <= max_spend else None
 
 
+def spend_for_column(target: Column, coefficient: float, type: str = "hill", max_spend: float | None = None, **parameters) -> Column:
+    """``spend_for`` of a column of targets, which must be of the coefficient's sign; null where a target isn't reached."""
+    scale = curve_scale(type, **parameters)
+    if max_spend is None and scale is None:
+        raise ValueError(f"max_spend is required for the curve {type}")
+    if coefficient == 0:
+        raise ValueError("coefficient must not be 0")
+    most = 1000 * scale if max_spend is None else max_spend
+    wrong = F.raise_error(F.lit("target and coefficient must be of one sign")).cast("double")
+    level = inverse_column(target.cast("double") / float(coefficient), type, **parameters)
+    return F.when(target * float(coefficient) < 0, wrong).when(level <= most, level)
+
+
 def reallocate(plan: DataFrame, source: str, target: str, amount: float | dict, by: str | None = None) -> DataFrame:
     """``plan`` with ``amount`` moved between two channels: taken and added in proportion to what each period spends.
 

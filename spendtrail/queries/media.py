@@ -11,15 +11,15 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from spendtrail.functions.calendar import fourier_terms, holiday_flags
-from spendtrail.functions.decay import decay_from_half_life, delayed_weights, effective_window, geometric_weights, half_life, weibull_weights
+from spendtrail.functions.decay import decay_column, delayed_weights, effective_window, effective_window_column, geometric_weights, half_life_column, weibull_weights
 from spendtrail.functions.metrics import mae, ols, rmse
 from spendtrail.functions.saturation import saturate
-from spendtrail.operators.adstock import Adstock, ChannelSpec, Saturation, adstock, adstock_state, adstock_steady_state, media_transform
+from spendtrail.operators.adstock import Adstock, ChannelSpec, Saturation, adstock, adstock_state, adstock_steady_state, carried_by_lag, media_transform
 from spendtrail.operators.bootstrap import block_bootstrap
 from spendtrail.operators.diagnose import carry_class, correlations, cpm_outliers, date_audit, diagnose_media, variation, vif
 from spendtrail.operators.steps import AdstockStep, Curve, SaturationStep, reference_levels
 from spendtrail.operators.tuning import expanding_fits, filtered, grid, predictions, splits, tune_carryover, tune_carryover_joint
-from spendtrail.plans.media import allocate_budget, contributions, marginal_roi, mroi_column, reallocate, response_curve, response_grid, roi, simulate_plan, spend_for, transform_plan, unmatched, unmatched_channels
+from spendtrail.plans.media import allocate_budget, contributions, marginal_roi, mroi_column, reallocate, response_curve, response_grid, roi, simulate_plan, spend_for_column, transform_plan, unmatched, unmatched_channels
 from spendtrail.plans.plot_data import contribution_bands
 from spendtrail.sources.hyper import from_theta_alpha_gamma
 from spendtrail.sources.look_alikes import touchpoints, weekly_panel
@@ -255,12 +255,6 @@ for _name, (_type, _p, _sql) in CURVES.items():
     register(_name, lambda spark, sf_dir, t=_type, p=_p: spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.round(saturate(F.col("o_totalprice"), t, **p), 6).alias("y")), f"SELECT o_orderkey, round({_sql}, 6) AS y FROM (SELECT o_orderkey, o_totalprice AS x FROM orders)")
 register("f12_mroi", lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.round(1e6 * mroi_column(F.col("o_totalprice"), 10.0, "michaelis_menten", km=100000.0), 4).alias("slope")),
     "SELECT o_orderkey, round(1e6::DOUBLE * 10 * ((x * 1.01::DOUBLE) / (x * 1.01::DOUBLE + 100000) - (x * 0.99::DOUBLE) / (x * 0.99::DOUBLE + 100000)) / (0.02::DOUBLE * x), 4) AS slope FROM (SELECT o_orderkey, o_totalprice AS x FROM orders)")
-register("f14_spend_for", lambda spark, sf_dir: spark.createDataFrame([(t, spend_for(t, 100.0, "hill", half_max=50.0, shape=2.0)) for t in (10.0, 50.0, 90.0)], "target double, spend double").select("target", r("spend")),
-    "SELECT t::DOUBLE AS target, round(50 * pow((t / 100) / (1 - t / 100), 0.5::DOUBLE), 6) AS spend FROM (SELECT unnest([10.0::DOUBLE, 50.0::DOUBLE, 90.0::DOUBLE]) AS t)")
-register("f1_decay_vocabulary", lambda spark, sf_dir: spark.createDataFrame([(h, decay_from_half_life(h), half_life(decay_from_half_life(h)), effective_window(decay_from_half_life(h), 0.5)) for h in (1.0, 2.0, 3.0, 7.0)], "h double, decay double, back double, window50 int").select("h", r("decay"), r("back"), "window50"),
-    "SELECT h::DOUBLE AS h, round(pow(0.5::DOUBLE, 1 / h), 6) AS decay, round(h, 6)::DOUBLE AS back, h::INT AS window50 FROM (SELECT unnest([1.0::DOUBLE, 2.0::DOUBLE, 3.0::DOUBLE, 7.0::DOUBLE]) AS h)")
-register("f5_weibull_weights", lambda spark, sf_dir: spark.createDataFrame([(i, float(w)) for i, w in enumerate(weibull_weights(8, 2, 3, "pdf"))], "lag int, w double").select("lag", r("w")),
-    "WITH f AS (SELECT i::INT AS lag, (2.0::DOUBLE / 3) * ((i + 1) / 3.0::DOUBLE) * exp(-pow((i + 1) / 3.0::DOUBLE, 2)) AS f FROM range(8) t(i)) SELECT lag, round(f / (SELECT max(f) FROM f), 6) AS w FROM f")
 register("f15_fourier_terms", lambda spark, sf_dir: fourier_terms(panel(spark, sf_dir).select("geo", "wk"), "wk").select("geo", "wk", *[r(f"fourier_{f}{k}") for k in (1, 2) for f in ("sin", "cos")]),
     f"WITH {PANEL}, t AS (SELECT geo, wk, (dayofyear(wk) - 1) / 365.25::DOUBLE AS t FROM panel) SELECT geo, wk, " + ", ".join(f"round({f}({2 * math.pi * k!r}::DOUBLE * t), 6) AS fourier_{f}{k}" for k in (1, 2) for f in ("sin", "cos")) + " FROM t")
 HOLIDAYS = {"newyear": [dt.date(y, 1, 1) for y in range(1995, 2003)], "midyear": [dt.date(1997, 7, 4), dt.date(1999, 7, 5)]}
@@ -457,9 +451,6 @@ register("t12_joint_profiles", joint_profiles, f"""{JOINT} SELECT 'urgent' AS ch
 register("t13_block_bootstrap", lambda spark, sf_dir: block_bootstrap(panel(spark, sf_dir), lambda d: {"mean_urgent": d["urgent"].mean(), "mean_low": d["low"].mean()}, "wk", by=["geo"])[0])
 register("s6_import_hyper", lambda spark, sf_dir: (lambda s: spark.createDataFrame([(s.adstock.decay, s.saturation.parameters["half_max"], s.saturation.parameters["shape"])], "decay double, half_max double, shape double").select("decay", r("half_max", 4), "shape"))(from_theta_alpha_gamma(panel(spark, sf_dir).where("geo = 'ASIA'"), "urgent", "wk", theta=0.3, alpha=2.0, gamma=0.4)),
     f"WITH {PANEL}, asia AS (SELECT * FROM panel WHERE geo = 'ASIA'), {iir_sql('asia', 'urgent', 0.3)} SELECT 0.3::DOUBLE AS decay, round(0.4::DOUBLE * max(a), 4) AS half_max, 2.0::DOUBLE AS shape FROM iir")
-register("s2_touchpoints", lambda spark, sf_dir: touchpoints(spark))
-register("s2_weekly_panel", lambda spark, sf_dir: weekly_panel(spark))
-register("t1_grid", lambda spark, sf_dir: spark.createDataFrame([(k.decay,) for k in grid()], "decay double"), "SELECT round(0.1::DOUBLE + i * 0.05::DOUBLE, 2) AS decay FROM range(17) t(i)")
 register("a19_unmatched_cells", lambda spark, sf_dir: unmatched(decomposed(spark, sf_dir).where(F.col("period") < dt.date(2000, 1, 1)), panel(spark, sf_dir).select("geo", "wk", *SPEC).where(F.col("wk") >= dt.date(1996, 1, 1)), "wk", ["geo"]),
     f"WITH {PANEL} SELECT wk AS period, geo, CASE WHEN wk < DATE '1996-01-01' THEN 'spend' ELSE 'contribution' END AS missing FROM panel WHERE wk < DATE '1996-01-01' OR wk >= DATE '2000-01-01'")
 def channels_apart(spark, sf_dir):
@@ -469,12 +460,48 @@ def channels_apart(spark, sf_dir):
 
 register("j6_unmatched_channels", channels_apart,
     f"WITH {PANEL}, {transformed_sql()}, long AS ({LONG}), l AS (SELECT DISTINCT channel FROM long WHERE channel <> '(baseline)'), r AS (SELECT unnest(['urgent', 'medium']) AS channel) SELECT coalesce(l.channel, r.channel) AS channel, CASE WHEN l.channel IS NULL THEN 'contribution' ELSE 'spend' END AS missing FROM l FULL JOIN r ON l.channel = r.channel WHERE l.channel IS NULL OR r.channel IS NULL")
-register("f13_response_curve", lambda spark, sf_dir: response_curve(spark.range(0, 20).select((F.col("id") * 50).alias("x")), "x", 40.0, "hill", half_max=300.0, shape=1.5).select("spend", r("response"), r("slope")),
-    """WITH x AS (SELECT i * 50.0::DOUBLE AS x FROM range(20) t(i)), h AS (SELECT x, greatest(x * 0.01::DOUBLE, pow(2.220446049250313e-16::DOUBLE, 1 / 3.0::DOUBLE) * 300) AS h FROM x),
+
+
+def orders(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+
+
+def vocabulary(spark, sf_dir):
+    """A half-life of 1 to 52 weeks for each order, as its decay, back again, and the window of half its carryover."""
+    h = (1 + F.col("o_orderkey") % 52).cast("double")
+    rows = orders(spark, sf_dir).select("o_orderkey", decay_column(h).alias("decay"))
+    return rows.select("o_orderkey", r("decay"), F.round(half_life_column(F.col("decay")), 6).alias("back"), effective_window_column(F.col("decay"), 0.5).alias("window50"))
+
+
+register("f1_decay_vocabulary", vocabulary, "SELECT o_orderkey, round(pow(0.5::DOUBLE, 1.0::DOUBLE / (1 + o_orderkey % 52)), 6) AS decay, (1 + o_orderkey % 52)::DOUBLE AS back, (1 + o_orderkey % 52)::BIGINT AS window50 FROM orders")
+register("f14_spend_for", lambda spark, sf_dir: orders(spark, sf_dir).select("o_orderkey", F.round(spend_for_column(F.col("o_totalprice") % 95, 100.0, "hill", half_max=50.0, shape=2.0), 6).alias("spend")),
+    "SELECT o_orderkey, round(50 * pow((o_totalprice % 95) / 100 / (1 - (o_totalprice % 95) / 100), 0.5::DOUBLE), 6) AS spend FROM orders")
+register("f13_response_curve", lambda spark, sf_dir: response_curve(panel(spark, sf_dir), "urgent", 40.0, "hill", half_max=300.0, shape=1.5).select(r("spend"), r("response"), r("slope")),
+    f"""WITH {PANEL}, x AS (SELECT urgent AS x FROM panel), h AS (SELECT x, greatest(x * 0.01::DOUBLE, pow(2.220446049250313e-16::DOUBLE, 1 / 3.0::DOUBLE) * 300) AS h FROM x),
        e AS (SELECT x, greatest(0, x - h) AS lo, x + h AS hi FROM h), f AS (SELECT *, CASE WHEN x = 0 THEN 0 ELSE 1 / (1 + pow(300 / nullif(x, 0), 1.5)) END AS y, CASE WHEN lo = 0 THEN 0 ELSE 1 / (1 + pow(300 / nullif(lo, 0), 1.5)) END AS a, 1 / (1 + pow(300 / hi, 1.5)) AS b FROM e)
-       SELECT x AS spend, round(40 * y, 6) AS response, round(40 * (b - a) / (hi - lo), 6) AS slope FROM f""")
-register("f6_delayed_weights", lambda spark, sf_dir: spark.createDataFrame([(i, float(w)) for i, w in enumerate(delayed_weights(6, 0.7, 2, True))], "lag int, w double").select("lag", r("w")),
-    "WITH f AS (SELECT i::INT AS lag, pow(0.7::DOUBLE, (i - 2) * (i - 2)) AS f FROM range(6) t(i)) SELECT lag, round(f / (SELECT sum(f) FROM f), 6) AS w FROM f")
-register("f4_geometric_weights", lambda spark, sf_dir: spark.createDataFrame([(i, float(w)) for i, w in enumerate(geometric_weights(12, 0.8, True))], "lag int, w double").select("lag", r("w")),
-    "WITH f AS (SELECT i::INT AS lag, pow(0.8::DOUBLE, i) AS f FROM range(12) t(i)) SELECT lag, round(f / (SELECT sum(f) FROM f), 6) AS w FROM f")
+       SELECT round(x, 6) AS spend, round(40 * y, 6) AS response, round(40 * (b - a) / (hi - lo), 6) AS slope FROM f""")
+#: Kernels, each with its weights in SQL as a function of the lag l.
+BY_LAG = {
+    "f4_geometric_weights": (Adstock("geometric", 0.8, 12, normalise=True), "pow(0.8::DOUBLE, l)", "sum"),
+    "f5_weibull_weights": (Adstock("weibull", max_lag=8, shape=2, scale=3, type="pdf", normalise=False), "(2.0::DOUBLE / 3) * ((l + 1) / 3.0::DOUBLE) * exp(-pow((l + 1) / 3.0::DOUBLE, 2))", "max"),
+    "f6_delayed_weights": (Adstock("delayed", 0.7, 6, peak=2, normalise=True), "pow(0.7::DOUBLE, (l - 2) * (l - 2))", "sum"),
+}
+for _name, (_kernel, _sql, _over) in BY_LAG.items():
+    register(
+        _name,
+        lambda spark, sf_dir, k=_kernel: carried_by_lag(panel(spark, sf_dir), "urgent", k, "wk", ["geo"]).select("geo", "lag", r("weight"), r("carried", 4)),
+        f"""WITH {PANEL}, k AS (SELECT l, {_sql} AS f FROM range({int(_kernel.lags)}) t(l)), w AS (SELECT l, f / (SELECT {_over}(f) FROM k) AS w FROM k), o AS (SELECT geo, urgent, row_number() OVER (PARTITION BY geo ORDER BY wk DESC) - 1 AS rest FROM panel)
+            SELECT geo, l::INT AS lag, round(any_value(w), 6) AS weight, round(any_value(w) * sum(urgent), 4) AS carried FROM o JOIN w ON l <= rest GROUP BY geo, l""",
+    )
+
+
+def carried_by_candidate(spark, sf_dir):
+    """What each candidate of the grid makes of the spend of each geo."""
+    decays = F.array(*[F.lit(k.decay) for k in CANDIDATES])
+    rows = filtered(panel(spark, sf_dir, kpi=True), "urgent", "kpi", "wk", CANDIDATES, ["geo"])
+    return rows.groupBy("geo", F.element_at(decays, F.col("candidate") + 1).alias("decay")).agg(F.round(F.sum("z"), 4).alias("carried"))
+
 
+register("t1_grid", carried_by_candidate, CV.rstrip(", ") + " SELECT geo, round(0.1::DOUBLE + candidate * 0.05::DOUBLE, 2) AS decay, round(sum(z), 4) AS carried FROM z GROUP BY ALL")
+register("s2_touchpoints", lambda spark, sf_dir: touchpoints(spark, spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")))
+register("s2_weekly_panel", lambda spark, sf_dir: weekly_panel(spark, geos=spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("geo"), (1 + F.col("n_nationkey") / 10).alias("size"))))

@@ -5,11 +5,12 @@ from __future__ import annotations
 import datetime as dt
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spendtrail.functions.saturation import saturate_hill
+from spendtrail.operators.adstock import Adstock, adstock
+
 #: Fixed values of the panel: kernel decay, half-saturation, curve shape and effect of each channel.
 TRUTH = {
     "tv": (0.85, 2250, 1.6, 5200),
@@ -27,15 +28,21 @@ CONVERSIONS = (0.62, 0.28, 0.07, 0.03)  # of 0 to 3 conversions a customer
 DAY = 86400.0
 
 
-def touchpoints(spark: SparkSession, customers: int = 5400, seed: int = 1) -> DataFrame:
+def uniform(seed: int, use: str, *keys) -> Column:
+    """A draw between 0 and 1, never either, that belongs to the keys: a hash of the seed, what it is for and them."""
+    return (F.pmod(F.xxhash64(F.lit(seed), F.lit(use), *keys), F.lit(2**53)) + 0.5) / float(2**53)
+
+
+def touchpoints(spark: SparkSession, customers: int | DataFrame = 5400, seed: int = 1) -> DataFrame:
     """customer_id, channel, timestamp, conversion, value: repeat converters, bursts, ties, exact duplicates, missing labels.
+    ``customers`` is how many, or a table whose first column numbers them.
 
     Every number is drawn from a hash of the seed, what it is for and the customer, burst and touch it belongs to, so executors
     make the log from a range of customers, without a shuffle, and the same one however it is cut into tasks.
     """
 
     def u(use: str, *keys) -> Column:
-        return (F.pmod(F.xxhash64(F.lit(seed), F.lit(use), *keys), F.lit(2**53)) + 0.5) / float(2**53)
+        return uniform(seed, use, *keys)
 
     def one_of(draw: Column, chances) -> Column:
         """The number, from 0, of the chance that the draw falls on."""
@@ -61,7 +68,8 @@ def touchpoints(spark: SparkSession, customers: int = 5400, seed: int = 1) -> Da
         return 300 * DAY * u("start", who) + F.when(b > 1, before).otherwise(0.0)
 
     b, k, n = F.col("burst"), F.col("k"), F.col("n")
-    bursts = spark.range(1, customers + 1).withColumn("wins", one_of(u("wins", who), CONVERSIONS))
+    everyone = customers.select(F.col(customers.columns[0]).cast("long").alias("id")) if isinstance(customers, DataFrame) else spark.range(1, customers + 1)
+    bursts = everyone.withColumn("wins", one_of(u("wins", who), CONVERSIONS))
     bursts = bursts.select("id", "wins", F.explode(F.sequence(F.lit(1), F.greatest("wins", F.lit(1)))).alias("burst"))
     rows = bursts.withColumns({"n": touches(b), "start": start(b)}).withColumn("k", F.explode(F.sequence(F.lit(1), n)))
 
@@ -86,26 +94,20 @@ def touchpoints(spark: SparkSession, customers: int = 5400, seed: int = 1) -> Da
     return made.drop("copy")
 
 
-def weekly_panel(spark: SparkSession, weeks: int = 156, seed: int = 1) -> DataFrame:
-    """date, geo, five spend columns with dark weeks, price, seasonality, holiday, revenue."""
-    rng = np.random.default_rng(seed)
-    dates = [dt.date(2023, 1, 2) + dt.timedelta(days=7 * w) for w in range(weeks)]
-    season = 0.35 * np.sin(2 * np.pi * np.arange(weeks) / 52.18)
-    parts = []
-    for geo, size in GEOS.items():
-        revenue = 18000 + 22 * np.arange(weeks) + 18000 * season * 0.2
-        frame = {"date": dates, "geo": geo}
-        for name, (decay, half, shape, beta) in TRUTH.items():
-            spend = np.where(rng.random(weeks) < 0.3, 0, rng.gamma(4, half / 4, weeks))
-            held, a = np.zeros(weeks), 0.0
-            for t in range(weeks):
-                a = spend[t] + decay * a
-                held[t] = (1 - decay) * a
-            with np.errstate(divide="ignore"):
-                revenue = revenue + beta / (1 + (half / held) ** shape)
-            frame[name] = spend * size
-        price = 10 + rng.normal(0, 0.5, weeks)
-        holiday = np.array([int(d.month == 12) for d in dates])
-        frame |= {"price": price, "seasonality": season, "holiday": holiday, "revenue": size * (revenue - 2600 * (price - 10) + 2500 * holiday) + rng.normal(0, 900, weeks)}
-        parts.append(pd.DataFrame(frame))
-    return spark.createDataFrame(pd.concat(parts, ignore_index=True))
+def weekly_panel(spark: SparkSession, weeks: int = 156, seed: int = 1, geos: DataFrame | None = None) -> DataFrame:
+    """date, geo, five spend columns with dark weeks, price, seasonality, holiday, revenue, for each row (geo, size) of ``geos``, by
+    default those of GEOS. Drawn like ``touchpoints``; revenue follows TRUTH, with noise."""
+    geos = spark.createDataFrame(list(GEOS.items()), "geo string, size double") if geos is None else geos.select(F.col("geo").cast("string").alias("geo"), F.col("size").cast("double").alias("size"))
+    rows = geos.select("geo", "size", F.explode(F.sequence(F.lit(0), F.lit(weeks - 1))).alias("week"))
+    u = lambda use: uniform(seed, use, "geo", "week")
+    normal = lambda use: F.sqrt(-2 * F.log(u(f"{use} length"))) * F.cos(2 * math.pi * u(f"{use} angle"))
+    gamma4 = lambda use, mean: -mean / 4 * sum((F.log(u(f"{use} {i}")) for i in range(4)), F.lit(0.0))
+    rows = rows.withColumns({c: F.when(u(f"{c} dark") < 0.3, 0.0).otherwise(gamma4(c, half)) for c, (_, half, _, _) in TRUTH.items()})
+    held = adstock(rows, {f"_{c}": (c, Adstock("geometric", decay)) for c, (decay, _, _, _) in TRUTH.items()}, "week", ["geo"])
+    effect = sum((beta * saturate_hill(F.col(f"_{c}"), half, shape) for c, (_, half, shape, beta) in TRUTH.items()), F.lit(0.0))
+    date = F.date_add(F.lit(dt.date(2023, 1, 2)), 7 * F.col("week"))
+    season, holiday = 0.35 * F.sin(2 * math.pi * F.col("week") / 52.18), (F.month(date) == 12).cast("long")
+    price = 10 + 0.5 * normal("price")
+    revenue = F.col("size") * (18000 + 22 * F.col("week") + 3600 * season + effect - 2600 * (price - 10) + 2500 * holiday) + 900 * normal("noise")
+    spend = [(F.col(c) * F.col("size")).alias(c) for c in TRUTH]
+    return held.select(date.alias("date"), "geo", *spend, price.alias("price"), season.alias("seasonality"), holiday.alias("holiday"), revenue.alias("revenue"))

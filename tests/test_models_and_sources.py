@@ -12,14 +12,15 @@ from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import functions as F
 
 from spendtrail.functions.calendar import holiday_flags, steps_of
-from spendtrail.operators.adstock import Adstock, ChannelSpec, Saturation
+from spendtrail.functions.decay import decay_column, decay_from_half_life, effective_window, effective_window_column, half_life_column
+from spendtrail.operators.adstock import Adstock, ChannelSpec, Saturation, adstock, carried_by_lag
 from spendtrail.operators.attribution import poisson_draws, replicate_sums, share_intervals, share_replicates
 from spendtrail.operators.diagnose import correlations, diagnose_media, vif
 from spendtrail.operators.journeys import build_paths
 from spendtrail.operators.markov import transition_counts
-from spendtrail.plans.media import Responses, allocate_budget, contributions, fitted
+from spendtrail.plans.media import Responses, allocate_budget, contributions, fitted, spend_for, spend_for_column
 from spendtrail.sources.hyper import from_theta_alpha_gamma
-from spendtrail.sources.look_alikes import CLOSING, OPENING, touchpoints
+from spendtrail.sources.look_alikes import CLOSING, OPENING, touchpoints, weekly_panel
 
 # contributions of fitted models
 
@@ -249,3 +250,56 @@ def test_allocation_filters_once_and_takes_channels_that_saturate_first(spark):
 def test_the_density_kernel_of_the_other_tool_is_refused(spark):
     with pytest.raises(ValueError, match="weibull_cdf"):
         from_theta_alpha_gamma(spark.createDataFrame([(1, 2.0)], "t int, x double"), "x", "t", kind="weibull_pdf", shape=2.0, scale=0.5)
+
+
+# columns of what was known for numbers
+
+
+def test_vocabulary_of_columns_equals_that_of_numbers(spark):
+    decays = [0.0, 0.1, 0.5, 0.7937005259840998, 0.9, 0.999]
+    got = spark.createDataFrame([(d,) for d in decays], "d double").select("d", effective_window_column(F.col("d")).alias("w90"), effective_window_column(F.col("d"), 0.5).alias("w50")).collect()
+    assert [(r.w90, r.w50) for r in got] == [(effective_window(d), effective_window(d, 0.5)) for d in decays]
+    lives = [0.5, 1.0, 3.0, 52.0]
+    back = spark.createDataFrame([(h,) for h in lives], "h double").select(decay_column(F.col("h"), 2.0).alias("d")).select("d", half_life_column(F.col("d"), 2.0).alias("h")).collect()
+    assert [r.d for r in back] == pytest.approx([decay_from_half_life(h, 2.0) for h in lives]) and [r.h for r in back] == pytest.approx(lives)
+    one = spark.createDataFrame([(1.0, -1.0)], "one double, less double")
+    for wrong in (effective_window_column(F.col("one")), half_life_column(F.col("one")), decay_column(F.col("less"))):
+        with pytest.raises(Exception, match="must be"):
+            one.select(wrong).collect()
+
+
+@pytest.mark.parametrize("type, p", [("hill", {"half_max": 50.0, "shape": 1.7}), ("exponential", {"rate": 0.02}), ("michaelis_menten", {"km": 30.0, "vmax": 2.0}), ("power", {"exponent": 0.4})])
+def test_spend_for_columns_equals_that_of_numbers(spark, type, p):
+    targets = [-0.0, 1.0, 45.0, 99.0, 150.0, 250.0]
+    got = [r.s for r in spark.createDataFrame([(t,) for t in targets], "t double").select(spend_for_column(F.col("t"), 100.0, type, max_spend=2000.0, **p).alias("s")).collect()]
+    want = [spend_for(t, 100.0, type, max_spend=2000.0, **p) for t in targets]
+    assert [x is None for x in got] == [x is None for x in want]
+    assert [x for x in got if x is not None] == pytest.approx([x for x in want if x is not None])
+    with pytest.raises(Exception, match="of one sign"):
+        spark.range(1).select(spend_for_column(F.lit(-5.0), 100.0, type, max_spend=9.0, **p)).collect()
+
+
+def test_carried_by_lag_adds_up_to_the_filtered_column(spark):
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(g, i, float(rng.gamma(1, 9))) for g, n in (("a", 20), ("b", 3)) for i in range(n)], "geo string, t int, x double")
+    kernel = Adstock("weibull", max_lag=6, shape=2.0, scale=3.0, normalise=False)
+    rows = carried_by_lag(df, "x", kernel, "t", ["geo"]).collect()
+    assert {r.lag for r in rows if r.geo == "a"} == set(range(6)) and {r.lag for r in rows if r.geo == "b"} == set(range(3))
+    whole = {r.geo: r.s for r in adstock(df, {"z": ("x", kernel)}, "t", ["geo"]).groupBy("geo").agg(F.sum("z").alias("s")).collect()}
+    assert {g: sum(r.carried for r in rows if r.geo == g) for g in "ab"} == pytest.approx(whole)
+    with pytest.raises(ValueError, match="kernels with max_lag"):
+        carried_by_lag(df, "x", Adstock("geometric", 0.5), "t", ["geo"])
+
+
+def test_made_tables_for_given_customers_and_geos(spark):
+    some = spark.createDataFrame([(7,), (900,)], "c long")
+    log, whole = touchpoints(spark, some), touchpoints(spark, 1000)
+    assert {r.customer_id for r in log.select("customer_id").distinct().collect()} == {"cust_00007", "cust_00900"}
+    assert sorted(log.collect(), key=str) == sorted(whole.where("customer_id in ('cust_00007', 'cust_00900')").collect(), key=str)
+    geos = spark.createDataFrame([("x", 1.0), ("y", 3.0)], "geo string, size double")
+    panel = weekly_panel(spark, 104, geos=geos)
+    sums = {r.geo: r for r in panel.groupBy("geo").agg(F.count("*").alias("n"), F.avg("tv").alias("tv"), F.avg((F.col("tv") == 0).cast("int")).alias("dark"), F.avg("price").alias("price"), F.avg("revenue").alias("revenue")).collect()}
+    assert all(r.n == 104 and 0.15 < r.dark < 0.45 and abs(r.price - 10) < 0.3 for r in sums.values())
+    assert 2 < sums["y"].tv / sums["x"].tv < 4 and 2.5 < sums["y"].revenue / sums["x"].revenue < 3.5
+    same = weekly_panel(spark, 104, geos=geos.repartition(3)).orderBy("geo", "date").collect()
+    assert [r.revenue for r in same] == pytest.approx([r.revenue for r in panel.orderBy("geo", "date").collect()])
