@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendtrail.llm.common import attach_groups, cut, split_by_keys, written
+from spendtrail.llm.common import attach_groups, cut, release, split_by_keys, written
 from spendtrail.llm.components import connected_components
 
 SEED = 42
@@ -130,6 +130,7 @@ def _set_key(shingles: np.ndarray) -> int:
 
 
 MAP_WORDS = 16  # 64-bit words of a parity map
+WIDE_SHARE = 4  # bits of a wide map for each shingle, or up to twice as many
 COMMON_SAMPLE = 10_000  # documents at least, in the sample that tells common shingles
 COMMON_SHARE = 1 / 32  # of the documents, if those are more
 COMMON_MOST = 500_000  # shingles whose rank tasks carry; it decides the cost alone, never the result
@@ -137,15 +138,22 @@ HUBS = 4  # sets of each bucket that all others of it meet first; it decides the
 SLACK = 1e-9  # of bounds computed in floating point
 
 
-def parity_map(shingles: np.ndarray) -> list[int]:
-    """MAP_WORDS signed 64-bit words; each bit is the parity of the shingles that fall on it.
+def parity_map(shingles: np.ndarray, words: int = MAP_WORDS) -> list[int]:
+    """That many signed 64-bit words; each bit is the parity of the shingles that fall on it.
 
-    A shingle in one set alone flips one bit, so two sets differ in at least as many shingles as their maps in bits.
+    A shingle in one set alone flips one bit, so two sets differ in at least as many shingles as their maps in bits. The halves
+    of a map, one laid on the other by exclusive or, are the map of half as many words.
     """
-    bits = np.bincount((shingles >> np.uint64(20)) % np.uint64(64 * MAP_WORDS), minlength=64 * MAP_WORDS) & 1
+    bits = np.bincount((shingles >> np.uint64(20)) % np.uint64(64 * words), minlength=64 * words) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8").tolist()
 
 
+def wide_words(n: int) -> int:
+    """Words of the wide map of a set of ``n``: a power of two, so that of two sets of sizes like 4 to 5 one's are the other's or
+    twice as many."""
+    return max(MAP_WORDS, 1 << max(0, math.ceil(math.log2(max(1, WIDE_SHARE * n) / 64))))
+
+
 def rare_first(shingles: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """The set in the order that all sets share: shingles not in ``common`` by hash, then those in it by rank."""
     if not len(common):
@@ -185,22 +193,22 @@ def alike(x: str, y: str, similarity: float) -> Column:
     return both / (F.size(x) + F.size(y) - both) >= similarity
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", scratch: list[str] | None = None) -> DataFrame:
     """(doc_id, component_id) for every row: groups of documents linked by Jaccard similarity of their shingles.
 
     Documents link where their sets of distinct ``words``-word shingles have Jaccard similarity ``similarity`` or more; the
     components over all such links are exact. Equal sets collapse first. Two sets that similar share a shingle among the
     first few of each (see ``prefix_length``) in any common order, here the rare first, so those with a common one meet
     and nothing else can link. A meeting is dropped only where it is proven too few shingles are common: by the sets' sizes
-    and the shingle's places in them, or by the maps of ``parity_map``; the rest are counted on the sets themselves, read
-    from the texts once more. Of buckets with the same members only the first in the order counts, as there any two of them
+    and the shingle's places in them, or by the maps of ``parity_map``: first small ones, then for larger sets maps that grow
+    with them, made from the texts of those that are left; the rest are counted on the sets themselves, read once more. Of buckets with the same members only the first in the order counts, as there any two of them
     meet first. At first each set meets the HUBS of each of its buckets, the least by as many orders; groups of copies are
     one component by then. After that only sets of different components meet, all of a bucket, as a link within a component
     adds nothing; the bounds are part of that join, so of its pairs only those near enough become rows. Null and blank texts are one group; texts of fewer words than ``words`` are one shingle. Very long texts
     have long sets, and a prefix of a fifth of them. Rows that repeat an id share a component. No rows: no rows. Other
-    columns are ignored.
+    columns are ignored. Tables that it writes are named in ``scratch``; they may be released when the result was written.
     """
-    spark = docs.sparkSession
+    spark, scratch = docs.sparkSession, [] if scratch is None else scratch
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     order = spark.sparkContext.broadcast(common_shingles(texts, words))
 
@@ -212,27 +220,30 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (first, [parity_map(s) for s in sets])]
             yield pa.RecordBatch.from_arrays([batch.column(0), keys, pa.array(map(len, sets), pa.int32()), *lists], ["doc_id", "node", "n", "first", "map"])
 
-    def read_sets(batches):
-        for batch in _some(batches):
-            sets = [np.unique(shingle_hashes(text.as_py() or b"", words)) for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array([_set_key(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "shingles"])
+    def reading(name, value):
+        def run(batches):
+            for batch in _some(batches):
+                sets = [np.unique(shingle_hashes(text.as_py() or b"", words)) for text in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([pa.array([_set_key(s) for s in sets], pa.int64()), pa.array([value(s) for s in sets], pa.list_(pa.int64()))], ["node", name])
 
-    rows = written(texts.mapInArrow(read, "doc_id long, node long, n int, first array<long>, map array<long>"))
+        return run
+
+    rows = written(texts.mapInArrow(read, "doc_id long, node long, n int, first array<long>, map array<long>"), scratch)
     total = rows.count()
     whole = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), *[F.first(x).alias(x) for x in ("n", "first", "map")])
-    classes = written(whole)
+    classes = written(whole, scratch)
     keyed = classes.select("node", "n", F.posexplode("first").alias("place", "key"))
     places = classes.agg(F.coalesce(F.sum(F.size("first")), F.lit(0))).first()[0]
-    again = written(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"))
-    shared = written(split_by_keys(keyed, ["key"], again)[1])
+    again = written(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"), scratch)
+    shared = written(split_by_keys(keyed, ["key"], again, scratch=scratch)[1], scratch)
     by_order = [F.min(F.struct(F.xxhash64("node", F.lit(-i)).alias("by"), "node")).alias(f"hub{i}") for i in range(1, HUBS)]
     members = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"members{i}") for i in range(2)]
     buckets = shared.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("node", "place")).alias("least"), *by_order, *members).where("size > 1")
     first = F.min(F.struct("least.place", "key")).alias("first")
     hubs = F.array_distinct(F.array("least.node", *[f"hub{i}.node" for i in range(1, HUBS)])).alias("hubs")
-    buckets = written(buckets.groupBy("size", hubs, "members0", "members1").agg(first).select("first.key", "size", "hubs"))
-    met = written(attach_groups(split_by_keys(shared, ["key"], buckets.select("key"))[1], buckets, "key", "size", places))
-    hubs = written(met.where("array_contains(hubs, node)").select("key", "size", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b")))
+    buckets = written(buckets.groupBy("size", hubs, "members0", "members1").agg(first).select("first.key", "size", "hubs"), scratch)
+    met = written(attach_groups(split_by_keys(shared, ["key"], buckets.select("key"), scratch=scratch)[1], buckets, "key", "size", places), scratch)
+    hubs = written(met.where("array_contains(hubs, node)").select("key", "size", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b")), scratch)
     least = similarity / (1 + similarity)
 
     def possible(n: str, place: str, other_n: str, other_place: str) -> Column:
@@ -240,34 +251,51 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
 
     sized = classes.select("node", "n", *[F.col("map")[i].alias(f"map{i}") for i in range(MAP_WORDS)])
     apart = sum((F.bit_count(F.col(f"map{i}_a").bitwiseXOR(F.col(f"map{i}_b"))) for i in range(MAP_WORDS)), F.lit(0))
-    close = apart <= (1 - 2 * least) * (F.col("n_a") + F.col("n_b")) + SLACK
+    bound = (1 - 2 * least) * (F.col("n_a") + F.col("n_b")) + SLACK
+    close = apart <= bound
+
+    def of_nodes(pairs: DataFrame, name: str, value) -> DataFrame:
+        """(node, name) for every set in the pairs, made from the text of one document that has it."""
+        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        asked = written(asked.join(classes.select("node", "first_id"), "node"), scratch)
+        own = split_by_keys(texts, ["doc_id"], asked.select("first_id"), scratch=scratch)[1].mapInArrow(reading(name, value), f"node long, {name} array<long>")
+        own = split_by_keys(own, ["node"], asked.select("node"), scratch=scratch)[1].join(asked, "node")
+        return written(own.groupBy("node").agg(F.first(name).alias(name)), scratch)
+
+    def beside(pairs: DataFrame, values: DataFrame) -> DataFrame:
+        return pairs.join(values.toDF("a", "x"), "a").join(values.toDF("b", "y"), "b")
 
     def linked(near: DataFrame) -> DataFrame:
-        """Of the pairs (a, b) those that are similar."""
-        near = written(near.distinct())
-        asked = written(near.select(F.col("a").alias("node")).union(near.select("b")).distinct().join(classes.select("node", "first_id"), "node"))
-        own = split_by_keys(texts, ["doc_id"], asked.select("first_id"))[1].mapInArrow(read_sets, "node long, shingles array<long>")
-        sets = written(split_by_keys(own, ["node"], asked.select("node"))[1].join(asked, "node").groupBy("node").agg(F.first("shingles").alias("shingles")))
-        return written(near.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").where(alike("x", "y", similarity)).select("a", "b"))
+        """Of the pairs (a, b, n_a, n_b) those that are similar, as (a, b)."""
+        near = written(near.distinct(), scratch)
+        large = (F.col("n_a") + F.col("n_b")) * WIDE_SHARE > 128 * MAP_WORDS  # for smaller sets no map is wider
+        maps = of_nodes(near.where(large), "wide", lambda s: parity_map(s, wide_words(len(s))))
+        half = lambda m: F.zip_with(F.slice(m, 1, (F.size(m) / 2).cast("int")), F.slice(m, (F.size(m) / 2).cast("int") + 1, (F.size(m) / 2).cast("int")), lambda v, w: v.bitwiseXOR(w))
+        laid = beside(near.where(large), maps).withColumn("x", F.when(F.size("x") > F.size("y"), half("x")).otherwise(F.col("x"))).withColumn("y", F.when(F.size("y") > F.size("x"), half("y")).otherwise(F.col("y")))
+        bits = F.aggregate(F.zip_with("x", "y", lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda total, n: total + n)
+        laid = laid.where(bits <= bound).select("a", "b")
+        left = written(near.where(~large).select("a", "b").unionByName(laid), scratch)
+        sets = of_nodes(left, "shingles", lambda s: s.view(np.int64))
+        return written(beside(left, sets).where(alike("x", "y", similarity)).select("a", "b"), scratch)
 
     far = attach_groups(met.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a")), hubs, "key", "size", places)
     far = far.where((F.col("a") != F.col("b")) & possible("n_a", "place_a", "n_b", "place_b"))
     far = far.select(F.least("a", "b").alias("node_a"), F.greatest("a", "b").alias("node_b")).distinct()
     for x in "ab":
         far = far.join(sized.toDF(*[f"{c}_{x}" for c in sized.columns]), f"node_{x}")
-    stars = linked(far.where(close).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
-    parts = written(connected_components(stars))
+    stars = linked(far.where(close).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b"))
+    parts = written(connected_components(stars), scratch)
     placed = met.select("key", "node", "n", "place").distinct().join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
     mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-    open_ = written(placed.join(mixed, "key").join(sized.drop("n"), "node"))
+    open_ = written(placed.join(mixed, "key").join(sized.drop("n"), "node"), scratch)
     one, two = (open_.select("key", *[F.col(c).alias(f"{c}_{x}") for c in open_.columns if c != "key"]) for x in "ab")
     cross = one.join(two, (one.key == two.key) & (F.col("part_a") < F.col("part_b")) & possible("n_a", "place_a", "n_b", "place_b") & close)
-    rest = linked(cross.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    rest = linked(cross.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b"))
 
     parts = connected_components(stars.union(rest))
     parts = classes.join(parts, "node", "left").select("node", "first_id", "copies", F.coalesce("component", "node").alias("component"))
     firsts = parts.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    named = written(parts.join(firsts, "component").select("node", "copies", "component_id"))
+    named = written(parts.join(firsts, "component").select("node", "copies", "component_id"), scratch)
     return attach_groups(rows.select("doc_id", "node"), named, "node", "copies", total).select("doc_id", "component_id")
 
 
@@ -277,8 +305,10 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, i
     Groups are those of ``similar_groups``. Rows that repeat an id stay or go together; rows without an id stay; of null and
     blank texts one stays. No rows: no rows. Of the texts only those that may go are shuffled.
     """
-    gone = similar_groups(docs, words, similarity, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(id_col))
+    scratch = []
+    gone = similar_groups(docs, words, similarity, id_col, text_col, scratch).where("doc_id <> component_id").select(F.col("doc_id").alias(id_col))
     gone = written(gone.distinct())
+    release(docs.sparkSession, scratch)
     stay, some = split_by_keys(docs.withColumn("__spendtrail_id", F.col(id_col).cast("long")), ["__spendtrail_id"], gone)
     some = some.join(gone.toDF("__spendtrail_id"), "__spendtrail_id", "left_anti")
     return stay.drop("__spendtrail_id").unionByName(some.drop("__spendtrail_id"))

@@ -115,9 +115,9 @@ def test_stages_take_odd_rows_and_none(spark, tmp_path, number):
 
 def test_registered_queries(spark):
     names = __spark_entry__.queries()
-    assert len([n for n in names if n.startswith("op")]) == 10 and "pipeline" in names
+    assert len([n for n in names if n.startswith("op")]) == 13 and "pipeline" in names
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for name in ("op1_line_dedup", "op3_quality", "op4_exact_dedup", "op6_byte_bpe", "op7_lm_scores", "op9_simhash", "op10_language"):
+    for name in ("op1_line_dedup", "op3_quality", "op4_exact_dedup", "op6_byte_bpe", "op7_lm_scores", "op9_simhash", "op10_language", "op11_fill_in_middle", "op12_token_counts"):
         got = names[name](spark, SF)
         assert sorted(r.doc_id for r in got.select("doc_id").collect()) == sorted(r.doc_id for r in docs.select("doc_id").collect()), name
 
