@@ -22,7 +22,7 @@ from spendtrail.llm.common import written
 if sys.byteorder != "little" or array("I").itemsize != 4:
     raise ImportError("ids are written as little-endian 32-bit integers")
 
-WORDS_KEPT = 800_000  # encoded words that a task remembers
+WORDS_KEPT = 200_000  # encoded words that a task remembers
 LONG_WORD = 64  # characters; longer ones aren't remembered
 PIECE_FIELDS = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
