@@ -225,11 +225,14 @@ def _examples(docs: DataFrame, labels: DataFrame, sample: int, sample_bytes: int
 
     chosen = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").drop("other")
     ids = docs.select("doc_id").distinct().join(chosen, "doc_id").orderBy(F.xxhash64(F.col("doc_id"), F.lit("quality sample")), "doc_id").limit(sample)
-    among = docs.join(F.broadcast(ids), "doc_id").withColumn("size", F.octet_length(text_col))
-    rest = Window.partitionBy("doc_id").orderBy(F.xxhash64(text_col), text_col)
-    taken = among.withColumn("nth", F.row_number().over(rest)).where("nth = 1").select(F.col(text_col).cast("binary").alias("text"), "quality", "doc_id", "size")
+    mark = F.xxhash64(text_col).alias("mark")
+    sizes = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "quality", mark, F.octet_length(text_col).alias("size"))
+    first = sizes.groupBy("doc_id", "quality").agg(F.min(F.struct("mark", "size")).alias("first")).select("doc_id", "quality", "first.*")
     before = Window.orderBy(F.xxhash64(F.col("doc_id"), F.lit("quality sample")), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    taken = taken.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0))).where((F.col("before") < sample_bytes) | (F.col("before") == 0)).select("text", "quality")
+    first = first.withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))  # a few numbers for each of the sample; no text
+    first = first.where((F.col("before") < sample_bytes) | (F.col("before") == 0)).select("doc_id", "mark", "quality")
+    taken = docs.withColumn("mark", mark).join(F.broadcast(first), ["doc_id", "mark"])
+    taken = taken.groupBy("doc_id").agg(F.min(text_col).cast("binary").alias("text"), F.first("quality").alias("quality")).select("text", "quality")
     rows = taken.mapInArrow(run, "codes binary, lengths binary, quality int").toPandas()
     rows = rows.sort_values(["codes", "lengths", "quality"])
     return [(np.frombuffer(c, np.uint8).reshape(-1, len(SIZES)), np.frombuffer(n, np.int64), int(y)) for c, n, y in zip(rows["codes"], rows["lengths"], rows["quality"], strict=True)]
