@@ -15,7 +15,7 @@ def path_summary(paths: Journeys) -> DataFrame:
     """One row: counts of construction, and mean, median and largest journey length."""
     lengths = paths.df.where("touch_rank = 1").agg(F.avg("touch_n").alias("mean_length"), F.median("touch_n").alias("median_length"), F.max("touch_n").alias("max_length"))
     both = paths.counts().unionByName(lengths, allowMissingColumns=True)
-    front = ["events_in", "events_out", "journeys", "converting_journeys", "mean_length", "median_length", "max_length", "direct_events", "conversion_events", "conversions_observed", "conversions_unattributable", "journeys_before_filtering", "duplicate_events"]
+    front = ["events_in", "events_out", "journeys", "converting_journeys", "mean_length", "median_length", "max_length", "direct_events", "conversion_events", "conversions_observed", "conversions_unattributable", "journeys_before_filtering", "duplicate_events", "multi_conversion_journeys", "conversions_merged"]
     return both.agg(*[F.max(c).alias(c) for c in front])
 
 
