@@ -7,7 +7,7 @@ a constant for the terms that both lack, and corrections for the terms that both
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -45,20 +45,26 @@ def partial_counts(docs: DataFrame, most: int = HELD) -> DataFrame:
 
     def run(batches):
         def passed_on():
-            rows = [(*group, term.decode(), n, found[term]) for group, (total, found) in held.items() for term, n in total.items()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(),) * 3 + (pa.int64(),) * 2, strict=True)], ["lang", "source", "term", "n", "docs"])
+            langs, sources, terms, n, found = [], [], [], [], []
+            for (lang, source), (total, docs_of) in held.items():
+                langs += [lang] * len(total)
+                sources += [source] * len(total)
+                terms += total.keys()
+                n += total.values()
+                found += map(docs_of.__getitem__, total)  # the marker is in no document
+            return pa.RecordBatch.from_arrays(
+                [pa.array(langs, pa.string()), pa.array(sources, pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(found, pa.int64())], ["lang", "source", "term", "n", "docs"]
+            )
 
         held, size = {}, 0
         for batch in batches:
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                total, found = held.setdefault((lang or "", source or ""), (defaultdict(int, {b"": 0}), defaultdict(int)))
+                total, docs_of = held.setdefault((lang or "", source or ""), (Counter({b"": 0}), Counter()))
                 before, seen = len(total), set()
                 for terms in terms_of(text.as_py() or ""):
                     seen.update(terms)
-                    for term in terms:
-                        total[term] += 1
-                for term in seen:
-                    found[term] += 1
+                    total.update(terms)
+                docs_of.update(seen)
                 size += len(total) - before
                 if size >= most:
                     yield passed_on()
