@@ -134,7 +134,9 @@ WIDE_SHARE = 4  # bits of a wide map for each shingle, or up to twice as many
 COMMON_SAMPLE = 10_000  # documents at least, in the sample that tells common shingles
 COMMON_SHARE = 1 / 32  # of the documents, if those are more
 COMMON_MOST = 500_000  # shingles whose rank tasks carry; it decides the cost alone, never the result
-HUBS = 4  # sets of each bucket that all others of it meet first; it decides the cost alone, never the result
+PRINT_BITS = 512  # of a set's wide fingerprint, about; what it misses is found exactly
+SPARE_BITS = 3  # of a block beyond those that number the documents, so that few sets share a block by chance
+PRINT_SD = 3  # standard deviations over the differing bits to expect, up to which a pair of fingerprints is near
 SLACK = 1e-9  # of bounds computed in floating point
 
 
@@ -148,6 +150,29 @@ def parity_map(shingles: np.ndarray, words: int = MAP_WORDS) -> list[int]:
     return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8").tolist()
 
 
+def block_bits(documents: int) -> int:
+    """Bits of a block of a wide fingerprint: they grow with the log of the documents, so blocks shared by chance don't pile up."""
+    return min(60, max(12, max(1, documents).bit_length() + SPARE_BITS))
+
+
+def wide_fingerprint(shingles: np.ndarray, width: int) -> list[int]:
+    """A SimHash of about PRINT_BITS bits as blocks of ``width`` bits: each bit is set if it is in over half the shingles' hashes."""
+    bits = []
+    for i in range(1, -(-PRINT_BITS // 64) + 1):  # as many independent hashes of a shingle as 64 bits make up, by splitmix64
+        h = shingles + np.uint64(i * 0x9E3779B97F4A7C15 % (1 << 64))
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        bits.append(majority(h ^ (h >> np.uint64(31))))
+    whole = sum(b << 64 * i for i, b in enumerate(bits))
+    return [whole >> at & ((1 << width) - 1) for at in range(0, PRINT_BITS - width + 1, width)]
+
+
+def print_distance(bits: int, similarity: float) -> int:
+    """Bits in which fingerprints of sets of that Jaccard similarity differ at most, but for PRINT_SD standard deviations."""
+    share = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi  # the angle between the sets, or less, if sizes differ
+    return math.ceil(bits * share + PRINT_SD * math.sqrt(bits * share * (1 - share)))
+
+
 def wide_words(n: int) -> int:
     """Words of the wide map of a set of ``n``: a power of two, so that of two sets of sizes like 4 to 5 one's are the other's or
     twice as many."""
@@ -197,28 +222,32 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
     """(doc_id, component_id) for every row: groups of documents linked by Jaccard similarity of their shingles.
 
     Documents link where their sets of distinct ``words``-word shingles have Jaccard similarity ``similarity`` or more; the
-    components over all such links are exact. Equal sets collapse first. Two sets that similar share a shingle among the
-    first few of each (see ``prefix_length``) in any common order, here the rare first, so those with a common one meet
-    and nothing else can link. A meeting is dropped only where it is proven too few shingles are common: by the sets' sizes
-    and the shingle's places in them, or by the maps of ``parity_map``: first small ones, then for larger sets maps that grow
-    with them, made from the texts of those that are left; the rest are counted on the sets themselves, read once more. Of buckets with the same members only the first in the order counts, as there any two of them
-    meet first. At first each set meets the HUBS of each of its buckets, the least by as many orders; groups of copies are
-    one component by then. After that only sets of different components meet, all of a bucket, as a link within a component
-    adds nothing; the bounds are part of that join, so of its pairs only those near enough become rows. Null and blank texts are one group; texts of fewer words than ``words`` are one shingle. Very long texts
-    have long sets, and a prefix of a fifth of them. Rows that repeat an id share a component. No rows: no rows. Other
-    columns are ignored. Tables that it writes are named in ``scratch``; they may be released when the result was written.
+    components over all such links are exact. Equal sets collapse first. Then SimHash: each set's wide fingerprint is cut into
+    blocks; of the sets that share a block each meets the least, so the pairs grow with the sets, not with a block's square.
+    Fingerprints that differ in ``print_distance`` bits or fewer make a candidate, and links are those whose sets, counted, are
+    similar. Their components leave few links to find, and these are found exactly: two sets that similar share a shingle among the
+    first few of each (see ``prefix_length``) in any common order, here the rare first, so sets of different components with a
+    common one meet and nothing else can link. A meeting is dropped only where it is proven too few shingles are common: by the
+    sets' sizes and the shingle's places in them, or by the maps of ``parity_map``: first small ones, then for larger sets maps
+    that grow with them, made from the texts of those that are left; the rest are counted on the sets themselves, read once more.
+    Of buckets with the same members only the first in the order counts, as there any two of them meet first. Sizes, places and
+    small maps are part of that join, so of its pairs only those near enough become rows. Null and blank texts are one group;
+    texts of fewer words than ``words`` are one shingle. Very long texts have long sets, and a prefix of a fifth of them. Rows that
+    repeat an id share a component. No rows: no rows. Other columns are ignored. Tables that it writes are named in ``scratch``;
+    they may be released when the result was written.
     """
     spark, scratch = docs.sparkSession, [] if scratch is None else scratch
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     order = spark.sparkContext.broadcast(common_shingles(texts, words))
+    width = block_bits(texts.count())
 
     def read(batches):
         for batch in _some(batches):
             sets = [np.unique(shingle_hashes(text.as_py() or b"", words)) for text in batch.column(1)]
             keys = pa.array([_set_key(s) for s in sets], pa.int64())
             first = [rare_first(s, *order.value)[: prefix_length(len(s), similarity)].view(np.int64) for s in sets]
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in (first, [parity_map(s) for s in sets])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), keys, pa.array(map(len, sets), pa.int32()), *lists], ["doc_id", "node", "n", "first", "map"])
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (first, [parity_map(s) for s in sets], [wide_fingerprint(s, width) for s in sets])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), keys, pa.array(map(len, sets), pa.int32()), *lists], ["doc_id", "node", "n", "first", "map", "print"])
 
     def reading(name, value):
         def run(batches):
@@ -228,22 +257,19 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
 
         return run
 
-    rows = written(texts.mapInArrow(read, "doc_id long, node long, n int, first array<long>, map array<long>"), scratch)
+    rows = written(texts.mapInArrow(read, "doc_id long, node long, n int, first array<long>, map array<long>, print array<long>"), scratch)
     total = rows.count()
-    whole = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), *[F.first(x).alias(x) for x in ("n", "first", "map")])
+    whole = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), *[F.first(x).alias(x) for x in ("n", "first", "map", "print")])
     classes = written(whole, scratch)
     keyed = classes.select("node", "n", F.posexplode("first").alias("place", "key"))
     places = classes.agg(F.coalesce(F.sum(F.size("first")), F.lit(0))).first()[0]
     again = written(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"), scratch)
     shared = written(split_by_keys(keyed, ["key"], again, scratch=scratch)[1], scratch)
-    by_order = [F.min(F.struct(F.xxhash64("node", F.lit(-i)).alias("by"), "node")).alias(f"hub{i}") for i in range(1, HUBS)]
     members = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"members{i}") for i in range(2)]
-    buckets = shared.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("node", "place")).alias("least"), *by_order, *members).where("size > 1")
+    buckets = shared.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("node", "place")).alias("least"), *members).where("size > 1")
     first = F.min(F.struct("least.place", "key")).alias("first")
-    hubs = F.array_distinct(F.array("least.node", *[f"hub{i}.node" for i in range(1, HUBS)])).alias("hubs")
-    buckets = written(buckets.groupBy("size", hubs, "members0", "members1").agg(first).select("first.key", "size", "hubs"), scratch)
+    buckets = written(buckets.groupBy("size", "least.node", "members0", "members1").agg(first).select("first.key", "size"), scratch)
     met = written(attach_groups(split_by_keys(shared, ["key"], buckets.select("key"), scratch=scratch)[1], buckets, "key", "size", places), scratch)
-    hubs = written(met.where("array_contains(hubs, node)").select("key", "size", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b")), scratch)
     least = similarity / (1 + similarity)
 
     def possible(n: str, place: str, other_n: str, other_place: str) -> Column:
@@ -278,12 +304,15 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
         sets = of_nodes(left, "shingles", lambda s: s.view(np.int64))
         return written(beside(left, sets).where(alike("x", "y", similarity)).select("a", "b"), scratch)
 
-    far = attach_groups(met.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a")), hubs, "key", "size", places)
-    far = far.where((F.col("a") != F.col("b")) & possible("n_a", "place_a", "n_b", "place_b"))
-    far = far.select(F.least("a", "b").alias("node_a"), F.greatest("a", "b").alias("node_b")).distinct()
-    for x in "ab":
-        far = far.join(sized.toDF(*[f"{c}_{x}" for c in sized.columns]), f"node_{x}")
-    stars = linked(far.where(close).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b"))
+    blocks = classes.select("node", F.posexplode("print").alias("k", "block")).select("node", F.xxhash64("k", "block").alias("key"))
+    again = written(blocks.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("b")).where("size > 1"), scratch)
+    alike_blocks = split_by_keys(blocks, ["key"], again.select("key"), scratch=scratch)[1]
+    near = attach_groups(alike_blocks, again, "key", "size", total * (PRINT_BITS // width)).where("node <> b").select("node", "b").distinct()
+    prints = classes.select("node", "n", "print")
+    near = near.join(prints.toDF("node", "n_a", "print_a"), "node").join(prints.toDF("b", "n_b", "print_b"), "b")
+    bits = F.aggregate(F.zip_with("print_a", "print_b", lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda total, n: total + n)
+    near = near.where(bits <= print_distance(PRINT_BITS // width * width, similarity))
+    stars = linked(near.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"), "n_a", "n_b"))
     parts = written(connected_components(stars), scratch)
     placed = met.select("key", "node", "n", "place").distinct().join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
     mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
