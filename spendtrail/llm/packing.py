@@ -60,39 +60,42 @@ class Words(dict):
 
     def __init__(self, file: str):
         whole = _tokenizer(file)
-        self.encode, self.model = whole.encode, whole.model
-        self.marks = {"": b""}
+        self.encode, self.tokenize = whole.encode, whole.model.tokenize
+        self.marks, self.old = {"": b""}, {}
 
     def ids(self, text: str) -> bytes:
         if "<|" not in text:  # special tokens are looked for before letters are lowered, so only other texts are lowered here
             text = text.encode().lower().decode()
-        words = text.replace("\n", " ").split(" ")
-        if new := {w for w in words if w not in self}:
-            if len(self) + len(new) > WORDS_KEPT:
-                self.clear()
-                new = set(words)
-            for word in new:
-                if len(word) <= LONG_WORD:
-                    self[word] = self.learnt(word)
-        return b"".join(map(self.__getitem__, words))
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+
+    def __missing__(self, word: str) -> bytes:
+        if len(word) > LONG_WORD:
+            return self.whole(word)
+        if len(self) >= WORDS_KEPT // 2:  # the other half is what was known before, of which what is met again stays
+            self.old = dict(self)
+            self.clear()
+        found = self.old.get(word)
+        if found is None:
+            found = self.learnt(word)
+        self[word] = found
+        return found
 
     def learnt(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha() and word.islower():
+            return array("I", [token.id for token in self.tokenize(word)]).tobytes()
         plain = PLAIN.fullmatch(word)
         if not plain:
-            return self[word]
+            return self.whole(word)
         letters, mark = plain.groups()
-        if mark not in self.marks:
-            if len(self.marks) > WORDS_KEPT:
-                self.marks = {"": b""}
-            self.marks[mark] = self[mark]
-        if mark and letters in self:
+        if mark:
+            if mark not in self.marks:
+                if len(self.marks) > WORDS_KEPT:
+                    self.marks = {"": b""}
+                self.marks[mark] = self.whole(mark)
             return self[letters] + self.marks[mark]
-        name = letters if letters.isascii() else letters.encode().decode("latin-1").translate(BYTE_NAMES)
-        ids = array("I", [token.id for token in self.model.tokenize(name)]).tobytes()
-        self[letters] = ids
-        return ids + self.marks[mark]
+        return array("I", [token.id for token in self.tokenize(word.encode().decode("latin-1").translate(BYTE_NAMES))]).tobytes()
 
-    def __missing__(self, word: str) -> bytes:
+    def whole(self, word: str) -> bytes:
         return array("I", self.encode(word, add_special_tokens=False).ids).tobytes()
 
 

@@ -347,6 +347,17 @@ def test_pieces_equal_the_library(spark):
     check_sequences(got, 4096)
 
 
+def test_words_in_use_are_learnt_once(monkeypatch):
+    monkeypatch.setattr(packing, "WORDS_KEPT", 40)
+    learnt, before = [], packing.Words.learnt
+    monkeypatch.setattr(packing.Words, "learnt", lambda self, word: learnt.append(word) or before(self, word))
+    words, library = packing.Words(WORDS), Tokenizer.from_file(WORDS)
+    for i in range(200):
+        text = f"the of {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uv'[i // 100]} and, die"
+        assert words.ids(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert all(learnt.count(w) == 1 for w in ("the", "of", "and,", "die")) and len(words) + len(words.old) <= packing.WORDS_KEPT + 2
+
+
 def check_sequences(rows, capacity):
     sequences = defaultdict(list)
     for r in rows:
