@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,14 +123,24 @@ def split_by_keys(rows: DataFrame, cols: list[str], keys: DataFrame, most: int =
 
 
 def keep_where(docs: DataFrame, text_col: str, keep: Callable[[str | None], bool]) -> DataFrame:
-    """Rows of ``docs``, all columns as they are, whose text ``keep`` accepts: one pass, nothing is shuffled."""
-    at = docs.columns.index(text_col)
+    """Rows of ``docs``, all columns as they are, whose text ``keep`` accepts: one pass, nothing is shuffled.
 
-    def run(batches):
-        for batch in batches:
-            yield batch.filter(pa.array([keep(x.as_py()) for x in batch.column(at)], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    Only texts go to Python, a hundred at a time as Spark pickles them, and only the answers come back; Arrow would hold
+    whole rows on both sides, as many as the session's batch has, when the caller runs the plan.
+    """
+    return docs.where(F.udf(lambda text: bool(keep(text)), "boolean", useArrow=False)(F.col(text_col)))
+
+
+@contextmanager
+def rows_a_batch(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it, jobs send that many rows at most to a Python worker at a time; what the session had comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, usual)
 
 
 def table_key(df: DataFrame, column: str) -> str:

@@ -258,6 +258,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
         return run
 
     rows = written(texts.mapInArrow(read, "doc_id long, node long, n int, first array<long>, map array<long>, print array<long>"), scratch)
+    order.unpersist()
     total = rows.count()
     whole = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), *[F.first(x).alias(x) for x in ("n", "first", "map", "print")])
     classes = written(whole, scratch)
