@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -143,6 +144,13 @@ def rows_a_batch(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, usual)
 
 
+def give_back() -> None:
+    """Give what this process has freed back to the system, where libc can: else it keeps what a fit took beside the driver's JVM."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def table_key(df: DataFrame, column: str) -> str:
     """The column's name and type, as a schema string has them."""
     return f"`{column}` {df.schema[column].dataType.simpleString()}"
