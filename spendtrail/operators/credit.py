@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,18 +104,51 @@ def credit_custom(paths: Journeys | DataFrame, fn: Callable, normalise: bool = T
             made = F.coalesce(F.try_divide(made, total), F.lit(0.0))
         return _scored(df, made)
 
-    def score(journey: pd.DataFrame) -> pd.DataFrame:
-        journey = journey.sort_values("touch_rank")
-        weights = np.zeros(len(journey))
-        if journey["converted"].iloc[0]:
-            weights = np.asarray(fn(journey["touch_rank"].to_numpy(), journey["touch_n"].to_numpy(), journey["time_to_conversion"].to_numpy()), float)
-            if weights.shape != (len(journey),) or not np.isfinite(weights).all() or (weights < 0).any():
+    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_journeys(batches):
+            begins = journey_begins(table["path_id"])
+            ends = np.append(begins[1:], len(table))
+            rank, n, recency, value = (table[c].to_numpy().copy() for c in ("touch_rank", "touch_n", "time_to_conversion", "conversion_value"))
+            converted = table["converted"].cast(pa.bool_()).fill_null(False).to_numpy()[begins]
+            weights = np.zeros(len(table))
+            for begin, end in zip(begins[converted].tolist(), ends[converted].tolist(), strict=True):
+                made = np.asarray(fn(rank[begin:end], n[begin:end], recency[begin:end]), float)
+                if made.shape != (end - begin,):
+                    raise ValueError("weights must be finite, not negative and one for each touch")
+                weights[begin:end] = made
+            if not np.isfinite(weights).all() or (weights < 0).any():
                 raise ValueError("weights must be finite, not negative and one for each touch")
-            if normalise and weights.sum() > 0:
-                weights = weights / weights.sum()
-        journey["credit"] = weights
-        journey["credit_value"] = weights * journey["conversion_value"].fillna(0).to_numpy()
-        return journey
+            if normalise:
+                total = np.add.reduceat(weights, begins)
+                weights = weights / np.repeat(np.where(total > 0, total, 1.0), ends - begins)
+            value = value.astype(float)
+            values = weights * np.where(np.isnan(value), 0.0, value)
+            yield from table.append_column("credit", pa.array(weights)).append_column("credit_value", pa.array(values)).to_batches()
 
     schema = T.StructType([*df.schema.fields, T.StructField("credit", T.DoubleType()), T.StructField("credit_value", T.DoubleType())])
-    return df.groupBy("path_id").applyInPandas(score, schema)
+    return df.repartition("path_id").sortWithinPartitions("path_id", "touch_rank").mapInArrow(score, schema)
+
+
+def journey_begins(ids: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Where a journey begins in sorted path ids; missing ones are one journey."""
+    here, before = ids.slice(1), ids.slice(0, len(ids) - 1)
+    other = pc.coalesce(pc.not_equal(here, before), pc.xor(pc.is_null(here), pc.is_null(before)))
+    return np.flatnonzero(np.append(True, np.asarray(other)))
+
+
+def whole_journeys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole journeys from a sorted partition's batches: the last journey of a batch waits for its other touches."""
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column("path_id")
+        last = int(journey_begins(ids)[-1])
+        if held and not last and held[-1].column("path_id")[-1].equals(ids[0]):
+            held.append(batch)
+            continue
+        if held or last:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+        held = [batch.slice(last)]
+    if held:
+        yield pa.Table.from_batches(held)
